@@ -1,0 +1,87 @@
+"""Adapter views that map the driver's tables onto the scan data model.
+
+The driver tables hold no source code, so each operator is exercised through
+a deterministic view whose work grows with the underlying table.  Every view
+exists twice: as DataFrame code (what the operators consume) and as DuckDB SQL
+(what the independent oracle consumes).  The two are written separately and
+must agree row for row.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codelens import rules
+
+# Feature vocabulary used by the lineitem-based views: every mapped feature
+# key, then the detector keys that have no mapping (they resolve to unknown).
+FEATURE_UNIVERSE = list(rules.FEATURE_STATUS) + [
+    "optional-chaining", "nullish-coalescing", "class-fields", "private-class-fields",
+    "top-level-await", "promise-allSettled", "string-replaceAll", "Worker", "SharedWorker",
+    "css-nesting", "css-subgrid", "css-clamp", "css-container-queries",
+]
+N_FEATURES = len(FEATURE_UNIVERSE)
+STATUS_CYCLE = ["supported", "partial", "unsupported", "unknown"]
+FILES_PER_SUPPLIER = 7
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sql_list(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _pick(values: list[str], idx0: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx0 + 1).cast("int"))
+
+
+# -- v_features: (scan_id, file, feature) from lineitem ----------------------
+# scan = return flag, file = supplier x order bucket, feature by part key.
+
+def _lineitem_keys(li: DataFrame) -> DataFrame:
+    return li.select(
+        F.col("l_returnflag").alias("scan_id"),
+        F.concat(F.lit("src/s"), F.col("l_suppkey").cast("string"), F.lit("/m"),
+                 (F.col("l_orderkey") % FILES_PER_SUPPLIER).cast("string"), F.lit(".js")).alias("file"),
+        _pick(FEATURE_UNIVERSE, F.col("l_partkey") % N_FEATURES).alias("feature"),
+        "l_quantity",
+    )
+
+
+def v_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lineitem_keys(table(spark, sf_dir, "lineitem")).select("scan_id", "file", "feature").distinct()
+
+
+V_FEATURES_SQL = f"""
+SELECT DISTINCT l_returnflag AS scan_id,
+       'src/s' || CAST(l_suppkey AS VARCHAR) || '/m' || CAST(l_orderkey % {FILES_PER_SUPPLIER} AS VARCHAR) || '.js' AS file,
+       ({sql_list(FEATURE_UNIVERSE)})[CAST(l_partkey % {N_FEATURES} AS INTEGER) + 1] AS feature
+FROM lineitem
+"""
+
+# -- v_baseline: stored baseline snapshots (scan_id, file, feature, status) --
+# status cycles with the smallest quantity seen for the (file, feature).
+
+def v_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = _lineitem_keys(table(spark, sf_dir, "lineitem"))
+    return k.groupBy("scan_id", "file", "feature").agg(
+        _pick(STATUS_CYCLE, F.floor(F.min("l_quantity")).cast("long") % 4).alias("status"))
+
+
+V_BASELINE_SQL = f"""
+SELECT scan_id, file, feature, ({sql_list(STATUS_CYCLE)})[CAST(CAST(floor(min(l_quantity)) AS BIGINT) % 4 AS INTEGER) + 1] AS status
+FROM (SELECT l_returnflag AS scan_id,
+             'src/s' || CAST(l_suppkey AS VARCHAR) || '/m' || CAST(l_orderkey % {FILES_PER_SUPPLIER} AS VARCHAR) || '.js' AS file,
+             ({sql_list(FEATURE_UNIVERSE)})[CAST(l_partkey % {N_FEATURES} AS INTEGER) + 1] AS feature,
+             l_quantity
+      FROM lineitem)
+GROUP BY scan_id, file, feature
+"""
+
+
+def feature_dim_sql() -> str:
+    rows = ", ".join(f"('{f}', '{s}')" for f, s in rules.FEATURE_STATUS.items())
+    return f"(SELECT * FROM (VALUES {rows}) AS t(feature, status))"

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelens.functions.scalar import clamp, round_half_up
+from codelens.functions.severity import normalize_severity, semgrep_severity, severity_bucket
 from codelens.functions.status import impact_rank
 
 
@@ -27,3 +29,310 @@ def impact_by_file(baseline: DataFrame) -> DataFrame:
         _count_if(s == "partial").alias("partial"),
         F.count(F.lit(1)).alias("total"),
     )
+
+
+# --------------------------------------------------------------------------
+# Findings kinds of the ``findings`` table (scan_id, kind, source, title,
+# severity, file, description, ord).
+VULN, INSECURE, POLICY, SECRET, CI = "vulnerability", "insecure_api", "missing_policy", "secret", "ci"
+
+
+def _kind(findings: DataFrame, *kinds: str) -> DataFrame:
+    return findings.filter(F.col("kind").isin(*kinds))
+
+
+def severity_summary(vulns: DataFrame) -> DataFrame:
+    """AGG-04: per scan low / moderate (= medium) / high / critical / unknown."""
+    s = normalize_severity(F.col("severity"))
+    return vulns.groupBy("scan_id").agg(
+        _count_if(s == "low").alias("low"), _count_if(s == "medium").alias("moderate"),
+        _count_if(s == "high").alias("high"), _count_if(s == "critical").alias("critical"),
+        _count_if(s == "unknown").alias("unknown"))
+
+
+def bucket_counts(df: DataFrame, by: list[str], default: str = "low") -> DataFrame:
+    """Counts per four-level bucket (missing / unknown severity -> ``default``)."""
+    b = severity_bucket(F.col("severity"), default)
+    return df.groupBy(*by).agg(
+        _count_if(b == "critical").alias("critical"), _count_if(b == "high").alias("high"),
+        _count_if(b == "medium").alias("medium"), _count_if(b == "low").alias("low"))
+
+
+def vuln_counts(vulns: DataFrame) -> DataFrame:
+    """AGG-05: Critical / High / Medium / Low per scan, missing severity -> Low."""
+    return bucket_counts(vulns, ["scan_id"])
+
+
+def hygiene_issues(findings: DataFrame) -> DataFrame:
+    """Missing policies then insecure calls (the hygiene list, SET-01 tagged)."""
+    return _kind(findings, POLICY, INSECURE).withColumn(
+        "list_ord", F.when(F.col("kind") == POLICY, 0).otherwise(1))
+
+
+def hygiene_counts(findings: DataFrame) -> DataFrame:
+    """AGG-06: severity counts over insecure calls + missing policies."""
+    return bucket_counts(hygiene_issues(findings), ["scan_id"])
+
+
+SECRET_TEXT = r"(?i)(secret|credential|token|key)"
+
+
+def secret_items(findings: DataFrame) -> DataFrame:
+    """Secrets plus vulnerabilities whose title (else description) names a secret."""
+    text = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("description"), F.lit(""))
+    return findings.filter((F.col("kind") == SECRET) | ((F.col("kind") == VULN) & text.rlike(SECRET_TEXT)))
+
+
+def secret_counts(findings: DataFrame) -> DataFrame:
+    """AGG-07: severity counts and total over secrets + secret-like vulnerabilities."""
+    return bucket_counts(secret_items(findings), ["scan_id"]).withColumn(
+        "total", F.col("critical") + F.col("high") + F.col("medium") + F.col("low"))
+
+
+def tool_rollup(findings: DataFrame) -> DataFrame:
+    """AGG-08: per (scan, tool) findings count and High / Medium / Low by the
+    tool-output severity mapping."""
+    s = semgrep_severity(F.col("severity"))
+    return findings.groupBy("scan_id", F.col("source").alias("tool")).agg(
+        F.count(F.lit(1)).alias("findings"), _count_if(s == "High").alias("high"),
+        _count_if(s == "Medium").alias("medium"), _count_if(s == "Low").alias("low"))
+
+
+def merge_severity(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """AGG-09: add tool counts (High -> high, Medium -> moderate, Low -> low)
+    into a stored severity summary; union of partial rows then one sum."""
+    cols = ["low", "moderate", "high", "critical", "unknown"]
+    a = stored.select("scan_id", *[F.col(c).cast("long").alias(c) for c in cols])
+    b = new.select("scan_id", F.col("low").cast("long").alias("low"), F.col("medium").cast("long").alias("moderate"),
+                   F.col("high").cast("long").alias("high"), F.lit(0).cast("long").alias("critical"),
+                   F.lit(0).cast("long").alias("unknown"))
+    return a.unionByName(b).groupBy("scan_id").agg(*[F.sum(c).cast("long").alias(c) for c in cols])
+
+
+def status_counts(baseline: DataFrame) -> DataFrame:
+    """AGG-10: supported / partial / unsupported / unknown entries per scan."""
+    s = F.lower(F.coalesce(F.col("status"), F.lit("unknown")))
+    return baseline.groupBy("scan_id").agg(
+        _count_if(s == "supported").alias("supported"), _count_if(s == "partial").alias("partial"),
+        _count_if(s == "unsupported").alias("unsupported"),
+        _count_if(~s.isin("supported", "partial", "unsupported")).alias("unknown"))
+
+
+def project_features(features: DataFrame) -> DataFrame:
+    """DET-03 as rows: distinct (scan_id, feature)."""
+    return features.select("scan_id", "feature").filter(F.col("feature").isNotNull()).distinct()
+
+
+def compat_classes(features: DataFrame, feature_dim: DataFrame) -> DataFrame:
+    """AGG-11 rows: each distinct project feature with its mapped status
+    (unmapped -> unknown)."""
+    from codelens.operators.baseline import dim_by_feature
+    from codelens.dims import bounded_broadcast
+    dim = bounded_broadcast(dim_by_feature(feature_dim).select("feature", "status"))
+    return project_features(features).join(dim, "feature", "left").select(
+        "scan_id", "feature", F.coalesce("status", F.lit("unknown")).alias("status"))
+
+
+def compatibility(features: DataFrame, feature_dim: DataFrame) -> DataFrame:
+    """AGG-11: per scan counts and sorted lists of supported / partial /
+    unsupported project features."""
+    c = compat_classes(features, feature_dim)
+    s = F.col("status")
+
+    def lst(word):
+        return F.array_join(F.array_sort(F.collect_list(F.when(s == word, F.col("feature")))), ",")
+    return c.groupBy("scan_id").agg(
+        _count_if(s == "supported").alias("supported"), _count_if(s == "partial").alias("partial"),
+        _count_if(s == "unsupported").alias("unsupported"),
+        lst("supported").alias("supported_features"), lst("partial").alias("partial_features"),
+        lst("unsupported").alias("unsupported_features"))
+
+
+# FIXED VALUES: recommendation texts (AGG-12), in rule order.
+RECOMMENDATIONS = [
+    "Migrate XMLHttpRequest calls to fetch API",
+    "Remove Promise polyfill; async/await is supported",
+    "Use AbortController to cancel in-flight fetch requests",
+    "Add Content Security Policy (CSP) via security middleware",
+    "Enable express-rate-limit to throttle abusive traffic",
+    "Add csurf middleware to protect against CSRF attacks",
+    "Disable 'X-Powered-By' header via app.disable('x-powered-by')",
+    "Restrict CORS origin to known domains and avoid credentials with wildcard",
+    "Set httpOnly and secure flags on cookies (prefer secure in production)",
+]
+CORS_POLICY_TITLES = ["Permissive CORS", "Permissive CORS with credentials", "Wildcard CORS headers/methods"]
+COOKIE_TITLES = ["Cookie without httpOnly", "Cookie without secure"]
+
+
+def scan_flags(features: DataFrame, configs: DataFrame, findings: DataFrame,
+               feature_dim: DataFrame) -> DataFrame:
+    """Per-scan presence flags used by rule operators (one row per scan that
+    appears in any input).  Each input is reduced to one row per scan before
+    the joins, so the joins are per-scan small."""
+    c = compat_classes(features, feature_dim)
+    f = c.groupBy("scan_id").agg(
+        *[F.max((F.col("feature") == n).cast("int")).alias(a) for n, a in
+          [("XMLHttpRequest", "has_xhr"), ("fetch", "has_fetch"), ("AbortController", "has_abort"),
+           ("core-js/features/promise", "has_promise_polyfill"), ("TypeScript", "has_ts"),
+           ("eslint", "has_eslint"), ("webpack", "has_webpack")]],
+        F.max(((F.col("feature") == "async-await") & (F.col("status") == "supported")).cast("int")).alias("aa_supported"),
+        _count_if(F.col("status") == "unsupported").alias("unsupported"))
+    cf = configs.groupBy("scan_id").agg(F.max((F.col("name") == "helmet.config.js").cast("int")).alias("has_helmet_cfg"))
+    t = F.col("title")
+    pol = F.col("kind") == POLICY
+    ins = F.col("kind") == INSECURE
+    fl = findings.groupBy("scan_id").agg(
+        _count_if(pol).alias("policies"), _count_if(ins).alias("insecure"),
+        F.max((pol & (t == "Rate limiting")).cast("int")).alias("t_rate"),
+        F.max((pol & (t == "CSRF")).cast("int")).alias("t_csrf"),
+        F.max((pol & (t == "X-Powered-By")).cast("int")).alias("t_xpb"),
+        F.max((pol & t.isin(*CORS_POLICY_TITLES)).cast("int")).alias("t_cors"),
+        F.max((ins & t.isin(*COOKIE_TITLES)).cast("int")).alias("t_cookie"))
+    out = f.join(cf, "scan_id", "full").join(fl, "scan_id", "full")
+    return out.fillna(0)
+
+
+def recommendations(flags: DataFrame) -> DataFrame:
+    """AGG-12: ``(scan_id, ord, recommendation)`` rows from the 9 rules."""
+    g = F.col
+    conds = [
+        (g("has_xhr") == 1) & (g("has_fetch") == 0),
+        (g("has_promise_polyfill") == 1) & (g("aa_supported") == 1),
+        (g("has_fetch") == 1) & (g("has_abort") == 0),
+        (g("policies") > 0) & (g("has_helmet_cfg") == 0),
+        g("t_rate") == 1, g("t_csrf") == 1, g("t_xpb") == 1, g("t_cors") == 1, g("t_cookie") == 1,
+    ]
+    arr = F.array(*[F.when(c, F.struct(F.lit(i + 1).alias("ord"), F.lit(txt).alias("recommendation")))
+                    for i, (c, txt) in enumerate(zip(conds, RECOMMENDATIONS))])
+    return flags.select("scan_id", F.explode(F.array_compact(arr)).alias("r")).select(
+        "scan_id", F.col("r.ord").alias("ord"), F.col("r.recommendation").alias("recommendation"))
+
+
+def feature_usage(features: DataFrame) -> DataFrame:
+    """AGG-14: files per feature per scan."""
+    return features.groupBy("scan_id", "feature").agg(F.count_distinct("file").alias("files"))
+
+
+KNOWN_CATEGORIES = ["secure", "modernize", "performance", "cleanup"]
+
+
+def suggestion_categories(suggestions: DataFrame, mode: str = "known") -> DataFrame:
+    """AGG-15: category counts per scan.
+
+    ``known``: category must be one of secure/modernize/performance/cleanup,
+    anything else counts as modernize.  ``buckets``: substring buckets of the
+    lower category (secure -> security, modernize -> modernization,
+    performance), anything else -> maintenance."""
+    c = F.lower(F.coalesce(F.col("category"), F.lit("")))
+    if mode == "known":
+        cat = F.when(F.col("category").isin(*KNOWN_CATEGORIES), F.col("category")).otherwise("modernize")
+        names = KNOWN_CATEGORIES
+    else:
+        cat = (F.when(c.contains("secure"), "security").when(c.contains("modernize"), "modernization")
+               .when(c.contains("performance"), "performance").otherwise("maintenance"))
+        names = ["security", "modernization", "performance", "maintenance"]
+    return suggestions.groupBy("scan_id").agg(F.count(F.lit(1)).alias("total"),
+                                              *[_count_if(cat == n).alias(n) for n in names])
+
+
+def _sugg_sev_score(sev: Column) -> Column:
+    s = F.lower(F.coalesce(sev, F.lit("")))
+    return F.when(s.startswith("high"), 3).when(s.startswith("medium"), 2).when(s != "", 1).otherwise(0)
+
+
+def percentage(n: Column, d: Column) -> Column:
+    return F.when(F.coalesce(d, F.lit(0)) == 0, F.lit(0)).otherwise(
+        round_half_up(n.cast("double") / d * 100)).cast("long")
+
+
+def suggestion_summary(suggestions: DataFrame, compat: DataFrame, findings: DataFrame) -> DataFrame:
+    """AGG-16: distinct files, baseline compliance %, severity score,
+    estimated improvement = min(40, round(sqrt(n)*5 + 2*score)), security
+    findings (missing policies + insecure calls)."""
+    s = suggestions.groupBy("scan_id").agg(
+        F.count(F.lit(1)).alias("items"), F.count_distinct(F.coalesce("file", F.lit("∅"))).alias("unique_files"),
+        F.sum(_sugg_sev_score(F.col("severity"))).cast("long").alias("severity_score"))
+    fc = findings.groupBy("scan_id").agg(_count_if(F.col("kind").isin(POLICY, INSECURE)).alias("security_findings"))
+    c = compat.select("scan_id", "supported", "partial", "unsupported")
+    j = s.join(c, "scan_id", "left").join(fc, "scan_id", "left").fillna(0)
+    total = F.col("supported") + F.col("partial") + F.col("unsupported")
+    return j.select(
+        "scan_id", "items", "unique_files", "severity_score",
+        percentage(F.col("supported"), total).alias("baseline_compliance"),
+        F.least(F.lit(40), round_half_up(F.sqrt(F.col("items")) * 5 + F.col("severity_score") * 2)).cast("long")
+        .alias("estimated_improvement"),
+        F.col("security_findings").cast("long").alias("security_findings"))
+
+
+def impact_heatmap(suggestions: DataFrame) -> DataFrame:
+    """AGG-17 + WIN-04: per (scan, file) count, score = sum of severity weight
+    (high 3, medium 2, else 1) x category multiplier (secure 1.3, performance
+    1.2, modernize 1.1, else 1.0), sorted categories and pct = round(score /
+    max score of the scan x 100) clamped to 1..100.
+
+    Scores are summed in exact tenths, so the result does not depend on the
+    order of floating-point additions.  The per-scan maximum is an aggregate
+    joined back on scan_id (one row per scan), not a window over a whole scan.
+    """
+    sev = F.lower(F.coalesce("severity", F.lit("")))
+    w = F.when(sev.startswith("high"), 3).when(sev.startswith("medium"), 2).otherwise(1)
+    cat = F.lower(F.coalesce("category", F.lit("")))
+    m10 = (F.when(cat.contains("secure"), 13).when(cat.contains("performance"), 12)
+           .when(cat.contains("modernize"), 11).otherwise(10))
+    per_file = suggestions.groupBy("scan_id", F.coalesce(F.nullif("file", F.lit("")), F.lit("unknown")).alias("file")).agg(
+        F.count(F.lit(1)).alias("count"), F.sum(w * m10).cast("long").alias("score10"),
+        F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories"))
+    return share_of_max(per_file, "score10", ["scan_id"]).select(
+        "scan_id", "file", "count", (F.col("score10") / 10.0).alias("score"), "categories", "pct")
+
+
+def share_of_max(df: DataFrame, col: str, by: list[str]) -> DataFrame:
+    """WIN-04: ``pct = clamp(round(col / max(col) over group x 100), 1, 100)``
+    (max of 0 treated as 1).  Max per group is a grouped aggregate joined back."""
+    mx = df.groupBy(*by).agg(F.max(col).alias("_max"))
+    j = df.join(mx, by, "inner")
+    denom = F.when(F.coalesce(F.col("_max"), F.lit(0)) == 0, F.lit(1)).otherwise(F.col("_max"))
+    pct = clamp(round_half_up(F.col(col).cast("double") / denom * 100), 1, 100).cast("long")
+    return j.withColumn("pct", pct).drop("_max")
+
+
+def ci_summary(findings: DataFrame) -> DataFrame:
+    """AGG-23: CI workflow findings per scan: total, high, medium, low."""
+    s = normalize_severity(F.col("severity"))
+    return _kind(findings, CI).groupBy("scan_id").agg(
+        F.count(F.lit(1)).alias("workflows"), _count_if(s.isin("critical", "high")).alias("high"),
+        _count_if(s == "medium").alias("medium"), _count_if(s == "low").alias("low"))
+
+
+def release_gate(severity: DataFrame, findings: DataFrame, allow_insecure: bool = False) -> DataFrame:
+    """AGG-24: blocked when critical+high > 0 or any secret finding, unless
+    ``allow_insecure``."""
+    x = _kind(findings, SECRET).groupBy("scan_id").agg(F.count(F.lit(1)).alias("secrets"))
+    j = severity.join(x, "scan_id", "left")
+    ch = (F.col("critical") + F.col("high")).cast("long")
+    sec = F.coalesce(F.col("secrets"), F.lit(0)).cast("long")
+    blocked = ((ch > 0) | (sec > 0)) & F.lit(not allow_insecure)
+    return j.select("scan_id", ch.alias("critical_high"), sec.alias("secrets"), blocked.alias("blocked"))
+
+
+def hygiene_by_file(findings: DataFrame) -> DataFrame:
+    """AGG-28: hygiene issues grouped by file (``General`` when none): count
+    and the first most severe severity (``Low`` unless something outranks low)."""
+    from codelens.functions.severity import severity_weight
+    i = hygiene_issues(findings).withColumn("_w", severity_weight(F.col("severity")))
+    key = F.struct(F.col("_w"), -F.col("list_ord"), -F.col("ord"))
+    return i.groupBy("scan_id", F.coalesce("file", F.lit("General")).alias("file")).agg(
+        F.count(F.lit(1)).alias("count"),
+        F.when(F.max("_w") > 1, F.max_by("severity", key)).otherwise(F.lit("Low")).alias("max_severity"))
+
+
+def compliance_pct(compat: DataFrame) -> DataFrame:
+    """AGG-33: compliance % = round(supported / (supported+partial+unsupported)
+    x 100); badge colour (>=80, >=60, >=40) and health band (>=80, >=50)."""
+    total = F.col("supported") + F.col("partial") + F.col("unsupported")
+    pct = percentage(F.col("supported"), total)
+    return compat.select("scan_id", "supported", total.alias("total"), pct.alias("pct")).select(
+        "*",
+        F.when(F.col("pct") >= 80, "brightgreen").when(F.col("pct") >= 60, "yellow")
+        .when(F.col("pct") >= 40, "orange").otherwise("red").alias("badge"),
+        F.when(F.col("pct") >= 80, "good").when(F.col("pct") >= 50, "fair").otherwise("poor").alias("health"))

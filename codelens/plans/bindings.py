@@ -85,3 +85,131 @@ GROUP BY scan_id, file, feature
 def feature_dim_sql() -> str:
     rows = ", ".join(f"('{f}', '{s}')" for f, s in rules.FEATURE_STATUS.items())
     return f"(SELECT * FROM (VALUES {rows}) AS t(feature, status))"
+
+
+SCANS = ["A", "N", "R"]
+
+# -- v_findings: (scan_id, ord, kind, source, title, severity, file, description)
+# from events.  kind cycles with the event id, severity follows the event type,
+# the title is drawn from the kind's vocabulary by the props key.
+FINDING_KINDS = ["vulnerability", "insecure_api", "missing_policy", "secret", "ci"]
+FINDING_SOURCES = ["npm-audit", "semgrep", "parser", "parser", "trufflehog", "ci", "semgrep"]
+FINDING_TITLES = {
+    "vulnerability": ["Prototype pollution", "Hard-coded credential", "Regular expression denial of service",
+                      "Open redirect", "API key exposure", "Path traversal", "Command injection",
+                      "Leaked token in logs", "Cross-site scripting", "Insecure randomness"],
+    "insecure_api": ["Insecure HTTP reference", "Blocking I/O", "Dynamic code execution",
+                     "Cookie without httpOnly", "Cookie without secure", "HTML injection risk",
+                     "Permissive CORS", "Session cookie flags", "Blocking I/O", "Insecure HTTP reference"],
+    "missing_policy": ["Content-Security-Policy", "Strict-Transport-Security", "X-Frame-Options",
+                       "X-Content-Type-Options", "Referrer-Policy", "Permissions-Policy",
+                       "X-Powered-By", "CSRF", "Rate limiting", "Permissive CORS with credentials"],
+    "secret": ["AWS access key", "Private key", "Sensitive file", "Generic secret", "Slack token",
+               "AWS access key", "Private key", "Sensitive file", "Generic secret", "Slack token"],
+    "ci": ["pull_request_target trigger", "Missing permissions", "Self-hosted runner",
+           "Checkout persists credentials", "Unpinned action", "Missing permissions",
+           "Self-hosted runner", "Unpinned action", "pull_request_target trigger", "Missing permissions"],
+}
+FINDING_TITLE_FLAT = [t for kind in FINDING_KINDS for t in FINDING_TITLES[kind]]
+
+
+def v_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    kind_idx = F.col("event_id") % len(FINDING_KINDS)
+    et = F.col("event_type")
+    sev = (F.when(et == "error", "critical").when(et == "purchase", "high")
+           .when(et == "click", F.when(F.col("event_id") % 2 == 0, "moderate").otherwise("medium"))
+           .when(et == "view", "low"))
+    return ev.select(
+        _pick(SCANS, F.col("user_id") % 3).alias("scan_id"),
+        F.col("event_id").alias("ord"),
+        _pick(FINDING_KINDS, kind_idx).alias("kind"),
+        _pick(FINDING_SOURCES, F.col("event_id") % len(FINDING_SOURCES)).alias("source"),
+        _pick(FINDING_TITLE_FLAT, kind_idx * 10 + k % 10).alias("title"),
+        sev.alias("severity"),
+        F.when(k == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("pkg/k"), k.cast("string"), F.lit(".js"))).alias("file"),
+        F.concat(et, F.lit(" event "), F.col("event_id").cast("string")).alias("description"),
+    )
+
+
+V_FINDINGS_SQL = f"""
+SELECT ({sql_list(SCANS)})[CAST(user_id % 3 AS INTEGER) + 1] AS scan_id,
+       event_id AS ord,
+       ({sql_list(FINDING_KINDS)})[CAST(event_id % {len(FINDING_KINDS)} AS INTEGER) + 1] AS kind,
+       ({sql_list(FINDING_SOURCES)})[CAST(event_id % {len(FINDING_SOURCES)} AS INTEGER) + 1] AS source,
+       ({sql_list(FINDING_TITLE_FLAT)})[CAST((event_id % {len(FINDING_KINDS)}) * 10 + CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 AS INTEGER) + 1] AS title,
+       CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high'
+            WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'moderate' ELSE 'medium' END
+            WHEN 'view' THEN 'low' END AS severity,
+       CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) = 0 THEN NULL
+            ELSE 'pkg/k' || json_extract_string(props, '$.k') || '.js' END AS file,
+       event_type || ' event ' || CAST(event_id AS VARCHAR) AS description
+FROM events
+"""
+
+# -- v_suggestions: suggestion items from documents (left join labels) -------
+SUGGESTION_CATEGORY = {"en": "secure", "fr": "modernize", "de": "performance", "es": "docs"}
+
+
+def v_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    j = d.join(lab, "doc_id", "left")
+    q, t = F.col("quality"), F.col("toxic")
+    sev = (F.when(q.isNull(), F.lit(None).cast("string")).when((q == 1) & (t == 1), "High")
+           .when(q == 1, "Medium").when(t == 1, "Low").otherwise("Info"))
+    cat = F.lit("cleanup")
+    for lang, c in SUGGESTION_CATEGORY.items():
+        cat = F.when(F.col("lang") == lang, c).otherwise(cat)
+    return j.select(
+        _pick(SCANS, F.col("doc_id") % 3).alias("scan_id"),
+        F.col("doc_id").alias("ord"),
+        F.when(F.col("doc_id") % 5 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("sg"), (F.col("doc_id") % 40).cast("string"))).alias("id"),
+        F.concat(F.lit("Update "), F.col("lang"), F.lit(" text "), (F.col("doc_id") % 7).cast("string")).alias("title"),
+        sev.alias("severity"),
+        cat.alias("category"),
+        F.concat(F.col("source"), F.lit(".md")).alias("file"),
+    )
+
+
+def _sql_case(col: str, mapping: dict, default: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items())
+    return f"CASE {col} {whens} ELSE '{default}' END"
+
+
+V_SUGGESTIONS_SQL = f"""
+SELECT ({sql_list(SCANS)})[CAST(d.doc_id % 3 AS INTEGER) + 1] AS scan_id,
+       d.doc_id AS ord,
+       CASE WHEN d.doc_id % 5 = 0 THEN NULL ELSE 'sg' || CAST(d.doc_id % 40 AS VARCHAR) END AS id,
+       'Update ' || d.lang || ' text ' || CAST(d.doc_id % 7 AS VARCHAR) AS title,
+       CASE WHEN l.quality IS NULL THEN NULL WHEN l.quality = 1 AND l.toxic = 1 THEN 'High'
+            WHEN l.quality = 1 THEN 'Medium' WHEN l.toxic = 1 THEN 'Low' ELSE 'Info' END AS severity,
+       {_sql_case('d.lang', SUGGESTION_CATEGORY, 'cleanup')} AS category,
+       d.source || '.md' AS file
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+"""
+
+# -- v_files: a corpus of files from documents --------------------------------
+LANG_EXT = {"en": ".js", "fr": ".css", "de": ".py", "es": ".md"}
+
+
+def v_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    e = F.lit(".txt")
+    for lang, x in LANG_EXT.items():
+        e = F.when(F.col("lang") == lang, x).otherwise(e)
+    path = F.concat(F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), e)
+    return d.select(F.col("source").alias("scan_id"), path.alias("path"), F.col("lang").alias("dir"),
+                    F.concat(F.col("doc_id").cast("string"), e).alias("basename"), e.alias("ext"),
+                    F.col("n_chars").alias("size"), F.col("text").alias("content"), F.col("doc_id").alias("ord"))
+
+
+V_FILES_SQL = f"""
+SELECT source AS scan_id, lang || '/' || CAST(doc_id AS VARCHAR) || ({_sql_case('lang', LANG_EXT, '.txt')}) AS path,
+       lang AS dir, CAST(doc_id AS VARCHAR) || ({_sql_case('lang', LANG_EXT, '.txt')}) AS basename,
+       {_sql_case('lang', LANG_EXT, '.txt')} AS ext, n_chars AS size, text AS content, doc_id AS ord
+FROM documents
+"""

@@ -213,3 +213,67 @@ SELECT source AS scan_id, lang || '/' || CAST(doc_id AS VARCHAR) || ({_sql_case(
        {_sql_case('lang', LANG_EXT, '.txt')} AS ext, n_chars AS size, text AS content, doc_id AS ord
 FROM documents
 """
+
+
+# -- v_names: (scan_id, kind, name) architecture names from part --------------
+NAME_KINDS = ["frameworks", "configFiles", "buildTools"]
+
+
+def v_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(_pick(SCANS, F.col("p_partkey") % 3).alias("scan_id"),
+                    _pick(NAME_KINDS, F.col("p_size") % 3).alias("kind"),
+                    F.concat_ws("/", "p_brand", "p_type", F.col("p_size").cast("string")).alias("name")).distinct()
+
+
+V_NAMES_SQL = f"""
+SELECT DISTINCT ({sql_list(SCANS)})[CAST(p_partkey % 3 AS INTEGER) + 1] AS scan_id,
+       ({sql_list(NAME_KINDS)})[CAST(p_size % 3 AS INTEGER) + 1] AS kind,
+       p_brand || '/' || p_type || '/' || CAST(p_size AS VARCHAR) AS name
+FROM part
+"""
+
+
+# -- v_deps / v_outdated: dependency inventory from part ----------------------
+def v_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return p.select(_pick(SCANS, F.col("p_partkey") % 3).alias("scan_id"),
+                    F.col("p_brand").alias("package_dir"), F.col("p_name").alias("name"),
+                    F.col("p_size").cast("string").alias("version"),
+                    (F.col("p_size") % 2 == 0).alias("dev"), F.col("p_partkey").alias("ord"))
+
+
+V_DEPS_SQL = f"""
+SELECT ({sql_list(SCANS)})[CAST(p_partkey % 3 AS INTEGER) + 1] AS scan_id, p_brand AS package_dir,
+       p_name AS name, CAST(p_size AS VARCHAR) AS version, p_size % 2 = 0 AS dev, p_partkey AS ord
+FROM part
+"""
+
+
+def v_outdated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    return (p.groupBy(_pick(SCANS, F.col("p_partkey") % 3).alias("scan_id"), F.col("p_name").alias("name"))
+            .agg(F.min("p_size").cast("string").alias("current"), F.max("p_size").cast("string").alias("latest")))
+
+
+V_OUTDATED_SQL = f"""
+SELECT ({sql_list(SCANS)})[CAST(p_partkey % 3 AS INTEGER) + 1] AS scan_id, p_name AS name,
+       CAST(min(p_size) AS VARCHAR) AS current, CAST(max(p_size) AS VARCHAR) AS latest
+FROM part GROUP BY 1, 2
+"""
+
+
+# -- v_cache: cache entries from orders (root, path, size, mtime) -------------
+def v_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderpriority").alias("root"),
+                    F.concat(F.lit("cache/"), F.col("o_orderkey").cast("string")).alias("path"),
+                    F.floor(F.col("o_totalprice")).cast("long").alias("size"),
+                    F.col("o_orderdate").alias("mtime"))
+
+
+V_CACHE_SQL = """
+SELECT o_orderpriority AS root, 'cache/' || CAST(o_orderkey AS VARCHAR) AS path,
+       CAST(floor(o_totalprice) AS BIGINT) AS size, o_orderdate AS mtime
+FROM orders
+"""

@@ -2,7 +2,7 @@
 ``pyspark.sql.functions`` so every expression stays inside whole-stage codegen."""
 
 from codelens.functions.scalar import (  # noqa: F401
-    basename, clamp, dirname, duration_text, ext, first_truthy, hash_key,
+    basename, clamp, dirname, duration_text, ext, first_truthy, hash_key, js_trim,
     parse_time, round_half_up,
 )
 from codelens.functions.severity import (  # noqa: F401

@@ -65,3 +65,9 @@ def duration_text(seconds: Column) -> Column:
     mins = F.floor(total / 60).cast("long")
     secs = (total % 60).cast("long")
     return F.when(mins > 0, F.format_string("%dm %ds", mins, secs)).otherwise(F.format_string("%ds", secs))
+
+
+def js_trim(c: Column) -> Column:
+    """``String.prototype.trim``: strips all leading/trailing whitespace
+    (Spark's ``trim`` strips spaces only)."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")

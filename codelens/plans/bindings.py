@@ -277,3 +277,23 @@ SELECT o_orderpriority AS root, 'cache/' || CAST(o_orderkey AS VARCHAR) AS path,
        CAST(floor(o_totalprice) AS BIGINT) AS size, o_orderdate AS mtime
 FROM orders
 """
+
+
+# -- v_pages: web pages as files (scan = host) and their links ---------------
+def v_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
+    return p.select(host.alias("scan_id"),
+                    F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"),
+                    F.lit("pages").alias("dir"),
+                    F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("basename"),
+                    F.lit(".html").alias("ext"), F.length("html").cast("long").alias("size"),
+                    F.col("html").alias("content"), F.col("url"), F.col("page_id").alias("ord"))
+
+
+V_PAGES_SQL = """
+SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS scan_id, 'pages/' || CAST(page_id AS VARCHAR) || '.html' AS path,
+       'pages' AS dir, CAST(page_id AS VARCHAR) || '.html' AS basename, '.html' AS ext, CAST(length(html) AS BIGINT) AS size,
+       html AS content, url, page_id AS ord
+FROM pages
+"""

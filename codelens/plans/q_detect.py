@@ -1 +1,175 @@
-"""Queries registered by this module are added as operators land."""
+"""Queries: detectors over the documents / pages corpora (DET-*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from codelens.operators import detect as D
+from codelens.plans import bindings as V
+from codelens.plans.catalog import register
+from codelens.sources.manifests import read_go_requires
+
+FILES = f"({V.V_FILES_SQL})"
+PAGES = f"({V.V_PAGES_SQL})"
+
+
+@register("DET-01", None)
+def q_det01(spark, sf_dir):
+    """JS features over every .js file of the corpus (whole texts)."""
+    return D.detect_js(V.v_files(spark, sf_dir))
+
+
+@register("DET-02", None)
+def q_det02(spark, sf_dir):
+    return D.detect_css(V.v_files(spark, sf_dir))
+
+
+@register("DET-03", None)
+def q_det03(spark, sf_dir):
+    f = D.detect_features(V.v_files(spark, sf_dir))
+    return D.project_features(f).select("scan_id", F.array_join("features", ",").alias("features"))
+
+
+# DET-17: insecure http:// references, run over each page's source URL.
+DET17_SQL = f"""
+SELECT scan_id, path AS file, 'insecure_api' AS kind, 'Insecure HTTP usage' AS title, 'High' AS severity,
+       'Found http:// reference in ' || basename AS description
+FROM {PAGES} WHERE regexp_matches(url, '(?i)http://')
+"""
+
+
+@register("DET-17", DET17_SQL)
+def q_det17(spark, sf_dir):
+    links = V.v_pages(spark, sf_dir).withColumn("content", F.col("url"))
+    return D.detect_security(links, [".html"])
+
+
+@register("DET-18", None)
+def q_det18(spark, sf_dir):
+    """Full security rule array (DET-17..22) over page html and code files."""
+    return D.detect_security(V.v_pages(spark, sf_dir).unionByName(
+        V.v_files(spark, sf_dir).withColumn("url", F.lit(None).cast("string"))))
+
+
+@register("DET-23", None)
+def q_det23(spark, sf_dir):
+    f = V.v_files(spark, sf_dir)
+    return D.sensitive_files(f, D.detect_security(f))
+
+
+DET24_SQL = f"""
+SELECT scan_id, path AS file, size, CAST(floor(size / 1024 + 0.5) AS BIGINT) AS kb, 'Large asset' AS title,
+       'Low' AS severity, basename || ' — ' || CAST(CAST(floor(size / 1024 + 0.5) AS BIGINT) AS VARCHAR) || ' KB' AS description
+FROM {FILES} WHERE size > 10 * 1024
+"""
+
+
+@register("DET-24", DET24_SQL)
+def q_det24(spark, sf_dir):
+    return D.large_assets(V.v_files(spark, sf_dir), 10)
+
+
+DET25_SQL = f"""
+SELECT scan_id, 'Multiple large assets' AS title, 'Low' AS severity, CAST(count(*) AS VARCHAR) || ' assets exceed 10KB' AS description
+FROM {FILES} WHERE size > 10 * 1024 GROUP BY scan_id HAVING count(*) > 3
+"""
+
+
+@register("DET-25", DET25_SQL)
+def q_det25(spark, sf_dir):
+    return D.bottlenecks(D.large_assets(V.v_files(spark, sf_dir), 10), 10)
+
+
+@register("DET-26", None)
+def q_det26(spark, sf_dir):
+    return D.policy_gaps(V.v_files(spark, sf_dir).unionByName(
+        V.v_pages(spark, sf_dir).drop("url")))
+
+
+@register("DET-27", None)
+def q_det27(spark, sf_dir):
+    return D.ci_findings(V.v_files(spark, sf_dir))
+
+
+@register("DET-14", None)
+def q_det14(spark, sf_dir):
+    return D.detect_configs(V.v_files(spark, sf_dir))
+
+
+@register("DET-15", None)
+def q_det15(spark, sf_dir):
+    return D.build_tools(D.detect_configs(V.v_files(spark, sf_dir)))
+
+
+@register("DET-16", None)
+def q_det16(spark, sf_dir):
+    return D.frameworks_from_configs(D.detect_configs(V.v_files(spark, sf_dir)))
+
+
+@register("DET-04", None)
+def q_det04(spark, sf_dir):
+    f = V.v_files(spark, sf_dir)
+    return D.detect_frameworks(f, read_go_requires(f))
+
+
+DET30_SQL = f"""
+SELECT DISTINCT feature,
+  CASE WHEN starts_with(lower(feature), 'css-') OR starts_with(lower(feature), 'css.') THEN 'CSS'
+       WHEN starts_with(lower(feature), 'aria-') OR starts_with(lower(feature), 'html-') OR starts_with(lower(feature), 'data-') THEN 'HTML'
+       ELSE 'JS' END AS domain
+FROM ({V.V_FEATURES_SQL})
+"""
+
+
+@register("DET-30", DET30_SQL)
+def q_det30(spark, sf_dir):
+    return V.v_features(spark, sf_dir).select("feature", D.feature_domain(F.col("feature")).alias("domain")).distinct()
+
+
+REPO_RE = r"(?i)^(?:[a-z][a-z0-9+.-]*://)?(?:[^@/]+@)?[^/:]+[/:]([^/?#]+)/([^/?#]+?)(?:\.git)?(?:[/?#].*)?$"
+DET36_SQL = f"""
+SELECT page_id, CASE WHEN contains(lower(url), 'github.com') THEN 'github' WHEN contains(lower(url), 'gitlab') THEN 'gitlab'
+         WHEN contains(lower(url), 'bitbucket') THEN 'bitbucket' ELSE 'unknown' END AS provider,
+       nullif(regexp_extract(url, '{REPO_RE}', 1), '') AS owner,
+       nullif(regexp_extract(url, '{REPO_RE}', 2), '') AS repo
+FROM pages
+"""
+
+
+@register("DET-36", DET36_SQL)
+def q_det36(spark, sf_dir):
+    p = V.table(spark, sf_dir, "pages")
+    r = D.repo_identity(F.col("url"))
+    return p.select("page_id", r["provider"].alias("provider"), r["owner"].alias("owner"), r["repo"].alias("repo"))
+
+
+DET37_SQL = f"""
+SELECT scan_id, name AS package, current AS from_version, latest AS to_version
+FROM ({V.V_OUTDATED_SQL}) WHERE latest IS NOT NULL AND coalesce(current, '') <> latest
+"""
+
+
+@register("DET-37", DET37_SQL)
+def q_det37(spark, sf_dir):
+    return D.upgrades(V.v_outdated(spark, sf_dir))
+
+
+API_CASE = " ".join(f"WHEN regexp_matches(name, '(?i){pat}') THEN '{t}'" for pat, t in D.API_LAYER_RULES)
+TEST_UNION = " UNION ALL ".join(
+    f"SELECT scan_id, 'testing' AS category, '{t}' AS name FROM d WHERE regexp_matches(name, '(?i){pat}')"
+    for pat, t in D.TEST_DEP_RULES)
+DET31_SQL = f"""
+WITH d AS (SELECT DISTINCT scan_id, name FROM ({V.V_DEPS_SQL})),
+fw AS (SELECT scan_id, name FROM ({V.V_NAMES_SQL}) WHERE kind = 'frameworks')
+SELECT DISTINCT * FROM (
+  SELECT scan_id, 'ui' AS category, name FROM fw WHERE regexp_matches(name, '{D.UI_FRAMEWORK_PATTERN}')
+  UNION ALL {TEST_UNION}
+  UNION ALL SELECT scan_id, 'api', CASE {API_CASE} END FROM d WHERE (CASE {API_CASE} END) IS NOT NULL)
+"""
+
+
+@register("DET-31", DET31_SQL)
+def q_det31(spark, sf_dir):
+    fw = V.v_names(spark, sf_dir).filter(F.col("kind") == "frameworks").select("scan_id", "name")
+    empty_cfg = spark.createDataFrame([], "scan_id string, name string")
+    return D.tech_classes(V.v_deps(spark, sf_dir), fw, empty_cfg)

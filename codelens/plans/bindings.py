@@ -297,3 +297,24 @@ SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS scan_id, 'pages/' || CAS
        html AS content, url, page_id AS ord
 FROM pages
 """
+
+
+# -- v_logs / v_conv_suggestions: from conversations ---------------------------
+def v_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").cast("string").alias("scan_id"), (F.col("turn") + 1).alias("line_number"),
+                    F.col("text").alias("msg"), F.col("turn").alias("ts"))
+
+
+V_LOGS_SQL = """
+SELECT CAST(conv_id AS VARCHAR) AS scan_id, turn + 1 AS line_number, text AS msg, turn AS ts FROM conversations
+"""
+
+
+def v_conv_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suggestions with original/modified text: one per conversation turn."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").cast("string").alias("scan_id"), F.col("turn").alias("ord"),
+                    F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("/turn"),
+                             F.col("turn").cast("string"), F.lit(".txt")).alias("file"),
+                    F.col("text").alias("original"), F.replace(F.col("text"), F.lit("the"), F.lit("THE")).alias("modified"))

@@ -62,3 +62,7 @@ def build_tool_dim(spark: SparkSession) -> DataFrame:
 
 def config_framework_dim(spark: SparkSession) -> DataFrame:
     return literal_dim(spark, rules.CONFIG_FRAMEWORK_RULES, "config string, framework string")
+
+
+def tech_dim(spark: SparkSession) -> DataFrame:
+    return literal_dim(spark, rules.TECH_EVALUATION, "name string, approved boolean, status string, testing_level string")

@@ -336,3 +336,291 @@ def compliance_pct(compat: DataFrame) -> DataFrame:
         F.when(F.col("pct") >= 80, "brightgreen").when(F.col("pct") >= 60, "yellow")
         .when(F.col("pct") >= 40, "orange").otherwise("red").alias("badge"),
         F.when(F.col("pct") >= 80, "good").when(F.col("pct") >= 50, "fair").otherwise("poor").alias("health"))
+
+
+# --------------------------------------------------------------------------
+# Repository statistics (AGG-01..03, AGG-29, AGG-30)
+
+def repo_stats(files: DataFrame) -> DataFrame:
+    """AGG-01: files, distinct non-root directories, lines (``split('\\n')``
+    length, trailing empties kept) and bytes per scan."""
+    lines = F.size(F.split(F.coalesce(F.col("content"), F.lit("")), "\n"))
+    return files.groupBy("scan_id").agg(
+        F.count(F.lit(1)).alias("files"),
+        F.count_distinct(F.when(F.col("dir") != ".", F.col("dir"))).alias("folders"),
+        F.sum(lines).cast("long").alias("lines"), F.sum("size").cast("long").alias("bytes"))
+
+
+def language_histogram(files: DataFrame) -> DataFrame:
+    """AGG-02: files per lower extension (blank skipped), ranked by count
+    (ties by extension)."""
+    from pyspark.sql import Window
+    h = files.filter(F.col("ext") != "").groupBy("scan_id", "ext").agg(F.count(F.lit(1)).alias("files"))
+    w = Window.partitionBy("scan_id").orderBy(F.col("files").desc(), F.col("ext"))
+    return h.withColumn("rank", F.row_number().over(w).cast("long"))
+
+
+def language_share(files: DataFrame) -> DataFrame:
+    """AGG-03: bytes per extension and the rounded share of the scan's bytes."""
+    b = files.filter(F.col("ext") != "").groupBy("scan_id", "ext").agg(F.sum("size").cast("long").alias("bytes"))
+    tot = b.groupBy("scan_id").agg(F.sum("bytes").alias("_total"))
+    return b.join(tot, "scan_id").select("scan_id", "ext", "bytes", percentage(F.col("bytes"), F.col("_total")).alias("pct"))
+
+
+def file_tree(files: DataFrame, max_depth: int = 2, max_nodes: int = 300) -> DataFrame:
+    """AGG-29: compact tree of each scan — directories down to ``max_depth``
+    and one leaf per file under its (depth-limited) directory, created in path
+    order until ``max_nodes`` nodes exist (the root counts as one).
+
+    Node creation events are (creating path, step); a directory is created by
+    its first file, so its event is the minimum over files.  The cap is a
+    per-scan top-(max_nodes - 1) over events (WindowGroupLimit).  Output rows
+    are ``(scan_id, parent, name, type, depth, sort_key)`` with dirs before
+    files and names alphabetical within a parent."""
+    parts = F.filter(F.split(F.regexp_replace("path", r"\\", "/"), "/+"), lambda x: x != "")
+    f = files.select("scan_id", F.col("path").alias("src"), parts.alias("parts")).filter(F.size("parts") > 0)
+    n = F.size("parts")
+    ndirs = F.least(n - 1, F.lit(max_depth))
+    dir_events = f.select("scan_id", "src", F.posexplode(F.slice("parts", 1, F.greatest(ndirs, F.lit(0)))).alias("step", "name"),
+                          "parts").select(
+        "scan_id", "src", "step", "name",
+        F.array_join(F.slice("parts", 1, F.col("step")), "/").alias("parent"), F.lit("dir").alias("type"))
+    dirs = dir_events.groupBy("scan_id", "parent", "name").agg(F.min(F.struct("src", "step")).alias("e")).select(
+        "scan_id", "parent", "name", F.lit("dir").alias("type"), F.col("e.src").alias("src"), F.col("e.step").alias("step"))
+    leaves = f.select("scan_id", F.array_join(F.slice("parts", 1, ndirs), "/").alias("parent"),
+                      F.element_at("parts", -1).alias("name"), F.lit("file").alias("type"), "src",
+                      ndirs.alias("step"))
+    ev = dirs.unionByName(leaves)
+    from pyspark.sql import Window
+    w = Window.partitionBy("scan_id").orderBy("src", "step")
+    kept = ev.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max_nodes - 1)
+    depth = F.when(F.col("parent") == "", 1).otherwise(F.size(F.split("parent", "/")) + 1)
+    return kept.select("scan_id", "parent", "name", "type", depth.alias("depth"),
+                       F.concat(F.col("parent"), F.lit("\u0000"), F.when(F.col("type") == "dir", "0").otherwise("1"),
+                                F.lower("name"), F.lit("\u0000"), F.col("name")).alias("sort_key"))
+
+
+def commit_frequency(activity: DataFrame, contributors: DataFrame, weeks: int = 4) -> DataFrame:
+    """AGG-30: rounded mean of the last ``weeks`` weekly totals per repo, and
+    the distinct contributor count."""
+    from pyspark.sql import Window
+    w = Window.partitionBy("repo").orderBy(F.col("week").desc())
+    recent = activity.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= weeks)
+    a = recent.groupBy("repo").agg(round_half_up(F.avg(F.coalesce("total", F.lit(0)))).cast("long").alias("commits_per_week"))
+    c = contributors.groupBy("repo").agg(F.count_distinct("login").alias("contributors"))
+    return a.join(c, "repo", "full")
+
+
+# --------------------------------------------------------------------------
+# Composite scores (AGG-18..22, 26, 27, 32, 34).  Each input is reduced to a
+# long table of (scan_id, measure, value) and folded by ONE grouped aggregate:
+# no joins between per-source results, one shuffle, partial aggregation.
+
+def _measures(*parts: DataFrame) -> DataFrame:
+    from functools import reduce
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _m(df: DataFrame, name: str, value: Column) -> DataFrame:
+    return df.select("scan_id", F.lit(name).alias("measure"), value.cast("double").alias("value"))
+
+
+def _fold(m: DataFrame, names: list[str]) -> DataFrame:
+    return m.groupBy("scan_id").agg(*[F.coalesce(F.sum(F.when(F.col("measure") == n, F.col("value"))), F.lit(0.0)).alias(n)
+                                     for n in names])
+
+
+VULN_POINTS = {"critical": 20, "high": 10, "medium": 5, "low": 2}
+
+
+def risk_score(findings: DataFrame, compat: DataFrame, missing: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """AGG-18: modernization risk 0..100 = sum of vulnerability points
+    (critical 20, high 10, medium 5, low 2) + 3 x missing policies + 3 x
+    insecure calls + 1 x unsupported feature + 1 x missing config + 5 x high
+    'secure' suggestion + 0.5 x min(unsupported, 50); rounded, clamped."""
+    s = normalize_severity(F.col("severity"))
+    pts = F.lit(0)
+    for word, p in VULN_POINTS.items():
+        pts = F.when(s == word, F.lit(p)).otherwise(pts)
+    k = F.col("kind")
+    m = _measures(
+        _m(findings, "vuln_points", F.when(k == VULN, pts).otherwise(0)),
+        _m(findings, "policies", (k == POLICY).cast("int")),
+        _m(findings, "insecure", (k == INSECURE).cast("int")),
+        _m(compat, "unsupported", F.col("unsupported")),
+        _m(missing, "missing_configs", F.lit(1)),
+        _m(suggestions, "secure_high", ((F.lower(F.coalesce("severity", F.lit(""))) == "high")
+                                         & (F.col("category") == "secure")).cast("int")))
+    names = ["vuln_points", "policies", "insecure", "unsupported", "missing_configs", "secure_high"]
+    f = _fold(m, names)
+    raw = (F.col("vuln_points") + 3 * F.col("policies") + 3 * F.col("insecure") + F.col("unsupported")
+           + F.col("missing_configs") + 5 * F.col("secure_high") + 0.5 * F.least(F.col("unsupported"), F.lit(50.0)))
+    return f.select("scan_id", *[F.col(n).cast("long").alias(n) for n in names],
+                    clamp(round_half_up(raw), 0, 100).cast("long").alias("risk"))
+
+
+def predictive_risk(severity: DataFrame, compat: DataFrame, findings: DataFrame) -> DataFrame:
+    """AGG-19: risk = clamp(round(5 low + 10 moderate + 20 high + 30 critical),
+    0, 100); trend from the high+critical ratio (> 0.25 increasing, < 0.05
+    decreasing, else stable); projected debt = round(3 x unsupported + 2 x
+    inefficient findings); up to four recommendation lines."""
+    m = _measures(
+        _m(severity, "low", F.col("low")), _m(severity, "moderate", F.col("moderate")),
+        _m(severity, "high", F.col("high")), _m(severity, "critical", F.col("critical")),
+        _m(compat, "unsupported", F.col("unsupported")),
+        _m(findings, "inefficient", (F.col("kind") == "inefficient").cast("int")))
+    f = _fold(m, ["low", "moderate", "high", "critical", "unsupported", "inefficient"])
+    total = F.col("low") + F.col("moderate") + F.col("high") + F.col("critical")
+    ratio = F.when(total > 0, (F.col("high") + F.col("critical")) / total).otherwise(F.lit(0.0))
+    trend = F.when(ratio > 0.25, "increasing").when(ratio < 0.05, "decreasing").otherwise("stable")
+    weighted = 5 * F.col("low") + 10 * F.col("moderate") + 20 * F.col("high") + 30 * F.col("critical")
+    recs = F.array_compact(F.array(
+        F.when(F.col("critical") > 0, F.lit("Prioritize critical vulnerabilities with immediate patches")),
+        F.when(F.col("high") > 5, F.lit("Address high-severity issues within one sprint")),
+        F.when(F.col("unsupported") > 0, F.lit("Refactor unsupported code paths and add polyfills where needed")),
+        F.when(trend == "increasing", F.lit("Increase test coverage and enable stricter CI checks"))))
+    return f.select("scan_id", clamp(round_half_up(weighted), 0, 100).cast("long").alias("risk"),
+                    trend.alias("trend"),
+                    round_half_up(3 * F.col("unsupported") + 2 * F.col("inefficient")).cast("long").alias("projected_debt"),
+                    F.array_join(recs, "\n").alias("recommendations"))
+
+
+def compliance_report(findings: DataFrame, compat: DataFrame, recommendations_df: DataFrame,
+                      large: DataFrame, standards) -> DataFrame:
+    """AGG-20 (+JOIN-20): one row per scan x standard: status attention/pass,
+    base findings (vulnerabilities + missing policies), unsupported, missing
+    policies, large assets and the first 20 recommendations."""
+    from codelens.operators.joins import scan_standards
+    k = F.col("kind")
+    m = _measures(_m(findings, "vulns", (k == VULN).cast("int")), _m(findings, "policies", (k == POLICY).cast("int")),
+                  _m(compat, "unsupported", F.col("unsupported")), _m(large, "large_assets", F.lit(1)))
+    f = _fold(m, ["vulns", "policies", "unsupported", "large_assets"])
+    recs = recommendations_df.groupBy("scan_id").agg(
+        F.slice(F.array_sort(F.collect_list(F.struct("ord", "recommendation"))), 1, 20).alias("_r"))
+    base = f.join(recs, "scan_id", "left")
+    base_findings = (F.col("vulns") + F.col("policies")).cast("long")
+    out = base.select("scan_id", base_findings.alias("base_findings"), F.col("unsupported").cast("long").alias("unsupported"),
+                      F.col("policies").cast("long").alias("missing_policies"),
+                      F.col("large_assets").cast("long").alias("large_assets"),
+                      F.array_join(F.transform(F.coalesce("_r", F.array()), lambda x: x["recommendation"]), "\n").alias("recommendations"))
+    out = out.withColumn("status", F.when(F.col("base_findings") + F.col("unsupported") > 0, "attention").otherwise("pass"))
+    return scan_standards(out, standards)
+
+
+TOOLS_SAST = ["semgrep", "npm audit", "owasp-dependency-check", "safety (Python)"]
+
+
+def sast_report(findings: DataFrame, compat: DataFrame, tool_runs: DataFrame) -> DataFrame:
+    """AGG-21: per scan vulnerability counts (AGG-05), hygiene counts
+    (AGG-06), unsupported count, CI summary (AGG-23) and tool statuses
+    (``not_executed`` when a tool has no run)."""
+    k = F.col("kind")
+    b = severity_bucket(F.col("severity"), "low")
+    s = normalize_severity(F.col("severity"))
+    hyg = k.isin(POLICY, INSECURE)
+    parts = [_m(findings, f"v_{x}", ((k == VULN) & (b == x)).cast("int")) for x in ["critical", "high", "medium", "low"]]
+    parts += [_m(findings, f"h_{x}", (hyg & (b == x)).cast("int")) for x in ["critical", "high", "medium", "low"]]
+    parts += [_m(findings, "ci_workflows", (k == CI).cast("int")),
+              _m(findings, "ci_high", ((k == CI) & s.isin("critical", "high")).cast("int")),
+              _m(findings, "ci_medium", ((k == CI) & (s == "medium")).cast("int")),
+              _m(findings, "ci_low", ((k == CI) & (s == "low")).cast("int")),
+              _m(compat, "unsupported", F.col("unsupported"))]
+    names = [f"{p}_{x}" for p in ("v", "h") for x in ("critical", "high", "medium", "low")] + \
+            ["ci_workflows", "ci_high", "ci_medium", "ci_low", "unsupported"]
+    f = _fold(_measures(*parts), names)
+    st = tool_runs.groupBy("scan_id").agg(F.map_from_entries(F.collect_list(F.struct("tool", "status"))).alias("_t"))
+    j = f.join(st, "scan_id", "left")
+    tools = [F.coalesce(F.col("_t")[t], F.lit("not_executed")).alias("tool_" + t.split()[0].replace("-", "_").lower())
+             for t in TOOLS_SAST]
+    return j.select("scan_id", *[F.col(n).cast("long").alias(n) for n in names], *tools)
+
+
+def secrets_report(findings: DataFrame, tool_runs: DataFrame) -> DataFrame:
+    """AGG-22: secret counts (AGG-07) and trufflehog status / findings count
+    (``not_executed`` and 0 when it did not run)."""
+    c = secret_counts(findings)
+    t = tool_runs.filter(F.col("tool") == "trufflehog").select("scan_id", F.col("status").alias("trufflehog_status"),
+                                                               F.col("findings").alias("trufflehog_findings"))
+    j = c.join(t, "scan_id", "left")
+    return j.select(*c.columns, F.coalesce("trufflehog_status", F.lit("not_executed")).alias("trufflehog_status"),
+                    F.coalesce("trufflehog_findings", F.lit(0)).cast("long").alias("trufflehog_findings"))
+
+
+def scan_impact(files: DataFrame, changed: DataFrame, polyfills_removed: DataFrame | None = None) -> DataFrame:
+    """AGG-26: round((changed files + polyfills removed) / scanned x 100), 0
+    when nothing was scanned (Q7: only files actually in the changed list count)."""
+    ch = files.join(changed.select("scan_id", "path").distinct(), ["scan_id", "path"], "left_semi")
+    parts = [_m(files, "scanned", F.lit(1)), _m(ch, "changed", F.lit(1))]
+    if polyfills_removed is not None:
+        parts.append(_m(polyfills_removed, "polyfills", F.lit(1)))
+    f = _fold(_measures(*parts), ["scanned", "changed", "polyfills"])
+    return f.select("scan_id", F.col("scanned").cast("long").alias("scanned"), F.col("changed").cast("long").alias("changed"),
+                    F.when(F.col("scanned") == 0, F.lit(0)).otherwise(
+                        round_half_up((F.col("changed") + F.col("polyfills")) / F.col("scanned") * 100)).cast("long").alias("impact"))
+
+
+def scan_statistics(scanned: DataFrame, analyzed: DataFrame, findings: DataFrame) -> DataFrame:
+    """AGG-27: files scanned / ignored (scanned - analyzed, >= 0), issues =
+    vulnerabilities + insecure calls + missing policies + secrets, hygiene
+    issues, secrets and the warning list — for every scan (Q10)."""
+    k = F.col("kind")
+    s = normalize_severity(F.col("severity"))
+    m = _measures(_m(scanned, "scanned", F.lit(1)), _m(analyzed, "analyzed", F.lit(1)),
+                  _m(findings, "vulns", (k == VULN).cast("int")), _m(findings, "insecure", (k == INSECURE).cast("int")),
+                  _m(findings, "policies", (k == POLICY).cast("int")), _m(findings, "secrets", (k == SECRET).cast("int")),
+                  _m(findings, "critical", ((k == VULN) & (s == "critical")).cast("int")))
+    f = _fold(m, ["scanned", "analyzed", "vulns", "insecure", "policies", "secrets", "critical"])
+    L = {n: F.col(n).cast("long") for n in ["scanned", "analyzed", "vulns", "insecure", "policies", "secrets", "critical"]}
+    warnings = F.array_compact(F.array(
+        F.when(L["critical"] > 0, F.concat(L["critical"].cast("string"), F.lit(" critical vulnerabilities detected"))),
+        F.when(L["policies"] > 0, F.lit("Missing security policies")),
+        F.when(L["insecure"] > 0, F.lit("Insecure API calls detected"))))
+    return f.select("scan_id", L["scanned"].alias("files_scanned"),
+                    F.greatest(F.lit(0), L["scanned"] - L["analyzed"]).alias("files_ignored"),
+                    (L["vulns"] + L["insecure"] + L["policies"] + L["secrets"]).alias("issues_found"),
+                    L["vulns"].alias("vulnerabilities"), (L["policies"] + L["insecure"]).alias("hygiene_issues"),
+                    L["secrets"].alias("secrets_found"), F.array_join(warnings, "\n").alias("warnings"))
+
+
+def log_level(msg: Column) -> Column:
+    """AGG-32: error/fail -> error; warn -> warn; done/complete/success -> success; else info."""
+    t = F.lower(F.coalesce(msg, F.lit("")))
+    return (F.when(t.contains("error") | t.contains("fail"), "error").when(t.contains("warn"), "warn")
+            .when(t.contains("done") | t.contains("complete") | t.contains("success"), "success").otherwise("info"))
+
+
+def log_levels(logs: DataFrame) -> DataFrame:
+    """AGG-32: count of log lines per level per scan."""
+    return logs.groupBy("scan_id", log_level(F.col("msg")).alias("level")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def change_narrative(risk: DataFrame, suggestions: DataFrame, vulns: DataFrame,
+                     rationale_df: DataFrame | None = None) -> DataFrame:
+    """AGG-34: the change narrative text per scan: risk line, suggestion
+    category counts, vulnerability severity counts (when any) and up to three
+    rationale lines."""
+    cat = F.when(F.col("category").isin(*KNOWN_CATEGORIES), F.col("category")).otherwise("modernize")
+    sev = F.lower(F.coalesce("severity", F.lit("")))
+    parts = [_m(risk, "risk", F.col("risk")), _m(suggestions, "items", F.lit(1))]
+    parts += [_m(suggestions, "c_" + c, (cat == c).cast("int")) for c in KNOWN_CATEGORIES]
+    parts += [_m(vulns, "vulns", F.lit(1))] + [_m(vulns, "s_" + s, (sev == s).cast("int"))
+                                                for s in ["critical", "high", "medium", "low"]]
+    names = ["risk", "items"] + ["c_" + c for c in KNOWN_CATEGORIES] + ["vulns"] + \
+            ["s_" + s for s in ["critical", "high", "medium", "low"]]
+    f = _fold(_measures(*parts), names)
+    L = {n: F.col(n).cast("long").cast("string") for n in names}
+    lines = F.array(
+        F.concat(F.lit("Modernization Risk Score: "), L["risk"], F.lit("/100")),
+        F.concat(F.lit("Changes planned: "), L["items"], F.lit(" suggestions — security="), L["c_secure"],
+                 F.lit(", modernization="), L["c_modernize"], F.lit(", performance="), L["c_performance"],
+                 F.lit(", maintenance="), L["c_cleanup"], F.lit(".")),
+        F.when(F.col("vulns") > 0, F.concat(F.lit("Detected vulnerabilities — critical="), L["s_critical"],
+                                            F.lit(", high="), L["s_high"], F.lit(", medium="), L["s_medium"],
+                                            F.lit(", low="), L["s_low"], F.lit("."))))
+    out = f.select("scan_id", F.array_compact(lines).alias("_l"))
+    if rationale_df is not None:
+        r = rationale_df.select("scan_id", F.slice("rationale", 1, 3).alias("_r"))
+        out = out.join(r, "scan_id", "left").select("scan_id", F.when(F.size(F.coalesce("_r", F.array())) > 0, F.concat(
+            "_l", F.array(F.lit("Rationale:")),
+            F.transform("_r", lambda x: F.concat(F.lit("- "), x["label"], F.lit(": "), x["detail"])))).otherwise(F.col("_l")).alias("_l"))
+    return out.select("scan_id", F.array_join("_l", "\n").alias("narrative"))

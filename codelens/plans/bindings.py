@@ -318,3 +318,98 @@ def v_conv_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("/turn"),
                              F.col("turn").cast("string"), F.lit(".txt")).alias("file"),
                     F.col("text").alias("original"), F.replace(F.col("text"), F.lit("the"), F.lit("THE")).alias("modified"))
+
+
+# -- v_scans: scan history from orders x customer -------------------------------
+SCAN_STATUS = {"P": "processing", "F": "done", "O": "queued"}
+
+
+def v_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    j = o.join(c, o["o_custkey"] == c["c_custkey"], "inner")
+    st = F.lit("failed")
+    for k, v in SCAN_STATUS.items():
+        st = F.when(F.col("o_orderstatus") == k, v).otherwise(st)
+    return j.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"),
+                    F.concat(F.lit("https://github.com/"), F.col("c_name"), F.lit("/repo"),
+                             (F.col("o_orderkey") % 10).cast("string")).alias("repo_url"),
+                    F.lit("url").alias("input_type"), st.alias("status"),
+                    (F.col("o_orderkey") % 101).cast("double").alias("progress"),
+                    F.col("o_orderpriority").alias("branch"), F.col("o_orderdate").alias("created_at"),
+                    F.col("o_orderdate").alias("updated_at"))
+
+
+V_SCANS_SQL = f"""
+SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS id,
+       'https://github.com/' || c_name || '/repo' || CAST(o_orderkey % 10 AS VARCHAR) AS repo_url,
+       'url' AS input_type, {_sql_case('o_orderstatus', SCAN_STATUS, 'failed')} AS status,
+       CAST(o_orderkey % 101 AS DOUBLE) AS progress, o_orderpriority AS branch,
+       o_orderdate AS created_at, o_orderdate AS updated_at
+FROM orders JOIN customer ON o_custkey = c_custkey
+"""
+
+
+# -- v_changed: changed-path list (documents that carry a label) ----------------
+def v_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = v_files(spark, sf_dir)
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("ord"))
+    return f.join(lab, "ord", "left_semi").select("scan_id", "path")
+
+
+V_CHANGED_SQL = f"""
+SELECT scan_id, path FROM ({V_FILES_SQL}) f WHERE ord IN (SELECT doc_id FROM labels)
+"""
+
+
+# -- v_progress / v_requests: event streams from events -------------------------
+STEP_BY_EVENT = {"signup": "Cloning repository", "view": "Analyzing files", "click": "Parsing manifests",
+                 "purchase": "Generating suggestions", "error": "Finalizing report"}
+
+
+def v_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    step = F.lit("")
+    for e, s in STEP_BY_EVENT.items():
+        step = F.when(F.col("event_type") == e, s).otherwise(step)
+    kind = F.when(k == 99, "done").when((k == 0) & (F.col("event_type") == "error"), "failed").otherwise("progress")
+    return ev.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"), "ts", "event_id",
+                     k.cast("double").alias("progress"), step.alias("step"), kind.alias("kind"))
+
+
+V_PROGRESS_SQL = f"""
+SELECT 'u' || CAST(user_id AS VARCHAR) AS id, ts, event_id,
+       CAST(CAST(json_extract_string(props, '$.k') AS INTEGER) AS DOUBLE) AS progress,
+       {_sql_case('event_type', STEP_BY_EVENT, '')} AS step,
+       CASE WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) = 99 THEN 'done'
+            WHEN CAST(json_extract_string(props, '$.k') AS INTEGER) = 0 AND event_type = 'error' THEN 'failed'
+            ELSE 'progress' END AS kind
+FROM events
+"""
+
+
+def v_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events")
+    return ev.select(F.concat(F.lit("10.0.0."), F.col("user_id").cast("string")).alias("ip"),
+                     F.concat(F.lit("/api/"), F.col("event_type")).alias("path"), "ts",
+                     F.col("event_id").alias("seq"), (F.col("user_id") % 7).cast("string").alias("tenant"))
+
+
+V_REQUESTS_SQL = """
+SELECT '10.0.0.' || CAST(user_id AS VARCHAR) AS ip, '/api/' || event_type AS path, ts, event_id AS seq,
+       CAST(user_id % 7 AS VARCHAR) AS tenant
+FROM events
+"""
+
+
+# -- v_activity / v_contributors: weekly commit activity from orders ------------
+def v_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.groupBy(F.col("o_orderpriority").alias("repo"), F.date_trunc("week", "o_orderdate").alias("week")).agg(
+        F.count(F.lit(1)).alias("total"))
+
+
+def v_contributors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_orderpriority").alias("repo"), F.col("o_custkey").cast("string").alias("login"))

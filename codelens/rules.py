@@ -162,3 +162,19 @@ CONFIG_FRAMEWORK_RULES = [
     ("vue.config.js", "Vue"),
     ("svelte.config.js", "Svelte"),
 ]
+
+# --------------------------------------------------------------------------
+# FIXED VALUES: technology evaluation (name, approved, status, testing level)
+# --------------------------------------------------------------------------
+TECH_EVALUATION = [
+    ("Next.js", True, "active", "smoke"),
+    ("SvelteKit", True, "active", "smoke"),
+    ("Nuxt", True, "active", "smoke"),
+    ("Vue", True, "active", "smoke"),
+    ("Nx", True, "active", "smoke"),
+    ("Angular", True, "active", "targeted"),
+    ("Python", True, "active", "targeted"),
+    ("Java", True, "active", "targeted"),
+    ("Go", True, "active", "targeted"),
+    ("ML", True, "active", "thorough"),
+]

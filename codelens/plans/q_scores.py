@@ -393,3 +393,114 @@ FROM ({COMPAT_SQL})
 @register("AGG-33", COMPLIANCE_PCT_SQL)
 def q_agg33(spark, sf_dir):
     return S.compliance_pct(S.compatibility(V.v_features(spark, sf_dir), dims.feature_dim(spark)))
+
+
+# -- repository statistics ------------------------------------------------------------
+FILES = f"({V.V_FILES_SQL})"
+AGG01_SQL = f"""
+SELECT scan_id, count(*) AS files, count(DISTINCT CASE WHEN dir <> '.' THEN dir END) AS folders,
+       CAST(sum(len(string_split(coalesce(content, ''), chr(10)))) AS BIGINT) AS lines, CAST(sum(size) AS BIGINT) AS bytes
+FROM {FILES} GROUP BY scan_id
+"""
+
+
+@register("AGG-01", AGG01_SQL)
+def q_agg01(spark, sf_dir):
+    return S.repo_stats(V.v_files(spark, sf_dir))
+
+
+AGG02_SQL = f"""
+SELECT scan_id, ext, count(*) AS files, row_number() OVER (PARTITION BY scan_id ORDER BY count(*) DESC, ext) AS rank
+FROM {FILES} WHERE ext <> '' GROUP BY scan_id, ext
+"""
+
+
+@register("AGG-02", AGG02_SQL)
+def q_agg02(spark, sf_dir):
+    return S.language_histogram(V.v_files(spark, sf_dir))
+
+
+AGG03_SQL = f"""
+WITH b AS (SELECT scan_id, ext, CAST(sum(size) AS BIGINT) AS bytes FROM {FILES} WHERE ext <> '' GROUP BY scan_id, ext)
+SELECT scan_id, ext, bytes,
+       CAST(CASE WHEN sum(bytes) OVER (PARTITION BY scan_id) = 0 THEN 0
+            ELSE floor(bytes * 1.0 / sum(bytes) OVER (PARTITION BY scan_id) * 100 + 0.5) END AS BIGINT) AS pct
+FROM b
+"""
+
+
+@register("AGG-03", AGG03_SQL)
+def q_agg03(spark, sf_dir):
+    return S.language_share(V.v_files(spark, sf_dir))
+
+
+@register("AGG-29", None)
+def q_agg29(spark, sf_dir):
+    return S.file_tree(V.v_files(spark, sf_dir), 2, 300)
+
+
+AGG30_SQL = """
+WITH a AS (SELECT o_orderpriority AS repo, date_trunc('week', o_orderdate) AS week, count(*) AS total
+           FROM orders GROUP BY 1, 2),
+r AS (SELECT repo, total, row_number() OVER (PARTITION BY repo ORDER BY week DESC) AS rn FROM a),
+m AS (SELECT repo, CAST(floor(avg(total) + 0.5) AS BIGINT) AS commits_per_week FROM r WHERE rn <= 4 GROUP BY repo),
+c AS (SELECT o_orderpriority AS repo, count(DISTINCT CAST(o_custkey AS VARCHAR)) AS contributors FROM orders GROUP BY 1)
+SELECT coalesce(m.repo, c.repo) AS repo, commits_per_week, contributors FROM m FULL JOIN c ON m.repo = c.repo
+"""
+
+
+@register("AGG-30", AGG30_SQL)
+def q_agg30(spark, sf_dir):
+    return S.commit_frequency(V.v_activity(spark, sf_dir), V.v_contributors(spark, sf_dir), 4)
+
+
+LOWMSG = "lower(coalesce(msg, ''))"
+AGG32_SQL = f"""
+SELECT scan_id, CASE WHEN contains({LOWMSG}, 'error') OR contains({LOWMSG}, 'fail') THEN 'error'
+                     WHEN contains({LOWMSG}, 'warn') THEN 'warn'
+                     WHEN contains({LOWMSG}, 'done') OR contains({LOWMSG}, 'complete') OR contains({LOWMSG}, 'success') THEN 'success'
+                     ELSE 'info' END AS level, count(*) AS lines
+FROM ({V.V_LOGS_SQL}) GROUP BY 1, 2
+"""
+
+
+@register("AGG-32", AGG32_SQL)
+def q_agg32(spark, sf_dir):
+    return S.log_levels(V.v_logs(spark, sf_dir))
+
+
+TOP07_SQL = f"""
+SELECT scan_id, path, size, rank FROM (
+  SELECT scan_id, path, size, row_number() OVER (PARTITION BY scan_id ORDER BY size DESC, path) AS rank FROM {FILES})
+WHERE rank <= 10
+"""
+
+
+@register("TOP-07", TOP07_SQL)
+def q_top07(spark, sf_dir):
+    return T.largest_files(V.v_files(spark, sf_dir), 10).select("scan_id", "path", "size",
+                                                                F.col("rank").cast("long").alias("rank"))
+
+
+TOP09_SQL = f"""
+SELECT scan_id, file, features, n_features FROM (
+  SELECT scan_id, file, array_to_string(list_sort(list(DISTINCT feature)), ', ') AS features,
+         count(DISTINCT feature) AS n_features, row_number() OVER (PARTITION BY scan_id ORDER BY file) AS rn
+  FROM ({V.V_FEATURES_SQL}) GROUP BY scan_id, file) WHERE rn <= 40
+"""
+
+
+@register("TOP-09", TOP09_SQL)
+def q_top09(spark, sf_dir):
+    return T.file_features(V.v_features(spark, sf_dir), 40)
+
+
+SCANS = f"({V.V_SCANS_SQL})"
+TOP03_SQL = f"""
+SELECT id, repo_url, status, created_at FROM {SCANS} ORDER BY created_at DESC, id LIMIT 20
+"""
+
+
+@register("TOP-03", TOP03_SQL)
+def q_top03(spark, sf_dir):
+    return T.latest_scans(V.v_scans(spark, sf_dir), 20).select("id", "repo_url", "status", "created_at")

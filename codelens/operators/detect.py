@@ -31,6 +31,14 @@ def rule_array(rules_: list[tuple[Column, dict]]) -> Column:
         for cond, fields in rules_]))
 
 
+def explode_rules(arr: Column, alias: str) -> Column:
+    """``explode_outer`` of a rule array.  Plain ``explode`` makes Catalyst
+    infer ``size(arr) > 0`` and push it below the projection, which evaluates
+    the whole rule array a second time (outside codegen); callers drop the
+    NULL row of an empty array with ``filter(col.isNotNull())``."""
+    return F.explode_outer(arr).alias(alias)
+
+
 def with_path_cols(files: DataFrame) -> DataFrame:
     """Add ``basename``/``ext`` when missing (corpus tables carry them)."""
     f = files
@@ -74,45 +82,66 @@ def top_level_await(code: Column) -> Column:
     return acc["hit"]
 
 
+# (feature, literal every match contains, pattern).  The literal is checked
+# first with a plain substring search; the regex only runs on texts that
+# contain it (a leading non-identifier group defeats the regex engine's
+# literal skip-ahead, so an unguarded rule costs a full backtracking scan).
 JS_RULES = [
-    ("navigator.clipboard", rf"{NB}navigator\s*\??\.\s*clipboard{NA}"),
-    ("WebShare", rf"{NB}navigator\s*\??\.\s*share{NA}"),
-    ("CustomElements", rf"{NB}window\s*\??\.\s*customElements{NA}"),
-    ("fetch", rf"(^|[^{ID}.])fetch\s*\("),
-    ("promise-allSettled", rf"{NB}Promise\s*\??\.\s*allSettled\s*\("),
-    ("string-replaceAll", r"\.\s*replaceAll\s*\("),
-    ("XMLHttpRequest", rf"{NB}new\s+XMLHttpRequest{NA}"),
-    ("Worker", rf"{NB}new\s+Worker{NA}"),
-    ("SharedWorker", rf"{NB}new\s+SharedWorker{NA}"),
-    ("IntersectionObserver", rf"{NB}new\s+IntersectionObserver{NA}"),
-    ("ResizeObserver", rf"{NB}new\s+ResizeObserver{NA}"),
-    ("AbortController", rf"{NB}new\s+AbortController{NA}"),
-    ("dynamic-import", rf"(^|[^{ID}.])import\s*\("),
-    ("async-await", rf"(^|[^{ID}.])await{NA}"),
-    ("optional-chaining", r"\?\.\s*[A-Za-z_$\[]"),
-    ("nullish-coalescing", r"\?\?(?!=)"),
-    ("private-class-fields", rf"(^|[^{ID}])#[A-Za-z_$]"),
+    ("navigator.clipboard", "clipboard", rf"{NB}navigator\s*\??\.\s*clipboard{NA}"),
+    ("WebShare", "share", rf"{NB}navigator\s*\??\.\s*share{NA}"),
+    ("CustomElements", "customElements", rf"{NB}window\s*\??\.\s*customElements{NA}"),
+    ("fetch", "fetch", rf"(^|[^{ID}.])fetch\s*\("),
+    ("promise-allSettled", "allSettled", rf"{NB}Promise\s*\??\.\s*allSettled\s*\("),
+    ("string-replaceAll", "replaceAll", r"\.\s*replaceAll\s*\("),
+    ("XMLHttpRequest", "XMLHttpRequest", rf"{NB}new\s+XMLHttpRequest{NA}"),
+    ("Worker", "Worker", rf"{NB}new\s+Worker{NA}"),
+    ("SharedWorker", "SharedWorker", rf"{NB}new\s+SharedWorker{NA}"),
+    ("IntersectionObserver", "IntersectionObserver", rf"{NB}new\s+IntersectionObserver{NA}"),
+    ("ResizeObserver", "ResizeObserver", rf"{NB}new\s+ResizeObserver{NA}"),
+    ("AbortController", "AbortController", rf"{NB}new\s+AbortController{NA}"),
+    ("dynamic-import", "import", rf"(^|[^{ID}.])import\s*\("),
+    ("async-await", "await", rf"(^|[^{ID}.])await{NA}"),
+    ("optional-chaining", "?.", r"\?\.\s*[A-Za-z_$\[]"),
+    ("nullish-coalescing", "??", r"\?\?(?!=)"),
+    ("private-class-fields", "#", rf"(^|[^{ID}])#[A-Za-z_$]"),
 ]
+
+
+def guarded(text: Column, literal: str, pattern: str, ci: bool = False) -> Column:
+    """``text rlike pattern`` evaluated only when ``literal`` occurs in text
+    (case-insensitively when ``ci``); the literal must be part of every match."""
+    probe = F.lower(text).contains(literal.lower()) if ci else text.contains(literal)
+    return probe & text.rlike(pattern)
+
+
 CLASS_FIELD = (r"(?m)^\s*(?:(?:public|private|protected|readonly|static|declare|override)\s+)*"
                r"[A-Za-z_$][\w$]*[?!]?\s*(?::[^;=(){}\n]+)?(?:=(?![=>])[^;\n]*)?;")
 
 
-def js_features(code_raw: Column) -> Column:
-    """ARRAY<STRING> of feature keys for one JS/TS source text."""
-    c = strip_js(F.coalesce(code_raw, F.lit("")))
-    base = F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(k)) for k, p in JS_RULES]))
-    tla = F.when(top_level_await(c), F.array(F.lit("top-level-await"))).otherwise(F.array().cast("array<string>"))
-    cls = F.when(c.rlike(rf"{NB}class{NA}") & c.rlike(CLASS_FIELD),
+def js_features(code_raw: Column, stripped: Column | None = None) -> Column:
+    """ARRAY<STRING> of feature keys for one JS/TS source text.
+
+    ``stripped`` is the text without comments and literals; pass it as a
+    projected column so the (costly) strip runs once per row — a generator's
+    input expression gets no common-subexpression elimination."""
+    c = stripped if stripped is not None else strip_js(F.coalesce(code_raw, F.lit("")))
+    base = F.array_compact(F.array(*[F.when(guarded(c, lit, p), F.lit(k)) for k, lit, p in JS_RULES]))
+    tla = F.when(c.contains("await") & top_level_await(c),
+                 F.array(F.lit("top-level-await"))).otherwise(F.array().cast("array<string>"))
+    cls = F.when(guarded(c, "class", rf"{NB}class{NA}") & c.rlike(CLASS_FIELD),
                  F.array(F.lit("class-fields"))).otherwise(F.array().cast("array<string>"))
-    core = F.regexp_extract_all(F.coalesce(code_raw, F.lit("")), F.lit(CORE_JS_IMPORT), 1)
+    raw = F.coalesce(code_raw, F.lit(""))
+    core = F.when(raw.contains("core-js/"), F.regexp_extract_all(raw, F.lit(CORE_JS_IMPORT), 1)).otherwise(
+        F.array().cast("array<string>"))
     return F.array_distinct(F.concat(base, tla, cls, core))
 
 
 def detect_js(files: DataFrame) -> DataFrame:
     """DET-01: ``(scan_id, file, feature)`` for ``.js .jsx .ts .tsx`` files."""
     f = with_path_cols(files).filter(F.col("ext").isin(*rules.JS_EXTS))
-    return f.select("scan_id", F.col("path").alias("file"),
-                    F.explode(js_features(F.col("content"))).alias("feature"))
+    g = f.select("scan_id", "path", "content", strip_js(F.coalesce(F.col("content"), F.lit(""))).alias("_code"))
+    g = g.select("scan_id", F.col("path").alias("file"), js_features(F.col("content"), F.col("_code")).alias("_f"))
+    return g.select("scan_id", "file", explode_rules(F.col("_f"), "feature")).filter(F.col("feature").isNotNull())
 
 
 # -- DET-02: CSS / SCSS features ------------------------------------------------
@@ -129,7 +158,7 @@ def css_features(css_raw: Column) -> Column:
         return F.exists(decls, lambda d: pred(F.trim(d["p"]), d["v"]))
     rules_ = [
         ("css-has-pseudo", css.contains(":has(")),
-        ("css-nesting", css.rlike(r"&[^{};]*\{")),
+        ("css-nesting", guarded(css, "&", r"&[^{};]*\{")),
         ("css-variables", any_decl(lambda p, v: p.startswith("--"))),
         ("css-backdrop-filter", any_decl(lambda p, v: p == "backdrop-filter")),
         ("css-grid", any_decl(lambda p, v: p.contains("grid"))),
@@ -137,7 +166,7 @@ def css_features(css_raw: Column) -> Column:
                                  & v.contains("subgrid"))),
         ("css-flexbox", any_decl(lambda p, v: p.contains("flex"))),
         ("css-clamp", any_decl(lambda p, v: v.contains("clamp("))),
-        ("css-container-queries", css.rlike(r"@container([^A-Za-z0-9_-]|$)")),
+        ("css-container-queries", guarded(css, "@container", r"@container([^A-Za-z0-9_-]|$)")),
     ]
     return F.array_compact(F.array(*[F.when(cond, F.lit(k)) for k, cond in rules_]))
 
@@ -146,16 +175,18 @@ def detect_css(files: DataFrame) -> DataFrame:
     """DET-02: ``(scan_id, file, feature)`` for ``.css .scss`` files."""
     f = with_path_cols(files).filter(F.col("ext").isin(*rules.CSS_EXTS))
     return f.select("scan_id", F.col("path").alias("file"),
-                    F.explode(css_features(F.col("content"))).alias("feature"))
+                    explode_rules(css_features(F.col("content")), "feature")).filter(F.col("feature").isNotNull())
 
 
 def detect_features(files: DataFrame) -> DataFrame:
     """DET-01 + DET-02 in one scan of the corpus, distinct per file."""
-    f = with_path_cols(files)
-    feats = (F.when(F.col("ext").isin(*rules.JS_EXTS), js_features(F.col("content")))
-             .when(F.col("ext").isin(*rules.CSS_EXTS), css_features(F.col("content"))))
-    return (f.filter(F.col("ext").isin(*(rules.JS_EXTS + rules.CSS_EXTS)))
-            .select("scan_id", F.col("path").alias("file"), F.explode(feats).alias("feature")))
+    f = with_path_cols(files).filter(F.col("ext").isin(*(rules.JS_EXTS + rules.CSS_EXTS)))
+    is_js = F.col("ext").isin(*rules.JS_EXTS)
+    g = f.select("scan_id", "path", "ext", "content",
+                 F.when(is_js, strip_js(F.coalesce(F.col("content"), F.lit("")))).alias("_code"))
+    feats = F.when(is_js, js_features(F.col("content"), F.col("_code"))).otherwise(css_features(F.col("content")))
+    g = g.select("scan_id", F.col("path").alias("file"), feats.alias("_f"))
+    return g.select("scan_id", "file", explode_rules(F.col("_f"), "feature")).filter(F.col("feature").isNotNull())
 
 
 def project_features(features: DataFrame) -> DataFrame:
@@ -174,21 +205,23 @@ def security_rules(c: Column, fname: Column) -> list[tuple[Column, dict]]:
     def f(kind, title, sev, desc):
         return {"kind": kind, "title": title, "severity": sev,
                 "description": F.concat(F.lit(desc + " "), fname)}
-    cookie = c.rlike(r"(?i)res\.cookie\s*\(")
-    session = c.rlike(r"""(?i)require\(['"]express-session['"]\)|from\s+['"]express-session['"]""")
+    cookie = guarded(c, "res.cookie", r"(?i)res\.cookie\s*\(", ci=True)
+    session = guarded(c, "express-session", r"""(?i)require\(['"]express-session['"]\)|from\s+['"]express-session['"]""", ci=True)
     return [
-        (c.rlike(r"(?i)http://"), f("insecure_api", "Insecure HTTP usage", "High", "Found http:// reference in")),
-        (c.rlike(r"(?i)app\.use\(\s*cors\s*\(\s*\)\s*\)") | c.rlike(r"""(?i)origin\s*:\s*['"][*]['"]"""),
+        (guarded(c, "http://", r"(?i)http://", ci=True), f("insecure_api", "Insecure HTTP usage", "High", "Found http:// reference in")),
+        (guarded(c, "cors", r"(?i)app\.use\(\s*cors\s*\(\s*\)\s*\)", ci=True)
+         | guarded(c, "origin", r"""(?i)origin\s*:\s*['"][*]['"]""", ci=True),
          f("missing_policy", "Permissive CORS", "Medium", "Wildcard CORS policy in")),
-        (c.rlike(r"""(?i)cors\s*\(\s*\{[^}]*origin\s*:\s*['"][*]['"][^}]*credentials\s*:\s*true"""),
+        (guarded(c, "credentials", r"""(?i)cors\s*\(\s*\{[^}]*origin\s*:\s*['"][*]['"][^}]*credentials\s*:\s*true""", ci=True),
          f("missing_policy", "Permissive CORS with credentials", "High", "Wildcard origin and credentials=true in")),
-        (c.rlike(r"""(?i)cors\s*\(\s*\{[^}]*(allowedHeaders|methods)\s*:\s*['"][*]['"]"""),
+        (guarded(c, "cors", r"""(?i)cors\s*\(\s*\{[^}]*(allowedHeaders|methods)\s*:\s*['"][*]['"]""", ci=True),
          f("missing_policy", "Wildcard CORS headers/methods", "Medium", "Wildcard headers or methods in")),
-        (c.rlike(r"fs\.[a-zA-Z]+Sync\(") | c.rlike(r"execSync\(") | c.rlike(r"spawnSync\("),
+        (guarded(c, "Sync(", r"fs\.[a-zA-Z]+Sync\(") | c.contains("execSync(") | c.contains("spawnSync("),
          f("inefficient", "Blocking I/O", "Medium", "Synchronous operation in")),
-        (c.rlike(r"eval\s*\(") | c.rlike(r"new\s+Function\s*\("),
+        (guarded(c, "eval", r"eval\s*\(") | guarded(c, "Function", r"new\s+Function\s*\("),
          f("inefficient", "Dynamic code execution", "High", "Use of eval/new Function in")),
-        (c.rlike(r"document\.write\s*\(") | c.rlike(r"dangerouslySetInnerHTML\s*:\s*") | c.rlike(r"innerHTML\s*="),
+        (guarded(c, "document.write", r"document\.write\s*\(") | guarded(c, "innerHTML", r"dangerouslySetInnerHTML\s*:\s*")
+         | guarded(c, "innerHTML", r"innerHTML\s*="),
          f("insecure_api", "Potential XSS risk", "Medium", "Direct HTML injection pattern in")),
         (cookie & ~c.rlike(r"(?i)httpOnly\s*:\s*true"),
          f("insecure_api", "Cookie without httpOnly", "Medium", "res.cookie missing httpOnly in")),
@@ -197,7 +230,7 @@ def security_rules(c: Column, fname: Column) -> list[tuple[Column, dict]]:
         (session & ~(c.rlike(r"(?i)cookie\s*:\s*\{[^}]*secure\s*:\s*true")
                      & c.rlike(r"(?i)cookie\s*:\s*\{[^}]*httpOnly\s*:\s*true")),
          f("missing_policy", "Session cookie flags", "Medium", "express-session cookies missing secure/httpOnly in")),
-        (c.rlike(r"AKIA[0-9A-Z]{16}") | c.rlike(r"-----BEGIN\s+PRIVATE\s+KEY-----"),
+        (guarded(c, "AKIA", r"AKIA[0-9A-Z]{16}") | guarded(c, "-----BEGIN", r"-----BEGIN\s+PRIVATE\s+KEY-----"),
          f("sensitive", "Sensitive file", "High", "Secret pattern in")),
     ]
 
@@ -208,8 +241,8 @@ def detect_security(files: DataFrame, exts: list[str] | None = None) -> DataFram
     f = with_path_cols(files).filter(F.col("ext").isin(*(exts or SECURITY_EXTS)))
     c = F.coalesce(F.col("content"), F.lit(""))
     arr = rule_array(security_rules(c, F.col("basename")))
-    return f.select("scan_id", F.col("path").alias("file"), F.explode(arr).alias("r")).select(
-        "scan_id", "file", "r.kind", "r.title", "r.severity", "r.description")
+    return f.select("scan_id", F.col("path").alias("file"), explode_rules(arr, "r")).filter(
+        F.col("r").isNotNull()).select("scan_id", "file", "r.kind", "r.title", "r.severity", "r.description")
 
 
 # FIXED VALUES: sensitive file-name fragments (DET-23)
@@ -248,21 +281,22 @@ def bottlenecks(large: DataFrame, kb: int = 100) -> DataFrame:
 
 
 # -- DET-26: policy gaps ----------------------------------------------------------
+# signal -> (lower-case literals, one of which every match contains; pattern)
 POLICY_SIGNALS = {
-    "express": r"""(?i)require\(['"]express['"]\)|from\s+['"]express['"]""",
-    "helmet_import": r"""(?i)require\(['"]helmet['"]\)|from\s+['"]helmet['"]""",
-    "helmet_use": r"(?i)helmet\s*\(",
-    "csp": r"(?i)contentsecuritypolicy|csp",
-    "frameguard": r"(?i)frameguard",
-    "nosniff": r"(?i)nosniff|x-content-type-options",
-    "referrer": r"(?i)referrerpolicy",
-    "hsts": r"(?i)hsts|stricttransportsecurity",
-    "permissions": r"(?i)permissionspolicy|feature-policy",
-    "no_xpb": r"""(?i)app\.disable\(\s*['"]x-powered-by['"]\s*\)""",
-    "csurf_import": r"""(?i)require\(['"]csurf['"]\)|from\s+['"]csurf['"]""",
-    "csurf_use": r"(?i)csurf\s*\(",
-    "ratelimit_import": r"""(?i)require\(['"]express-rate-limit['"]\)|from\s+['"]express-rate-limit['"]""",
-    "ratelimit_use": r"(?i)rateLimit\s*\(",
+    "express": (["express"], r"""(?i)require\(['"]express['"]\)|from\s+['"]express['"]"""),
+    "helmet_import": (["helmet"], r"""(?i)require\(['"]helmet['"]\)|from\s+['"]helmet['"]"""),
+    "helmet_use": (["helmet"], r"(?i)helmet\s*\("),
+    "csp": (["contentsecuritypolicy", "csp"], r"(?i)contentsecuritypolicy|csp"),
+    "frameguard": (["frameguard"], r"(?i)frameguard"),
+    "nosniff": (["nosniff", "x-content-type-options"], r"(?i)nosniff|x-content-type-options"),
+    "referrer": (["referrerpolicy"], r"(?i)referrerpolicy"),
+    "hsts": (["hsts", "stricttransportsecurity"], r"(?i)hsts|stricttransportsecurity"),
+    "permissions": (["permissionspolicy", "feature-policy"], r"(?i)permissionspolicy|feature-policy"),
+    "no_xpb": (["x-powered-by"], r"""(?i)app\.disable\(\s*['"]x-powered-by['"]\s*\)"""),
+    "csurf_import": (["csurf"], r"""(?i)require\(['"]csurf['"]\)|from\s+['"]csurf['"]"""),
+    "csurf_use": (["csurf"], r"(?i)csurf\s*\("),
+    "ratelimit_import": (["express-rate-limit"], r"""(?i)require\(['"]express-rate-limit['"]\)|from\s+['"]express-rate-limit['"]"""),
+    "ratelimit_use": (["ratelimit"], r"(?i)rateLimit\s*\("),
 }
 # FIXED VALUES: header policies (signal, title, description, severity)
 HEADER_POLICIES = [
@@ -278,7 +312,14 @@ HEADER_POLICIES = [
 def policy_signals(files: DataFrame) -> DataFrame:
     f = with_path_cols(files).filter(F.col("ext").isin(*SECURITY_EXTS))
     c = F.coalesce(F.col("content"), F.lit(""))
-    return f.groupBy("scan_id").agg(*[F.max(c.rlike(p).cast("int")).alias(k) for k, p in POLICY_SIGNALS.items()])
+    low = F.lower(c)
+
+    def sig(lits, p):
+        probe = F.lit(False)
+        for lit in lits:
+            probe = probe | low.contains(lit)
+        return probe & c.rlike(p)
+    return f.groupBy("scan_id").agg(*[F.max(sig(lits, p).cast("int")).alias(k) for k, (lits, p) in POLICY_SIGNALS.items()])
 
 
 def policy_gaps(files: DataFrame) -> DataFrame:
@@ -332,7 +373,8 @@ def ci_findings(files: DataFrame) -> DataFrame:
          fd("Checkout persists credentials", "Medium",
             "Set with: persist-credentials: false to avoid leaking GITHUB_TOKEN.")),
     ]
-    fixed = wf.select("scan_id", F.col("basename").alias("file"), F.explode(rule_array(rs)).alias("r")).select(
+    fixed = wf.select("scan_id", F.col("basename").alias("file"), explode_rules(rule_array(rs), "r")).filter(
+        F.col("r").isNotNull()).select(
         "scan_id", "file", "r.title", "r.severity", "r.description")
     uses = wf.select("scan_id", F.col("basename").alias("file"),
                      F.posexplode(F.arrays_zip(F.regexp_extract_all(c, F.lit(USES), 1).alias("a"),
@@ -412,7 +454,7 @@ def framework_signals(files: DataFrame) -> DataFrame:
         "next": p.isin("next.config.js", "next.config.mjs")
         | (root_pkg & (F.array_contains(names, "next") | scripts.rlike(word("next"))))
         | p.startswith("pages/") | p.startswith("app/")
-        | (code & c.rlike(r"""from\s+['"]next/(link|router|head)['"]""")),
+        | (code & c.contains("next/") & c.rlike(r"""from\s+['"]next/(link|router|head)['"]""")),
         "sveltekit": (root_pkg & F.array_contains(names, "@sveltejs/kit")) | p.startswith("src/routes/"),
         "svelte": p.isin("svelte.config.js", "svelte.config.mjs") | (root_pkg & F.array_contains(names, "svelte"))
         | (e == ".svelte"),
@@ -429,10 +471,10 @@ def framework_signals(files: DataFrame) -> DataFrame:
         | ((b == "project.json") & (F.get_json_object(c, "$.projectType").isNotNull()
                                     | F.get_json_object(c, "$.sourceRoot").isNotNull()
                                     | F.get_json_object(c, "$.targets").isNotNull())),
-        "tensorflow": (e == ".py") & low.rlike(r"(^|[^a-z0-9_])(import|from)\s+tensorflow([^a-z0-9_]|$)"),
-        "pytorch": (e == ".py") & low.rlike(r"(^|[^a-z0-9_])(import|from)\s+torch([^a-z0-9_]|$)"),
-        "keras": (e == ".py") & low.rlike(r"(^|[^a-z0-9_])(import|from)\s+keras([^a-z0-9_]|$)"),
-        "sklearn": (e == ".py") & low.rlike(r"(^|[^a-z0-9_])(import|from)\s+sklearn([^a-z0-9_]|$)"),
+        "tensorflow": (e == ".py") & low.contains("tensorflow") & low.rlike(r"(^|[^a-z0-9_])(import|from)\s+tensorflow([^a-z0-9_]|$)"),
+        "pytorch": (e == ".py") & low.contains("torch") & low.rlike(r"(^|[^a-z0-9_])(import|from)\s+torch([^a-z0-9_]|$)"),
+        "keras": (e == ".py") & low.contains("keras") & low.rlike(r"(^|[^a-z0-9_])(import|from)\s+keras([^a-z0-9_]|$)"),
+        "sklearn": (e == ".py") & low.contains("sklearn") & low.rlike(r"(^|[^a-z0-9_])(import|from)\s+sklearn([^a-z0-9_]|$)"),
         "notebook": e == ".ipynb",
         "ml_artifacts": e.isin(*ML_ARTIFACT_EXTS),
     }

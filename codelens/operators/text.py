@@ -43,18 +43,15 @@ def query_tokens(query: str) -> list[str]:
 
 def score_text(text: Column, query: str) -> Column:
     """TXT-02 score: sum over query tokens (repeats count again) of the
-    token's frequency in the text; computed inside the row."""
-    toks = tokenize(text)
+    token's frequency in the text.  One pass over the text's tokens with a
+    literal token -> multiplicity map (a higher-order function's input is not
+    shared between calls, so one fold beats one filter per query token)."""
     qc = Counter(query_tokens(query))
     if not qc:
         return F.lit(0).cast("long")
-    def count_of(q):
-        return F.size(F.filter(toks, lambda t: t == F.lit(q)))
-    terms = [count_of(q) * F.lit(m) for q, m in qc.items()]
-    out = terms[0]
-    for t in terms[1:]:
-        out = out + t
-    return out.cast("long")
+    weights = F.create_map(*[x for q, m in qc.items() for x in (F.lit(q), F.lit(m).cast("long"))])
+    return F.aggregate(tokenize(text), F.lit(0).cast("long"),
+                       lambda acc, t: acc + F.coalesce(weights[t], F.lit(0).cast("long")))
 
 
 def snippet(text: Column, query: str, context: int = 2) -> Column:
@@ -76,36 +73,63 @@ def snippet(text: Column, query: str, context: int = 2) -> Column:
 
 def search_files(files: DataFrame, query: str, k: int = 10, by: list[str] | None = None) -> DataFrame:
     """TXT-02 + TXT-03 + TOP-04: files with score > 0, top k per scan by
-    score (ties by path), with a snippet."""
-    s = files.select("scan_id", "path", score_text(F.col("content"), query).alias("score"), "content")
-    hits = s.filter(F.col("score") > 0)
-    top = top_k(hits, k, [F.col("score").desc(), F.col("path").asc()], by=by or ["scan_id"])
-    sn = snippet(F.col("content"), query)
-    return top.select("scan_id", "path", "score", "rank", sn["match_line"].alias("match_line"),
-                      sn["start_line"].alias("start_line"), sn["end_line"].alias("end_line"),
-                      sn["snippet"].alias("snippet"))
+    score (ties by path), with a snippet.
+
+    The snippet (a few lines) is computed map-side for scoring files only, so
+    document text never enters the shuffle of the per-scan top-k."""
+    score = score_text(F.col("content"), query)
+    s = files.select("scan_id", "path", score.alias("score"), "content")
+    s = s.select("scan_id", "path", "score",
+                 F.when(F.col("score") > 0, snippet(F.col("content"), query)).alias("sn"))
+    # rank first, drop zero scores after: ranks of positive rows are the same
+    # either way, and a filter on ``score`` placed before the window would be
+    # pushed below the projection and tokenize every text twice.
+    top = top_k(s, k, [F.col("score").desc(), F.col("path").asc()], by=by or ["scan_id"]).filter(F.col("score") > 0)
+    return top.select("scan_id", "path", "score", "rank", F.col("sn.match_line").alias("match_line"),
+                      F.col("sn.start_line").alias("start_line"), F.col("sn.end_line").alias("end_line"),
+                      F.col("sn.snippet").alias("snippet"))
 
 
 def search_logs(logs: DataFrame, query: str, k: int = 10) -> DataFrame:
     """TXT-04: log lines with score > 0, top k per scan (ties by line number)."""
     s = logs.select("scan_id", "line_number", "msg", score_text(F.col("msg"), query).alias("score"))
-    return top_k(s.filter(F.col("score") > 0), k, [F.col("score").desc(), F.col("line_number").asc()],
-                 by=["scan_id"])
+    return top_k(s, k, [F.col("score").desc(), F.col("line_number").asc()], by=["scan_id"]).filter(F.col("score") > 0)
+
+
+# lower-case literals of which every match of the pattern at the same index
+# contains at least one (cheap probe before the regex runs)
+REDACT_PROBES = [["ghp_"], ["sk-"], ["bearer"], ["password", "secret", "token"], ["aws_"]]
+REDACT_QUOTED_PROBE = ["password", "secret", "token"]
 
 
 def redact(df: DataFrame, col: str, patterns: list[str] | None = None, quoted: bool = True) -> DataFrame:
     """TXT-05: replace matches of each pattern in order with ``[REDACTED]``;
     ``redactions`` counts the replacements (each pattern counted on the text
-    left by the previous ones)."""
-    pats = list(patterns if patterns is not None else REDACT_PATTERNS)
-    if quoted and patterns is None:
-        pats.append(REDACT_QUOTED)
-    text = F.coalesce(F.col(col).cast("string"), F.lit(""))
-    count = F.lit(0).cast("long")
-    for p in pats:
-        count = count + F.regexp_count(text, F.lit(p)).cast("long")
-        text = F.regexp_replace(text, p, REDACTED)
-    return df.withColumn("redacted", text).withColumn("redactions", count)
+    left by the previous ones).
+
+    Each stage is its own projected column, so a stage's text is computed
+    once; for the built-in patterns a substring probe skips the regex on texts
+    that cannot match."""
+    if patterns is None:
+        pats = list(zip(REDACT_PATTERNS, REDACT_PROBES))
+        if quoted:
+            pats.append((REDACT_QUOTED, REDACT_QUOTED_PROBE))
+    else:
+        pats = [(p, None) for p in patterns]
+    out = df.withColumn("_t0", F.coalesce(F.col(col).cast("string"), F.lit(""))).withColumn("redactions", F.lit(0).cast("long"))
+    for i, (p, probe) in enumerate(pats):
+        t = F.col(f"_t{i}")
+        hit = F.lit(True)
+        if probe:
+            low = F.lower(t)
+            hit = F.lit(False)
+            for lit in probe:
+                hit = hit | low.contains(lit)
+        out = out.withColumn("_hit", hit).select(
+            "*", F.when(F.col("_hit"), F.regexp_count(t, F.lit(p))).otherwise(F.lit(0)).cast("long").alias("_n"),
+            F.when(F.col("_hit"), F.regexp_replace(t, p, REDACTED)).otherwise(t).alias(f"_t{i + 1}"))
+        out = out.withColumn("redactions", F.col("redactions") + F.col("_n")).drop("_n", "_hit", f"_t{i}")
+    return out.withColumnRenamed(f"_t{len(pats)}", "redacted")
 
 
 def sanitize_suggestions(s: DataFrame) -> DataFrame:

@@ -22,12 +22,27 @@ from codelens.functions.scalar import round_half_up
 TERMINAL = ["done", "failed", "cancelled"]
 
 
-def latest_status(events: DataFrame) -> DataFrame:
-    """STR-01: per scan id the latest (by ts) progress / step / kind, the
-    first and last event time.  A grouped ``max_by`` — valid in streaming
-    update mode, and partial-aggregated in batch."""
+def epoch_ms(c: Column) -> Column:
+    """Milliseconds since the epoch for TIMESTAMP or TIMESTAMP_NTZ (read in
+    the session time zone, UTC here)."""
+    return F.unix_millis(c.cast("timestamp"))
+
+
+def ts_lit(v) -> Column:
+    """A timestamp literal from a datetime or ISO text, in the session zone."""
+    if isinstance(v, Column):
+        return v.cast("timestamp")
+    text = v.isoformat(sep=" ") if hasattr(v, "isoformat") else str(v)
+    return F.lit(text).cast("timestamp")
+
+
+def latest_status(events: DataFrame, tiebreak: str | None = None) -> DataFrame:
+    """STR-01: per scan id the latest (by ts, then ``tiebreak``) progress /
+    step / kind, the first and last event time.  A grouped ``max_by`` — valid
+    in streaming update mode, and partial-aggregated in batch."""
+    order = F.struct("ts", tiebreak) if tiebreak else F.col("ts")
     return events.groupBy("id").agg(
-        F.max_by(F.struct("progress", "step", "kind"), "ts").alias("last"),
+        F.max_by(F.struct("progress", "step", "kind"), order).alias("last"),
         F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).select(
         "id", "last.progress", "last.step", "last.kind", "first_ts", "last_ts")
 
@@ -36,7 +51,8 @@ def eta(status: DataFrame) -> DataFrame:
     """STR-02: ``eta_ms = round(elapsed x (100 - p) / p)`` with p clamped to
     1..99 and elapsed = last - first event time; 0 once terminal."""
     p = F.least(F.lit(99.0), F.greatest(F.lit(1.0), F.coalesce(F.col("progress").cast("double"), F.lit(0.0))))
-    elapsed = F.greatest(F.lit(0), F.unix_millis("last_ts") - F.unix_millis("first_ts"))
+    elapsed = F.greatest(F.lit(0.0), (F.unix_micros(F.col("last_ts").cast("timestamp"))
+                                      - F.unix_micros(F.col("first_ts").cast("timestamp"))) / 1000.0)
     v = round_half_up(elapsed * ((100 - p) / p)).cast("long")
     return status.withColumn("eta_ms", F.when(F.col("kind").isin(*TERMINAL), F.lit(0).cast("long")).otherwise(v))
 
@@ -44,9 +60,8 @@ def eta(status: DataFrame) -> DataFrame:
 def eta_batch(scans: DataFrame, now) -> DataFrame:
     """STR-03: done or progress >= 100 -> 0; progress > 0 -> round(elapsed x
     (100 - p) / p) with elapsed from ``created_at`` to ``now``; else NULL."""
-    now_c = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
     p = F.coalesce(F.col("progress").cast("double"), F.lit(0.0))
-    elapsed = F.unix_millis(now_c) - F.unix_millis("created_at")
+    elapsed = epoch_ms(ts_lit(now)) - epoch_ms(F.col("created_at"))
     return scans.withColumn("eta_ms", F.when((F.col("status") == "done") | (p >= 100), F.lit(0).cast("long"))
                             .when(p > 0, round_half_up(elapsed * ((100 - p) / p)).cast("long")))
 
@@ -92,9 +107,8 @@ def cancel_allowed(status: Column) -> Column:
 def timed_out(status: DataFrame, now, limit_ms: int) -> DataFrame:
     """STR-08 (batch form): scans not terminal whose last event is older than
     ``limit_ms`` at ``now``."""
-    now_c = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
     return status.filter(~F.col("kind").isin(*TERMINAL) & (
-        F.unix_millis(now_c) - F.unix_millis("last_ts") > F.lit(limit_ms)))
+        epoch_ms(ts_lit(now)) - epoch_ms(F.col("last_ts")) > F.lit(limit_ms)))
 
 
 # -- request quotas (STR-06 / STR-07) ------------------------------------------
@@ -106,9 +120,7 @@ QUOTA_STATE = "reset_ms long, count long"
 def _quota_fn(max_requests: int, window_ms: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         reset_ms, count = (state.get if state.exists else (None, 0))
-        outs = []
-        for pdf in pdfs:
-            pdf = pdf.sort_values("ts", kind="stable")
+        for pdf in pdfs:  # chunks arrive in (key, ts) order; emit each as it is folded
             ms = pd.to_datetime(pdf["ts"]).astype("int64") // 1_000_000
             counts, resets = [], []
             for t in ms.tolist():
@@ -120,11 +132,34 @@ def _quota_fn(max_requests: int, window_ms: int):
             out = pd.DataFrame({"key": key[0], "ts": pdf["ts"].values, "count": counts})
             out["remaining"] = (max_requests - out["count"]).clip(lower=0)
             out["limited"] = out["count"] > max_requests
-            out["reset_ts"] = pd.to_datetime(pd.Series(resets), unit="ms")
-            outs.append(out)
+            out["reset_ts"] = pd.to_datetime(pd.Series(resets, dtype="int64"), unit="ms")
+            yield out
         if reset_ms is not None:
             state.update((int(reset_ms), int(count)))
-        yield from outs
+    return fn
+
+
+def _quota_batch_fn(max_requests: int, window_ms: int):
+    """Fold over a partition sorted by (key, ts): state is reset when the key
+    changes, so memory is one Arrow chunk plus the current key's two longs."""
+    def fn(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cur, reset_ms, count = None, None, 0
+        for pdf in chunks:
+            ms = (pd.to_datetime(pdf["ts"]).astype("int64") // 1_000_000).tolist()
+            counts, resets = [], []
+            for k, t in zip(pdf["key"].tolist(), ms):
+                if k != cur:
+                    cur, reset_ms, count = k, None, 0
+                if reset_ms is None or t >= reset_ms:
+                    reset_ms, count = t + window_ms, 0
+                count += 1
+                counts.append(count)
+                resets.append(reset_ms)
+            out = pd.DataFrame({"key": pdf["key"].values, "ts": pdf["ts"].values, "count": counts})
+            out["remaining"] = (max_requests - out["count"]).clip(lower=0)
+            out["limited"] = out["count"] > max_requests
+            out["reset_ts"] = pd.to_datetime(pd.Series(resets, dtype="int64"), unit="ms")
+            yield out
     return fn
 
 
@@ -135,15 +170,22 @@ def request_quota(requests: DataFrame, max_requests: int = 60, window_ms: int =
     running count, ``remaining = max(0, max - count)`` and ``limited`` when the
     count exceeds the maximum.  Paths with a skip prefix are not counted.
 
-    State per key is two longs; works on a streaming DataFrame (append mode)
-    and on a batch one.  STR-07 is the same operator keyed by tenant."""
+    Streaming: ``applyInPandasWithState`` with two longs of state per key
+    (append mode; arrival order across micro-batches).  Batch: the rows are
+    hash-partitioned by key and sorted by (key, ts) within the partition, then
+    folded by ``mapInPandas`` one Arrow chunk at a time — a hot key is still
+    one sequential fold (the semantics is sequential) but never held in memory
+    whole.  STR-07 is the same operator keyed by tenant."""
     skip = skip_prefixes if skip_prefixes is not None else ["/socket.io", "/api/browsers"]
     r = requests
     for p in skip:
         r = r.filter(~F.col("path").startswith(p))
-    r = r.select(F.col(key).cast("string").alias("key"), "ts")
-    return r.groupBy("key").applyInPandasWithState(
-        _quota_fn(max_requests, window_ms), QUOTA_OUT, QUOTA_STATE, "append", GroupStateTimeout.NoTimeout)
+    r = r.select(F.col(key).cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    if r.isStreaming:
+        return r.groupBy("key").applyInPandasWithState(
+            _quota_fn(max_requests, window_ms), QUOTA_OUT, QUOTA_STATE, "append", GroupStateTimeout.NoTimeout)
+    r = r.repartition("key").sortWithinPartitions("key", "ts")
+    return r.mapInPandas(_quota_batch_fn(max_requests, window_ms), QUOTA_OUT)
 
 
 def request_quota_aligned(requests: DataFrame, max_requests: int = 60, window: str = "60 seconds",

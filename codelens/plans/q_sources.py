@@ -1 +1,294 @@
-"""Queries registered by this module are added as operators land."""
+"""Queries: sources (SRC-*) and sinks (SNK-*).
+
+Sources that read files (corpus listing, changed-path text) first write the
+data Spark derives from the driver tables into the session's shared
+checkpoint folder (``spark.checkpoint.dir``), then read it back through the
+real source; tool-output sources parse JSON documents that Spark builds from
+the driver tables.  The oracle computes the expected rows from the tables
+directly."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from codelens.operators import score as S
+from codelens.operators import topk as T
+from codelens.plans import bindings as V
+from codelens.plans.catalog import register
+from codelens.session import ensure_checkpoint_dir
+from codelens.sources import corpus as C
+from codelens.sources import manifests as M
+from codelens.sources import sinks as K
+from codelens.sources import tools as TL
+
+FILES = f"({V.V_FILES_SQL})"
+FIND = f"({V.V_FINDINGS_SQL})"
+SCANS = f"({V.V_SCANS_SQL})"
+
+
+def scratch(spark, sf_dir: str, name: str) -> str:
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/codelens-sources/{os.path.basename(sf_dir.rstrip('/'))}/{name}"
+
+
+SRC01_SQL = """
+SELECT source AS scan_id, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes,
+       CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS newlines
+FROM documents GROUP BY source
+"""
+
+
+@register("SRC-01", SRC01_SQL)
+def q_src01(spark, sf_dir):
+    root = scratch(spark, sf_dir, "corpus")
+    d = V.table(spark, sf_dir, "documents").select("source", "text")
+    d.write.mode("overwrite").partitionBy("source").text(root)
+    files = C.read_corpus(spark, root, "corpus")
+    nl = F.length("content") - F.length(F.regexp_replace("content", "\n", ""))
+    return files.select(F.regexp_extract("path", r"^source=([^/]+)/", 1).alias("scan_id"), "size", nl.alias("nl")).groupBy(
+        "scan_id").agg(F.sum("size").cast("long").alias("bytes"), F.sum("nl").cast("long").alias("newlines"))
+
+
+SRC02_SQL = f"SELECT scan_id, path FROM {FILES} WHERE ext IN ('.js', '.css')"
+
+
+@register("SRC-02", SRC02_SQL)
+def q_src02(spark, sf_dir):
+    return C.by_extension(V.v_files(spark, sf_dir), [".JS", ".css"]).select("scan_id", "path")
+
+
+SRC03_SQL = f"SELECT scan_id, path FROM {FILES} WHERE dir <> 'es'"
+
+
+@register("SRC-03", SRC03_SQL)
+def q_src03(spark, sf_dir):
+    return C.prune_dirs(V.v_files(spark, sf_dir), ["es"]).select("scan_id", "path")
+
+
+SRC04_SQL = f"SELECT scan_id, path FROM {FILES} WHERE NOT (contains(path, 'de/') OR contains(path, 'fr/1'))"
+
+
+@register("SRC-04", SRC04_SQL)
+def q_src04(spark, sf_dir):
+    return C.exclude_paths(V.v_files(spark, sf_dir), " de/ ; fr/1,de/").select("scan_id", "path")
+
+
+SRC07_SQL = f"SELECT scan_id, path, size FROM {FILES} WHERE size <= 10000"
+
+
+@register("SRC-07", SRC07_SQL)
+def q_src07(spark, sf_dir):
+    return C.max_size(V.v_files(spark, sf_dir), 10000).select("scan_id", "path", "size")
+
+
+def manifest_files(spark, sf_dir):
+    """package.json documents built from the part table: one per (scan, brand)."""
+    d = V.v_deps(spark, sf_dir)
+    per = d.groupBy("scan_id", "package_dir", "dev", "name").agg(F.min(F.col("version").cast("int")).cast("string").alias("version"))
+    pkg = per.groupBy("scan_id", "package_dir").agg(
+        F.map_from_entries(F.collect_list(F.when(~F.col("dev"), F.struct("name", "version")))).alias("dependencies"),
+        F.map_from_entries(F.collect_list(F.when(F.col("dev"), F.struct("name", "version")))).alias("devDependencies"))
+    return pkg.select("scan_id", F.concat(F.col("package_dir"), F.lit("/package.json")).alias("path"),
+                      F.to_json(F.struct("dependencies", "devDependencies")).alias("content"))
+
+
+SRC09_SQL = """
+SELECT (['A', 'N', 'R'])[CAST(p_partkey % 3 AS INTEGER) + 1] AS scan_id, p_brand AS package_dir, p_name AS name,
+       CAST(min(p_size) AS VARCHAR) AS version, p_size % 2 = 0 AS dev
+FROM part GROUP BY 1, 2, 3, 5
+"""
+
+
+@register("SRC-09", SRC09_SQL)
+def q_src09(spark, sf_dir):
+    return M.read_manifests(manifest_files(spark, sf_dir))
+
+
+def semgrep_docs(spark, sf_dir):
+    f = V.v_findings(spark, sf_dir).filter(F.col("source") == "semgrep")
+    r = F.struct(F.col("title").alias("check_id"), F.col("file").alias("path"),
+                 F.struct((F.col("ord") % 100).cast("int").alias("line")).alias("start"),
+                 F.struct((F.col("ord") % 100 + 1).cast("int").alias("line")).alias("end"),
+                 F.struct(F.col("severity").alias("severity"), F.col("description").alias("message")).alias("extra"))
+    return f.groupBy("scan_id", "file").agg(F.to_json(F.struct(F.collect_list(r).alias("results"))).alias("json"))
+
+
+SEMSEV = ("CASE WHEN lower(coalesce(severity, '')) LIKE '%error%' OR lower(coalesce(severity, '')) LIKE '%high%' "
+          "OR lower(coalesce(severity, '')) LIKE '%critical%' THEN 'High' "
+          "WHEN lower(coalesce(severity, '')) LIKE '%warning%' OR lower(coalesce(severity, '')) LIKE '%medium%' "
+          "THEN 'Medium' ELSE 'Low' END")
+SRC10_SQL = f"""
+SELECT scan_id, title, {SEMSEV} AS severity, coalesce(file, '') AS file, description,
+       CAST(ord % 100 AS INTEGER) AS range_start, CAST(ord % 100 + 1 AS INTEGER) AS range_end
+FROM {FIND} WHERE source = 'semgrep'
+"""
+
+
+@register("SRC-10", SRC10_SQL)
+def q_src10(spark, sf_dir):
+    r = TL.read_semgrep(semgrep_docs(spark, sf_dir))
+    return r.select("scan_id", "title", "severity", "file", "description",
+                    F.col("range.start").alias("range_start"), F.col("range.end").alias("range_end"))
+
+
+def trufflehog_lines(spark, sf_dir):
+    f = V.v_findings(spark, sf_dir).filter(F.col("source") == "trufflehog")
+    m = F.col("ord") % 3
+    obj = F.struct(
+        F.when(m == 0, F.col("title")).alias("DetectorName"), F.when(m == 1, F.col("title")).alias("detector"),
+        F.when(m == 2, F.col("title")).alias("rule"),
+        F.when(m == 0, F.struct(F.struct(F.col("file").alias("filepath")).alias("Data"))).alias("SourceMetadata"),
+        F.when(m == 1, F.col("file")).alias("path"), F.when(m == 2, F.col("file")).alias("File"),
+        F.when(m == 0, F.col("ord") % 2 == 0).alias("Verified"), F.when(m != 0, F.col("ord") % 2 == 0).alias("verified"))
+    js = f.select("scan_id", (F.col("ord") * 2).alias("ord"), F.to_json(obj).alias("value"))
+    junk = f.select("scan_id", (F.col("ord") * 2 + 1).alias("ord"),
+                    F.concat(F.lit("scanning "), F.col("description")).alias("value"))
+    return js.unionByName(junk)
+
+
+SRC11_SQL = f"""
+SELECT scan_id, title, coalesce(file, '') AS file, ord % 2 = 0 AS verified FROM {FIND} WHERE source = 'trufflehog'
+"""
+
+
+@register("SRC-11", SRC11_SQL)
+def q_src11(spark, sf_dir):
+    return TL.read_trufflehog(trufflehog_lines(spark, sf_dir)).select("scan_id", "title", "file", "verified")
+
+
+def outdated_docs(spark, sf_dir):
+    d = V.v_deps(spark, sf_dir)
+    per = d.groupBy("scan_id", "package_dir", "name").agg(
+        F.min(F.col("version").cast("int")).cast("string").alias("current"),
+        F.max(F.col("version").cast("int")).cast("string").alias("latest"))
+    return per.groupBy("scan_id", "package_dir").agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct("name", F.struct("current", "latest"))))).alias("json")
+    ).withColumn("dir_ord", F.regexp_extract("package_dir", r"(\d+)$", 1).cast("int"))
+
+
+SRC12_SQL = """
+WITH p AS (SELECT (['A', 'N', 'R'])[CAST(p_partkey % 3 AS INTEGER) + 1] AS scan_id, p_brand, p_name AS name,
+                  CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) AS dir_ord,
+                  CAST(min(p_size) AS VARCHAR) AS current, CAST(max(p_size) AS VARCHAR) AS latest
+           FROM part GROUP BY 1, 2, 3)
+SELECT scan_id, name, arg_max(current, dir_ord) AS current, arg_max(latest, dir_ord) AS latest
+FROM p GROUP BY scan_id, name
+"""
+
+
+@register("SRC-12", SRC12_SQL)
+def q_src12(spark, sf_dir):
+    return TL.read_outdated(outdated_docs(spark, sf_dir))
+
+
+SRC13_SQL = f"SELECT id, repo_url, created_at FROM {SCANS} WHERE status = 'done'"
+
+
+@register("SRC-13", SRC13_SQL)
+def q_src13(spark, sf_dir):
+    s = V.v_scans(spark, sf_dir)
+    return s.filter(F.col("status") == "done").select("id", "repo_url", "created_at")
+
+
+SRC14_SQL = f"SELECT DISTINCT scan_id, path FROM ({V.V_CHANGED_SQL})"
+
+
+@register("SRC-14", SRC14_SQL)
+def q_src14(spark, sf_dir):
+    root = scratch(spark, sf_dir, "changed")
+    ch = V.v_changed(spark, sf_dir)
+    # diff --name-only text with padding, Windows slashes and blank lines
+    lines = ch.select("scan_id", F.concat(F.lit("  "), F.regexp_replace("path", "/", r"\\"), F.lit(" ")).alias("value"))
+    blanks = ch.select("scan_id", F.lit("   ").alias("value"))
+    lines.unionByName(blanks).write.mode("overwrite").partitionBy("scan_id").text(root)
+    return C.read_changed_paths(spark, root, None)
+
+
+# -- sinks ------------------------------------------------------------------------
+SNK05_SQL = f"""
+SELECT id, CASE WHEN status = 'queued' THEN 'processing' ELSE status END AS status,
+       CASE WHEN status = 'queued' THEN 1.0 ELSE progress END AS progress
+FROM {SCANS}
+"""
+
+
+@register("SNK-05", SNK05_SQL)
+def q_snk05(spark, sf_dir):
+    s = V.v_scans(spark, sf_dir).select("id", "status", "progress")
+    upd = s.filter(F.col("status") == "queued").select("id", F.lit("processing").alias("status"),
+                                                        F.lit(1.0).alias("progress"))
+    return K.upsert(s, upd, "id", ts_col=None)
+
+
+SNK06_SQL = f"SELECT id, status FROM {SCANS} WHERE status <> 'processing'"
+
+
+@register("SNK-06", SNK06_SQL)
+def q_snk06(spark, sf_dir):
+    s = V.v_scans(spark, sf_dir).select("id", "status")
+    return K.delete_scans(s, s.filter(F.col("status") == "processing").select("id"), "id")
+
+
+def _csv_sql(v: str) -> str:
+    return (f"CASE WHEN regexp_matches({v}, '[\",\\n]') THEN '\"' || replace({v}, '\"', '\"\"') || '\"' ELSE {v} END")
+
+
+SNK02_SQL = f"""
+SELECT scan_id, section_ord, ord, line FROM (
+  SELECT scan_id, 0 AS section_ord, CAST(0 AS BIGINT) AS ord,
+         'Meta,' || {_csv_sql("k")} || ',' || {_csv_sql("v")} AS line
+  FROM (SELECT scan_id, unnest(['findings', 'vulnerabilities']) AS k,
+               unnest([CAST(count(*) AS VARCHAR), CAST(count(*) FILTER (WHERE kind = 'vulnerability') AS VARCHAR)]) AS v
+        FROM {FIND} GROUP BY scan_id)
+  UNION ALL
+  SELECT scan_id, 1, CAST(min(ord) AS BIGINT), 'Findings,' || {_csv_sql("title")} || ',' || {_csv_sql("CAST(count(*) AS VARCHAR)")}
+  FROM {FIND} GROUP BY scan_id, title)
+"""
+
+
+def csv_lines(spark, sf_dir):
+    f = V.v_findings(spark, sf_dir)
+    meta = f.groupBy("scan_id").agg(F.count(F.lit(1)).alias("findings"),
+                                    F.sum((F.col("kind") == S.VULN).cast("int")).alias("vulnerabilities"))
+    meta = meta.select("scan_id", F.explode(F.create_map(
+        F.lit("findings"), F.col("findings").cast("string"),
+        F.lit("vulnerabilities"), F.col("vulnerabilities").cast("string"))).alias("key", "value"))
+    titles = f.groupBy("scan_id", F.col("title").alias("key")).agg(
+        F.count(F.lit(1)).cast("string").alias("value"), F.min("ord").alias("ord"))
+    return K.report_csv([("Meta", meta), ("Findings", titles)])
+
+
+register("SNK-02", SNK02_SQL)(csv_lines)
+
+
+@register("SNK-03", None)
+def q_snk03(spark, sf_dir):
+    """Combined CSV text per scan (header + sections in order)."""
+    return K.report_csv_text(csv_lines(spark, sf_dir))
+
+
+@register("SNK-01", None)
+def q_snk01(spark, sf_dir):
+    f = V.v_findings(spark, sf_dir)
+    sev = S.severity_summary(f.filter(F.col("kind") == S.VULN))
+    top = T.top_findings(f.filter(F.col("kind") == S.VULN), 50).select("scan_id", "rank", "title", "severity")
+    return K.report_json({"vulnSeveritySummary": sev, "topFindings": top})
+
+
+@register("SNK-04", None)
+def q_snk04(spark, sf_dir):
+    f = V.v_findings(spark, sf_dir)
+    sev = S.severity_summary(f.filter(F.col("kind") == S.VULN))
+    lines = sev.select("scan_id", F.lit(0).alias("ord"), F.concat(F.lit("# Scan "), F.col("scan_id")).alias("line")).unionByName(
+        sev.select("scan_id", F.lit(1).alias("ord"), F.concat(
+            F.lit("- critical: "), F.col("critical").cast("string"), F.lit(", high: "), F.col("high").cast("string"),
+            F.lit(", moderate: "), F.col("moderate").cast("string"), F.lit(", low: "), F.col("low").cast("string")).alias("line")))
+    return K.report_markdown(lines)
+
+
+@register("SNK-07", None)
+def q_snk07(spark, sf_dir):
+    files = V.v_files(spark, sf_dir)
+    return K.scan_overview(S.repo_stats(files), S.feature_usage(V.v_features(spark, sf_dir)), T.largest_files(files, 10))

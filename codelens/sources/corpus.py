@@ -175,11 +175,14 @@ def read_archives(spark: SparkSession, glob_path: str, max_entry_bytes: int = 16
     return with_layout(out)
 
 
-def read_changed_paths(spark: SparkSession, path: str, scan_id: str) -> DataFrame:
-    """SRC-14: ``git diff --name-only`` text -> trimmed, non-blank, slash-normalised paths."""
+def read_changed_paths(spark: SparkSession, path: str, scan_id: str | None) -> DataFrame:
+    """SRC-14: ``git diff --name-only`` text -> trimmed, non-blank,
+    slash-normalised, distinct paths.  With ``scan_id=None`` the scan comes
+    from a ``scan_id=<id>`` partition directory of ``path``."""
     t = spark.read.text(path)
-    p = F.regexp_replace(F.trim("value"), r"\\", "/")
-    return t.select(F.lit(scan_id).alias("scan_id"), p.alias("path")).filter(F.col("path") != "").distinct()
+    p = F.regexp_replace(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\\", "/")
+    sid = F.lit(scan_id) if scan_id is not None else F.col("scan_id").cast("string")
+    return t.select(sid.alias("scan_id"), p.alias("path")).filter(F.col("path") != "").distinct()
 
 
 def decode_any(content: F.Column) -> F.Column:

@@ -3,7 +3,7 @@ external scanners, read as data (the tools themselves are not run)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelens.functions.severity import semgrep_severity
@@ -27,9 +27,10 @@ def read_semgrep(docs: DataFrame, col: str = "json") -> DataFrame:
         F.coalesce("r.extra.message", F.lit("")).alias("description"))
 
 
+# ``Verified`` / ``verified`` differ only in case, which struct field access
+# cannot tell apart; both are read with (case-sensitive) JSON paths instead.
 TRUFFLEHOG_SCHEMA = ("DetectorName string, detector string, rule string, "
-                     "SourceMetadata struct<Data:struct<filepath:string>>, path string, File string, "
-                     "Verified boolean, verified boolean")
+                     "SourceMetadata struct<Data:struct<filepath:string>>, path string, File string")
 
 
 def read_trufflehog(lines: DataFrame, col: str = "value") -> DataFrame:
@@ -44,7 +45,8 @@ def read_trufflehog(lines: DataFrame, col: str = "value") -> DataFrame:
         F.lit("High").alias("severity"),
         F.coalesce(F.nullif("o.SourceMetadata.Data.filepath", F.lit("")), F.nullif("o.path", F.lit("")),
                    F.nullif("o.File", F.lit("")), F.lit("")).alias("file"),
-        (F.coalesce("o.Verified", F.lit(False)) | F.coalesce("o.verified", F.lit(False))).alias("verified"))
+        (F.coalesce(F.get_json_object("raw", "$.Verified").cast("boolean"), F.lit(False))
+         | F.coalesce(F.get_json_object("raw", "$.verified").cast("boolean"), F.lit(False))).alias("verified"))
 
 
 AUDIT_SCHEMA = "vulnerabilities map<string, struct<severity:string, via:string, range:string, fixAvailable:string>>"
@@ -75,8 +77,3 @@ def ingest_tool(name: str, df: DataFrame) -> DataFrame:
         raise ValueError(f"unknown tool {name!r}; known: {sorted(readers)}")
     return readers[name](df)
 
-
-def with_line_ordinal(lines: DataFrame) -> DataFrame:
-    """Add a per-scan line ordinal to a text source (monotonic id order)."""
-    w = Window.partitionBy("scan_id").orderBy(F.monotonically_increasing_id())
-    return lines.withColumn("ord", F.row_number().over(w) - 1)

@@ -74,11 +74,12 @@ def diff_names(names: DataFrame, a: str, b: str) -> DataFrame:
 def diff_status_counts(baseline: DataFrame, a: str, b: str) -> DataFrame:
     """JOIN-11: status-count delta b - a (supported, partial, unsupported, unknown)."""
     s = F.lower(F.coalesce(F.col("status"), F.lit("unknown")))
-    sign = F.when(F.col("scan_id") == b, 1).otherwise(-1)
+    in_a = (F.col("scan_id") == a).cast("int")
+    in_b = (F.col("scan_id") == b).cast("int")
     ab = baseline.filter(F.col("scan_id").isin(a, b))
 
-    def delta(cond):
-        return F.sum(F.when(cond, sign).otherwise(0)).cast("long")
+    def delta(cond):  # count in b minus count in a (0 when a == b)
+        return F.sum(F.when(cond, in_b - in_a).otherwise(0)).cast("long")
     return ab.agg(
         delta(s == "supported").alias("supported"), delta(s == "partial").alias("partial"),
         delta(s == "unsupported").alias("unsupported"),

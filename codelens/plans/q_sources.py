@@ -45,7 +45,8 @@ def q_src01(spark, sf_dir):
     root = scratch(spark, sf_dir, "corpus")
     d = V.table(spark, sf_dir, "documents").select("source", "text")
     d.write.mode("overwrite").partitionBy("source").text(root)
-    files = C.read_corpus(spark, root, "corpus")
+    # hidden entries of this folder are the writer's own (_SUCCESS, .crc)
+    files = C.read_corpus(spark, root, "corpus").filter(~F.col("basename").rlike(r"^[._]"))
     nl = F.length("content") - F.length(F.regexp_replace("content", "\n", ""))
     return files.select(F.regexp_extract("path", r"^source=([^/]+)/", 1).alias("scan_id"), "size", nl.alias("nl")).groupBy(
         "scan_id").agg(F.sum("size").cast("long").alias("bytes"), F.sum("nl").cast("long").alias("newlines"))

@@ -39,22 +39,97 @@ def with_layout(df: DataFrame) -> DataFrame:
         "basename", basename(F.col("path"))).withColumn("ext", ext(F.col("path")))
 
 
+def _fs_and_path(uri: str):
+    """pyarrow filesystem + path for a Spark/Hadoop URI (file:, hdfs:, s3a:)."""
+    import pyarrow.fs as pafs
+    if uri.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
+    if "://" not in uri:
+        return pafs.LocalFileSystem(), uri
+    fs, path = pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+    return fs, path
+
+
+def _hidden_walker(root_uri: str, max_bytes: int | None):
+    """mapInPandas body: for each directory, the direct children whose names
+    start with '.' or '_' (Spark's listing skips them), walking hidden
+    sub-directories recursively; emits (path, size, content)."""
+    def is_hidden(name: str) -> bool:
+        return name.startswith(".") or name.startswith("_")
+
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.fs as pafs
+        fs, root = _fs_and_path(root_uri)
+        root = root.rstrip("/")
+
+        def emit(info, rows):
+            size = int(info.size or 0)
+            data = b""
+            if not max_bytes or size <= max_bytes:
+                with fs.open_input_stream(info.path) as fh:
+                    data = fh.read()
+            text = None
+            if b"\x00" not in data:
+                try:
+                    text = data.decode("utf-8")
+                except UnicodeDecodeError:
+                    text = None
+            if max_bytes and size > max_bytes:
+                return
+            rows.append((info.path[len(root) + 1:], size, text))
+
+        for pdf in batches:
+            rows: list = []
+            for rel_dir in pdf["rel_dir"].tolist():
+                d = root if not rel_dir else f"{root}/{rel_dir}"
+                try:
+                    children = fs.get_file_info(pafs.FileSelector(d, recursive=False))
+                except (FileNotFoundError, OSError):
+                    continue
+                for info in children:
+                    if not is_hidden(info.base_name):
+                        continue
+                    if info.type == pafs.FileType.File:
+                        emit(info, rows)
+                    elif info.type == pafs.FileType.Directory:
+                        for sub in fs.get_file_info(pafs.FileSelector(info.path, recursive=True)):
+                            if sub.type == pafs.FileType.File:
+                                emit(sub, rows)
+            yield pd.DataFrame(rows, columns=["path", "size", "content"])
+    return fn
+
+
 def read_corpus(spark: SparkSession, root: str, scan_id: str, max_bytes: int | None = None,
-                glob: str | None = None) -> DataFrame:
+                glob: str | None = None, include_hidden: bool = True) -> DataFrame:
     """SRC-01: every file under ``root`` (recursive), paths relative to root.
 
-    binaryFile lists in parallel on the cluster; ``length`` filters are pushed
-    into the listing (SRC-07), so over-size files are never read."""
+    Visible files come from the ``binaryFile`` source (parallel listing on the
+    cluster; the ``length`` filter is pushed into the listing, so over-size
+    files are never read).  Spark's listing skips names starting with '.' or
+    '_', but a scan must see ``.gitignore``, ``.env`` or ``.github/``: with
+    ``include_hidden`` a second pass takes the distinct directories of the
+    visible files (and their ancestors) as a Spark dataset and lists each
+    directory's hidden entries in ``mapInPandas`` tasks (walking hidden
+    sub-directories), so the listing is distributed by directory."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(root)
     if max_bytes:
         df = df.filter(F.col("length") <= max_bytes)
+    root_uri = root.rstrip("/")
     prefix = root.rstrip("/") + "/"
     rel = F.regexp_replace(F.regexp_replace("path", r"^file:", ""), "^" + _re_escape(prefix.replace("file:", "")), "")
-    out = df.select(F.lit(scan_id).alias("scan_id"), rel.alias("path"), F.col("length").alias("size"),
-                    _decode(F.col("content")).alias("content"))
+    out = df.select(rel.alias("path"), F.col("length").alias("size"), _decode(F.col("content")).alias("content"))
+    if include_hidden and not glob:
+        parts = F.split(dirname(F.col("path")), "/")
+        ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)),
+                                lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+        dirs = out.select(F.explode(F.when(dirname(F.col("path")) == ".", F.array(F.lit("")))
+                                    .otherwise(ancestors)).alias("rel_dir")).distinct()
+        hidden = dirs.mapInPandas(_hidden_walker(root_uri, max_bytes), "path string, size long, content string")
+        out = out.unionByName(hidden)
+    out = out.select(F.lit(scan_id).alias("scan_id"), "path", "size", "content")
     return with_layout(out).select(*[c.split()[0] for c in FILES_SCHEMA.split(", ")])
 
 
@@ -112,7 +187,7 @@ def skip_lfs(files: DataFrame) -> DataFrame:
     lfs = attrs.filter(F.col("line").rlike(r"(^|\s)(filter|diff|merge)=lfs(\s|$)") & ~F.col("line").startswith("#"))
     pats = lfs.select("scan_id", glob_to_regex(F.split(F.trim("line"), r"\s+")[0]).alias("re")).distinct()
     hit = files.alias("f").join(pats.alias("p"), (F.col("f.scan_id") == F.col("p.scan_id"))
-                                & F.col("f.path").rlike(F.col("p.re")), "left_semi")
+                                & F.regexp_like(F.col("f.path"), F.col("p.re")), "left_semi")
     return files.join(hit.select("scan_id", "path"), ["scan_id", "path"], "left_anti")
 
 
@@ -127,8 +202,9 @@ def apply_ignore(files: DataFrame) -> DataFrame:
     pats = pats.select("scan_id", "ord", neg.alias("negated"), glob_to_regex(body).alias("re"))
     # a directory pattern also matches everything below it
     m = files.alias("f").join(pats.alias("p"), (F.col("f.scan_id") == F.col("p.scan_id"))
-                              & (F.col("f.path").rlike(F.col("p.re"))
-                                 | F.col("f.path").rlike(F.concat(F.expr("substring(p.re, 1, length(p.re) - 1)"), F.lit("/.*$")))),
+                              & (F.regexp_like(F.col("f.path"), F.col("p.re"))
+                                 | F.regexp_like(F.col("f.path"), F.concat(F.expr("substring(p.re, 1, length(p.re) - 1)"),
+                                                                           F.lit("/.*$")))),
                               "inner")
     decided = m.groupBy("f.scan_id", "f.path").agg(F.max_by("p.negated", "p.ord").alias("negated"))
     ignored = decided.filter(~F.col("negated")).select("scan_id", "path")

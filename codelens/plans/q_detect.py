@@ -173,3 +173,58 @@ def q_det31(spark, sf_dir):
     fw = V.v_names(spark, sf_dir).filter(F.col("kind") == "frameworks").select("scan_id", "name")
     empty_cfg = spark.createDataFrame([], "scan_id string, name string")
     return D.tech_classes(V.v_deps(spark, sf_dir), fw, empty_cfg)
+
+
+# Sub-rules of the framework detector (DET-05..13) and of the security rule
+# array (DET-19..22) and CI scan (DET-28): the same one-pass operator, with the
+# output restricted to the rule's own findings.
+FRAMEWORK_GROUPS = {
+    "DET-05": ["Angular"],
+    "DET-06": ["Flask", "FastAPI", "Django", "Spring Boot", "Hibernate", "JPA"],
+    "DET-07": ["Go (Gin)", "Go (Echo)", "Go (Fiber)", "Go (Chi)", "Go (Gorilla Mux)", "GORM"],
+    "DET-08": ["Next.js"],
+    "DET-09": ["SvelteKit", "Svelte"],
+    "DET-10": ["Nuxt"],
+    "DET-11": ["Vue"],
+    "DET-12": ["Nx"],
+    "DET-13": ["TensorFlow", "PyTorch", "Keras", "Scikit-learn", "Jupyter Notebook", "ML Artifacts"],
+}
+SECURITY_GROUPS = {
+    "DET-19": ["Blocking I/O", "Dynamic code execution"],
+    "DET-20": ["Potential XSS risk"],
+    "DET-21": ["Cookie without httpOnly", "Cookie without secure", "Session cookie flags"],
+    "DET-22": ["Sensitive file"],
+}
+
+
+def _framework_query(names):
+    def q(spark, sf_dir):
+        f = V.v_files(spark, sf_dir).unionByName(V.v_pages(spark, sf_dir).drop("url"))
+        return D.detect_frameworks(f, read_go_requires(f)).filter(F.col("name").isin(*names))
+    return q
+
+
+def _security_query(titles):
+    def q(spark, sf_dir):
+        f = V.v_files(spark, sf_dir).unionByName(V.v_pages(spark, sf_dir).drop("url"))
+        return D.detect_security(f).filter(F.col("title").isin(*titles))
+    return q
+
+
+for _id, _names in FRAMEWORK_GROUPS.items():
+    register(_id, None)(_framework_query(_names))
+for _id, _titles in SECURITY_GROUPS.items():
+    register(_id, None)(_security_query(_titles))
+
+
+@register("DET-28", None)
+def q_det28(spark, sf_dir):
+    return D.ci_findings(V.v_files(spark, sf_dir)).filter(F.col("title") == "Unpinned action version")
+
+
+@register("DET-29", None)
+def q_det29(spark, sf_dir):
+    f = V.v_files(spark, sf_dir)
+    feats = D.detect_features(f).select("scan_id", "feature")
+    iac = D.iac_checks(feats, D.detect_configs(f))
+    return iac.select("scan_id", "has_terraform", "has_k8s", "has_docker", F.array_join("files", ",").alias("files"))

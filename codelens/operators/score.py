@@ -418,16 +418,24 @@ def commit_frequency(activity: DataFrame, contributors: DataFrame, weeks: int =
 
 def _measures(*parts: DataFrame) -> DataFrame:
     from functools import reduce
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _ms(df: DataFrame, **measures: Column) -> DataFrame:
+    """All measures of one source in ONE pass: a per-scan partial aggregate
+    (one row per scan and source), so a source is scanned once however many
+    measures it feeds."""
+    return df.groupBy("scan_id").agg(*[F.sum(v.cast("double")).alias(n) for n, v in measures.items()])
 
 
 def _m(df: DataFrame, name: str, value: Column) -> DataFrame:
-    return df.select("scan_id", F.lit(name).alias("measure"), value.cast("double").alias("value"))
+    return _ms(df, **{name: value})
 
 
 def _fold(m: DataFrame, names: list[str]) -> DataFrame:
-    return m.groupBy("scan_id").agg(*[F.coalesce(F.sum(F.when(F.col("measure") == n, F.col("value"))), F.lit(0.0)).alias(n)
-                                     for n in names])
+    """Final fold of the per-source rows: one grouped aggregate per scan."""
+    return m.groupBy("scan_id").agg(*[
+        (F.coalesce(F.sum(n), F.lit(0.0)) if n in m.columns else F.lit(0.0)).alias(n) for n in names])
 
 
 VULN_POINTS = {"critical": 20, "high": 10, "medium": 5, "low": 2}
@@ -444,9 +452,8 @@ def risk_score(findings: DataFrame, compat: DataFrame, missing: DataFrame, sugge
         pts = F.when(s == word, F.lit(p)).otherwise(pts)
     k = F.col("kind")
     m = _measures(
-        _m(findings, "vuln_points", F.when(k == VULN, pts).otherwise(0)),
-        _m(findings, "policies", (k == POLICY).cast("int")),
-        _m(findings, "insecure", (k == INSECURE).cast("int")),
+        _ms(findings, vuln_points=F.when(k == VULN, pts).otherwise(0), policies=(k == POLICY).cast("int"),
+            insecure=(k == INSECURE).cast("int")),
         _m(compat, "unsupported", F.col("unsupported")),
         _m(missing, "missing_configs", F.lit(1)),
         _m(suggestions, "secure_high", ((F.lower(F.coalesce("severity", F.lit(""))) == "high")
@@ -465,8 +472,7 @@ def predictive_risk(severity: DataFrame, compat: DataFrame, findings: DataFrame)
     decreasing, else stable); projected debt = round(3 x unsupported + 2 x
     inefficient findings); up to four recommendation lines."""
     m = _measures(
-        _m(severity, "low", F.col("low")), _m(severity, "moderate", F.col("moderate")),
-        _m(severity, "high", F.col("high")), _m(severity, "critical", F.col("critical")),
+        _ms(severity, low=F.col("low"), moderate=F.col("moderate"), high=F.col("high"), critical=F.col("critical")),
         _m(compat, "unsupported", F.col("unsupported")),
         _m(findings, "inefficient", (F.col("kind") == "inefficient").cast("int")))
     f = _fold(m, ["low", "moderate", "high", "critical", "unsupported", "inefficient"])
@@ -492,7 +498,7 @@ def compliance_report(findings: DataFrame, compat: DataFrame, recommendations_df
     policies, large assets and the first 20 recommendations."""
     from codelens.operators.joins import scan_standards
     k = F.col("kind")
-    m = _measures(_m(findings, "vulns", (k == VULN).cast("int")), _m(findings, "policies", (k == POLICY).cast("int")),
+    m = _measures(_ms(findings, vulns=(k == VULN).cast("int"), policies=(k == POLICY).cast("int")),
                   _m(compat, "unsupported", F.col("unsupported")), _m(large, "large_assets", F.lit(1)))
     f = _fold(m, ["vulns", "policies", "unsupported", "large_assets"])
     recs = recommendations_df.groupBy("scan_id").agg(
@@ -518,13 +524,11 @@ def sast_report(findings: DataFrame, compat: DataFrame, tool_runs: DataFrame) ->
     b = severity_bucket(F.col("severity"), "low")
     s = normalize_severity(F.col("severity"))
     hyg = k.isin(POLICY, INSECURE)
-    parts = [_m(findings, f"v_{x}", ((k == VULN) & (b == x)).cast("int")) for x in ["critical", "high", "medium", "low"]]
-    parts += [_m(findings, f"h_{x}", (hyg & (b == x)).cast("int")) for x in ["critical", "high", "medium", "low"]]
-    parts += [_m(findings, "ci_workflows", (k == CI).cast("int")),
-              _m(findings, "ci_high", ((k == CI) & s.isin("critical", "high")).cast("int")),
-              _m(findings, "ci_medium", ((k == CI) & (s == "medium")).cast("int")),
-              _m(findings, "ci_low", ((k == CI) & (s == "low")).cast("int")),
-              _m(compat, "unsupported", F.col("unsupported"))]
+    fm = {f"v_{x}": ((k == VULN) & (b == x)).cast("int") for x in ["critical", "high", "medium", "low"]}
+    fm.update({f"h_{x}": (hyg & (b == x)).cast("int") for x in ["critical", "high", "medium", "low"]})
+    fm.update({"ci_workflows": (k == CI).cast("int"), "ci_high": ((k == CI) & s.isin("critical", "high")).cast("int"),
+               "ci_medium": ((k == CI) & (s == "medium")).cast("int"), "ci_low": ((k == CI) & (s == "low")).cast("int")})
+    parts = [_ms(findings, **fm), _m(compat, "unsupported", F.col("unsupported"))]
     names = [f"{p}_{x}" for p in ("v", "h") for x in ("critical", "high", "medium", "low")] + \
             ["ci_workflows", "ci_high", "ci_medium", "ci_low", "unsupported"]
     f = _fold(_measures(*parts), names)
@@ -566,9 +570,9 @@ def scan_statistics(scanned: DataFrame, analyzed: DataFrame, findings: DataFrame
     k = F.col("kind")
     s = normalize_severity(F.col("severity"))
     m = _measures(_m(scanned, "scanned", F.lit(1)), _m(analyzed, "analyzed", F.lit(1)),
-                  _m(findings, "vulns", (k == VULN).cast("int")), _m(findings, "insecure", (k == INSECURE).cast("int")),
-                  _m(findings, "policies", (k == POLICY).cast("int")), _m(findings, "secrets", (k == SECRET).cast("int")),
-                  _m(findings, "critical", ((k == VULN) & (s == "critical")).cast("int")))
+                  _ms(findings, vulns=(k == VULN).cast("int"), insecure=(k == INSECURE).cast("int"),
+                      policies=(k == POLICY).cast("int"), secrets=(k == SECRET).cast("int"),
+                      critical=((k == VULN) & (s == "critical")).cast("int")))
     f = _fold(m, ["scanned", "analyzed", "vulns", "insecure", "policies", "secrets", "critical"])
     L = {n: F.col(n).cast("long") for n in ["scanned", "analyzed", "vulns", "insecure", "policies", "secrets", "critical"]}
     warnings = F.array_compact(F.array(
@@ -601,10 +605,9 @@ def change_narrative(risk: DataFrame, suggestions: DataFrame, vulns: DataFrame,
     rationale lines."""
     cat = F.when(F.col("category").isin(*KNOWN_CATEGORIES), F.col("category")).otherwise("modernize")
     sev = F.lower(F.coalesce("severity", F.lit("")))
-    parts = [_m(risk, "risk", F.col("risk")), _m(suggestions, "items", F.lit(1))]
-    parts += [_m(suggestions, "c_" + c, (cat == c).cast("int")) for c in KNOWN_CATEGORIES]
-    parts += [_m(vulns, "vulns", F.lit(1))] + [_m(vulns, "s_" + s, (sev == s).cast("int"))
-                                                for s in ["critical", "high", "medium", "low"]]
+    parts = [_m(risk, "risk", F.col("risk")),
+             _ms(suggestions, items=F.lit(1), **{"c_" + c: (cat == c).cast("int") for c in KNOWN_CATEGORIES}),
+             _ms(vulns, vulns=F.lit(1), **{"s_" + x: (sev == x).cast("int") for x in ["critical", "high", "medium", "low"]})]
     names = ["risk", "items"] + ["c_" + c for c in KNOWN_CATEGORIES] + ["vulns"] + \
             ["s_" + s for s in ["critical", "high", "medium", "low"]]
     f = _fold(_measures(*parts), names)

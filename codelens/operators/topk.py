@@ -50,17 +50,22 @@ def top_hits(hits: DataFrame, k: int = 10, by: list[str] | None = None) -> DataF
 
 
 def page(df: DataFrame, n: int, size: int, order: list[Column], by: list[str] | None = None) -> DataFrame:
-    """TOP-05: page ``n`` (1-based) of ``size`` rows, plus ``total_pages``.
-
-    Page bounds are a row-number range; total pages is ``ceil(count/size)``
-    computed per group by a window count, so no driver round trip."""
-    by = by or []
-    w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
-    wc = Window.partitionBy(*by) if by else Window.partitionBy()
-    out = (df.withColumn("row", F.row_number().over(w))
-           .withColumn("total_pages", F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)).over(wc) / F.lit(size))).cast("long")))
+    """TOP-05: page ``n`` (1-based) of ``size`` rows per group, plus
+    ``total_pages = max(1, ceil(count / size))``.
+
+    Rows up to the page's end are a rank filter (``WindowGroupLimit`` keeps at
+    most ``n x size`` rows per group and map task before the shuffle); the
+    count is a grouped aggregate joined back, not a window over a whole group."""
+    keys = list(by or [])
+    if not keys:  # one list: a constant group key (equi join on it, no cross join)
+        df, keys = df.withColumn("_g", F.lit(0)), ["_g"]
     lo, hi = (n - 1) * size + 1, n * size
-    return out.filter(F.col("row").between(lo, hi))
+    w = Window.partitionBy(*keys).orderBy(*order)
+    head = df.withColumn("row", F.row_number().over(w)).filter(F.col("row") <= hi).filter(F.col("row") >= lo)
+    counts = df.groupBy(*keys).agg(
+        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(size))).cast("long").alias("total_pages"))
+    out = head.join(counts, keys, "inner")
+    return out.drop("_g") if "_g" in keys else out
 
 
 def first_results(findings: DataFrame, k: int = 100, ord_col: str = "ord") -> DataFrame:

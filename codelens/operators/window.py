@@ -130,14 +130,17 @@ def retention(entries: DataFrame, now, ttl_seconds: int, budget_bytes: int,
     sizes (including it) stays within the budget, i.e. the oldest are evicted
     until the total fits.  Ties on mtime are broken by path.
 
+    The newest-first running total is a distributed running sum (range
+    partitioned by root and time), so one large cache root is not one task.
     Returns every entry with ``action`` in keep / expire / evict."""
+    from codelens.operators.ordered import running_sum
     by = by or ["root"]
     now_c = F.lit(now).cast("timestamp") if not isinstance(now, Column) else now
     age = F.unix_timestamp(now_c) - F.unix_timestamp(F.col("mtime"))
     e = entries.withColumn("_expired", age > F.lit(ttl_seconds))
-    w = (Window.partitionBy(*by, "_expired").orderBy(F.col("mtime").desc(), F.col("path"))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    run = F.sum("size").over(w)
-    return e.withColumn("running_bytes", F.when(~F.col("_expired"), run).cast("long")).withColumn(
+    live = running_sum(e.filter(~F.col("_expired")), by, ["-mtime", "path"], F.col("size"), "running_bytes")
+    live = live.withColumn("running_bytes", F.col("running_bytes").cast("long"))
+    dead = e.filter(F.col("_expired")).withColumn("running_bytes", F.lit(None).cast("long"))
+    return live.unionByName(dead).withColumn(
         "action", F.when(F.col("_expired"), "expire").when(F.col("running_bytes") > budget_bytes, "evict")
         .otherwise("keep")).drop("_expired")

@@ -83,11 +83,13 @@ def pipeline_stage(step: Column, pct: Column, complete: Column | None = None) ->
 
 def file_progress(files: DataFrame) -> DataFrame:
     """STR-05: progress after the i-th file of n (1-based, path order) =
-    50 + round(i / n x 30)."""
-    w = Window.partitionBy("scan_id").orderBy("path")
-    n = F.count(F.lit(1)).over(Window.partitionBy("scan_id"))
-    i = F.row_number().over(w)
-    return files.select("scan_id", "path", i.alias("i"), n.alias("n")).withColumn(
+    50 + round(i / n x 30).  The position is a distributed row index (range
+    partitioned, no whole-scan window) and n a grouped count joined back."""
+    from codelens.operators.ordered import row_index
+    f = files.select("scan_id", "path")
+    idx = row_index(f, ["scan_id"], ["path"], "i")
+    n = f.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
+    return idx.join(n, "scan_id").select("scan_id", "path", F.col("i").cast("int").alias("i"), "n").withColumn(
         "progress", (50 + round_half_up(F.col("i") / F.col("n") * 30)).cast("long"))
 
 

@@ -260,32 +260,32 @@ def build_diff(suggestions: DataFrame, by: str = "scan_id", ord_col: str = "ord"
 
 
 def parse_diffs(df: DataFrame, col: str, key: str = "doc_id") -> DataFrame:
-    """TXT-09: unified diff text -> ``(key, path, original, modified)`` per file
-    block.  Lines keep their position; a block starts at each ``--- `` line
-    (running count over positions of one document); the path is the ``+++
-    b/…`` path, else the ``--- [a/]…`` path; ``-``/``+`` lines are collected
-    in line order.  Blocks without a path are dropped."""
-    lines = df.select(key, F.posexplode(F.split(F.coalesce(F.col(col), F.lit("")), r"\r?\n")).alias("pos", "line"))
-    is_hdr = F.col("line").startswith("--- ")
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    l2 = lines.withColumn("block", F.sum(is_hdr.cast("int")).over(w))
-    ln = F.col("line")
-    a_path = F.when(ln.startswith("--- "), F.regexp_extract(ln, r"^---\s+(?:a/)?(.+?)\s*$", 1))
-    b_path = F.when(ln.startswith("+++ "), F.nullif(F.regexp_extract(ln, r"^\+\+\+\s+b/(.+?)\s*$", 1), F.lit("")))
-    kind = (F.when(ln.startswith("--- "), "hdr").when(ln.startswith("+++ "), "hdr2").when(ln.startswith("@@"), "hunk")
-            .when(ln.startswith("-"), "orig").when(ln.startswith("+"), "mod"))
-    l3 = l2.select(key, "block", "pos", kind.alias("kind"), F.nullif(a_path, F.lit("")).alias("a_path"),
-                   b_path.alias("b_path"), F.substring(ln, 2, 1 << 30).alias("body"))
-    g = l3.filter(F.col("block") > 0).groupBy(key, "block").agg(
-        F.first("a_path", ignorenulls=True).alias("a_path"),
-        F.min_by("b_path", F.when(F.col("kind") == "hdr2", F.col("pos"))).alias("b_path"),
-        F.collect_list(F.when(F.col("kind") == "orig", F.struct("pos", "body"))).alias("o"),
-        F.collect_list(F.when(F.col("kind") == "mod", F.struct("pos", "body"))).alias("m"))
-
-    def joined(c):
-        return F.array_join(F.transform(F.array_sort(F.col(c)), lambda x: x["body"]), "\n")
-    return g.select(key, "block", F.coalesce("b_path", "a_path").alias("path"), joined("o").alias("original"),
-                    joined("m").alias("modified")).filter(F.col("path").isNotNull())
+    """TXT-09: unified diff text -> ``(key, block, path, original, modified)``
+    per file block.
+
+    Everything happens inside the document's row (no shuffle): the positions
+    of the ``--- `` header lines split the line array into blocks; a block's
+    path is its ``+++ b/...`` path, else the ``--- [a/]...`` path; ``-`` and
+    ``+`` lines (other than the headers) are joined in line order.  Blocks
+    without a path are dropped."""
+    lines = F.split(F.coalesce(F.col(col), F.lit("")), r"\r?\n")
+    d = df.select(key, lines.alias("_l"))
+    hdr = F.filter(F.transform("_l", lambda ln, i: F.when(ln.startswith("--- "), i + 1)), lambda x: x.isNotNull())
+    d = d.withColumn("_h", hdr)
+    nxt = lambda k: F.coalesce(F.try_element_at(F.col("_h"), (k + 2).cast("int")), F.size("_l") + 1)
+    blocks = F.transform("_h", lambda h, k: F.struct((k + 1).alias("block"),
+                                                     F.slice("_l", h, nxt(k) - h).alias("lines")))
+    b = d.select(key, F.explode(blocks).alias("b")).select(key, "b.block", F.col("b.lines").alias("ls"))
+    first = F.try_element_at(F.col("ls"), F.lit(1))
+    a_path = F.nullif(F.regexp_extract(first, r"^---\s+(?:a/)?(.+?)\s*$", 1), F.lit(""))
+    plus_hdr = F.filter("ls", lambda x: x.startswith("+++ "))
+    b_path = F.nullif(F.regexp_extract(F.try_element_at(plus_hdr, F.lit(1)), r"^\+\+\+\s+b/(.+?)\s*$", 1), F.lit(""))
+    body = F.slice("ls", 2, F.greatest(F.size("ls") - 1, F.lit(0)))
+    orig = F.transform(F.filter(body, lambda x: x.startswith("-")), lambda x: F.substring(x, 2, 1 << 30))
+    mod = F.transform(F.filter(body, lambda x: x.startswith("+") & ~x.startswith("+++ ")),
+                      lambda x: F.substring(x, 2, 1 << 30))
+    return b.select(key, "block", F.coalesce(b_path, a_path).alias("path"), F.array_join(orig, "\n").alias("original"),
+                    F.array_join(mod, "\n").alias("modified")).filter(F.col("path").isNotNull())
 
 
 def changed_paths(parsed: DataFrame) -> DataFrame:

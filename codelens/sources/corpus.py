@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelens.dims import bounded_broadcast
 from codelens.functions.scalar import basename, dirname, ext
 
 FILES_SCHEMA = "scan_id string, path string, dir string, basename string, ext string, size long, content string"
@@ -186,6 +187,7 @@ def skip_lfs(files: DataFrame) -> DataFrame:
         "scan_id", F.explode(F.split(F.coalesce("content", F.lit("")), r"\r?\n")).alias("line"))
     lfs = attrs.filter(F.col("line").rlike(r"(^|\s)(filter|diff|merge)=lfs(\s|$)") & ~F.col("line").startswith("#"))
     pats = lfs.select("scan_id", glob_to_regex(F.split(F.trim("line"), r"\s+")[0]).alias("re")).distinct()
+    pats = bounded_broadcast(pats)  # patterns grow with scans, not files: broadcast when the estimate is small
     hit = files.alias("f").join(pats.alias("p"), (F.col("f.scan_id") == F.col("p.scan_id"))
                                 & F.regexp_like(F.col("f.path"), F.col("p.re")), "left_semi")
     return files.join(hit.select("scan_id", "path"), ["scan_id", "path"], "left_anti")
@@ -199,7 +201,7 @@ def apply_ignore(files: DataFrame) -> DataFrame:
     pats = gi.select("scan_id", "ord", F.trim("line").alias("l")).filter((F.col("l") != "") & ~F.col("l").startswith("#"))
     neg = F.col("l").startswith("!")
     body = F.regexp_replace(F.when(neg, F.expr("substring(l, 2)")).otherwise(F.col("l")), r"^/|/$", "")
-    pats = pats.select("scan_id", "ord", neg.alias("negated"), glob_to_regex(body).alias("re"))
+    pats = bounded_broadcast(pats.select("scan_id", "ord", neg.alias("negated"), glob_to_regex(body).alias("re")))
     # a directory pattern also matches everything below it
     m = files.alias("f").join(pats.alias("p"), (F.col("f.scan_id") == F.col("p.scan_id"))
                               & (F.regexp_like(F.col("f.path"), F.col("p.re"))

@@ -5,7 +5,7 @@ manifest is processed where its row lives."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelens.functions.scalar import basename, dirname, js_trim
@@ -44,21 +44,25 @@ def read_go_requires(files: DataFrame) -> DataFrame:
     """SRC-16: module paths required by each ``go.mod`` — single-line
     ``require x v`` and ``require ( ... )`` blocks.
 
-    Lines keep their position (``posexplode``); block membership is a running
-    state per file: the last block open/close marker at or before the line
-    (a window over line positions of one file)."""
+    Parsed inside the file's row (no shuffle): the positions of the block
+    open / close markers are collected once; a line is inside a block when
+    the last marker before it is an opener."""
     g = files.filter(basename(F.col("path")) == "go.mod").select("scan_id", "path", "content")
-    lines = g.select("scan_id", "path", F.posexplode(F.split(F.coalesce("content", F.lit("")), r"\r?\n"))
-                     .alias("pos", "line")).withColumn("l", js_trim(F.col("line")))
+    lines = F.transform(F.split(F.coalesce("content", F.lit("")), r"\r?\n"), lambda x: js_trim(x))
+    g = g.select("scan_id", "path", lines.alias("_l"))
+    marks = F.filter(F.transform("_l", lambda ln, i: F.when(
+        ln.rlike(r"^require\s*\(\s*$"), F.struct(i.alias("pos"), F.lit(1).alias("open"))).when(
+        ln.rlike(r"^\)"), F.struct(i.alias("pos"), F.lit(0).alias("open")))), lambda m: m.isNotNull())
+    g = g.withColumn("_m", marks)
+    items = F.transform("_l", lambda ln, i: F.struct(
+        i.alias("pos"), ln.alias("l"),
+        F.coalesce(F.array_max(F.filter("_m", lambda m: m["pos"] < i))["open"], F.lit(0)).alias("in_block")))
+    x = g.select("scan_id", "path", F.explode(items).alias("x")).select("scan_id", "path", "x.pos", "x.l", "x.in_block")
     opener = F.col("l").rlike(r"^require\s*\(\s*$")
     closer = F.col("l").rlike(r"^\)")
-    marker = F.when(opener, F.struct(F.col("pos"), F.lit(1).alias("open"))).when(
-        closer, F.struct(F.col("pos"), F.lit(0).alias("open")))
-    w = Window.partitionBy("scan_id", "path").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    st = lines.withColumn("_m", F.max(marker).over(w))
-    in_block = F.coalesce(F.col("_m.open"), F.lit(0)) == 1
+    in_block = F.col("in_block") == 1
     single = F.regexp_extract("l", r"^require\s+(\S+)\s+", 1)
     blockm = F.regexp_extract("l", r"^(\S+)\s+", 1)
     mod = (F.when(opener | (in_block & closer), None).when(single != "", single)
            .when(in_block & (blockm != ""), blockm))
-    return st.select("scan_id", "path", "pos", mod.alias("module")).filter(F.col("module").isNotNull())
+    return x.select("scan_id", "path", "pos", mod.alias("module")).filter(F.col("module").isNotNull())

@@ -65,7 +65,18 @@ TECH_VALUES = ", ".join(f"('{n}', {str(a).lower()}, '{s}', '{t}')" for n, a, s,
                         __import__("codelens.rules", fromlist=["x"]).TECH_EVALUATION)
 
 
-@register("JOIN-13", None)
+def _join13_sql():
+    from codelens.plans.q_diff import ROUTER_SQL
+    return f"""
+WITH r AS (SELECT scan_id, name FROM ({ROUTER_SQL})),
+t AS (SELECT * FROM (VALUES {TECH_VALUES}) AS v(name, approved, status, testing_level))
+SELECT r.scan_id, r.name, coalesce(t.testing_level, 'smoke') AS testing_level
+FROM r LEFT JOIN t ON r.name = t.name
+WHERE (t.status IS NULL AND t.approved IS NULL) OR (lower(coalesce(t.status, '')) <> 'inactive' AND coalesce(t.approved, false))
+"""
+
+
+@register("JOIN-13", _join13_sql())
 def q_join13(spark, sf_dir):
     from codelens.plans.q_diff import router
     r = router(spark, sf_dir).select("scan_id", "name")
@@ -234,7 +245,29 @@ def tool_runs(spark, sf_dir):
         "status", F.lit("ok"))
 
 
-@register("AGG-21", None)
+B_ = "(CASE WHEN (" + NSEV + ") = 'unknown' THEN 'low' ELSE (" + NSEV + ") END)"
+AGG21_SQL = f"""
+WITH f AS (SELECT scan_id,
+  {cnt("kind = 'vulnerability' AND " + B_ + " = 'critical'")} AS v_critical, {cnt("kind = 'vulnerability' AND " + B_ + " = 'high'")} AS v_high,
+  {cnt("kind = 'vulnerability' AND " + B_ + " = 'medium'")} AS v_medium, {cnt("kind = 'vulnerability' AND " + B_ + " = 'low'")} AS v_low,
+  {cnt("kind IN ('missing_policy', 'insecure_api') AND " + B_ + " = 'critical'")} AS h_critical,
+  {cnt("kind IN ('missing_policy', 'insecure_api') AND " + B_ + " = 'high'")} AS h_high,
+  {cnt("kind IN ('missing_policy', 'insecure_api') AND " + B_ + " = 'medium'")} AS h_medium,
+  {cnt("kind IN ('missing_policy', 'insecure_api') AND " + B_ + " = 'low'")} AS h_low,
+  {cnt("kind = 'ci'")} AS ci_workflows, {cnt("kind = 'ci' AND (" + NSEV + ") IN ('critical', 'high')")} AS ci_high,
+  {cnt("kind = 'ci' AND (" + NSEV + ") = 'medium'")} AS ci_medium, {cnt("kind = 'ci' AND (" + NSEV + ") = 'low'")} AS ci_low,
+  max(CASE WHEN source = 'semgrep' THEN 1 ELSE 0 END) AS has_semgrep
+  FROM {FIND} GROUP BY scan_id),
+c AS ({COMPAT_SQL})
+SELECT f.scan_id, v_critical, v_high, v_medium, v_low, h_critical, h_high, h_medium, h_low,
+       ci_workflows, ci_high, ci_medium, ci_low, CAST(coalesce(c.unsupported, 0) AS BIGINT) AS unsupported,
+       CASE WHEN has_semgrep = 1 THEN 'ok' ELSE 'not_executed' END AS tool_semgrep,
+       'not_executed' AS tool_npm, 'not_executed' AS tool_owasp_dependency_check, 'not_executed' AS tool_safety
+FROM f LEFT JOIN c ON f.scan_id = c.scan_id
+"""
+
+
+@register("AGG-21", AGG21_SQL)
 def q_agg21(spark, sf_dir):
     return S.sast_report(V.v_findings(spark, sf_dir), compat(spark, sf_dir), tool_runs(spark, sf_dir))
 

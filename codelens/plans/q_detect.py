@@ -11,22 +11,28 @@ from codelens.sources.manifests import read_go_requires
 
 FILES = f"({V.V_FILES_SQL})"
 PAGES = f"({V.V_PAGES_SQL})"
+CORPUS = f"({V.V_FILES_SQL} UNION ALL {V.V_CODE_SQL})"
+
+
+def corpus(spark, sf_dir):
+    """Documents and the code corpus built from part: whole texts of both."""
+    return V.v_files(spark, sf_dir).unionByName(V.v_code(spark, sf_dir))
 
 
 @register("DET-01", None)
 def q_det01(spark, sf_dir):
     """JS features over every .js file of the corpus (whole texts)."""
-    return D.detect_js(V.v_files(spark, sf_dir))
+    return D.detect_js(corpus(spark, sf_dir))
 
 
 @register("DET-02", None)
 def q_det02(spark, sf_dir):
-    return D.detect_css(V.v_files(spark, sf_dir))
+    return D.detect_css(corpus(spark, sf_dir))
 
 
 @register("DET-03", None)
 def q_det03(spark, sf_dir):
-    f = D.detect_features(V.v_files(spark, sf_dir))
+    f = D.detect_features(corpus(spark, sf_dir))
     return D.project_features(f).select("scan_id", F.array_join("features", ",").alias("features"))
 
 
@@ -47,13 +53,12 @@ def q_det17(spark, sf_dir):
 @register("DET-18", None)
 def q_det18(spark, sf_dir):
     """Full security rule array (DET-17..22) over page html and code files."""
-    return D.detect_security(V.v_pages(spark, sf_dir).unionByName(
-        V.v_files(spark, sf_dir).withColumn("url", F.lit(None).cast("string"))))
+    return D.detect_security(V.v_pages(spark, sf_dir).drop("url").unionByName(corpus(spark, sf_dir)))
 
 
 @register("DET-23", None)
 def q_det23(spark, sf_dir):
-    f = V.v_files(spark, sf_dir)
+    f = corpus(spark, sf_dir)
     return D.sensitive_files(f, D.detect_security(f))
 
 
@@ -82,33 +87,32 @@ def q_det25(spark, sf_dir):
 
 @register("DET-26", None)
 def q_det26(spark, sf_dir):
-    return D.policy_gaps(V.v_files(spark, sf_dir).unionByName(
-        V.v_pages(spark, sf_dir).drop("url")))
+    return D.policy_gaps(corpus(spark, sf_dir).unionByName(V.v_pages(spark, sf_dir).drop("url")))
 
 
 @register("DET-27", None)
 def q_det27(spark, sf_dir):
-    return D.ci_findings(V.v_files(spark, sf_dir))
+    return D.ci_findings(corpus(spark, sf_dir))
 
 
 @register("DET-14", None)
 def q_det14(spark, sf_dir):
-    return D.detect_configs(V.v_files(spark, sf_dir))
+    return D.detect_configs(corpus(spark, sf_dir))
 
 
 @register("DET-15", None)
 def q_det15(spark, sf_dir):
-    return D.build_tools(D.detect_configs(V.v_files(spark, sf_dir)))
+    return D.build_tools(D.detect_configs(corpus(spark, sf_dir)))
 
 
 @register("DET-16", None)
 def q_det16(spark, sf_dir):
-    return D.frameworks_from_configs(D.detect_configs(V.v_files(spark, sf_dir)))
+    return D.frameworks_from_configs(D.detect_configs(corpus(spark, sf_dir)))
 
 
 @register("DET-04", None)
 def q_det04(spark, sf_dir):
-    f = V.v_files(spark, sf_dir)
+    f = corpus(spark, sf_dir)
     return D.detect_frameworks(f, read_go_requires(f))
 
 
@@ -199,14 +203,14 @@ SECURITY_GROUPS = {
 
 def _framework_query(names):
     def q(spark, sf_dir):
-        f = V.v_files(spark, sf_dir).unionByName(V.v_pages(spark, sf_dir).drop("url"))
+        f = corpus(spark, sf_dir).unionByName(V.v_pages(spark, sf_dir).drop("url"))
         return D.detect_frameworks(f, read_go_requires(f)).filter(F.col("name").isin(*names))
     return q
 
 
 def _security_query(titles):
     def q(spark, sf_dir):
-        f = V.v_files(spark, sf_dir).unionByName(V.v_pages(spark, sf_dir).drop("url"))
+        f = corpus(spark, sf_dir).unionByName(V.v_pages(spark, sf_dir).drop("url"))
         return D.detect_security(f).filter(F.col("title").isin(*titles))
     return q
 
@@ -219,12 +223,129 @@ for _id, _titles in SECURITY_GROUPS.items():
 
 @register("DET-28", None)
 def q_det28(spark, sf_dir):
-    return D.ci_findings(V.v_files(spark, sf_dir)).filter(F.col("title") == "Unpinned action version")
+    return D.ci_findings(corpus(spark, sf_dir)).filter(F.col("title") == "Unpinned action version")
 
 
 @register("DET-29", None)
 def q_det29(spark, sf_dir):
-    f = V.v_files(spark, sf_dir)
+    f = corpus(spark, sf_dir)
     feats = D.detect_features(f).select("scan_id", "feature")
     iac = D.iac_checks(feats, D.detect_configs(f))
     return iac.select("scan_id", "has_terraform", "has_k8s", "has_docker", F.array_join("files", ",").alias("files"))
+
+
+# -- oracles for the detectors whose rules RE2 can express ----------------------
+from codelens import rules as _R  # noqa: E402
+from codelens.plans.catalog import ORACLE  # noqa: E402
+
+SEC_EXTS = "('.js', '.jsx', '.ts', '.tsx', '.html')"
+_C = "coalesce(content, '')"
+_COOKIE = f"regexp_matches({_C}, '(?i)res\\.cookie\\s*\\(')"
+_SESSION = f"""regexp_matches({_C}, '(?i)require\\([''"]express-session[''"]\\)|from\\s+[''"]express-session[''"]')"""
+SEC_RULES_SQL = [
+    (f"regexp_matches({_C}, '(?i)http://')", "insecure_api", "Insecure HTTP usage", "High", "Found http:// reference in"),
+    (f"""regexp_matches({_C}, '(?i)app\\.use\\(\\s*cors\\s*\\(\\s*\\)\\s*\\)') OR regexp_matches({_C}, '(?i)origin\\s*:\\s*[''"][*][''"]')""",
+     "missing_policy", "Permissive CORS", "Medium", "Wildcard CORS policy in"),
+    (f"""regexp_matches({_C}, '(?i)cors\\s*\\(\\s*\\{{[^}}]*origin\\s*:\\s*[''"][*][''"][^}}]*credentials\\s*:\\s*true')""",
+     "missing_policy", "Permissive CORS with credentials", "High", "Wildcard origin and credentials=true in"),
+    (f"""regexp_matches({_C}, '(?i)cors\\s*\\(\\s*\\{{[^}}]*(allowedHeaders|methods)\\s*:\\s*[''"][*][''"]')""",
+     "missing_policy", "Wildcard CORS headers/methods", "Medium", "Wildcard headers or methods in"),
+    (f"regexp_matches({_C}, 'fs\\.[a-zA-Z]+Sync\\(') OR contains({_C}, 'execSync(') OR contains({_C}, 'spawnSync(')",
+     "inefficient", "Blocking I/O", "Medium", "Synchronous operation in"),
+    (f"regexp_matches({_C}, 'eval\\s*\\(') OR regexp_matches({_C}, 'new\\s+Function\\s*\\(')",
+     "inefficient", "Dynamic code execution", "High", "Use of eval/new Function in"),
+    (f"regexp_matches({_C}, 'document\\.write\\s*\\(') OR regexp_matches({_C}, 'dangerouslySetInnerHTML\\s*:\\s*') "
+     f"OR regexp_matches({_C}, 'innerHTML\\s*=')", "insecure_api", "Potential XSS risk", "Medium", "Direct HTML injection pattern in"),
+    (f"{_COOKIE} AND NOT regexp_matches({_C}, '(?i)httpOnly\\s*:\\s*true')", "insecure_api", "Cookie without httpOnly",
+     "Medium", "res.cookie missing httpOnly in"),
+    (f"{_COOKIE} AND NOT regexp_matches({_C}, '(?i)secure\\s*:\\s*true')", "insecure_api", "Cookie without secure",
+     "Low", "res.cookie missing secure in"),
+    (f"{_SESSION} AND NOT (regexp_matches({_C}, '(?i)cookie\\s*:\\s*\\{{[^}}]*secure\\s*:\\s*true') AND "
+     f"regexp_matches({_C}, '(?i)cookie\\s*:\\s*\\{{[^}}]*httpOnly\\s*:\\s*true'))", "missing_policy", "Session cookie flags",
+     "Medium", "express-session cookies missing secure/httpOnly in"),
+    (f"regexp_matches({_C}, 'AKIA[0-9A-Z]{{16}}') OR regexp_matches({_C}, '-----BEGIN\\s+PRIVATE\\s+KEY-----')",
+     "sensitive", "Sensitive file", "High", "Secret pattern in"),
+]
+SEC_SOURCE = (f"(SELECT scan_id, path, basename, ext, content FROM {CORPUS} UNION ALL "
+              f"SELECT scan_id, path, basename, ext, content FROM {PAGES})")
+
+
+def security_sql(src: str, titles: list[str] | None = None) -> str:
+    parts = []
+    for cond, kind, title, sev, desc in SEC_RULES_SQL:
+        if titles is not None and title not in titles:
+            continue
+        parts.append(f"SELECT scan_id, path AS file, '{kind}' AS kind, '{title}' AS title, '{sev}' AS severity, "
+                     f"'{desc} ' || basename AS description FROM {src} WHERE ext IN {SEC_EXTS} AND ({cond})")
+    return "\nUNION ALL\n".join(parts)
+
+
+ORACLE["DET-18"] = security_sql(SEC_SOURCE)
+for _id, _titles in SECURITY_GROUPS.items():
+    ORACLE[_id] = security_sql(SEC_SOURCE, _titles)
+
+ORACLE["DET-14"] = (f"SELECT DISTINCT scan_id, basename AS name FROM {CORPUS} WHERE basename IN "
+                    f"({', '.join(repr(n) for n in _R.CONFIG_FILE_NAMES)})")
+ORACLE["DET-15"] = (f"SELECT DISTINCT c.scan_id, t.tool AS name FROM ({ORACLE['DET-14']}) c JOIN (VALUES "
+                    f"{', '.join(f'({c!r}, {t!r})' for c, t in _R.BUILD_TOOL_RULES)}) AS t(config, tool) ON c.name = t.config")
+ORACLE["DET-16"] = (f"SELECT DISTINCT c.scan_id, t.fw AS name FROM ({ORACLE['DET-14']}) c JOIN (VALUES "
+                    f"{', '.join(f'({c!r}, {t!r})' for c, t in _R.CONFIG_FRAMEWORK_RULES)}) AS t(config, fw) ON c.name = t.config")
+ORACLE["DET-23"] = f"""
+SELECT DISTINCT scan_id, name FROM (
+  SELECT scan_id, basename AS name FROM {CORPUS}
+  WHERE contains(basename, '.npmrc') OR contains(basename, '.yarnrc') OR contains(basename, 'credentials') OR contains(basename, '.env')
+  UNION ALL
+  SELECT scan_id, regexp_extract(file, '[^/]*$', 0) AS name FROM ({security_sql(CORPUS, ['Sensitive file'])}))
+"""
+
+_WF = (f"(SELECT scan_id, basename AS file, coalesce(content, '') AS c FROM {CORPUS} "
+       f"WHERE regexp_matches(path, '(^|/)\\.github/workflows/') AND ext IN ('.yml', '.yaml'))")
+_UNPINNED = f"""
+SELECT scan_id, file, 'Unpinned action version' AS title, 'Medium' AS severity,
+       'Action ' || a || '@' || v || ' not pinned to commit SHA.' AS description
+FROM (SELECT scan_id, file, unnest(regexp_extract_all(c, '(?i)uses\\s*:\\s*([^\\s]+)@([^\\s]+)', 1)) AS a,
+             unnest(regexp_extract_all(c, '(?i)uses\\s*:\\s*([^\\s]+)@([^\\s]+)', 2)) AS v FROM {_WF})
+WHERE NOT regexp_matches(v, '(?i)^[0-9a-f]{{7,40}}$')
+"""
+ORACLE["DET-28"] = _UNPINNED
+ORACLE["DET-27"] = f"""
+SELECT scan_id, file, 'Workflow triggered by pull_request_target' AS title, 'High' AS severity,
+       'pull_request_target runs with elevated permissions; prefer pull_request with least privileges.' AS description
+FROM {_WF} WHERE regexp_matches(lower(c), '(^|[^a-z0-9_])on\\s*:\\s*[\\s\\S]*pull_request_target([^a-z0-9_]|$)')
+UNION ALL
+SELECT scan_id, file, 'Missing explicit permissions for GITHUB_TOKEN', 'Medium',
+       'Define permissions: at workflow/job level to enforce least privilege.'
+FROM {_WF} WHERE NOT regexp_matches(c, '(?i)\\n\\s*permissions\\s*:')
+UNION ALL
+SELECT scan_id, file, 'Self-hosted runner used', 'Medium', 'Ensure self-hosted runners are trusted and hardened.'
+FROM {_WF} WHERE regexp_matches(c, '(?i)runs-on\\s*:\\s*self-hosted')
+UNION ALL
+SELECT scan_id, file, 'Checkout persists credentials', 'Medium', 'Set with: persist-credentials: false to avoid leaking GITHUB_TOKEN.'
+FROM {_WF} WHERE regexp_matches(c, '(?i)uses\\s*:\\s*actions/checkout@') AND NOT regexp_matches(c, '(?i)persist-credentials\\s*:\\s*false')
+UNION ALL
+{_UNPINNED}
+"""
+
+
+def _sig(pattern: str) -> str:
+    return f"bool_or(regexp_matches(coalesce(content, ''), '{pattern}'))"
+
+
+_SIG = {k: _sig(p.replace("'", "''")) for k, (_lits, p) in D.POLICY_SIGNALS.items()}
+_NOH = "(NOT helmet_import OR NOT helmet_use)"
+ORACLE["DET-26"] = f"""
+WITH s AS (SELECT scan_id, {', '.join(f'{v} AS {k}' for k, v in _SIG.items())}
+           FROM (SELECT scan_id, ext, content FROM {CORPUS} UNION ALL SELECT scan_id, ext, content FROM {PAGES})
+           WHERE ext IN {SEC_EXTS} GROUP BY scan_id),
+e AS (SELECT * FROM s WHERE express)
+SELECT scan_id, 'CSP' AS title, CASE WHEN {_NOH} THEN 'Content Security Policy not configured (helmet)'
+       ELSE 'Content Security Policy not configured' END AS description, 'High' AS severity FROM e WHERE {_NOH} OR NOT csp
+UNION ALL SELECT scan_id, 'HSTS', 'Strict-Transport-Security not enforced', 'High' FROM e WHERE {_NOH} OR NOT hsts
+UNION ALL SELECT scan_id, 'X-Frame-Options', 'Frameguard missing (clickjacking protection)', 'Medium' FROM e WHERE {_NOH} OR NOT frameguard
+UNION ALL SELECT scan_id, 'X-Content-Type-Options', 'MIME sniffing protection missing (noSniff)', 'Medium' FROM e WHERE {_NOH} OR NOT nosniff
+UNION ALL SELECT scan_id, 'Referrer-Policy', 'Referrer policy not set', 'Low' FROM e WHERE {_NOH} OR NOT referrer
+UNION ALL SELECT scan_id, 'Permissions-Policy', 'Permissions policy not set', 'Low' FROM e WHERE {_NOH} OR NOT permissions
+UNION ALL SELECT scan_id, 'X-Powered-By', 'X-Powered-By header not disabled', 'Low' FROM e WHERE NOT no_xpb
+UNION ALL SELECT scan_id, 'CSRF', 'CSRF protection not configured', 'High' FROM e WHERE NOT csurf_import OR NOT csurf_use
+UNION ALL SELECT scan_id, 'Rate limiting', 'Express rate limiting not configured', 'Medium' FROM e WHERE NOT ratelimit_import OR NOT ratelimit_use
+"""

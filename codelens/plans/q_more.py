@@ -238,14 +238,34 @@ def q_udf01(spark, sf_dir):
         "log", F.lit("\n".join(log)))
 
 
-@register("UDF-02", None)
+UDF02_SQL = f"""
+SELECT DISTINCT scan_id, 'GitHub Actions' AS feature FROM ({V.V_FILES_SQL} UNION ALL {V.V_CODE_SQL})
+WHERE regexp_matches(path, '(^|/)\\.github/workflows/')
+"""
+
+
+@register("UDF-02", UDF02_SQL)
 def q_udf02(spark, sf_dir):
-    files = V.v_files(spark, sf_dir)
+    files = V.v_files(spark, sf_dir).unionByName(V.v_code(spark, sf_dir))
     out = R.sample_detector({"files": files, "configs": detect_configs(files)})
     return out["project_features"]
 
 
-@register("UDF-03", None)
+@register("UDF-02-frameworks", None)
+def q_udf02b(spark, sf_dir):
+    files = V.v_files(spark, sf_dir).unionByName(V.v_code(spark, sf_dir))
+    return R.sample_detector({"files": files, "configs": detect_configs(files)})["frameworks"]
+
+
+def _udf03_sql():
+    from codelens.plans.q_sources import SEMSEV
+    return f"""
+SELECT scan_id, title, {SEMSEV} AS severity, coalesce(file, '') AS file
+FROM ({V.V_FINDINGS_SQL}) WHERE source = 'semgrep'
+"""
+
+
+@register("UDF-03", _udf03_sql())
 def q_udf03(spark, sf_dir):
     from codelens.plans.q_sources import semgrep_docs
-    return TL.ingest_tool("semgrep", semgrep_docs(spark, sf_dir))
+    return TL.ingest_tool("semgrep", semgrep_docs(spark, sf_dir)).select("scan_id", "title", "severity", "file")

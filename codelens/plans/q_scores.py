@@ -434,9 +434,26 @@ def q_agg03(spark, sf_dir):
     return S.language_share(V.v_files(spark, sf_dir))
 
 
-@register("AGG-29", None)
+CORPUS = f"({V.V_FILES_SQL} UNION ALL {V.V_CODE_SQL})"
+AGG29_SQL = f"""
+WITH f AS (SELECT scan_id, path AS src, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM {CORPUS}),
+g AS (SELECT scan_id, src, parts, len(parts) AS n, least(len(parts) - 1, 2) AS nd FROM f WHERE len(parts) > 0),
+d AS (SELECT scan_id, src, step, array_to_string(parts[1:step], '/') AS parent, parts[step + 1] AS name
+      FROM (SELECT scan_id, src, parts, unnest(range(nd)) AS step FROM g)),
+dirs AS (SELECT scan_id, parent, name, 'dir' AS type, min(src) AS src, min(step) AS step FROM d GROUP BY scan_id, parent, name),
+leaves AS (SELECT scan_id, array_to_string(parts[1:nd], '/') AS parent, parts[n] AS name, 'file' AS type, src, nd AS step FROM g),
+ev AS (SELECT * FROM dirs UNION ALL SELECT * FROM leaves),
+k AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY src, step) AS rn FROM ev)
+SELECT scan_id, parent, name, type, CASE WHEN parent = '' THEN 1 ELSE len(string_split(parent, '/')) + 1 END AS depth,
+       parent || chr(1) || CASE WHEN type = 'dir' THEN '0' ELSE '1' END || lower(name) || chr(1) || name AS sort_key
+FROM k WHERE rn <= 299
+"""
+
+
+@register("AGG-29", AGG29_SQL)
 def q_agg29(spark, sf_dir):
-    return S.file_tree(V.v_files(spark, sf_dir), 2, 300)
+    corpus = V.v_files(spark, sf_dir).unionByName(V.v_code(spark, sf_dir))
+    return S.file_tree(corpus, 2, 300)
 
 
 AGG30_SQL = """

@@ -264,7 +264,13 @@ def csv_lines(spark, sf_dir):
 register("SNK-02", SNK02_SQL)(csv_lines)
 
 
-@register("SNK-03", None)
+SNK03_SQL = f"""
+SELECT scan_id, 'Section,Key,Value' || chr(10) || string_agg(line, chr(10) ORDER BY section_ord, ord, line) AS csv
+FROM ({SNK02_SQL}) GROUP BY scan_id
+"""
+
+
+@register("SNK-03", SNK03_SQL)
 def q_snk03(spark, sf_dir):
     """Combined CSV text per scan (header + sections in order)."""
     return K.report_csv_text(csv_lines(spark, sf_dir))
@@ -278,7 +284,14 @@ def q_snk01(spark, sf_dir):
     return K.report_json({"vulnSeveritySummary": sev, "topFindings": top})
 
 
-@register("SNK-04", None)
+SNK04_SQL = f"""
+SELECT scan_id, '# Scan ' || scan_id || chr(10) || '- critical: ' || CAST(critical AS VARCHAR) || ', high: ' || CAST(high AS VARCHAR)
+       || ', moderate: ' || CAST(moderate AS VARCHAR) || ', low: ' || CAST(low AS VARCHAR) AS markdown
+FROM ({__import__('codelens.plans.q_scores', fromlist=['x']).SEV_SUMMARY_SQL})
+"""
+
+
+@register("SNK-04", SNK04_SQL)
 def q_snk04(spark, sf_dir):
     f = V.v_findings(spark, sf_dir)
     sev = S.severity_summary(f.filter(F.col("kind") == S.VULN))

@@ -395,7 +395,7 @@ def file_tree(files: DataFrame, max_depth: int = 2, max_nodes: int = 300) -> Dat
     w = Window.partitionBy("scan_id").orderBy("src", "step")
     kept = ev.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= max_nodes - 1)
     depth = F.when(F.col("parent") == "", 1).otherwise(F.size(F.split("parent", "/")) + 1)
-    return kept.select("scan_id", "parent", "name", "type", depth.alias("depth"),
+    return kept.select("scan_id", "parent", "name", "type", depth.cast("long").alias("depth"),
                        F.concat(F.col("parent"), F.lit("\u0001"), F.when(F.col("type") == "dir", "0").otherwise("1"),
                                 F.lower("name"), F.lit("\u0001"), F.col("name")).alias("sort_key"))
 

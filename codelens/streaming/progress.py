@@ -89,7 +89,7 @@ def file_progress(files: DataFrame) -> DataFrame:
     f = files.select("scan_id", "path")
     idx = row_index(f, ["scan_id"], ["path"], "i")
     n = f.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
-    return idx.join(n, "scan_id").select("scan_id", "path", F.col("i").cast("int").alias("i"), "n").withColumn(
+    return idx.join(n, "scan_id").select("scan_id", "path", F.col("i").cast("long").alias("i"), "n").withColumn(
         "progress", (50 + round_half_up(F.col("i") / F.col("n") * 30)).cast("long"))
 
 

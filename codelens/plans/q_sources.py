@@ -306,3 +306,25 @@ def q_snk04(spark, sf_dir):
 def q_snk07(spark, sf_dir):
     files = V.v_files(spark, sf_dir)
     return K.scan_overview(S.repo_stats(files), S.feature_usage(V.v_features(spark, sf_dir)), T.largest_files(files, 10))
+
+
+SRC16_SQL = f"""
+WITH g AS (SELECT scan_id, path, content FROM ({V.V_CODE_SQL}) WHERE basename = 'go.mod'),
+l AS (SELECT scan_id, path, generate_subscripts(string_split(content, chr(10)), 1) - 1 AS pos,
+             regexp_replace(unnest(string_split(content, chr(10))), '^\\s+|\\s+$', '', 'g') AS l FROM g),
+m AS (SELECT *, regexp_matches(l, '^require\\s*\\(\\s*$') AS opener, regexp_matches(l, '^\\)') AS closer FROM l),
+s AS (SELECT *, coalesce(last_value(CASE WHEN opener THEN 1 WHEN closer THEN 0 END IGNORE NULLS)
+               OVER (PARTITION BY scan_id, path ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS in_block
+      FROM m),
+x AS (SELECT scan_id, path, pos,
+        CASE WHEN opener OR (in_block = 1 AND closer) THEN NULL
+             WHEN regexp_extract(l, '^require\\s+(\\S+)\\s+', 1) <> '' THEN regexp_extract(l, '^require\\s+(\\S+)\\s+', 1)
+             WHEN in_block = 1 AND regexp_extract(l, '^(\\S+)\\s+', 1) <> '' THEN regexp_extract(l, '^(\\S+)\\s+', 1) END AS module
+      FROM s)
+SELECT scan_id, path, CAST(pos AS INTEGER) AS pos, module FROM x WHERE module IS NOT NULL
+"""
+
+
+@register("SRC-16", SRC16_SQL)
+def q_src16(spark, sf_dir):
+    return M.read_go_requires(V.v_code(spark, sf_dir))

@@ -139,3 +139,51 @@ def q_str10(spark, sf_dir):
     final, done = P.terminal_status(F.col("status"))
     return s.select("id", "status", final.alias("final_status"), done.alias("completed"),
                     P.cancel_allowed(F.col("status")).alias("cancel_allowed"))
+
+
+def _scratch(spark, sf_dir, name):
+    import os
+    from codelens.session import ensure_checkpoint_dir
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/codelens-streams/{os.path.basename(sf_dir.rstrip('/'))}/{name}"
+
+
+def _run_available_now(df, mode, sink_name, ckpt, foreach=None):
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
+    q = w.foreachBatch(foreach).start() if foreach else w.format("memory").queryName(sink_name).start()
+    q.awaitTermination()
+    return q
+
+
+def _stream_str09(spark, sf_dir):
+    """STR-09: semgrep counts per scan arrive as a stream (one file per
+    micro-batch) and are merged into the stored severity summary with
+    ``foreachBatch`` (AGG-09 + SNK-05 upsert by scan)."""
+    import uuid
+    from codelens.operators import score as S
+    f = V.v_findings(spark, sf_dir)
+    run = _scratch(spark, sf_dir, f"str09-{uuid.uuid4().hex[:8]}")
+    target, src = f"{run}/summary", f"{run}/incoming"
+    stored = S.severity_summary(f.filter(F.col("kind") == S.VULN))
+    stored.write.mode("overwrite").partitionBy("scan_id").parquet(target)
+    counts = S.tool_rollup(f).filter(F.col("tool") == "semgrep").select("scan_id", "high", "medium", "low")
+    counts.repartition(3, "scan_id").write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(counts.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    _run_available_now(stream, "append", None, f"{run}/ckpt", P.merge_findings_batch(target))
+    return spark.read.parquet(target).select("scan_id", "low", "moderate", "high", "critical", "unknown")
+
+
+register("STR-09", __import__("codelens.plans.q_scores", fromlist=["x"]).MERGE_SQL)(_stream_str09)
+
+
+@register("STR-11", None)
+def q_str11(spark, sf_dir):
+    """STR-11: code-corpus files arrive as a stream; the stateless detectors
+    run unchanged on it (append mode, memory sink for the result)."""
+    import uuid
+    run = _scratch(spark, sf_dir, f"str11-{uuid.uuid4().hex[:8]}")
+    V.v_code(spark, sf_dir).select("scan_id", "path", "size", "content").repartition(4).write.mode(
+        "overwrite").parquet(f"{run}/corpus")
+    name = "str11_" + uuid.uuid4().hex[:8]
+    _run_available_now(P.detect_stream(spark, f"{run}/corpus"), "append", name, f"{run}/ckpt")
+    return spark.table(name)

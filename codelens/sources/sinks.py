@@ -81,8 +81,8 @@ def delete_scans(target: DataFrame, ids: DataFrame, key: str = "id") -> DataFram
 def upsert_table(spark: SparkSession, path: str, updates: DataFrame, key: str = "scan_id") -> None:
     """SNK-05 on storage: a table partitioned by ``key``; only the partitions
     of updated keys are rewritten (dynamic partition overwrite)."""
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    updates.write.mode("overwrite").partitionBy(key).parquet(path)
+    (updates.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(key).parquet(path))
 
 
 def scan_overview(stats: DataFrame, features: DataFrame, largest: DataFrame) -> DataFrame:

@@ -165,7 +165,7 @@ def _stream_str09(spark, sf_dir):
     run = _scratch(spark, sf_dir, f"str09-{uuid.uuid4().hex[:8]}")
     target, src = f"{run}/summary", f"{run}/incoming"
     stored = S.severity_summary(f.filter(F.col("kind") == S.VULN))
-    stored.write.mode("overwrite").partitionBy("scan_id").parquet(target)
+    stored.withColumn("epoch", F.lit(-1).cast("long")).write.mode("overwrite").partitionBy("scan_id").parquet(target)
     counts = S.tool_rollup(f).filter(F.col("tool") == "semgrep").select("scan_id", "high", "medium", "low")
     counts.repartition(3, "scan_id").write.mode("overwrite").parquet(src)
     stream = spark.readStream.schema(counts.schema).option("maxFilesPerTrigger", 1).parquet(src)

@@ -211,18 +211,30 @@ def token_quota(requests: DataFrame, capacity: int = 10, refill_ms: int = 60_000
 def merge_findings_batch(target_path: str, key: str = "scan_id"):
     """STR-09: ``foreachBatch`` handler — fold a micro-batch of tool counts
     into the stored severity summary (AGG-09) and upsert it by scan id
-    (SNK-05) into the parquet table at ``target_path``."""
+    (SNK-05) into the parquet table at ``target_path``.
+
+    Idempotent under re-execution: each stored row carries the ``epoch`` of
+    the micro-batch that last changed it; a batch that is replayed (foreachBatch
+    is at-least-once) skips scans already at its epoch.  Only the touched
+    scans' partitions are rewritten (dynamic partition overwrite)."""
     from codelens.operators.score import merge_severity
     from codelens.sources.sinks import upsert_table
 
+    cols = ["low", "moderate", "high", "critical", "unknown"]
+
     def handle(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         try:
-            stored = spark.read.parquet(target_path)
+            stored = spark.read.option("mergeSchema", "true").parquet(target_path)
         except Exception:  # first batch: nothing stored yet
-            stored = spark.createDataFrame([], "scan_id string, low long, moderate long, high long, critical long, unknown long")
-        touched = stored.join(batch.select(key).distinct(), key, "left_semi")
-        merged = merge_severity(touched, batch)
+            stored = spark.createDataFrame([], f"{key} string, " + ", ".join(f"{c} long" for c in cols))
+        if "epoch" not in stored.columns:
+            stored = stored.withColumn("epoch", F.lit(-1).cast("long"))
+        stored = stored.withColumn("epoch", F.coalesce(F.col("epoch"), F.lit(-1).cast("long")))
+        done = stored.filter(F.col("epoch") >= epoch_id).select(key)
+        todo = batch.join(done, key, "left_anti")
+        touched = stored.join(todo.select(key).distinct(), key, "left_semi")
+        merged = merge_severity(touched.select(key, *cols), todo).withColumn("epoch", F.lit(epoch_id).cast("long"))
         upsert_table(spark, target_path, merged, key)
     return handle
 

@@ -103,6 +103,7 @@ def test_merge_findings_foreach_batch(spark):
     handle = P.merge_findings_batch(target)
     handle(counts, 0)
     handle(counts.filter(F.col("scan_id") == "s1"), 1)
+    handle(counts.filter(F.col("scan_id") == "s1"), 1)   # replayed batch: no double count
     got = {r.scan_id: (r.high, r.moderate, r.low) for r in spark.read.parquet(target).collect()}
     assert got == {"s1": (4, 2, 0), "s2": (0, 0, 3)}
 

@@ -497,3 +497,35 @@ FROM (SELECT p_brand AS scan_id,
              p_partkey AS ord
       FROM part)
 """
+
+
+# -- v_compat / v_web_features: feature catalogues from part --------------------
+COMPAT_PATHS = sorted(set(rules.COMPAT_ALIASES.values()))
+ENTRY_TYPE = ("struct<version_added:string,partial_implementation:boolean,flags:boolean,"
+              "prefix:string,alternative_name:string>")
+
+
+def v_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compat records ``(path, browser, entries)``: per alias path and browser
+    the entry of the highest part key (the one a lookup uses)."""
+    p = table(spark, sf_dir, "part")
+    s = F.col("p_size")
+    entry = F.struct(
+        F.when(s % 5 == 0, F.lit(None).cast("string")).when(s % 7 == 0, F.lit("false"))
+        .otherwise(s.cast("string")).alias("version_added"),
+        (s % 3 == 0).alias("partial_implementation"), (s % 11 == 0).alias("flags"),
+        F.when(s % 13 == 0, F.lit("-webkit-")).alias("prefix"), F.lit(None).cast("string").alias("alternative_name"))
+    g = p.groupBy(_pick(COMPAT_PATHS, F.col("p_partkey") % len(COMPAT_PATHS)).alias("path"),
+                  _pick(rules.BROWSERS, (F.col("p_partkey") / len(COMPAT_PATHS)).cast("long") % 4).alias("browser"))
+    return g.agg(F.max_by(entry, "p_partkey").alias("e")).select("path", "browser", F.array("e").alias("entries"))
+
+
+def v_web_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web-features catalogue ``(ord, name, slug, support)``: one entry per
+    part, named after a feature key and the part."""
+    p = table(spark, sf_dir, "part")
+    key = _pick(FEATURE_UNIVERSE, F.col("p_partkey") % N_FEATURES)
+    support = F.create_map(F.lit("chrome"), _pick(STATUS_CYCLE, F.col("p_size") % 4),
+                           F.lit("safari"), _pick(STATUS_CYCLE, (F.col("p_size") / 4).cast("long") % 4))
+    return p.select(F.col("p_partkey").alias("ord"), F.concat(F.upper(key), F.lit(" "), F.col("p_name")).alias("name"),
+                    F.concat(key, F.lit("-"), F.col("p_partkey").cast("string")).alias("slug"), support.alias("support"))

@@ -529,3 +529,21 @@ def v_web_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                            F.lit("safari"), _pick(STATUS_CYCLE, (F.col("p_size") / 4).cast("long") % 4))
     return p.select(F.col("p_partkey").alias("ord"), F.concat(F.upper(key), F.lit(" "), F.col("p_name")).alias("name"),
                     F.concat(key, F.lit("-"), F.col("p_partkey").cast("string")).alias("slug"), support.alias("support"))
+
+
+# -- v_code_repo: the code corpus plus one .gitignore / .gitattributes per scan
+# The ignore file drops the legacy/ tree and styles/*.css except the scan's
+# first stylesheet (a negated pattern written after the glob, so the last
+# match decides); the attributes file marks Svelte files and ml/ as LFS.
+def v_code_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codelens.operators.detect import with_path_cols
+    code = v_code(spark, sf_dir)
+    first_css = code.filter(F.col("path").startswith("styles/")).groupBy("scan_id").agg(F.min("path").alias("keep"))
+    ign = first_css.select("scan_id", F.lit(".gitignore").alias("path"),
+                           F.concat(F.lit("# generated\nlegacy/\n*.log\nstyles/*.css\n!"), F.col("keep"), F.lit("\n")).alias("content"))
+    attrs = code.select("scan_id").distinct().select(
+        "scan_id", F.lit(".gitattributes").alias("path"),
+        F.lit("*.svelte filter=lfs diff=lfs merge=lfs -text\nml/** filter=lfs\n").alias("content"))
+    extra = with_path_cols(ign.unionByName(attrs).withColumn("ord", F.lit(-1).cast("long"))).withColumn(
+        "size", F.length("content").cast("long")).withColumn("dir", F.lit("."))
+    return code.unionByName(extra.select(*code.columns))

@@ -328,3 +328,31 @@ SELECT scan_id, path, CAST(pos AS INTEGER) AS pos, module FROM x WHERE module IS
 @register("SRC-16", SRC16_SQL)
 def q_src16(spark, sf_dir):
     return M.read_go_requires(V.v_code(spark, sf_dir))
+
+
+CODE = f"({V.V_CODE_SQL})"
+SRC05_SQL = f"""
+WITH k AS (SELECT scan_id, min(path) AS keep FROM {CODE} WHERE starts_with(path, 'styles/') GROUP BY scan_id)
+SELECT c.scan_id, c.path FROM {CODE} c LEFT JOIN k ON c.scan_id = k.scan_id
+WHERE NOT starts_with(c.path, 'legacy/')
+  AND NOT (regexp_matches(c.path, '^styles/[^/]*\\.css$') AND c.path <> k.keep)
+UNION ALL SELECT DISTINCT scan_id, '.gitignore' FROM {CODE} WHERE starts_with(path, 'styles/')
+UNION ALL SELECT DISTINCT scan_id, '.gitattributes' FROM {CODE}
+"""
+
+
+@register("SRC-05", SRC05_SQL)
+def q_src05(spark, sf_dir):
+    return C.apply_ignore(V.v_code_repo(spark, sf_dir)).select("scan_id", "path")
+
+
+SRC06_SQL = f"""
+SELECT scan_id, path FROM {CODE} WHERE NOT (ends_with(path, '.svelte') OR starts_with(path, 'ml/'))
+UNION ALL SELECT DISTINCT scan_id, '.gitignore' FROM {CODE} WHERE starts_with(path, 'styles/')
+UNION ALL SELECT DISTINCT scan_id, '.gitattributes' FROM {CODE}
+"""
+
+
+@register("SRC-06", SRC06_SQL)
+def q_src06(spark, sf_dir):
+    return C.skip_lfs(V.v_code_repo(spark, sf_dir)).select("scan_id", "path")

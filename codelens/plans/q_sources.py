@@ -356,3 +356,67 @@ UNION ALL SELECT DISTINCT scan_id, '.gitattributes' FROM {CODE}
 @register("SRC-06", SRC06_SQL)
 def q_src06(spark, sf_dir):
     return C.skip_lfs(V.v_code_repo(spark, sf_dir)).select("scan_id", "path")
+
+
+def _zip_group(key, pdf):
+    import io
+    import zipfile
+
+    import pandas as pd
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for path, content in zip(pdf["path"], pdf["content"]):
+            z.writestr(path, content)
+    return pd.DataFrame({"rel_path": [f"{key[0]}.zip"], "data": [buf.getvalue()]})
+
+
+SRC08_SQL = f"""
+SELECT 'b' || regexp_extract(scan_id, '(\\d+)$', 1) || '_' || CAST(ord // 100 AS VARCHAR) AS scan_id, path, ext, size, content
+FROM {CODE}
+"""
+
+
+@register("SRC-08", SRC08_SQL)
+def q_src08(spark, sf_dir):
+    """Zip archives of the code corpus (at most 100 files each, built per
+    group and written from the tasks), expanded again by read_archives."""
+    import uuid
+    root = scratch(spark, sf_dir, f"archives-{uuid.uuid4().hex[:8]}")
+    code = V.v_code(spark, sf_dir)
+    key = F.concat(F.lit("b"), F.regexp_extract("scan_id", r"(\d+)$", 1), F.lit("_"),
+                   F.floor(F.col("ord") / 100).cast("long").cast("string"))
+    zips = code.select(key.alias("archive"), "path", "content").groupBy("archive").applyInPandas(
+        _zip_group, "rel_path string, data binary")
+    K.write_blobs(zips, root)
+    return C.read_archives(spark, root + "/*.zip").select("scan_id", "path", "ext", "size", "content")
+
+
+def _encode_group(key, pdf):
+    import pandas as pd
+    text = "\n".join(pdf["doc"].tolist()) + "\n"
+    which = int(key[1]) % 3
+    data = (b"\xef\xbb\xbf" + text.encode("utf-8") if which == 0 else
+            b"\xff\xfe" + text.encode("utf-16-le") if which == 1 else b"\xfe\xff" + text.encode("utf-16-be"))
+    return pd.DataFrame({"rel_path": [f"scans-{key[0]}-{key[1]}.json"], "data": [data]})
+
+
+SRC15_SQL = f"SELECT id, status, progress FROM {SCANS}"
+
+
+@register("SRC-15", SRC15_SQL)
+def q_src15(spark, sf_dir):
+    """Scan documents as NDJSON files in UTF-8 / UTF-16LE / UTF-16BE with a
+    BOM (at most 1,000 scans per file), decoded by read_json_any_encoding."""
+    import uuid
+    root = scratch(spark, sf_dir, f"json-{uuid.uuid4().hex[:8]}")
+    s = V.v_scans(spark, sf_dir)
+    o = V.table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"),
+                                                F.col("o_orderpriority").alias("prio"),
+                                                F.floor(F.col("o_orderkey") / 1000).cast("long").alias("chunk"))
+    docs = s.join(o, "id").select(F.regexp_replace("prio", r"[^A-Za-z0-9]", "").alias("prio"), "chunk",
+                                  F.to_json(F.struct("id", "status", "progress")).alias("doc"))
+    files = docs.groupBy("prio", "chunk").applyInPandas(_encode_group, "rel_path string, data binary")
+    K.write_blobs(files, root)
+    text = C.read_json_any_encoding(spark, root + "/*.json")
+    lines = text.select(F.explode(F.split(F.col("json"), r"\r?\n")).alias("line")).filter(F.col("line") != "")
+    return lines.select(F.from_json("line", "id string, status string, progress double").alias("d")).select("d.*")

@@ -97,3 +97,26 @@ def scan_overview(stats: DataFrame, features: DataFrame, largest: DataFrame) ->
     lg = largest.select("scan_id", F.lit("largest").alias("section"), F.col("path").alias("key"),
                         F.col("human_size").alias("value"), F.col("rank").cast("long").alias("ord"))
     return o.unionByName(f).unionByName(lg)
+
+
+def write_blobs(df: DataFrame, root: str) -> int:
+    """Write each row's ``data`` bytes to ``root/<rel_path>`` from the
+    executor tasks (pyarrow filesystem: local, HDFS, S3).  File names are
+    deterministic, so a retried task overwrites the same files.  Returns the
+    number of files written."""
+    from codelens.sources.corpus import _fs_and_path
+
+    def fn(batches):
+        import pandas as pd
+        fs, base = _fs_and_path(root)
+        base = base.rstrip("/")
+        for pdf in batches:
+            sizes = []
+            for rel, data in zip(pdf["rel_path"].tolist(), pdf["data"].tolist()):
+                path = f"{base}/{rel}"
+                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(path) as out:
+                    out.write(bytes(data))
+                sizes.append(len(data))
+            yield pd.DataFrame({"rel_path": pdf["rel_path"].values, "bytes": sizes})
+    return df.select("rel_path", "data").mapInPandas(fn, "rel_path string, bytes long").count()

@@ -334,8 +334,8 @@ CODE = f"({V.V_CODE_SQL})"
 SRC05_SQL = f"""
 WITH k AS (SELECT scan_id, min(path) AS keep FROM {CODE} WHERE starts_with(path, 'styles/') GROUP BY scan_id)
 SELECT c.scan_id, c.path FROM {CODE} c LEFT JOIN k ON c.scan_id = k.scan_id
-WHERE NOT starts_with(c.path, 'legacy/')
-  AND NOT (regexp_matches(c.path, '^styles/[^/]*\\.css$') AND c.path <> k.keep)
+WHERE k.keep IS NULL  -- no ignore file in this scan
+   OR (NOT starts_with(c.path, 'legacy/') AND NOT (regexp_matches(c.path, '^styles/[^/]*\\.css$') AND c.path <> k.keep))
 UNION ALL SELECT DISTINCT scan_id, '.gitignore' FROM {CODE} WHERE starts_with(path, 'styles/')
 UNION ALL SELECT DISTINCT scan_id, '.gitattributes' FROM {CODE}
 """

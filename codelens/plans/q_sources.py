@@ -371,20 +371,21 @@ def _zip_group(key, pdf):
 
 
 SRC08_SQL = f"""
-SELECT 'b' || regexp_extract(scan_id, '(\\d+)$', 1) || '_' || CAST(ord // 100 AS VARCHAR) AS scan_id, path, ext, size, content
+SELECT 'b' || regexp_extract(scan_id, '(\\d+)$', 1) || '_' || CAST(ord // 2500 AS VARCHAR) AS scan_id, path, ext, size, content
 FROM {CODE}
 """
 
 
 @register("SRC-08", SRC08_SQL)
 def q_src08(spark, sf_dir):
-    """Zip archives of the code corpus (at most 100 files each, built per
-    group and written from the tasks), expanded again by read_archives."""
+    """Zip archives of the code corpus (one per brand and block of 2,500 part
+    keys, about 100 files each, built per group and written from the tasks),
+    expanded again by read_archives."""
     import uuid
     root = scratch(spark, sf_dir, f"archives-{uuid.uuid4().hex[:8]}")
     code = V.v_code(spark, sf_dir)
     key = F.concat(F.lit("b"), F.regexp_extract("scan_id", r"(\d+)$", 1), F.lit("_"),
-                   F.floor(F.col("ord") / 100).cast("long").cast("string"))
+                   F.floor(F.col("ord") / 2500).cast("long").cast("string"))
     zips = code.select(key.alias("archive"), "path", "content").groupBy("archive").applyInPandas(
         _zip_group, "rel_path string, data binary")
     K.write_blobs(zips, root)

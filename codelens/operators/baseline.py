@@ -93,16 +93,18 @@ def lookup_web_features(baseline: DataFrame, web_features: DataFrame) -> DataFra
     """JOIN-03: for rows still ``unknown``, the first catalogue row (by
     ``ord``) whose lower name or slug contains the lower feature key.
 
-    The catalogue is a bounded dim; the theta join runs on the distinct
-    unknown feature keys only (not on every baseline row), then the chosen
-    entry is equi-joined back.
+    A substring match cannot be an equi-join, so this is a nested-loop join —
+    with the distinct unknown feature keys broadcast (bounded by the detector
+    vocabulary) and the catalogue streamed, so its size never has to fit
+    anywhere; the first match per key is a grouped ``min_by`` (partial
+    aggregation), equi-joined back to the baseline rows.
     """
     keys = baseline.filter(F.col("status") == "unknown").select("feature").distinct()
     cat = web_features.select("ord", F.lower(F.coalesce("name", F.lit(""))).alias("_n"),
                               F.lower(F.coalesce("slug", F.lit(""))).alias("_s"),
                               F.coalesce("slug", "name").alias("_label"), "support")
     q = F.lower(F.col("feature"))
-    cand = keys.join(F.broadcast(cat), F.col("_n").contains(q) | F.col("_s").contains(q), "inner")
+    cand = cat.join(F.broadcast(keys), F.col("_n").contains(q) | F.col("_s").contains(q), "inner")
     first = cand.groupBy("feature").agg(F.min_by(F.struct("support", "_label"), F.col("ord")).alias("_hit"))
     wsupport = F.create_map(*[x for b in BROWSERS
                               for x in (F.lit(b), F.coalesce(F.col("_hit.support")[b], F.lit("unknown")))])

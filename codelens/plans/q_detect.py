@@ -349,3 +349,88 @@ UNION ALL SELECT scan_id, 'X-Powered-By', 'X-Powered-By header not disabled', 'L
 UNION ALL SELECT scan_id, 'CSRF', 'CSRF protection not configured', 'High' FROM e WHERE NOT csurf_import OR NOT csurf_use
 UNION ALL SELECT scan_id, 'Rate limiting', 'Express rate limiting not configured', 'Medium' FROM e WHERE NOT ratelimit_import OR NOT ratelimit_use
 """
+
+
+# -- oracle for framework detection (DET-04..13) -------------------------------
+def _word(w: str) -> str:
+    return f"(^|[^A-Za-z0-9_]){w}([^A-Za-z0-9_]|$)"
+
+
+def _has(lst: str, name: str) -> str:
+    return f"coalesce(list_contains({lst}, '{name}'), false)"
+
+
+def framework_sql(src: str) -> str:
+    js = "('.js', '.jsx', '.ts', '.tsx')"
+    pym = D.PY_JAVA_MANIFESTS
+    sig = {
+        "react": f"root_pkg AND ({_has('dk', 'react')} OR {_has('vk', 'react')})",
+        "angular_dep": f"root_pkg AND ({_has('dk', 'angular')} OR {_has('vk', 'angular')})",
+        "vue_dep": f"root_pkg AND ({_has('dk', 'vue')} OR {_has('vk', 'vue')})",
+        "express_dep": f"root_pkg AND {_has('dk', 'express')}",
+        "next_dep": f"root_pkg AND {_has('dk', 'next')}",
+        "angular_any": f"is_pkg AND (regexp_matches(scripts, '{_word('ng')}') OR {_has('dk', '@angular/core')} OR {_has('vk', '@angular/core')})",
+        "angular_json": "b = 'angular.json'",
+        "flask": f"regexp_matches(p, '{pym}') AND contains(low, 'flask')",
+        "fastapi": f"regexp_matches(p, '{pym}') AND contains(low, 'fastapi')",
+        "django": f"regexp_matches(p, '{pym}') AND contains(low, 'django')",
+        "spring": f"regexp_matches(p, '{pym}') AND regexp_matches(low, 'spring-boot|springframework')",
+        "hibernate": f"regexp_matches(p, '{pym}') AND contains(low, 'hibernate')",
+        "jpa": f"regexp_matches(p, '{pym}') AND regexp_matches(low, 'jakarta\\.persistence|javax\\.persistence')",
+        "next": f"p IN ('next.config.js', 'next.config.mjs') OR (root_pkg AND ({_has('names', 'next')} OR regexp_matches(scripts, '{_word('next')}')))"
+                f" OR starts_with(p, 'pages/') OR starts_with(p, 'app/')"
+                f" OR (e IN {js} AND regexp_matches(c, 'from\\s+[''\"]next/(link|router|head)[''\"]'))",
+        "sveltekit": f"(root_pkg AND {_has('names', '@sveltejs/kit')}) OR starts_with(p, 'src/routes/')",
+        "svelte": f"p IN ('svelte.config.js', 'svelte.config.mjs') OR (root_pkg AND {_has('names', 'svelte')}) OR e = '.svelte'",
+        "nuxt": f"p IN ('nuxt.config.js', 'nuxt.config.ts', 'nuxt.config.mjs', 'nuxt.config.cjs')"
+                f" OR (root_pkg AND ({_has('names', 'nuxt')} OR regexp_matches(scripts, '{_word('(nuxt|nuxi)')}')))"
+                f" OR starts_with(p, 'pages/') OR starts_with(p, 'src/pages/') OR p = 'app.vue' OR starts_with(p, 'server/')",
+        "vue": f"p IN ('vue.config.js', 'vue.config.ts', 'vue.config.mjs', 'vue.config.cjs')"
+               f" OR (root_pkg AND ({_has('names', 'vue')} OR {_has('names', '@vue/cli-service')} OR regexp_matches(scripts, '{_word('vue-cli-service')}')))"
+               f" OR (p IN ('src/main.js', 'src/main.ts') AND regexp_matches(c, 'from\\s+[''\"]vue[''\"]'))"
+               f" OR (starts_with(p, 'src/') AND e = '.vue')",
+        "nx": "p IN ('nx.json', 'workspace.json') OR (root_pkg AND coalesce(list_bool_or(list_transform(names, lambda n: n = 'nx' OR starts_with(n, '@nrwl/'))), false))"
+              " OR (CASE WHEN b = 'project.json' AND json_valid(c) THEN (json_extract(c, '$.projectType') IS NOT NULL"
+              " OR json_extract(c, '$.sourceRoot') IS NOT NULL OR json_extract(c, '$.targets') IS NOT NULL) ELSE false END)",
+        "notebook": "e = '.ipynb'",
+        "ml_artifacts": f"e IN ({', '.join(repr(x) for x in D.ML_ARTIFACT_EXTS)})",
+    }
+    for mod, key in [("tensorflow", "tensorflow"), ("torch", "pytorch"), ("keras", "keras"), ("sklearn", "sklearn")]:
+        sig[key] = (f"e = '.py' AND contains(low, '{mod}') AND "
+                    f"regexp_matches(low, '(^|[^a-z0-9_])(import|from)\\s+{mod}([^a-z0-9_]|$)')")
+    names = dict(D.FRAMEWORK_RULES)
+    union = "\nUNION ALL ".join(f"SELECT scan_id, '{names[k]}' AS name FROM s WHERE {k}" for k, _ in D.FRAMEWORK_RULES)
+    go = "\nUNION ALL ".join(
+        f"SELECT scan_id, '{nm}' FROM gr WHERE regexp_matches(module, '{pat}')" for pat, nm in D.GO_FRAMEWORKS)
+    go_sql = SRC16_SQL_FOR(src)
+    return f"""
+WITH f AS (SELECT scan_id, path AS p, basename AS b, ext AS e, coalesce(content, '') AS c FROM {src}),
+x AS (SELECT *, lower(c) AS low, b = 'package.json' AND NOT contains(p, 'node_modules') AS is_pkg0,
+             p = 'package.json' AS root_pkg0 FROM f),
+y AS (SELECT *, is_pkg0 AND json_valid(c) AS is_pkg, root_pkg0 AND json_valid(c) AS root_pkg,
+             CASE WHEN is_pkg0 AND json_valid(c) THEN coalesce(json_keys(json_extract(c, '$.dependencies')), []) END AS dk,
+             CASE WHEN is_pkg0 AND json_valid(c) THEN coalesce(json_keys(json_extract(c, '$.devDependencies')), []) END AS vk,
+             CASE WHEN is_pkg0 AND json_valid(c) THEN coalesce(array_to_string(map_values(json_transform(
+                  json_extract(c, '$.scripts'), '"MAP(VARCHAR, VARCHAR)"')), ' '), '') ELSE '' END AS scripts
+      FROM x),
+z AS (SELECT *, list_concat(coalesce(dk, []), coalesce(vk, [])) AS names FROM y),
+s AS (SELECT scan_id, {', '.join(f'coalesce(bool_or({v}), false) AS {k}' for k, v in sig.items())} FROM z GROUP BY scan_id),
+gr AS ({go_sql})
+SELECT DISTINCT scan_id, name FROM (
+  {union}
+  UNION ALL SELECT scan_id, 'SvelteKit' FROM s WHERE sveltekit
+  UNION ALL SELECT scan_id, 'Svelte' FROM s WHERE NOT sveltekit AND svelte
+  UNION ALL {go})
+"""
+
+
+def SRC16_SQL_FOR(src: str) -> str:  # noqa: N802 - go.mod requires over any corpus view
+    from codelens.plans.q_sources import SRC16_SQL
+    return SRC16_SQL.replace(f"({V.V_CODE_SQL})", src)
+
+
+_CORPUS_PAGES = f"({V.V_FILES_SQL} UNION ALL {V.V_CODE_SQL} UNION ALL SELECT scan_id, path, dir, basename, ext, size, content, ord FROM {PAGES})"
+ORACLE["DET-04"] = framework_sql(CORPUS)
+for _id, _names in FRAMEWORK_GROUPS.items():
+    _in = ", ".join(f"'{n}'" for n in _names)
+    ORACLE[_id] = f"SELECT scan_id, name FROM ({framework_sql(_CORPUS_PAGES)}) WHERE name IN ({_in})"

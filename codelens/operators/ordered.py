@@ -54,9 +54,11 @@ def running_sum(df: DataFrame, by: list[str], order: list[str], value: Column |
     """Running sum of ``value`` (default 1 -> row index) within ``by``,
     ordered by ``order`` ascending (prefix the column name with '-' for
     descending), inclusive of the current row."""
-    spark = df.sparkSession
     sort_cols = list(by) + [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # An explicit partition count: AQE never coalesces this exchange, so the
+    # partition ids seen by the totals branch and by the join-back branch are
+    # the same by construction (not by two identical coalescing decisions).
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tmp = df.withColumn("_v", (value if value is not None else F.lit(1)).cast("double"))
     ranged = tmp.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols).withColumn(
         "_pid", F.spark_partition_id())

@@ -251,7 +251,13 @@ def q_udf02(spark, sf_dir):
     return out["project_features"]
 
 
-@register("UDF-02-frameworks", None)
+UDF02B_SQL = f"""
+SELECT DISTINCT scan_id, 'Docker' AS name FROM ({V.V_FILES_SQL} UNION ALL {V.V_CODE_SQL})
+WHERE basename IN ('docker-compose.yml', 'Dockerfile')
+"""
+
+
+@register("UDF-02-frameworks", UDF02B_SQL)
 def q_udf02b(spark, sf_dir):
     files = V.v_files(spark, sf_dir).unionByName(V.v_code(spark, sf_dir))
     return R.sample_detector({"files": files, "configs": detect_configs(files)})["frameworks"]

@@ -113,6 +113,45 @@ def timed_out(status: DataFrame, now, limit_ms: int) -> DataFrame:
         epoch_ms(ts_lit(now)) - epoch_ms(F.col("last_ts")) > F.lit(limit_ms)))
 
 
+TIMEOUT_OUT = "id string, last_ts timestamp, kind string"
+TIMEOUT_STATE = "last_ms long, kind string"
+
+
+def _timeout_fn(limit_ms: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:  # the watermark passed last event + limit with no newer event
+            last_ms, kind = state.get
+            state.remove()
+            if kind not in TERMINAL:
+                yield pd.DataFrame({"id": [key[0]], "last_ts": [pd.Timestamp(last_ms, unit="ms")], "kind": ["timed_out"]})
+            return
+        last_ms, kind = state.get if state.exists else (None, None)
+        for pdf in pdfs:
+            ms = pd.to_datetime(pdf["ts"]).astype("int64") // 1_000_000
+            i = int(ms.values.argmax())
+            if last_ms is None or int(ms.iloc[i]) >= last_ms:
+                last_ms, kind = int(ms.iloc[i]), str(pdf["kind"].iloc[i])
+        state.update((last_ms, kind))
+        if kind in TERMINAL:
+            state.remove()
+        else:
+            state.setTimeoutTimestamp(last_ms + limit_ms)
+        yield pd.DataFrame({"id": [], "last_ts": [], "kind": []}).astype({"id": "object", "kind": "object"})
+    return fn
+
+
+def timed_out_stream(events: DataFrame, limit_ms: int, watermark: str = "10 minutes") -> DataFrame:
+    """STR-08 on a stream: an event-time timer per scan id (state: last event
+    time and kind).  When the watermark passes ``last event + limit`` without
+    a newer event and the scan is not terminal, one ``timed_out`` row is
+    emitted and the state removed; terminal scans drop their state at once.
+    The watermark delay is the tolerated lateness of progress events (events
+    later than that are not considered, as for any event-time timer)."""
+    e = events.select(F.col("id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "kind")
+    return e.withWatermark("ts", watermark).groupBy("id").applyInPandasWithState(
+        _timeout_fn(limit_ms), TIMEOUT_OUT, TIMEOUT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 # -- request quotas (STR-06 / STR-07) ------------------------------------------
 
 QUOTA_OUT = "key string, ts timestamp, count long, remaining long, limited boolean, reset_ts timestamp"
@@ -173,7 +212,11 @@ def request_quota(requests: DataFrame, max_requests: int = 60, window_ms: int =
     count exceeds the maximum.  Paths with a skip prefix are not counted.
 
     Streaming: ``applyInPandasWithState`` with two longs of state per key
-    (append mode; arrival order across micro-batches).  Batch: the rows are
+    (append mode; arrival order across micro-batches).  No timeout: an
+    event-time timeout would need a watermark, which drops late requests, and
+    a processing-time timeout keeps ``availableNow`` runs issuing empty
+    batches; state is two longs per distinct key (use the RocksDB state store
+    provider for very many keys).  Batch: the rows are
     hash-partitioned by key and sorted by (key, ts) within the partition, then
     folded by ``mapInPandas`` one Arrow chunk at a time — a hot key is still
     one sequential fold (the semantics is sequential) but never held in memory

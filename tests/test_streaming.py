@@ -114,3 +114,24 @@ def test_detect_stream(spark):
                           "scan_id string, path string, size long, content string").write.mode("overwrite").parquet(src)
     got = sorted(r.feature for r in _run_stream(spark, P.detect_stream(spark, src), "append").collect())
     assert got == ["css-grid", "fetch"]
+
+
+def test_timed_out_stream_event_time_timer(spark):
+    src = tempfile.mkdtemp(prefix="prog-", dir="/tmp")
+    t0 = dt.datetime(2024, 1, 1)
+    first = [("a", t0, "progress"), ("b", t0, "progress"), ("c", t0, "progress")]
+    later = [("b", t0 + dt.timedelta(minutes=5), "progress"), ("c", t0 + dt.timedelta(minutes=1), "done"),
+             ("z", t0 + dt.timedelta(hours=3), "progress")]   # moves the watermark far ahead
+    schema = "id string, ts timestamp, kind string"
+    spark.createDataFrame(first, schema).coalesce(1).write.mode("append").parquet(src)
+    spark.createDataFrame(later, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    name = "q_" + next(tempfile._get_candidate_names())
+    ck = tempfile.mkdtemp(prefix="ck-", dir="/tmp")
+    q = P.timed_out_stream(stream, 30 * 60 * 1000, "1 minute").writeStream.outputMode("append").format(
+        "memory").queryName(name).option("checkpointLocation", ck).start()
+    q.processAllAvailable()
+    q.processAllAvailable()   # a further (empty) batch lets the advanced watermark fire the timers
+    q.stop()
+    got = sorted((r.id, r.kind) for r in spark.table(name).collect())
+    assert got == [("a", "timed_out"), ("b", "timed_out")]          # c finished; z is still within its limit

@@ -402,7 +402,7 @@ def framework_sql(src: str) -> str:
     union = "\nUNION ALL ".join(f"SELECT scan_id, '{names[k]}' AS name FROM s WHERE {k}" for k, _ in D.FRAMEWORK_RULES)
     go = "\nUNION ALL ".join(
         f"SELECT scan_id, '{nm}' FROM gr WHERE regexp_matches(module, '{pat}')" for pat, nm in D.GO_FRAMEWORKS)
-    go_sql = SRC16_SQL_FOR(src)
+    go_sql = go_requires_sql(src)
     return f"""
 WITH f AS (SELECT scan_id, path AS p, basename AS b, ext AS e, coalesce(content, '') AS c FROM {src}),
 x AS (SELECT *, lower(c) AS low, b = 'package.json' AND NOT contains(p, 'node_modules') AS is_pkg0,
@@ -424,7 +424,8 @@ SELECT DISTINCT scan_id, name FROM (
 """
 
 
-def SRC16_SQL_FOR(src: str) -> str:  # noqa: N802 - go.mod requires over any corpus view
+def go_requires_sql(src: str) -> str:
+    """go.mod requires (the SRC-16 oracle) over any corpus view."""
     from codelens.plans.q_sources import SRC16_SQL
     return SRC16_SQL.replace(f"({V.V_CODE_SQL})", src)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codelens import dims
+from codelens import dims, rules
 from codelens.operators import joins as J
 from codelens.operators import score as S
 from codelens.plans import bindings as V
@@ -61,8 +61,7 @@ def q_join12(spark, sf_dir):
 
 
 # JOIN-13: router names (languages / frameworks) through the evaluation gate.
-TECH_VALUES = ", ".join(f"('{n}', {str(a).lower()}, '{s}', '{t}')" for n, a, s, t in
-                        __import__("codelens.rules", fromlist=["x"]).TECH_EVALUATION)
+TECH_VALUES = ", ".join(f"('{n}', {str(a).lower()}, '{s}', '{t}')" for n, a, s, t in rules.TECH_EVALUATION)
 
 
 def _join13_sql():

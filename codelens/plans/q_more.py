@@ -15,6 +15,7 @@ from codelens.operators import window as W
 from codelens.operators.detect import detect_configs, tech_classes
 from codelens.plans import bindings as V
 from codelens.plans.catalog import register
+from codelens.plans.q_scores import COMPAT_SQL
 from codelens.sources import tools as TL
 
 SCANS = f"({V.V_SCANS_SQL})"
@@ -64,7 +65,7 @@ SELECT scan_id, supported, partial, unsupported,
        supported_features <> '' AND lower(trim(supported_features)) NOT IN ('unknown', 'n/a', 'na') AS show_supported,
        CAST(((supported + partial + unsupported) > 0 OR length(trim(supported_features)) > 0) = false AS INTEGER)
        + CAST((supported_features <> '' AND lower(trim(supported_features)) NOT IN ('unknown', 'n/a', 'na')) = false AS INTEGER) AS hidden_sections
-FROM ({__import__('codelens.plans.q_scores', fromlist=['x']).COMPAT_SQL})
+FROM ({COMPAT_SQL})
 """
 
 

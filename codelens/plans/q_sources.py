@@ -17,6 +17,7 @@ from codelens.operators import score as S
 from codelens.operators import topk as T
 from codelens.plans import bindings as V
 from codelens.plans.catalog import register
+from codelens.plans.q_scores import SEV_SUMMARY_SQL
 from codelens.session import ensure_checkpoint_dir
 from codelens.sources import corpus as C
 from codelens.sources import manifests as M
@@ -287,7 +288,7 @@ def q_snk01(spark, sf_dir):
 SNK04_SQL = f"""
 SELECT scan_id, '# Scan ' || scan_id || chr(10) || '- critical: ' || CAST(critical AS VARCHAR) || ', high: ' || CAST(high AS VARCHAR)
        || ', moderate: ' || CAST(moderate AS VARCHAR) || ', low: ' || CAST(low AS VARCHAR) AS markdown
-FROM ({__import__('codelens.plans.q_scores', fromlist=['x']).SEV_SUMMARY_SQL})
+FROM ({SEV_SUMMARY_SQL})
 """
 
 

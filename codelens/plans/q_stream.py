@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codelens.plans import bindings as V
 from codelens.plans.catalog import register
+from codelens.plans.q_scores import MERGE_SQL
 from codelens.streaming import progress as P
 
 PROG = f"({V.V_PROGRESS_SQL})"
@@ -173,7 +174,7 @@ def _stream_str09(spark, sf_dir):
     return spark.read.parquet(target).select("scan_id", "low", "moderate", "high", "critical", "unknown")
 
 
-register("STR-09", __import__("codelens.plans.q_scores", fromlist=["x"]).MERGE_SQL)(_stream_str09)
+register("STR-09", MERGE_SQL)(_stream_str09)
 
 
 @register("STR-11", None)

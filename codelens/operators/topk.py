@@ -90,12 +90,16 @@ def human_size(b: Column) -> Column:
 
 
 def sort_issues(findings: DataFrame, severities: list[str] | None = None) -> DataFrame:
-    """TOP-08: keep chosen severities (case-insensitive), weight 3/2/1,
-    ordered by weight desc then title."""
+    """TOP-08: keep chosen severities (case-insensitive), weight High 3 /
+    Medium 2 / else 1, sorted by weight desc; ties keep the list order
+    (``list_ord``, ``ord`` when present — the original sort is stable).  The
+    sort is a range-partitioned global order, not a collect."""
     f = findings
     if severities:
         f = f.filter(F.lower(F.col("severity")).isin(*[s.lower() for s in severities]))
-    return f.withColumn("weight", severity_rank3(F.col("severity")))
+    f = f.withColumn("weight", severity_rank3(F.col("severity")))
+    ties = [F.col(c).asc() for c in ("list_ord", "ord") if c in f.columns]
+    return f.orderBy(F.col("weight").desc(), *ties)
 
 
 def file_features(features: DataFrame, k: int = 40) -> DataFrame:

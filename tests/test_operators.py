@@ -149,3 +149,25 @@ def test_distributed_running_sum_matches_window(spark):
     desc = {(r.key, r.ord): r.row for r in row_index(df, ["key"], ["-ord"], "row").collect()}
     w2 = Window.partitionBy("key").orderBy(F.col("ord").desc())
     assert desc == {(r.key, r.ord): r.n for r in df.withColumn("n", F.row_number().over(w2)).collect()}
+
+
+def test_commit_frequency_and_log_levels(spark):
+    t = dt.datetime(2024, 1, 1)
+    act = spark.createDataFrame([("r1", t + dt.timedelta(weeks=i), n) for i, n in enumerate([1, 2, 3, 4, 9])] +
+                                [("r2", t, 3)], "repo string, week timestamp, total long")
+    con = spark.createDataFrame([("r1", "a"), ("r1", "b"), ("r1", "a"), ("r2", "c")], "repo string, login string")
+    got = {r.repo: (r.commits_per_week, r.contributors) for r in S.commit_frequency(act, con).collect()}
+    assert got == {"r1": (5, 2), "r2": (3, 1)}          # last 4 weeks 2+3+4+9 -> 4.5 -> 5; fewer than 4 weeks: mean of those
+    logs = spark.createDataFrame([("s", "Scan failed"), ("s", "WARN: slow"), ("s", "Done"), ("s", "started"), ("s", None)],
+                                 "scan_id string, msg string")
+    got = {r.level: r.lines for r in S.log_levels(logs).collect()}
+    assert got == {"error": 1, "warn": 1, "success": 1, "info": 2}
+
+
+def test_time_helpers(spark):
+    from codelens import functions as FN
+    df = spark.createDataFrame([("1704067200000", 59.4), ("2024-01-01T00:00:00.000Z", 61.5), ("not a date", 0.0)],
+                               "t string, secs double")
+    got = [(r.p, r.d) for r in df.select(FN.parse_time(F.col("t")).alias("p"), FN.duration_text(F.col("secs")).alias("d")).collect()]
+    assert got[0][0] == dt.datetime(2024, 1, 1) and got[1][0] == dt.datetime(2024, 1, 1) and got[2][0] is None
+    assert [d for _, d in got] == ["59s", "1m 2s", "0s"]

@@ -63,3 +63,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # static conf on some deployments; the context holds it
         pass
     return local
+
+
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 * 1024 * 1024,
+               max_split_bytes: int = 256 * 1024 * 1024) -> dict:
+    """Settings for a corpus of ``input_bytes`` on ``total_cores`` executor
+    cores, derived without touching the data.
+
+    - shuffle partitions: enough that one partition of the largest shuffle
+      (assumed about the size of the input) is ~``target_partition_bytes`` and
+      at least 3 waves of tasks per core; AQE coalesces the small ones;
+    - ``maxPartitionBytes``: parquet / binaryFile splits of at most 256 MB;
+    - AQE advisory size and skew thresholds matched to the target, so a scan
+      holding a third of all rows is split rather than run as one task.
+    """
+    parts = max(3 * total_cores, -(-int(input_bytes) // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(max_split_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor": "0.2",
+    }

@@ -221,7 +221,7 @@ def rationale(router_allow: DataFrame, reasons: DataFrame) -> DataFrame:
         F.struct(F.lit("router-hints").alias("label"),
                  F.concat(F.lit("Allowed frameworks: "), F.coalesce(F.nullif("fw", F.lit("")), F.lit("none")),
                           F.lit("; allowed languages: "), F.coalesce(F.nullif("lang", F.lit("")), F.lit("none"))).alias("detail")))
-    top = top_k(reasons, 4, [F.col("ord")], by=["scan_id"], rank_col="rank").groupBy("scan_id").agg(
+    top = top_k(reasons, 4, [F.col("ord"), F.col("label"), F.col("detail")], by=["scan_id"], rank_col="rank").groupBy("scan_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "label", "detail"))).alias("r"))
     j = allow.join(top, "scan_id", "left")
     extra = F.transform(F.coalesce(F.col("r"), F.array()), lambda x: F.struct(x["label"].alias("label"), x["detail"].alias("detail")))

@@ -14,7 +14,7 @@ from codelens.operators import validate as VA
 from codelens.operators import window as W
 from codelens.operators.detect import detect_configs, tech_classes
 from codelens.plans import bindings as V
-from codelens.plans.catalog import register
+from codelens.plans.catalog import ORACLE, register
 from codelens.plans.q_scores import COMPAT_SQL
 from codelens.sources import tools as TL
 
@@ -276,3 +276,27 @@ FROM ({V.V_FINDINGS_SQL}) WHERE source = 'semgrep'
 def q_udf03(spark, sf_dir):
     from codelens.plans.q_sources import semgrep_docs
     return TL.ingest_tool("semgrep", semgrep_docs(spark, sf_dir)).select("scan_id", "title", "severity", "file")
+
+
+def _txt11_sql():
+    from codelens.plans.q_diff import WIN02_SQL
+    return f"""
+WITH a AS ({WIN02_SQL}),
+l AS (SELECT scan_id, array_to_string(list_sort(list(DISTINCT name) FILTER (WHERE grp = 'frameworks')), ', ') AS fw,
+             array_to_string(list_sort(list(DISTINCT name) FILTER (WHERE grp = 'languages')), ', ') AS lang
+      FROM a WHERE allowed GROUP BY scan_id),
+r AS (SELECT scan_id, label, detail, row_number() OVER (PARTITION BY scan_id ORDER BY ord, label, detail) AS rn
+      FROM (SELECT scan_id, 'router' AS label, grp || ' ' || name || ' score ' || CAST(score AS VARCHAR) AS detail,
+                   score AS ord FROM a)),
+rr AS (SELECT scan_id, list({{'label': label, 'detail': detail}} ORDER BY rn) AS x FROM r WHERE rn <= 4 GROUP BY scan_id)
+SELECT l.scan_id, to_json(list_concat([
+         {{'label': 'features', 'detail': 'Suggestions derived from detected features and configs'}},
+         {{'label': 'guardrails', 'detail': 'Secrets redacted; unsafe actions filtered; rate limited'}},
+         {{'label': 'router-hints', 'detail': 'Allowed frameworks: ' || coalesce(nullif(fw, ''), 'none')
+                                           || '; allowed languages: ' || coalesce(nullif(lang, ''), 'none')}}],
+         coalesce(rr.x, []))) AS rationale
+FROM l LEFT JOIN rr ON l.scan_id = rr.scan_id
+"""
+
+
+ORACLE["TXT-11"] = _txt11_sql()

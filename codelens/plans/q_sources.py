@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from codelens.operators import score as S
 from codelens.operators import topk as T
 from codelens.plans import bindings as V
-from codelens.plans.catalog import register
+from codelens.plans.catalog import ORACLE, register
 from codelens.plans.q_scores import SEV_SUMMARY_SQL
 from codelens.session import ensure_checkpoint_dir
 from codelens.sources import corpus as C
@@ -422,3 +422,20 @@ def q_src15(spark, sf_dir):
     text = C.read_json_any_encoding(spark, root + "/*.json")
     lines = text.select(F.explode(F.split(F.col("json"), r"\r?\n")).alias("line")).filter(F.col("line") != "")
     return lines.select(F.from_json("line", "id string, status string, progress double").alias("d")).select("d.*")
+
+
+def _snk01_sql():
+    from codelens.plans.q_scores import TOP02_SQL
+    return f"""
+WITH s1 AS (SELECT scan_id, to_json(list({{'low': low, 'moderate': moderate, 'high': high, 'critical': critical,
+                                         'unknown': unknown}})) AS v FROM ({SEV_SUMMARY_SQL}) GROUP BY scan_id),
+s2 AS (SELECT scan_id, to_json(list({{'rank': rank, 'title': title, 'severity': severity}} ORDER BY rank, title, severity)) AS t
+       FROM ({TOP02_SQL}) GROUP BY scan_id)
+SELECT coalesce(s1.scan_id, s2.scan_id) AS scan_id,
+       '{{"apiVersion":"v1","scanId":"' || coalesce(s1.scan_id, s2.scan_id) || '"}}' AS meta,
+       '{{"vulnSeveritySummary":' || coalesce(v, '[]') || ',"topFindings":' || coalesce(t, '[]') || '}}' AS sections
+FROM s1 FULL JOIN s2 ON s1.scan_id = s2.scan_id
+"""
+
+
+ORACLE["SNK-01"] = _snk01_sql()

@@ -17,11 +17,14 @@ API_VERSION = "v1"
 def report_json(sections: dict[str, DataFrame], key: str = "scan_id") -> DataFrame:
     """SNK-01: one JSON document per scan: ``{scanId, apiVersion, <section>:
     [...]}``.  Each section is collected per scan (a section is one scan's
-    list, bounded by what the report shows) and joined on the scan id."""
+    list — a summary or a top-k — bounded by what the report shows), sorted by
+    its columns in order so the document is deterministic, and the sections
+    are joined on the scan id."""
     parts = []
     for name, df in sections.items():
         cols = [c for c in df.columns if c != key]
-        parts.append(df.groupBy(key).agg(F.to_json(F.collect_list(F.struct(*cols))).alias(name)))
+        parts.append(df.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*cols))),
+                                                   {"ignoreNullFields": "false"}).alias(name)))
     base = reduce(lambda a, b: a.join(b, key, "full"), parts)
     fields = [F.lit(API_VERSION).alias("apiVersion"), F.col(key).alias("scanId")] + [
         F.coalesce(F.col(n), F.lit("[]")).alias(n) for n in sections]

@@ -439,3 +439,22 @@ FROM s1 FULL JOIN s2 ON s1.scan_id = s2.scan_id
 
 
 ORACLE["SNK-01"] = _snk01_sql()
+
+
+def _snk07_sql():
+    from codelens.plans.q_scores import AGG01_SQL, FEATURE_USAGE_SQL, TOP07_SQL
+    hs = ("CASE WHEN size < 1024 THEN CAST(size AS VARCHAR) || ' B' "
+          "WHEN size < 1048576 THEN format('{:,.1f}', size / 1024.0) || ' KB' "
+          "WHEN size < 1073741824 THEN format('{:,.1f}', size / 1048576.0) || ' MB' "
+          "ELSE format('{:,.1f}', size / 1073741824.0) || ' GB' END")
+    return f"""
+SELECT scan_id, 'overview' AS section, k AS key, v AS value, CAST(0 AS BIGINT) AS ord FROM (
+  SELECT scan_id, unnest(['files', 'folders', 'lines', 'bytes']) AS k,
+         unnest([CAST(files AS VARCHAR), CAST(folders AS VARCHAR), CAST(lines AS VARCHAR), CAST(bytes AS VARCHAR)]) AS v
+  FROM ({AGG01_SQL}))
+UNION ALL SELECT scan_id, 'features', feature, CAST(files AS VARCHAR), CAST(0 AS BIGINT) FROM ({FEATURE_USAGE_SQL})
+UNION ALL SELECT scan_id, 'largest', path, {hs}, CAST(rank AS BIGINT) FROM ({TOP07_SQL})
+"""
+
+
+ORACLE["SNK-07"] = _snk07_sql()

@@ -567,15 +567,16 @@ def tech_classes(deps: DataFrame, frameworks: DataFrame, configs: DataFrame) ->
 
 
 def repo_identity(url: Column) -> Column:
-    """DET-36: struct(provider, owner, repo) from a repository URL: github /
-    gitlab / bitbucket by host, else unknown; owner and repo are the first two
-    path segments (``.git`` suffix removed)."""
-    u = F.lower(F.coalesce(url, F.lit("")))
-    provider = (F.when(u.contains("github.com"), "github").when(u.contains("gitlab"), "gitlab")
-                .when(u.contains("bitbucket"), "bitbucket").otherwise("unknown"))
-    m = r"(?i)^(?:[a-z][a-z0-9+.-]*://)?(?:[^@/]+@)?[^/:]+[/:]([^/?#]+)/([^/?#]+?)(?:\.git)?(?:[/?#].*)?$"
-    owner = F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), m, 1), F.lit(""))
-    repo = F.nullif(F.regexp_extract(F.coalesce(url, F.lit("")), m, 2), F.lit(""))
+    """DET-36: struct(provider, owner, repo) from a repository URL: provider
+    ``github`` when the URL contains github.com, else ``unknown``; owner and
+    repo are the two (shortest) segments after ``github.com/``, the repo ending
+    at ``.git`` or the end of the text; NULL when the URL does not match."""
+    u = F.coalesce(url, F.lit(""))
+    provider = F.when(u.contains("github.com"), "github").otherwise("unknown")
+    m = r"(?i)github\.com/(.*?)/(.*?)(?:\.git|$)"
+    hit = u.rlike(m)
+    owner = F.when(hit, F.regexp_extract(u, m, 1))
+    repo = F.when(hit, F.regexp_extract(u, m, 2))
     return F.struct(provider.alias("provider"), owner.alias("owner"), repo.alias("repo"))
 
 

@@ -23,19 +23,23 @@ def dependency_status(deps: DataFrame, outdated: DataFrame) -> DataFrame:
                                          "Outdated").otherwise("OK"))
 
 
-# FIXED VALUES: framework -> package names to look up (JOIN-06)
-FRAMEWORK_PACKAGES = [("React", "react"), ("Angular", "@angular/core"), ("Vue", "vue"), ("Express", "express"),
-                      ("Next.js", "next"), ("Nuxt", "nuxt"), ("Svelte", "svelte"), ("SvelteKit", "@sveltejs/kit"),
-                      ("Nx", "nx")]
+# FIXED VALUES: framework -> package name (JOIN-06); other frameworks use
+# their lower-cased name
+FRAMEWORK_PACKAGES = [("React", "react"), ("Angular", "angular"), ("Vue", "vue"), ("Next.js", "next"),
+                      ("Express", "express")]
 
 
 def framework_versions(frameworks: DataFrame, deps: DataFrame, packages: DataFrame) -> DataFrame:
-    """JOIN-06: framework -> package name (dim) -> version of the first
-    matching inventory row (by ``ord``); NULL when not in the inventory."""
+    """JOIN-06: framework -> package name (dim, else the lower-cased framework
+    name) -> version of the first inventory row (by ``ord``) whose lower-cased
+    name is that package; ``''`` when none."""
     f = frameworks.join(bounded_broadcast(packages), frameworks["name"] == packages["framework"], "left").select(
-        "scan_id", frameworks["name"].alias("framework"), "package")
-    first = deps.groupBy("scan_id", F.col("name").alias("package")).agg(F.min_by("version", "ord").alias("version"))
-    return f.join(first, ["scan_id", "package"], "left").select("scan_id", "framework", "package", "version")
+        "scan_id", frameworks["name"].alias("framework"),
+        F.coalesce(F.col("package"), F.lower(frameworks["name"])).alias("package"))
+    first = deps.groupBy("scan_id", F.lower(F.col("name")).alias("package")).agg(
+        F.min_by("version", "ord").alias("version"))
+    return f.join(first, ["scan_id", "package"], "left").select(
+        "scan_id", "framework", "package", F.coalesce(F.col("version"), F.lit("")).alias("version"))
 
 
 def apply_allow_list(frameworks: DataFrame, allow: DataFrame, enforce: bool = True) -> DataFrame:

@@ -130,21 +130,26 @@ def q_det30(spark, sf_dir):
     return V.v_features(spark, sf_dir).select("feature", D.feature_domain(F.col("feature")).alias("domain")).distinct()
 
 
-REPO_RE = r"(?i)^(?:[a-z][a-z0-9+.-]*://)?(?:[^@/]+@)?[^/:]+[/:]([^/?#]+)/([^/?#]+?)(?:\.git)?(?:[/?#].*)?$"
+REPO_RE = r"(?i)github\.com/(.*?)/(.*?)(?:\.git|$)"
+URLS_SQL = f"""
+SELECT id, repo_url AS url FROM ({V.V_SCANS_SQL})
+UNION ALL SELECT 'p' || CAST(page_id AS VARCHAR), url FROM pages
+"""
 DET36_SQL = f"""
-SELECT page_id, CASE WHEN contains(lower(url), 'github.com') THEN 'github' WHEN contains(lower(url), 'gitlab') THEN 'gitlab'
-         WHEN contains(lower(url), 'bitbucket') THEN 'bitbucket' ELSE 'unknown' END AS provider,
-       nullif(regexp_extract(url, '{REPO_RE}', 1), '') AS owner,
-       nullif(regexp_extract(url, '{REPO_RE}', 2), '') AS repo
-FROM pages
+SELECT id, CASE WHEN contains(url, 'github.com') THEN 'github' ELSE 'unknown' END AS provider,
+       CASE WHEN regexp_matches(url, '{REPO_RE}') THEN regexp_extract(url, '{REPO_RE}', 1) END AS owner,
+       CASE WHEN regexp_matches(url, '{REPO_RE}') THEN regexp_extract(url, '{REPO_RE}', 2) END AS repo
+FROM ({URLS_SQL})
 """
 
 
 @register("DET-36", DET36_SQL)
 def q_det36(spark, sf_dir):
-    p = V.table(spark, sf_dir, "pages")
+    """Provider / owner / repo of every scan's repository URL and every page URL."""
+    s = V.v_scans(spark, sf_dir).select("id", F.col("repo_url").alias("url"))
+    p = V.table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), "url")
     r = D.repo_identity(F.col("url"))
-    return p.select("page_id", r["provider"].alias("provider"), r["owner"].alias("owner"), r["repo"].alias("repo"))
+    return s.unionByName(p).select("id", r["provider"].alias("provider"), r["owner"].alias("owner"), r["repo"].alias("repo"))
 
 
 DET37_SQL = f"""

@@ -32,9 +32,11 @@ PKG_VALUES = ", ".join(f"('{f}', '{p}')" for f, p in J.FRAMEWORK_PACKAGES)
 JOIN06_SQL = f"""
 WITH fw AS (SELECT scan_id, name FROM {NAMES} WHERE kind = 'frameworks'),
 pk AS (SELECT * FROM (VALUES {PKG_VALUES}) AS t(framework, package)),
-first AS (SELECT scan_id, name AS package, arg_min(version, ord) AS version FROM {DEPS} GROUP BY scan_id, name)
-SELECT fw.scan_id, fw.name AS framework, pk.package, first.version
-FROM fw LEFT JOIN pk ON fw.name = pk.framework LEFT JOIN first ON fw.scan_id = first.scan_id AND pk.package = first.package
+first AS (SELECT scan_id, lower(name) AS package, arg_min(version, ord) AS version FROM {DEPS} GROUP BY scan_id, lower(name)),
+f AS (SELECT fw.scan_id, fw.name AS framework, coalesce(pk.package, lower(fw.name)) AS package
+      FROM fw LEFT JOIN pk ON fw.name = pk.framework)
+SELECT f.scan_id, f.framework, f.package, coalesce(first.version, '') AS version
+FROM f LEFT JOIN first ON f.scan_id = first.scan_id AND f.package = first.package
 """
 
 

@@ -23,9 +23,10 @@ FILES_SCHEMA = "scan_id string, path string, dir string, basename string, ext st
 
 # FIXED VALUES: directories pruned at any depth (SRC-03)
 DEFAULT_PRUNED_DIRS = [
-    "node_modules", ".git", "dist", "build", "coverage", ".next", ".nuxt", ".svelte-kit", "out", ".cache",
-    ".turbo", ".parcel-cache", ".vercel", ".output", "target", "vendor", "bower_components", ".idea", ".vscode",
-    "tmp", "temp", "__pycache__", ".venv",
+    "node_modules", ".git", "dist", "build", ".next", ".nuxt",
+    "coverage", ".cache", "tmp", "vendor", "target", "out",
+    ".svelte-kit", ".gradle", "__pycache__", "venv", ".venv",
+    ".mypy_cache", ".pytest_cache", ".yarn", ".pnpm", ".idea", ".vscode",
 ]
 
 

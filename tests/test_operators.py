@@ -126,7 +126,7 @@ def test_read_manifests_and_versions(spark):
     pk = spark.createDataFrame(J.FRAMEWORK_PACKAGES, "framework string, package string")
     inv = deps.withColumn("ord", F.when(F.col("package_dir") == ".", 0).otherwise(1))
     got = {r.framework: r.version for r in J.framework_versions(fw, inv, pk).collect()}
-    assert got == {"React": "18", "Next.js": "14", "Vue": None}
+    assert got == {"React": "18", "Next.js": "14", "Vue": ""}
 
 
 def test_page_and_top_k(spark):

@@ -81,12 +81,19 @@ def largest_files(files: DataFrame, k: int = 10) -> DataFrame:
 
 
 def human_size(b: Column) -> Column:
-    """``B`` below 1 KiB, else KB / MB / GB with one decimal."""
+    """Bytes as ``<n> B`` below 1 KiB, else KB / MB / GB (dividing by 1024
+    while at least 1024, GB at most) with one decimal rounded half up and no
+    digit grouping.  The tenths are an exact integer (``floor(x*10 + 0.5)``)."""
     b = b.cast("double")
-    return (F.when(b < 1024, F.concat(b.cast("long").cast("string"), F.lit(" B")))
-            .when(b < 1024 ** 2, F.concat(F.format_number(b / 1024, 1), F.lit(" KB")))
-            .when(b < 1024 ** 3, F.concat(F.format_number(b / 1024 ** 2, 1), F.lit(" MB")))
-            .otherwise(F.concat(F.format_number(b / 1024 ** 3, 1), F.lit(" GB"))))
+
+    def tenths(div):
+        n = F.floor(b / F.lit(float(div)) * 10 + 0.5).cast("long")
+        return F.concat((n / 10).cast("long").cast("string"), F.lit("."), (n % 10).cast("string"))
+    return (F.when(b.isNull(), F.lit(""))
+            .when(b < 1024, F.concat(b.cast("long").cast("string"), F.lit(" B")))
+            .when(b < 1024 ** 2, F.concat(tenths(1024), F.lit(" KB")))
+            .when(b < 1024 ** 3, F.concat(tenths(1024 ** 2), F.lit(" MB")))
+            .otherwise(F.concat(tenths(1024 ** 3), F.lit(" GB"))))
 
 
 def sort_issues(findings: DataFrame, severities: list[str] | None = None) -> DataFrame:

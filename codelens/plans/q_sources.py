@@ -443,10 +443,13 @@ ORACLE["SNK-01"] = _snk01_sql()
 
 def _snk07_sql():
     from codelens.plans.q_scores import AGG01_SQL, FEATURE_USAGE_SQL, TOP07_SQL
+    def t(div):
+        n = f"CAST(floor(CAST(size AS DOUBLE) / {div} * 10 + 0.5) AS BIGINT)"
+        return f"CAST({n} // 10 AS VARCHAR) || '.' || CAST({n} % 10 AS VARCHAR)"
     hs = ("CASE WHEN size < 1024 THEN CAST(size AS VARCHAR) || ' B' "
-          "WHEN size < 1048576 THEN format('{:,.1f}', size / 1024.0) || ' KB' "
-          "WHEN size < 1073741824 THEN format('{:,.1f}', size / 1048576.0) || ' MB' "
-          "ELSE format('{:,.1f}', size / 1073741824.0) || ' GB' END")
+          f"WHEN size < 1048576 THEN {t(1024)} || ' KB' "
+          f"WHEN size < 1073741824 THEN {t(1048576)} || ' MB' "
+          f"ELSE {t(1073741824)} || ' GB' END")
     return f"""
 SELECT scan_id, 'overview' AS section, k AS key, v AS value, CAST(0 AS BIGINT) AS ord FROM (
   SELECT scan_id, unnest(['files', 'folders', 'lines', 'bytes']) AS k,

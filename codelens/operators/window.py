@@ -137,10 +137,12 @@ def retention(entries: DataFrame, now, ttl_seconds: int, budget_bytes: int,
     by = by or ["root"]
     now_c = F.lit(now).cast("timestamp") if not isinstance(now, Column) else now
     age = F.unix_timestamp(now_c) - F.unix_timestamp(F.col("mtime"))
-    e = entries.withColumn("_expired", age > F.lit(ttl_seconds))
+    # a TTL or budget of 0 (or less) switches that rule off
+    e = entries.withColumn("_expired", (age > F.lit(ttl_seconds)) & F.lit(ttl_seconds > 0))
     live = running_sum(e.filter(~F.col("_expired")), by, ["-mtime", "path"], F.col("size"), "running_bytes")
     live = live.withColumn("running_bytes", F.col("running_bytes").cast("long"))
     dead = e.filter(F.col("_expired")).withColumn("running_bytes", F.lit(None).cast("long"))
     return live.unionByName(dead).withColumn(
-        "action", F.when(F.col("_expired"), "expire").when(F.col("running_bytes") > budget_bytes, "evict")
+        "action", F.when(F.col("_expired"), "expire")
+        .when(F.lit(budget_bytes > 0) & (F.col("running_bytes") > budget_bytes), "evict")
         .otherwise("keep")).drop("_expired")

@@ -171,3 +171,10 @@ def test_time_helpers(spark):
     got = [(r.p, r.d) for r in df.select(FN.parse_time(F.col("t")).alias("p"), FN.duration_text(F.col("secs")).alias("d")).collect()]
     assert got[0][0] == dt.datetime(2024, 1, 1) and got[1][0] == dt.datetime(2024, 1, 1) and got[2][0] is None
     assert [d for _, d in got] == ["59s", "1m 2s", "0s"]
+
+
+def test_retention_rules_off(spark):
+    t0 = dt.datetime(2024, 1, 10)
+    e = spark.createDataFrame([("r", "a", 40, t0), ("r", "b", 40, t0 - dt.timedelta(days=300))],
+                              "root string, path string, size long, mtime timestamp")
+    assert {r.action for r in W.retention(e, "2024-01-10 00:00:00", 0, 0).collect()} == {"keep"}

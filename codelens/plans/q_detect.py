@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from codelens import rules as _RULES
 from codelens.operators import detect as D
 from codelens.plans import bindings as V
 from codelens.plans.catalog import register
@@ -231,11 +232,26 @@ def q_det28(spark, sf_dir):
     return D.ci_findings(corpus(spark, sf_dir)).filter(F.col("title") == "Unpinned action version")
 
 
-@register("DET-29", None)
+DET29_SQL = f"""
+WITH fe AS (SELECT scan_id, bool_or(lower(feature) = 'terraform') AS has_terraform,
+                   bool_or(lower(feature) IN ('k8s', 'kubernetes', 'helm')) AS has_k8s,
+                   bool_or(lower(feature) IN ('docker', 'container')) AS has_docker
+            FROM ({V.V_FEATURES_SQL}) GROUP BY scan_id),
+cf AS (SELECT scan_id, list_sort(list(DISTINCT basename))[1:200] AS files FROM {CORPUS}
+       WHERE basename IN ({', '.join(repr(n) for n in _RULES.CONFIG_FILE_NAMES)})
+       GROUP BY scan_id)
+SELECT coalesce(fe.scan_id, cf.scan_id) AS scan_id, coalesce(has_terraform, false) AS has_terraform,
+       coalesce(has_k8s, false) AS has_k8s, coalesce(has_docker, false) AS has_docker,
+       array_to_string(coalesce(files, []), ',') AS files
+FROM fe FULL JOIN cf ON fe.scan_id = cf.scan_id
+"""
+
+
+@register("DET-29", DET29_SQL)
 def q_det29(spark, sf_dir):
-    f = corpus(spark, sf_dir)
-    feats = D.detect_features(f).select("scan_id", "feature")
-    iac = D.iac_checks(feats, D.detect_configs(f))
+    """IaC flags over the project-feature table and the config files of the
+    corpora (per scan; scans present in either input)."""
+    iac = D.iac_checks(V.v_features(spark, sf_dir).select("scan_id", "feature"), D.detect_configs(corpus(spark, sf_dir)))
     return iac.select("scan_id", "has_terraform", "has_k8s", "has_docker", F.array_join("files", ",").alias("files"))
 
 

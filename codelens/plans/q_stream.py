@@ -9,7 +9,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from codelens.plans import bindings as V
-from codelens.plans.catalog import register
+from codelens.plans.catalog import ORACLE, register
 from codelens.plans.q_scores import MERGE_SQL
 from codelens.streaming import progress as P
 
@@ -188,3 +188,28 @@ def q_str11(spark, sf_dir):
     name = "str11_" + uuid.uuid4().hex[:8]
     _run_available_now(P.detect_stream(spark, f"{run}/corpus"), "append", name, f"{run}/ckpt")
     return spark.table(name)
+
+
+def _quota_sql(key: str, max_requests: int, window_ms: int, skip: list[str]) -> str:
+    """Sequential first-request-anchored fold per key as a recursive CTE
+    (one step per request of a key, in (ts, seq) order)."""
+    cond = " AND ".join(f"NOT starts_with(path, '{p}')" for p in skip) or "true"
+    return f"""
+WITH RECURSIVE r0 AS (
+  SELECT {key} AS key, ts, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY {key} ORDER BY ts, seq) AS rn
+  FROM ({V.V_REQUESTS_SQL}) WHERE {cond}),
+f(key, rn, ts, t, reset_ms, cnt) AS (
+  SELECT key, rn, ts, t, t + {window_ms}, 1 FROM r0 WHERE rn = 1
+  UNION ALL
+  SELECT r0.key, r0.rn, r0.ts, r0.t,
+         CASE WHEN r0.t >= f.reset_ms THEN r0.t + {window_ms} ELSE f.reset_ms END,
+         CASE WHEN r0.t >= f.reset_ms THEN 1 ELSE f.cnt + 1 END
+  FROM f JOIN r0 ON r0.key = f.key AND r0.rn = f.rn + 1)
+SELECT key, ts, CAST(cnt AS BIGINT) AS count, CAST(greatest(0, {max_requests} - cnt) AS BIGINT) AS remaining,
+       cnt > {max_requests} AS limited, epoch_ms(reset_ms) AS reset_ts
+FROM f
+"""
+
+
+ORACLE["STR-06"] = _quota_sql("ip", 60, 60_000, ["/socket.io", "/api/browsers"])
+ORACLE["STR-07"] = _quota_sql("tenant", 10, 60_000, [])

@@ -40,6 +40,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -88,3 +89,36 @@ def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int =
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
         "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor": "0.2",
     }
+
+
+def ship_package(spark: SparkSession) -> str | None:
+    """Make ``codelens`` importable on every Python worker: zip the package,
+    put the zip in the shared checkpoint folder and ``addPyFile`` it (once per
+    SparkContext).  Functions given to ``mapInPandas`` / ``applyInPandas`` are
+    pickled by module reference, so executors must be able to import them."""
+    import hashlib
+    import io
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_codelens_shipped", None):
+        return sc._codelens_shipped
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in sorted(os.walk(pkg_dir)):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, root))
+    data = buf.getvalue()
+    target = ensure_checkpoint_dir(spark).rstrip("/") + f"/codelens-pkg-{hashlib.md5(data).hexdigest()[:12]}.zip"
+    from codelens.sources.corpus import _fs_and_path
+    fs, path = _fs_and_path(target)
+    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(path) as out:
+        out.write(data)
+    sc.addPyFile(target)
+    sc._codelens_shipped = target
+    return target

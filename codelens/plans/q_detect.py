@@ -456,3 +456,42 @@ ORACLE["DET-04"] = framework_sql(CORPUS)
 for _id, _names in FRAMEWORK_GROUPS.items():
     _in = ", ".join(f"'{n}'" for n in _names)
     ORACLE[_id] = f"SELECT scan_id, name FROM ({framework_sql(_CORPUS_PAGES)}) WHERE name IN ({_in})"
+
+
+# DET-02 oracle: CSS declarations are the segments between '{' or ';' and the
+# next ';' or '}' that read "prop: value" (split on the delimiters instead of
+# a lookahead).
+DET02_SQL = f"""
+WITH f AS (SELECT scan_id, path, regexp_replace(coalesce(content, ''), '/\\*[\\s\\S]*?\\*/', ' ', 'g') AS css
+           FROM {CORPUS} WHERE ext IN ('.css', '.scss')),
+g AS (SELECT scan_id, path, css, regexp_extract_all(css, '([^{{}};]*)([{{}};]|$)', 1) AS s,
+             regexp_extract_all(css, '([^{{}};]*)([{{}};]|$)', 2) AS d FROM f),
+dl AS (SELECT scan_id, path, css, list_filter(list_transform(range(2, len(s) + 1), lambda i:
+         CASE WHEN d[i - 1] IN ('{{', ';') AND d[i] IN (';', '}}')
+                   AND regexp_matches(s[i], '(?s)^\\s*(-?-?[A-Za-z][\\w-]*)\\s*:\\s*(.*)$')
+              THEN {{'p': trim(regexp_extract(s[i], '(?s)^\\s*(-?-?[A-Za-z][\\w-]*)\\s*:', 1)),
+                    'v': regexp_extract(s[i], '(?s)^\\s*-?-?[A-Za-z][\\w-]*\\s*:\\s*(.*)$', 1)}} END),
+         lambda x: x IS NOT NULL) AS decls FROM g),
+r AS (SELECT scan_id, path,
+        contains(css, ':has(') AS has_pseudo,
+        contains(css, '&') AND regexp_matches(css, '&[^{{}};]*\\{{') AS nesting,
+        list_bool_or(list_transform(decls, lambda x: starts_with(x.p, '--'))) AS variables,
+        list_bool_or(list_transform(decls, lambda x: x.p = 'backdrop-filter')) AS backdrop,
+        list_bool_or(list_transform(decls, lambda x: contains(x.p, 'grid'))) AS grid,
+        list_bool_or(list_transform(decls, lambda x: x.p IN ('grid-template-columns', 'grid-template-rows')
+                                                   AND contains(x.v, 'subgrid'))) AS subgrid,
+        list_bool_or(list_transform(decls, lambda x: contains(x.p, 'flex'))) AS flexbox,
+        list_bool_or(list_transform(decls, lambda x: contains(x.v, 'clamp('))) AS clamp,
+        contains(css, '@container') AND regexp_matches(css, '@container([^A-Za-z0-9_-]|$)') AS container
+      FROM dl)
+SELECT scan_id, path AS file, 'css-has-pseudo' AS feature FROM r WHERE has_pseudo
+UNION ALL SELECT scan_id, path, 'css-nesting' FROM r WHERE nesting
+UNION ALL SELECT scan_id, path, 'css-variables' FROM r WHERE variables
+UNION ALL SELECT scan_id, path, 'css-backdrop-filter' FROM r WHERE backdrop
+UNION ALL SELECT scan_id, path, 'css-grid' FROM r WHERE grid
+UNION ALL SELECT scan_id, path, 'css-subgrid' FROM r WHERE subgrid
+UNION ALL SELECT scan_id, path, 'css-flexbox' FROM r WHERE flexbox
+UNION ALL SELECT scan_id, path, 'css-clamp' FROM r WHERE clamp
+UNION ALL SELECT scan_id, path, 'css-container-queries' FROM r WHERE container
+"""
+ORACLE["DET-02"] = DET02_SQL

@@ -495,3 +495,41 @@ UNION ALL SELECT scan_id, path, 'css-clamp' FROM r WHERE clamp
 UNION ALL SELECT scan_id, path, 'css-container-queries' FROM r WHERE container
 """
 ORACLE["DET-02"] = DET02_SQL
+
+
+# DET-01 oracle: the JS rules in RE2 form.  Lookarounds are rewritten into
+# equivalent plain patterns; top-level await splits on the literal 'await',
+# keeps the occurrences whose neighbours are not identifier characters, and
+# takes brace prefix sums over the segments.
+def _sqlq(p: str) -> str:
+    return p.replace("'", "''")
+
+
+_JS_RE2 = {k: p for k, _lit, p in D.JS_RULES}
+_JS_RE2["nullish-coalescing"] = r"\?\?([^=]|$)"
+_CLASS_RE2 = D.CLASS_FIELD.replace(r"(?:=(?![=>])[^;\n]*)?", r"(?:=(?:[^=>;\n][^;\n]*)?)?")
+assert "(?!" not in _CLASS_RE2
+_BAL = "(length(x) - length(replace(x, '{', ''))) - (length(x) - length(replace(x, '}', '')))"
+DET01_SQL = f"""
+WITH f AS (SELECT scan_id, path, coalesce(content, '') AS raw,
+                  regexp_replace(coalesce(content, ''), '{_sqlq(D.JS_STRIP)}', ' ', 'g') AS c
+           FROM {CORPUS} WHERE ext IN ('.js', '.jsx', '.ts', '.tsx')),
+t AS (SELECT *, string_split(c, 'await') AS segs FROM f),
+t2 AS (SELECT *, list_transform(segs, lambda x: {_BAL}) AS bal FROM t),
+tla AS (SELECT scan_id, path, coalesce(list_bool_or(list_transform(range(1, len(segs)), lambda j:
+          NOT regexp_matches(segs[j], '[A-Za-z0-9_$.]$') AND NOT regexp_matches(segs[j + 1], '^[A-Za-z0-9_$]')
+          AND list_sum(bal[1:j]) <= 0)), false) AS hit FROM t2)
+SELECT DISTINCT scan_id, file, feature FROM (
+  {' UNION ALL '.join(f"SELECT scan_id, path AS file, '{k}' AS feature FROM f WHERE regexp_matches(c, '{_sqlq(p)}')" for k, p in _JS_RE2.items())}
+  UNION ALL SELECT scan_id, path, 'top-level-await' FROM tla WHERE hit
+  UNION ALL SELECT scan_id, path, 'class-fields' FROM f
+    WHERE regexp_matches(c, '{_sqlq(D.NB)}class{_sqlq(D.NA)}') AND regexp_matches(c, '{_sqlq(_CLASS_RE2)}')
+  UNION ALL SELECT scan_id, path, unnest(regexp_extract_all(raw, '{_sqlq(D.CORE_JS_IMPORT)}', 1)) FROM f
+    WHERE contains(raw, 'core-js/'))
+"""
+ORACLE["DET-01"] = DET01_SQL
+ORACLE["DET-03"] = f"""
+SELECT scan_id, array_to_string(list_sort(list(DISTINCT feature)), ',') AS features FROM (
+  SELECT scan_id, feature FROM ({DET01_SQL}) UNION ALL SELECT scan_id, feature FROM ({DET02_SQL}))
+GROUP BY scan_id
+"""

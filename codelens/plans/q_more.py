@@ -220,11 +220,21 @@ def q_join21(spark, sf_dir):
     return J.repo_details(s.select("id"), manifests, external, "id", ["repo_url", "created"])
 
 
-@register("UDF-01", None)
+UDF01_SQL = f"""
+WITH pf AS (SELECT DISTINCT scan_id, feature FROM ({V.V_FEATURES_SQL})
+            UNION SELECT DISTINCT scan_id, 'GitHub Actions' FROM ({V.V_FILES_SQL} UNION ALL {V.V_CODE_SQL})
+            WHERE regexp_matches(path, '(^|/)\\.github/workflows/'))
+SELECT scan_id, count(*) AS features, 2 AS executed, 1 AS skipped FROM pf GROUP BY scan_id
+"""
+
+
+@register("UDF-01", UDF01_SQL)
 def q_udf01(spark, sf_dir):
-    """Registry run over the corpus tables: built-in sample detector plus a
-    detector that adds tech classes and a deliberately broken one (skipped)."""
-    files = V.v_files(spark, sf_dir)
+    """Registry run over the corpus tables: the built-in sample detector, a
+    detector that adds tech classes and a deliberately broken one (logged and
+    skipped).  Reports project features per scan and the run's executed /
+    skipped detector counts."""
+    files = V.v_files(spark, sf_dir).unionByName(V.v_code(spark, sf_dir))
     tables = {"files": files, "configs": detect_configs(files),
               "project_features": V.v_features(spark, sf_dir).select("scan_id", "feature").distinct()}
 
@@ -235,8 +245,10 @@ def q_udf01(spark, sf_dir):
         return {"bad": t["files"].select("no_such_column")}
     out, log = R.run_detectors(spark, tables, [("sample-detector", R.sample_detector), ("tech-classes", classes),
                                                ("broken", broken)])
-    return out["project_features"].groupBy("scan_id").agg(F.count(F.lit(1)).alias("features")).withColumn(
-        "log", F.lit("\n".join(log)))
+    executed = sum(1 for line in log if line.startswith("[plugin] Executed"))
+    skipped = sum(1 for line in log if line.startswith("[plugin] Error in"))
+    return out["project_features"].groupBy("scan_id").agg(F.count(F.lit(1)).alias("features")).select(
+        "scan_id", "features", F.lit(executed).alias("executed"), F.lit(skipped).alias("skipped"))
 
 
 UDF02_SQL = f"""

@@ -213,3 +213,13 @@ FROM f
 
 ORACLE["STR-06"] = _quota_sql("ip", 60, 60_000, ["/socket.io", "/api/browsers"])
 ORACLE["STR-07"] = _quota_sql("tenant", 10, 60_000, [])
+
+
+def _str11_sql():
+    from codelens.plans.q_detect import CORPUS, DET01_SQL, DET02_SQL
+    code = f"({V.V_CODE_SQL})"
+    return (f"SELECT scan_id, file, feature FROM ({DET01_SQL.replace(CORPUS, code)}) "
+            f"UNION ALL SELECT scan_id, file, feature FROM ({DET02_SQL.replace(CORPUS, code)})")
+
+
+ORACLE["STR-11"] = _str11_sql()

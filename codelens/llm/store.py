@@ -37,3 +37,8 @@ def drop_tables(spark: SparkSession) -> None:
     for t in spark.catalog.listTables():
         if t.name.startswith("llm_"):
             spark.sql(f"DROP TABLE IF EXISTS {t.name}")
+
+
+def few(df: DataFrame, limit: int) -> bool:
+    """Whether ``df`` has at most ``limit`` rows: the check before a broadcast."""
+    return df.limit(limit + 1).count() <= limit

@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelens.llm import (decontamination, html_extraction, mixing, quality_classifier, quality_rules, sharding,
-                          substring_dedup, suffix_dedup)
+from codelens.llm import (decontamination, html_extraction, line_dedup, mixing, ngram_join, quality_classifier,
+                          quality_rules, sharding, substring_dedup, suffix_dedup)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,6 +44,29 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+LINE_SQL = r"""
+WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                      generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS pos FROM lines
+             WHERE regexp_matches(line, '[^ 	-]')),
+pairs AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM numbered),
+later AS (SELECT *, row_number() OVER (PARTITION BY line, following ORDER BY doc_id, pos) AS copy FROM pairs WHERE following IS NOT NULL),
+gone AS (SELECT doc_id, pos FROM later WHERE copy > 1 UNION SELECT doc_id, pos + 1 FROM later WHERE copy > 1),
+kept AS (SELECT l.doc_id, sha256(string_agg(l.line, chr(10) ORDER BY l.no)) AS h
+         FROM lines l LEFT JOIN numbered n ON n.doc_id = l.doc_id AND n.no = l.no
+         WHERE (l.doc_id, coalesce(n.pos, -1)) NOT IN (SELECT doc_id, pos FROM gone) GROUP BY l.doc_id)
+SELECT d.doc_id, (SELECT count(*) FROM numbered n WHERE n.doc_id = d.doc_id) AS n_lines,
+       (SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS n_removed, coalesce(k.h, sha256('')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+
+@query("op2_line_dedup", LINE_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.delete_repeats(table(spark, sf_dir, "documents"), min_lines=2)
+    return found.select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
 @query("op3_sharding")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_slots(table(spark, sf_dir, "documents"), shards=16)
@@ -109,3 +132,29 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.verdicts(docs, quality_rules.fit(docs, quality_labels(spark, sf_dir)))
+
+
+NEAR_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS MATERIALIZED (
+    SELECT DISTINCT doc_id, s FROM (
+        SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+        FROM words WHERE len(w) > 0)),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS MATERIALIZED (
+    SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+                          GROUP BY ALL) p JOIN sizes m ON m.doc_id = p.a JOIN sizes n ON n.doc_id = p.b
+    WHERE 100 * c >= 75 * (m.n + n.n - c)),
+reach(doc_id, other) AS (
+    SELECT doc_id, doc_id FROM words
+    UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other)
+SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, min(r.other) AS component_id
+FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id JOIN reach r ON r.doc_id = w.doc_id GROUP BY ALL
+"""
+
+
+@query("op10_ngram_join", NEAR_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicate_groups(table(spark, sf_dir, "documents"))

@@ -9,8 +9,8 @@ four steps that never hold more than a chunk or a bucket in one task:
 2. Winnowing: in every window of ``length`` units the k-gram with the smallest
    hash is its anchor (the leftmost on ties).  Equal windows have equal anchors, so
    a window can only recur if its anchor does.  Chunks send their anchors to
-   buckets by hash, 5 bytes each, and get back two bits each: alone, shared,
-   or hot (very many occurrences).
+   buckets by hash, sorted and delta-coded to two or three bytes each, and get
+   back two bits each: alone, shared, or hot (very many occurrences).
 3. The stretches of text around shared anchors go to the anchor's bucket, once
    per chunk and content.  Around hot anchors single windows go, each to the bucket
    of its own content, so that no bucket has to hold all surroundings of a
@@ -121,15 +121,20 @@ class Chunk:
 
 # --- keys that occur more than once -------------------------------------------------
 
-def _to40(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def pack32(keys: np.ndarray) -> bytes:
+    """32-bit values in ascending order as deltas, byte plane by byte plane."""
+    delta = np.diff(keys.astype(np.uint32), prepend=np.uint32(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(delta.view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
-def _from40(blob: bytes) -> np.ndarray:
-    raw = np.frombuffer(blob, dtype=np.uint8).reshape(-1, 5)
-    out = np.zeros((len(raw), 8), dtype=np.uint8)
-    out[:, :5] = raw
-    return out.view(np.uint64).reshape(-1)
+def unpack32(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).reshape(-1), dtype=np.uint64)
+
+
+def below_bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The 32 bits that follow the bucket's leading bits."""
+    return (keys >> np.uint64(32 - (buckets.bit_length() - 1))) & np.uint64(0xFFFFFFFF)
 
 
 def _pack2(values: np.ndarray) -> bytes:
@@ -161,31 +166,42 @@ def _table(**columns) -> pa.Table:
     return pa.table({k: pa.array(v, kinds[k]) for k, v in columns.items()})
 
 
-def shared_keys(store: TextStore, keys_of: Callable[[Chunk], np.ndarray], normalise: Callable | None,
-                buckets: int, hot: int = HOT) -> DataFrame:
+def shared_keys(store: TextStore, keys_of: Callable[[Chunk], tuple[np.ndarray, bytes | None]], normalise: Callable | None,
+                buckets: int, steps: tuple[int, ...] = (2, HOT + 1)) -> DataFrame:
     """(chunk, bucket, blob): for every distinct key of a chunk, in ascending
-    order, 0 if it occurs once in all chunks, 1 if more often, 2 if more than ``hot`` times.
+    order, how many of ``steps`` its number of occurrences in all chunks reaches
+    (counted from below: large counts of a chunk enter as 2, 16 or 256).
 
-    ``keys_of`` gives a chunk's keys with repeats.  Keys are compared by their
-    bucket and 40 further bits; a rare false 1 costs work, never a result.
+    ``keys_of`` gives a chunk's keys with repeats, and optionally a note that comes
+    back as the chunk's row with bucket ``-1 - chunk``.  Keys are compared by their
+    bucket and 32 further bits, so about one in some thousands counts too high;
+    that costs work, never a result.
     """
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        u, n = np.unique(keys_of(Chunk.load(table, normalise)), return_counts=True)
+        chunk = key[0].as_py()
+        keys, note = keys_of(Chunk.load(table, normalise))
+        u, n = np.unique(keys, return_counts=True)
         level = np.searchsorted(_WEIGHT, n, side="right") - 1
         cut = split_keys(u, buckets)
-        used = np.flatnonzero(np.diff(cut))
-        return _table(chunk=[key[0].as_py()] * len(used), bucket=used, keys=[_to40(u[cut[b]:cut[b + 1]]) for b in used],
-                      counts=[_pack2(level[cut[b]:cut[b + 1]]) for b in used])
+        low = below_bucket(u, buckets)
+        used = np.flatnonzero(np.diff(cut)).tolist()
+        rows = [(chunk, b, pack32(low[cut[b]:cut[b + 1]]), _pack2(level[cut[b]:cut[b + 1]])) for b in used]
+        if note is not None:
+            rows.append((chunk, -1 - chunk, note, b""))
+        a, b, k, c = zip(*rows) if rows else ((),) * 4
+        return _table(chunk=a, bucket=b, keys=k, counts=c)
 
     def answer(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [_from40(k) for k in table.column("keys").to_pylist()]
+        if key[0].as_py() < 0:
+            return table.select(["chunk", "bucket", "keys"]).rename_columns(["chunk", "bucket", "blob"])
+        parts = [unpack32(k) for k in table.column("keys").to_pylist()]
         counts = [_WEIGHT[_unpack2(c, len(p))] for c, p in zip(table.column("counts").to_pylist(), parts)]
         every, weight = np.concatenate(parts), np.concatenate(counts)
         order = np.argsort(every, kind="stable")
         s = every[order]
         first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         total = np.add.reduceat(weight[order], first)
-        level = np.where(total > hot, 2, np.where(total > 1, 1, 0)).astype(np.uint8)
+        level = np.searchsorted(np.array(steps), total, side="right").astype(np.uint8)
         out = np.empty(len(every), dtype=np.uint8)
         out[order] = np.repeat(level, np.diff(np.append(first, len(s))))
         ends = np.cumsum([0] + [len(p) for p in parts])
@@ -385,7 +401,7 @@ def repeated_windows(store: TextStore, scheme: Scheme, solve: Solve, finish: Cal
     (first window, values) and returns rows of ``schema``.
     """
     buckets = key_buckets(store.chunks)
-    masks = materialize(shared_keys(store, lambda c: scheme.anchors(c).ids, scheme.normalise, buckets))
+    masks = materialize(shared_keys(store, lambda c: (scheme.anchors(c).ids, None), scheme.normalise, buckets))
 
     def send(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         got = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist()))

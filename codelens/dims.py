@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelens import rules
+from codelens.session import ensure_checkpoint_dir
 
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
@@ -37,6 +38,14 @@ def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> Da
     return df
 
 
+def broadcast_if_few(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """``df``, computed once, with a broadcast hint if it has at most ``max_rows``
+    rows (counted, not estimated)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def feature_dim(spark: SparkSession) -> DataFrame:
     """Long-form feature dimension ``(feature, browser, support, source, notes)``.
 
@@ -51,18 +60,5 @@ def compat_aliases(spark: SparkSession) -> DataFrame:
     return literal_dim(spark, rows, "feature string, path string")
 
 
-def config_names(spark: SparkSession) -> DataFrame:
-    rows = [(n, i) for i, n in enumerate(rules.CONFIG_FILE_NAMES)]
-    return literal_dim(spark, rows, "basename string, ord int")
-
-
-def build_tool_dim(spark: SparkSession) -> DataFrame:
-    return literal_dim(spark, rules.BUILD_TOOL_RULES, "config string, tool string")
-
-
-def config_framework_dim(spark: SparkSession) -> DataFrame:
-    return literal_dim(spark, rules.CONFIG_FRAMEWORK_RULES, "config string, framework string")
-
-
 def tech_dim(spark: SparkSession) -> DataFrame:
     return literal_dim(spark, rules.TECH_EVALUATION, "name string, approved boolean, status string, testing_level string")

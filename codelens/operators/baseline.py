@@ -7,26 +7,41 @@ the fact table, and a hot ``scan_id`` or ``feature`` cannot skew it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelens.dims import bounded_broadcast
 from codelens.functions.status import worst_of
 from codelens.rules import BROWSERS
+from codelens.session import ensure_checkpoint_dir
 
 UNMAPPED_NOTE = "No baseline mapping available (fallback)"
 
 
+#: Feature keys that meet the catalogue at once (a few hundred bytes each).
+KEY_BLOCK = 50_000
+
+
 def _unknown_support():
     return F.create_map(*[x for b in BROWSERS for x in (F.lit(b), F.lit("unknown"))])
 
 
+def support_map(key: str, value: F.Column) -> F.Column:
+    """MAP<key, value> aggregate; of repeated keys the greatest value stays (a
+    map cannot hold both)."""
+    entries = F.array_sort(F.collect_set(F.struct(F.col(key).alias("k"), value.alias("v"))))
+    last = F.filter(entries, lambda e, i: (i == F.size(entries) - 1) | (F.get(entries, i + 1)["k"] != e["k"]))
+    return F.map_from_entries(F.filter(last, lambda e: e["k"].isNotNull()))
+
+
 def dim_by_feature(feature_dim: DataFrame) -> DataFrame:
     """One row per feature: ``support`` MAP over the four browsers (missing ->
     unknown) and the worst-case ``status`` (JOIN-04)."""
     d = feature_dim.filter(F.col("browser").isin(*BROWSERS))
     agg = d.groupBy("feature").agg(
-        F.map_from_entries(F.collect_list(F.struct("browser", F.coalesce("support", F.lit("unknown"))))).alias("_m"),
+        support_map("browser", F.coalesce("support", F.lit("unknown"))).alias("_m"),
         F.max(F.coalesce("notes", F.lit(""))).alias("dim_notes"))
     support = F.create_map(*[x for b in BROWSERS
                              for x in (F.lit(b), F.coalesce(F.col("_m")[b], F.lit("unknown")))])
@@ -73,8 +88,7 @@ def lookup_compat(baseline: DataFrame, aliases: DataFrame, compat: DataFrame) ->
     Two left joins against bounded dims (aliases is a fixed list; compat is
     keyed by path and filtered to the alias paths first)."""
     c = compat.join(F.broadcast(aliases.select("path").distinct()), "path", "left_semi")
-    per_path = c.groupBy("path").agg(F.map_from_entries(F.collect_list(
-        F.struct("browser", classify_compat_entry(F.col("entries"))))).alias("_cm"))
+    per_path = c.groupBy("path").agg(support_map("browser", classify_compat_entry(F.col("entries"))).alias("_cm"))
     support = F.create_map(*[x for b in BROWSERS
                              for x in (F.lit(b), F.coalesce(F.col("_cm")[b], F.lit("unknown")))])
     resolved = (bounded_broadcast(aliases).join(bounded_broadcast(per_path), "path", "inner")
@@ -93,18 +107,24 @@ def lookup_web_features(baseline: DataFrame, web_features: DataFrame) -> DataFra
     """JOIN-03: for rows still ``unknown``, the first catalogue row (by
     ``ord``) whose lower name or slug contains the lower feature key.
 
-    A substring match cannot be an equi-join, so this is a nested-loop join —
-    with the distinct unknown feature keys broadcast (bounded by the detector
-    vocabulary) and the catalogue streamed, so its size never has to fit
-    anywhere; the first match per key is a grouped ``min_by`` (partial
-    aggregation), equi-joined back to the baseline rows.
+    The keys are the stated query set and are held against all catalogue rows in
+    blocks: free text among them (``core-js/...`` import paths) grows with the
+    corpus, so they are split into blocks of ``KEY_BLOCK`` by hash and each
+    block, whose size is counted, meets the whole catalogue.  The first match per
+    key is a grouped ``min_by`` (partial aggregation), equi-joined back to the
+    baseline rows.
     """
     keys = baseline.filter(F.col("status") == "unknown").select("feature").distinct()
     cat = web_features.select("ord", F.lower(F.coalesce("name", F.lit(""))).alias("_n"),
                               F.lower(F.coalesce("slug", F.lit(""))).alias("_s"),
                               F.coalesce("slug", "name").alias("_label"), "support")
     q = F.lower(F.col("feature"))
-    cand = cat.join(F.broadcast(keys), F.col("_n").contains(q) | F.col("_s").contains(q), "inner")
+    ensure_checkpoint_dir(keys.sparkSession)
+    keys = keys.checkpoint(eager=True)
+    blocks = max(1, -(-keys.count() // KEY_BLOCK))
+    parts = [keys.filter(F.pmod(F.xxhash64("feature"), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [keys]
+    hits = [cat.join(F.broadcast(part), F.col("_n").contains(q) | F.col("_s").contains(q), "inner") for part in parts]
+    cand = reduce(DataFrame.unionByName, hits)
     first = cand.groupBy("feature").agg(F.min_by(F.struct("support", "_label"), F.col("ord")).alias("_hit"))
     wsupport = F.create_map(*[x for b in BROWSERS
                               for x in (F.lit(b), F.coalesce(F.col("_hit.support")[b], F.lit("unknown")))])
@@ -117,9 +137,3 @@ def lookup_web_features(baseline: DataFrame, web_features: DataFrame) -> DataFra
         F.when(use, F.concat(F.lit("Fallback from web-features for '"), F.col("_hit._label"), F.lit("'")))
         .otherwise(F.col("notes")).alias("notes"),
     )
-
-
-def worst_status_col(support_col: str = "support") -> F.Column:
-    """JOIN-04 as a column: worst status of a MAP<browser, support>."""
-    return worst_of(F.map_values(F.col(support_col)))
-

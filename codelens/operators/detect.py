@@ -52,8 +52,11 @@ def with_path_cols(files: DataFrame) -> DataFrame:
 # -- DET-01: JS / TS features --------------------------------------------------
 
 # comments and string / template literals (one left-to-right alternation, so a
-# '//' inside a string is consumed as part of the string)
-JS_STRIP = r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`"""
+# '//' inside a string is consumed as part of the string).  Literals are unrolled
+# with possessive loops: Java's engine then iterates, so a literal of any length
+# (a minified bundle, a data URI) neither recurses per character nor backtracks.
+JS_STRIP = (r"""//[^\n]*|/\*[\s\S]*?\*/|"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"""
+            r"""|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`""")
 CORE_JS_IMPORT = r"""(?:^|[\n;])\s*import\s+(?:[^'";]*?\s+from\s+)?['"](core-js/[^'"]+)['"]"""
 AWAIT_SPLIT = rf"(?<![{ID}.])await(?![{ID}])"
 
@@ -114,8 +117,44 @@ def guarded(text: Column, literal: str, pattern: str, ci: bool = False) -> Colum
     return probe & text.rlike(pattern)
 
 
-CLASS_FIELD = (r"(?m)^\s*(?:(?:public|private|protected|readonly|static|declare|override)\s+)*"
-               r"[A-Za-z_$][\w$]*[?!]?\s*(?::[^;=(){}\n]+)?(?:=(?![=>])[^;\n]*)?;")
+def _scopes(text: Column, inside, found) -> Column:
+    """Whether ``found(segment, delimiter)`` holds for some segment that stands
+    directly in a scope of interest.
+
+    The text is read as segments between braces; a stack remembers for every open
+    brace whether ``inside(segment before it)`` held, so only depth 1 below such a
+    brace counts.  Segments are looked at one by one, whatever the text's length.
+    """
+    segs = F.regexp_extract_all(text, F.lit(r"[^{}]*(?:[{}]|$)"), 0)
+    start = F.struct(F.array().cast("array<boolean>").alias("stack"), F.lit(False).alias("hit"))
+
+    def step(acc: Column, seg: Column) -> Column:
+        last = F.right(seg, F.lit(1))
+        body = F.regexp_replace(seg, r"[{}]$", "")
+        top = F.coalesce(F.try_element_at(acc["stack"], F.lit(-1)), F.lit(False))
+        stack = (F.when(last == "{", F.concat(acc["stack"], F.array(inside(body))))
+                 .when(last == "}", F.slice(acc["stack"], 1, F.greatest(F.size(acc["stack"]) - 1, F.lit(0))))
+                 .otherwise(acc["stack"]))
+        return F.struct(stack.alias("stack"), (acc["hit"] | (top & found(body, last))).alias("hit"))
+
+    return F.aggregate(segs, start, step, lambda acc: acc["hit"])
+
+
+CLASS_HEAD = rf"(^|[^{ID}.])class(?![{ID}])[^;]*$"
+FIELD_NAME = (r"(?:^|[;\n])\s*(?:(?:public|private|protected|readonly|static|declare|override)\s+)*[A-Za-z_$][\w$]*[?!]?\s*"
+              r"(?::[^;=(){}]+)?")
+FIELD = FIELD_NAME + r"(?:=(?![=>])|;)"
+LAST_FIELD = FIELD_NAME + r"$"
+
+
+def class_fields(code: Column) -> Column:
+    """True when a field is declared directly in a class body (not in a method):
+    a name, then ``=``, ``;`` or the end of the body.  Argument lists are blanked,
+    so method signatures and their defaults are no fields."""
+    def found(seg: Column, last: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(seg, r"\([^()]*\)", "()"), r"\s+$", "")
+        return plain.rlike(FIELD) | ((last == "}") & plain.rlike(LAST_FIELD))
+    return _scopes(code, lambda seg: seg.rlike(CLASS_HEAD), found)
 
 
 def js_features(code_raw: Column, stripped: Column | None = None) -> Column:
@@ -128,7 +167,7 @@ def js_features(code_raw: Column, stripped: Column | None = None) -> Column:
     base = F.array_compact(F.array(*[F.when(guarded(c, lit, p), F.lit(k)) for k, lit, p in JS_RULES]))
     tla = F.when(c.contains("await") & top_level_await(c),
                  F.array(F.lit("top-level-await"))).otherwise(F.array().cast("array<string>"))
-    cls = F.when(guarded(c, "class", rf"{NB}class{NA}") & c.rlike(CLASS_FIELD),
+    cls = F.when(guarded(c, "class", rf"{NB}class{NA}") & class_fields(c),
                  F.array(F.lit("class-fields"))).otherwise(F.array().cast("array<string>"))
     raw = F.coalesce(code_raw, F.lit(""))
     core = F.when(raw.contains("core-js/"), F.regexp_extract_all(raw, F.lit(CORE_JS_IMPORT), 1)).otherwise(
@@ -145,7 +184,18 @@ def detect_js(files: DataFrame) -> DataFrame:
 
 
 # -- DET-02: CSS / SCSS features ------------------------------------------------
-CSS_DECL = r"[{;]\s*(-?-?[A-Za-z][\w-]*)\s*:\s*([^;{}]*)(?=[;}])"
+CSS_DECL = r"[{;}]\s*(-?-?[A-Za-z][\w-]*)\s*:\s*([^;{}]*)(?=[;}])"
+
+
+def css_nesting(css: Column) -> Column:
+    """True when a rule whose selector has ``&`` stands directly in another rule
+    (not in an at-rule)."""
+    def selector(seg: Column) -> Column:
+        return F.regexp_replace(F.regexp_extract(seg, r"[^;]*$", 0), r"^\s+|\s+$", "")
+
+    def rule(seg: Column) -> Column:
+        return ~selector(seg).startswith("@")
+    return _scopes(css, rule, lambda seg, last: (last == "{") & rule(seg) & selector(seg).contains("&"))
 
 
 def css_features(css_raw: Column) -> Column:
@@ -158,7 +208,7 @@ def css_features(css_raw: Column) -> Column:
         return F.exists(decls, lambda d: pred(F.trim(d["p"]), d["v"]))
     rules_ = [
         ("css-has-pseudo", css.contains(":has(")),
-        ("css-nesting", guarded(css, "&", r"&[^{};]*\{")),
+        ("css-nesting", css.contains("&") & css_nesting(css)),
         ("css-variables", any_decl(lambda p, v: p.startswith("--"))),
         ("css-backdrop-filter", any_decl(lambda p, v: p == "backdrop-filter")),
         ("css-grid", any_decl(lambda p, v: p.contains("grid"))),
@@ -426,9 +476,8 @@ def framework_signals(files: DataFrame) -> DataFrame:
     root_pkg = p == "package.json"
     pkg = F.from_json(F.when(is_pkg, c), PKG_SCHEMA)
     deps, dev = pkg["dependencies"], pkg["devDependencies"]
-    alldeps = F.map_concat(F.coalesce(deps, F.create_map().cast("map<string,string>")),
-                           F.coalesce(dev, F.create_map().cast("map<string,string>")))
-    names = F.map_keys(alldeps)
+    none = F.array().cast("array<string>")  # key arrays, not one map: a package may be in both
+    names = F.concat(F.coalesce(F.map_keys(deps), none), F.coalesce(F.map_keys(dev), none))
     scripts = F.array_join(F.coalesce(F.map_values(pkg["scripts"]), F.array().cast("array<string>")), " ")
 
     def has(m, k):

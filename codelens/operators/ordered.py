@@ -14,13 +14,14 @@ row index) in two passes:
    gives each partition's offset, which is joined back.
 
 The order must be total (add a tie-break column) for results to be
-deterministic; the partition ids are stable under re-execution because the
-range bounds come from Spark's deterministic sampling and no shuffle sits
-between the sort and ``spark_partition_id()``.
+deterministic.  The folded partitions are written once to the shared checkpoint
+folder, and both branches (the totals and the rows) read that copy, so they see
+the same partitions whatever Spark samples, reuses or recomputes.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Iterator
 
 import pandas as pd
@@ -28,23 +29,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from codelens.dims import bounded_broadcast
+from codelens.session import ensure_checkpoint_dir
 
 
 def _local_cumsum(by: list[str]):
     def fn(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, carry = None, 0.0
+        last, carry = None, 0
         for pdf in chunks:
             if pdf.empty:
-                yield pdf.assign(_local=pd.Series(dtype="float64"))
                 continue
-            keys = pdf[by].astype(str).agg("\u0001".join, axis=1) if len(by) > 1 else pdf[by[0]].astype(str)
-            local = pdf.groupby(keys.values, sort=False)["_v"].cumsum().astype("float64")
-            if last_key is not None:  # continue the previous chunk's running sum for the same key
-                first = keys.values == last_key
-                local = local.where(~first, local + carry)
-            last_key = keys.values[-1]
-            carry = float(local.values[-1])
+            local = pdf.groupby(by, sort=False, dropna=False)["_v"].cumsum()
+            first = pdf[by].iloc[0]
+            if last is not None and first.equals(last):  # the previous chunk's last key goes on
+                same = pdf[by].eq(first) | (pdf[by].isna() & first.isna())
+                local = local + same.all(axis=1) * carry
+            last = pdf[by].iloc[-1]
+            carry = local.iloc[-1]
             yield pdf.assign(_local=local.values)
     return fn
 
@@ -53,22 +53,24 @@ def running_sum(df: DataFrame, by: list[str], order: list[str], value: Column |
                 out: str = "running", num_partitions: int | None = None) -> DataFrame:
     """Running sum of ``value`` (default 1 -> row index) within ``by``,
     ordered by ``order`` ascending (prefix the column name with '-' for
-    descending), inclusive of the current row."""
+    descending), inclusive of the current row.  Integral values are summed as
+    longs; rows with a null key form a group of their own."""
+    ensure_checkpoint_dir(df.sparkSession)
     sort_cols = list(by) + [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]
-    # An explicit partition count: AQE never coalesces this exchange, so the
-    # partition ids seen by the totals branch and by the join-back branch are
-    # the same by construction (not by two identical coalescing decisions).
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tmp = df.withColumn("_v", (value if value is not None else F.lit(1)).cast("double"))
-    ranged = tmp.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols).withColumn(
-        "_pid", F.spark_partition_id())
-    schema = T.StructType(ranged.schema.fields + [T.StructField("_local", T.DoubleType())])
-    local = ranged.mapInPandas(_local_cumsum(by), schema)
+    tmp = df.withColumn("_v", value if value is not None else F.lit(1))
+    kind = T.LongType() if isinstance(tmp.schema["_v"].dataType, T.IntegralType) else T.DoubleType()
+    ranged = (tmp.withColumn("_v", F.coalesce(F.col("_v").cast(kind), F.lit(0).cast(kind)))
+              .repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols).withColumn("_pid", F.spark_partition_id()))
+    local = ranged.mapInPandas(_local_cumsum(by), T.StructType(ranged.schema.fields + [T.StructField("_local", kind)]))
+    local = local.checkpoint(eager=True)
     totals = local.groupBy("_pid", *by).agg(F.sum("_v").alias("_tot"))
     w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_tot").over(w), F.lit(0.0))).drop("_tot")
-    j = local.join(bounded_broadcast(offsets), ["_pid", *by], "left")
-    return j.withColumn(out, F.col("_off") + F.col("_local")).drop("_v", "_pid", "_local", "_off")
+    offsets = totals.select(F.col("_pid").alias("_opid"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(by)],
+                            F.coalesce(F.sum("_tot").over(w), F.lit(0).cast(kind)).alias("_off"))
+    match = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(by)], F.col("_pid") == F.col("_opid"))
+    j = local.join(offsets, match)
+    return j.withColumn(out, F.col("_off") + F.col("_local")).select(*df.columns, out)
 
 
 def row_index(df: DataFrame, by: list[str], order: list[str], out: str = "row") -> DataFrame:

@@ -14,7 +14,6 @@ Log lines are kept as a small DataFrame ``logs(scan_id, ts, msg)`` per run
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,14 +59,6 @@ def run_detectors(spark: SparkSession, tables: Tables, detectors: list[tuple[str
     return results, log
 
 
-def log_frame(spark: SparkSession, log: list[str], scan_ids: DataFrame) -> DataFrame:
-    """The run log as ``(scan_id, ts, msg)`` rows for every scan."""
-    now = int(time.time() * 1000)
-    entries = F.array(*[F.struct(F.lit(now + i).alias("ts"), F.lit(m).alias("msg")) for i, m in enumerate(log)])
-    return scan_ids.select("scan_id").distinct().select("scan_id", F.explode(entries).alias("e")).select(
-        "scan_id", "e.ts", "e.msg")
-
-
 def sample_detector(tables: Tables) -> Tables:
     """UDF-02: scans with files under ``.github/workflows`` get the project
     feature ``GitHub Actions``; scans with ``docker-compose.yml`` or

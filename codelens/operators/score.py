@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from codelens.functions.scalar import clamp, round_half_up
 from codelens.functions.severity import normalize_severity, semgrep_severity, severity_bucket
 from codelens.functions.status import impact_rank
+from codelens.operators.baseline import support_map
 
 
 def _count_if(cond: Column) -> Column:
@@ -513,7 +514,8 @@ def compliance_report(findings: DataFrame, compat: DataFrame, recommendations_df
     return scan_standards(out, standards)
 
 
-TOOLS_SAST = ["semgrep", "npm audit", "owasp-dependency-check", "safety (Python)"]
+#: Report column -> name under which a tool's run is stored.
+TOOLS_SAST = {"semgrep": "semgrep", "npm": "npm-audit", "owasp_dependency_check": "owasp-dependency-check", "safety": "safety"}
 
 
 def sast_report(findings: DataFrame, compat: DataFrame, tool_runs: DataFrame) -> DataFrame:
@@ -532,10 +534,9 @@ def sast_report(findings: DataFrame, compat: DataFrame, tool_runs: DataFrame) ->
     names = [f"{p}_{x}" for p in ("v", "h") for x in ("critical", "high", "medium", "low")] + \
             ["ci_workflows", "ci_high", "ci_medium", "ci_low", "unsupported"]
     f = _fold(_measures(*parts), names)
-    st = tool_runs.groupBy("scan_id").agg(F.map_from_entries(F.collect_list(F.struct("tool", "status"))).alias("_t"))
+    st = tool_runs.groupBy("scan_id").agg(support_map("tool", F.col("status")).alias("_t"))
     j = f.join(st, "scan_id", "left")
-    tools = [F.coalesce(F.col("_t")[t], F.lit("not_executed")).alias("tool_" + t.split()[0].replace("-", "_").lower())
-             for t in TOOLS_SAST]
+    tools = [F.coalesce(F.try_element_at("_t", F.lit(t)), F.lit("not_executed")).alias("tool_" + c) for c, t in TOOLS_SAST.items()]
     return j.select("scan_id", *[F.col(n).cast("long").alias(n) for n in names], *tools)
 
 

@@ -286,8 +286,3 @@ def parse_diffs(df: DataFrame, col: str, key: str = "doc_id") -> DataFrame:
                       lambda x: F.substring(x, 2, 1 << 30))
     return b.select(key, "block", F.coalesce(b_path, a_path).alias("path"), F.array_join(orig, "\n").alias("original"),
                     F.array_join(mod, "\n").alias("modified")).filter(F.col("path").isNotNull())
-
-
-def changed_paths(parsed: DataFrame) -> DataFrame:
-    """Changed-path list of parsed diffs with leading slashes stripped."""
-    return parsed.select("*", F.regexp_replace("path", r"^/+", "").alias("changed_path"))

@@ -20,6 +20,8 @@ def top_k(df: DataFrame, k: int, order: list[Column], by: list[str] | None = Non
           rank_col: str | None = "rank") -> DataFrame:
     """Generic per-group top-k with a 1-based rank column."""
     by = by or []
+    if not by:  # one list: every task keeps its k best, then k rows are numbered
+        df = df.orderBy(*order).limit(k)
     w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
     out = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
     if rank_col:
@@ -44,11 +46,6 @@ def latest_scans(scans: DataFrame, k: int = 20) -> DataFrame:
     return scans.orderBy(F.col("created_at").desc(), F.col("id").asc()).limit(k)
 
 
-def top_hits(hits: DataFrame, k: int = 10, by: list[str] | None = None) -> DataFrame:
-    """TOP-04: top k search hits by score (ties by path)."""
-    return top_k(hits, k, [F.col("score").desc(), F.col("path").asc()], by=by)
-
-
 def page(df: DataFrame, n: int, size: int, order: list[Column], by: list[str] | None = None) -> DataFrame:
     """TOP-05: page ``n`` (1-based) of ``size`` rows per group, plus
     ``total_pages = max(1, ceil(count / size))``.

@@ -459,6 +459,14 @@ CODE_TEMPLATES = [
     ("nx{id}/project.json", '{"projectType": "library", "sourceRoot": "libs/{name}"}'),
     ("cfg{id}/angular.json", '{"version": 1}'),
     ("web{id}/next.config.js", "module.exports = { reactStrictMode: true };\n"),
+    # shapes that real files have: a literal of thousands of characters, a class without
+    # fields, declarations after a nested rule, a package in both dependency maps
+    ("src/bundle{id}.js", "const uri = 'data:" + "QUJD" * 700 + "';\nclass Plain{id} {\n  run(a = 1) {\n    i = 0;\n    return;\n  }\n}\n"
+                          "const t = `${uri}\\`{name}`;\n"),
+    ("styles/after{id}.scss", ".a { .x { color: red } flex-wrap: wrap; }\n@media print { &.top { color: red; } }\n"),
+    ("styles/nest{id}.scss", ".b { color: red; &:hover { color: blue } --gap: {size}px }\n"),
+    ("{root}package.json", '{"name": "{name}", "dependencies": {"react": "18.2.0", "lodash": "4.0.{size}", "express": "4.18.2"}, '
+                           '"devDependencies": {"react": "18.2.0", "lodash": "4.0.{size}", "jest": "29.0.0"}}'),
 ]
 CODE_PATHS = [p for p, _ in CODE_TEMPLATES]
 CODE_TEXTS = [t for _, t in CODE_TEMPLATES]
@@ -466,7 +474,9 @@ CODE_TEXTS = [t for _, t in CODE_TEMPLATES]
 
 def _fill(template: Column) -> Column:
     name = F.regexp_replace(F.col("p_name"), " ", "_")
-    t = F.replace(template, F.lit("{id}"), F.col("p_partkey").cast("string"))
+    # one manifest in ten stands in the root of its scan
+    root = F.when(F.col("p_size") % 10 == 0, "").otherwise(F.concat(F.lit("r"), F.col("p_partkey").cast("string"), F.lit("/")))
+    t = F.replace(F.replace(template, F.lit("{root}"), root), F.lit("{id}"), F.col("p_partkey").cast("string"))
     t = F.replace(t, F.lit("{name}"), name)
     return F.replace(t, F.lit("{size}"), F.col("p_size").cast("string"))
 
@@ -483,7 +493,8 @@ def v_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_fill(expr: str) -> str:
-    return (f"replace(replace(replace({expr}, '{{id}}', CAST(p_partkey AS VARCHAR)), '{{name}}', "
+    root = "CASE WHEN p_size % 10 = 0 THEN '' ELSE 'r' || CAST(p_partkey AS VARCHAR) || '/' END"
+    return (f"replace(replace(replace(replace({expr}, '{{root}}', {root}), '{{id}}', CAST(p_partkey AS VARCHAR)), '{{name}}', "
             f"replace(p_name, ' ', '_')), '{{size}}', CAST(p_size AS VARCHAR))")
 
 

@@ -467,14 +467,21 @@ WITH f AS (SELECT scan_id, path, regexp_replace(coalesce(content, ''), '/\\*[\\s
 g AS (SELECT scan_id, path, css, regexp_extract_all(css, '([^{{}};]*)([{{}};]|$)', 1) AS s,
              regexp_extract_all(css, '([^{{}};]*)([{{}};]|$)', 2) AS d FROM f),
 dl AS (SELECT scan_id, path, css, list_filter(list_transform(range(2, len(s) + 1), lambda i:
-         CASE WHEN d[i - 1] IN ('{{', ';') AND d[i] IN (';', '}}')
+         CASE WHEN d[i - 1] IN ('{{', ';', '}}') AND d[i] IN (';', '}}')
                    AND regexp_matches(s[i], '(?s)^\\s*(-?-?[A-Za-z][\\w-]*)\\s*:\\s*(.*)$')
               THEN {{'p': trim(regexp_extract(s[i], '(?s)^\\s*(-?-?[A-Za-z][\\w-]*)\\s*:', 1)),
                     'v': regexp_extract(s[i], '(?s)^\\s*-?-?[A-Za-z][\\w-]*\\s*:\\s*(.*)$', 1)}} END),
          lambda x: x IS NOT NULL) AS decls FROM g),
+nb AS (SELECT scan_id, path, regexp_extract_all(css, '([^{{}}]*)([{{}}]|$)', 1) AS s, regexp_extract_all(css, '([^{{}}]*)([{{}}]|$)', 2) AS d
+       FROM f WHERE contains(css, '&')),
+nd AS (SELECT *, list_transform(range(1, len(d) + 1), lambda i:
+         len(list_filter(d[1:i - 1], lambda x: x = '{{')) - len(list_filter(d[1:i - 1], lambda x: x = '}}'))) AS depth,
+         list_transform(s, lambda x: trim(regexp_extract(x, '[^;]*$', 0), E' \n\t\r')) AS sel FROM nb),
+nest AS (SELECT scan_id, path, list_bool_or(list_transform(range(1, len(d) + 1), lambda i:
+           d[i] = '{{' AND contains(sel[i], '&') AND NOT starts_with(sel[i], '@')
+           AND coalesce(NOT starts_with(sel[list_max(list_filter(range(1, i), lambda j: d[j] = '{{' AND depth[j] = depth[i] - 1))], '@'), false))) AS hit FROM nd),
 r AS (SELECT scan_id, path,
         contains(css, ':has(') AS has_pseudo,
-        contains(css, '&') AND regexp_matches(css, '&[^{{}};]*\\{{') AS nesting,
         list_bool_or(list_transform(decls, lambda x: starts_with(x.p, '--'))) AS variables,
         list_bool_or(list_transform(decls, lambda x: x.p = 'backdrop-filter')) AS backdrop,
         list_bool_or(list_transform(decls, lambda x: contains(x.p, 'grid'))) AS grid,
@@ -485,7 +492,7 @@ r AS (SELECT scan_id, path,
         contains(css, '@container') AND regexp_matches(css, '@container([^A-Za-z0-9_-]|$)') AS container
       FROM dl)
 SELECT scan_id, path AS file, 'css-has-pseudo' AS feature FROM r WHERE has_pseudo
-UNION ALL SELECT scan_id, path, 'css-nesting' FROM r WHERE nesting
+UNION ALL SELECT scan_id, path, 'css-nesting' FROM nest WHERE hit
 UNION ALL SELECT scan_id, path, 'css-variables' FROM r WHERE variables
 UNION ALL SELECT scan_id, path, 'css-backdrop-filter' FROM r WHERE backdrop
 UNION ALL SELECT scan_id, path, 'css-grid' FROM r WHERE grid
@@ -507,23 +514,35 @@ def _sqlq(p: str) -> str:
 
 _JS_RE2 = {k: p for k, _lit, p in D.JS_RULES}
 _JS_RE2["nullish-coalescing"] = r"\?\?([^=]|$)"
-_CLASS_RE2 = D.CLASS_FIELD.replace(r"(?:=(?![=>])[^;\n]*)?", r"(?:=(?:[^=>;\n][^;\n]*)?)?")
-assert "(?!" not in _CLASS_RE2
+# literals and comments as RE2 reads them (no possessive loops needed there)
+_STRIP_RE2 = (r"""//[^\n]*|/\*(?s:.*?)\*/|"([^"\\\n]|\\(?s:.))*"|'([^'\\\n]|\\(?s:.))*'|`([^`\\]|\\(?s:.))*`""")
+# a class field: statement start, modifiers, name, optional type, then "=" (no "==", "=>") or ";"
+_FIELD_RE2 = (r"(^|[;\n])\s*((public|private|protected|readonly|static|declare|override)\s+)*[A-Za-z_$][A-Za-z0-9_$]*[?!]?\s*(:[^;=(){}]+)?")
 _BAL = "(length(x) - length(replace(x, '{', ''))) - (length(x) - length(replace(x, '}', '')))"
 DET01_SQL = f"""
 WITH f AS (SELECT scan_id, path, coalesce(content, '') AS raw,
-                  regexp_replace(coalesce(content, ''), '{_sqlq(D.JS_STRIP)}', ' ', 'g') AS c
+                  regexp_replace(coalesce(content, ''), '{_sqlq(_STRIP_RE2)}', ' ', 'g') AS c
            FROM {CORPUS} WHERE ext IN ('.js', '.jsx', '.ts', '.tsx')),
 t AS (SELECT *, string_split(c, 'await') AS segs FROM f),
 t2 AS (SELECT *, list_transform(segs, lambda x: {_BAL}) AS bal FROM t),
 tla AS (SELECT scan_id, path, coalesce(list_bool_or(list_transform(range(1, len(segs)), lambda j:
           NOT regexp_matches(segs[j], '[A-Za-z0-9_$.]$') AND NOT regexp_matches(segs[j + 1], '^[A-Za-z0-9_$]')
-          AND list_sum(bal[1:j]) <= 0)), false) AS hit FROM t2)
+          AND list_sum(bal[1:j]) <= 0)), false) AS hit FROM t2),
+-- segments between braces; a segment belongs to the nearest open brace one level up
+cb AS (SELECT scan_id, path, regexp_extract_all(c, '([^{{}}]*)([{{}}]|$)', 1) AS s, regexp_extract_all(c, '([^{{}}]*)([{{}}]|$)', 2) AS d
+       FROM f WHERE contains(c, 'class')),
+cd AS (SELECT *, list_transform(range(1, len(d) + 1), lambda i:
+         len(list_filter(d[1:i - 1], lambda x: x = '{{')) - len(list_filter(d[1:i - 1], lambda x: x = '}}'))) AS depth FROM cb),
+co AS (SELECT *, list_transform(range(1, len(d) + 1), lambda i:
+         list_max(list_filter(range(1, i), lambda j: d[j] = '{{' AND depth[j] = depth[i] - 1))) AS opener FROM cd),
+cls AS (SELECT scan_id, path, coalesce(list_bool_or(list_transform(range(1, len(d) + 1), lambda i:
+          opener[i] IS NOT NULL AND regexp_matches(s[opener[i]], '(^|[^A-Za-z0-9_$.])class([^A-Za-z0-9_$][^;]*)?$')
+          AND (regexp_matches(regexp_replace(regexp_replace(s[i], '\\([^()]*\\)', '()', 'g'), '\\s+$', ''), '{_sqlq(_FIELD_RE2)}(=([^=>]|$)|;)')
+               OR (d[i] = '}}' AND regexp_matches(regexp_replace(regexp_replace(s[i], '\\([^()]*\\)', '()', 'g'), '\\s+$', ''), '{_sqlq(_FIELD_RE2)}$'))))), false) AS hit FROM co)
 SELECT DISTINCT scan_id, file, feature FROM (
   {' UNION ALL '.join(f"SELECT scan_id, path AS file, '{k}' AS feature FROM f WHERE regexp_matches(c, '{_sqlq(p)}')" for k, p in _JS_RE2.items())}
   UNION ALL SELECT scan_id, path, 'top-level-await' FROM tla WHERE hit
-  UNION ALL SELECT scan_id, path, 'class-fields' FROM f
-    WHERE regexp_matches(c, '{_sqlq(D.NB)}class{_sqlq(D.NA)}') AND regexp_matches(c, '{_sqlq(_CLASS_RE2)}')
+  UNION ALL SELECT scan_id, path, 'class-fields' FROM cls WHERE hit
   UNION ALL SELECT scan_id, path, unnest(regexp_extract_all(raw, '{_sqlq(D.CORE_JS_IMPORT)}', 1)) FROM f
     WHERE contains(raw, 'core-js/'))
 """

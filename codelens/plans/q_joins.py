@@ -257,13 +257,13 @@ WITH f AS (SELECT scan_id,
   {cnt("kind IN ('missing_policy', 'insecure_api') AND " + B_ + " = 'low'")} AS h_low,
   {cnt("kind = 'ci'")} AS ci_workflows, {cnt("kind = 'ci' AND (" + NSEV + ") IN ('critical', 'high')")} AS ci_high,
   {cnt("kind = 'ci' AND (" + NSEV + ") = 'medium'")} AS ci_medium, {cnt("kind = 'ci' AND (" + NSEV + ") = 'low'")} AS ci_low,
-  max(CASE WHEN source = 'semgrep' THEN 1 ELSE 0 END) AS has_semgrep
+  max(CASE WHEN source = 'semgrep' THEN 1 ELSE 0 END) AS has_semgrep, max(CASE WHEN source = 'npm-audit' THEN 1 ELSE 0 END) AS has_npm
   FROM {FIND} GROUP BY scan_id),
 c AS ({COMPAT_SQL})
 SELECT f.scan_id, v_critical, v_high, v_medium, v_low, h_critical, h_high, h_medium, h_low,
        ci_workflows, ci_high, ci_medium, ci_low, CAST(coalesce(c.unsupported, 0) AS BIGINT) AS unsupported,
        CASE WHEN has_semgrep = 1 THEN 'ok' ELSE 'not_executed' END AS tool_semgrep,
-       'not_executed' AS tool_npm, 'not_executed' AS tool_owasp_dependency_check, 'not_executed' AS tool_safety
+       CASE WHEN has_npm = 1 THEN 'ok' ELSE 'not_executed' END AS tool_npm, 'not_executed' AS tool_owasp_dependency_check, 'not_executed' AS tool_safety
 FROM f LEFT JOIN c ON f.scan_id = c.scan_id
 """
 

@@ -9,7 +9,7 @@ directly."""
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -29,9 +29,10 @@ FIND = f"({V.V_FINDINGS_SQL})"
 SCANS = f"({V.V_SCANS_SQL})"
 
 
-def scratch(spark, sf_dir: str, name: str) -> str:
+def scratch(spark, name: str) -> str:
+    """A new folder in the shared checkpoint folder: parallel runs do not meet."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/codelens-sources/{os.path.basename(sf_dir.rstrip('/'))}/{name}"
+    return f"{base}/codelens-sources/{uuid.uuid4().hex}/{name}"
 
 
 SRC01_SQL = """
@@ -43,13 +44,14 @@ FROM documents GROUP BY source
 
 @register("SRC-01", SRC01_SQL)
 def q_src01(spark, sf_dir):
-    root = scratch(spark, sf_dir, "corpus")
-    d = V.table(spark, sf_dir, "documents").select("source", "text")
-    d.write.mode("overwrite").partitionBy("source").text(root)
-    # hidden entries of this folder are the writer's own (_SUCCESS, .crc)
-    files = C.read_corpus(spark, root, "corpus").filter(~F.col("basename").rlike(r"^[._]"))
+    root = scratch(spark, "corpus")
+    d = V.table(spark, sf_dir, "documents").select("source", "text", (F.col("doc_id") % 4 == 0).alias("hidden"))
+    # every fourth document lies below a hidden folder that has no visible file
+    d.filter(~F.col("hidden")).drop("hidden").write.partitionBy("source").text(root)
+    d.filter("hidden").drop("hidden").write.partitionBy("source").text(root + "/.notes")
+    files = C.read_corpus(spark, root, "corpus").filter(~F.col("basename").rlike(r"^_SUCCESS$|\.crc$"))  # the writer's own
     nl = F.length("content") - F.length(F.regexp_replace("content", "\n", ""))
-    return files.select(F.regexp_extract("path", r"^source=([^/]+)/", 1).alias("scan_id"), "size", nl.alias("nl")).groupBy(
+    return files.select(F.regexp_extract("path", r"(?:^|/)source=([^/]+)/", 1).alias("scan_id"), "size", nl.alias("nl")).groupBy(
         "scan_id").agg(F.sum("size").cast("long").alias("bytes"), F.sum("nl").cast("long").alias("newlines"))
 
 
@@ -199,12 +201,12 @@ SRC14_SQL = f"SELECT DISTINCT scan_id, path FROM ({V.V_CHANGED_SQL})"
 
 @register("SRC-14", SRC14_SQL)
 def q_src14(spark, sf_dir):
-    root = scratch(spark, sf_dir, "changed")
+    root = scratch(spark, "changed")
     ch = V.v_changed(spark, sf_dir)
     # diff --name-only text with padding, Windows slashes and blank lines
     lines = ch.select("scan_id", F.concat(F.lit("  "), F.regexp_replace("path", "/", r"\\"), F.lit(" ")).alias("value"))
     blanks = ch.select("scan_id", F.lit("   ").alias("value"))
-    lines.unionByName(blanks).write.mode("overwrite").partitionBy("scan_id").text(root)
+    lines.unionByName(blanks).write.partitionBy("scan_id").text(root)
     return C.read_changed_paths(spark, root, None)
 
 
@@ -382,8 +384,7 @@ def q_src08(spark, sf_dir):
     """Zip archives of the code corpus (one per brand and block of 2,500 part
     keys, about 100 files each, built per group and written from the tasks),
     expanded again by read_archives."""
-    import uuid
-    root = scratch(spark, sf_dir, f"archives-{uuid.uuid4().hex[:8]}")
+    root = scratch(spark, f"archives-{uuid.uuid4().hex[:8]}")
     code = V.v_code(spark, sf_dir)
     key = F.concat(F.lit("b"), F.regexp_extract("scan_id", r"(\d+)$", 1), F.lit("_"),
                    F.floor(F.col("ord") / 2500).cast("long").cast("string"))
@@ -409,8 +410,7 @@ SRC15_SQL = f"SELECT id, status, progress FROM {SCANS}"
 def q_src15(spark, sf_dir):
     """Scan documents as NDJSON files in UTF-8 / UTF-16LE / UTF-16BE with a
     BOM (at most 1,000 scans per file), decoded by read_json_any_encoding."""
-    import uuid
-    root = scratch(spark, sf_dir, f"json-{uuid.uuid4().hex[:8]}")
+    root = scratch(spark, f"json-{uuid.uuid4().hex[:8]}")
     s = V.v_scans(spark, sf_dir)
     o = V.table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"),
                                                 F.col("o_orderpriority").alias("prio"),

@@ -149,9 +149,11 @@ def _scratch(spark, sf_dir, name):
     return f"{base}/codelens-streams/{os.path.basename(sf_dir.rstrip('/'))}/{name}"
 
 
-def _run_available_now(df, mode, sink_name, ckpt, foreach=None):
+def _run_available_now(df, mode, target, ckpt, foreach=None):
+    """Run a stream over what is there; the result goes to ``foreach`` or to
+    Parquet files at ``target``."""
     w = df.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
-    q = w.foreachBatch(foreach).start() if foreach else w.format("memory").queryName(sink_name).start()
+    q = w.foreachBatch(foreach).start() if foreach else w.format("parquet").option("path", target).start()
     q.awaitTermination()
     return q
 
@@ -166,7 +168,7 @@ def _stream_str09(spark, sf_dir):
     run = _scratch(spark, sf_dir, f"str09-{uuid.uuid4().hex[:8]}")
     target, src = f"{run}/summary", f"{run}/incoming"
     stored = S.severity_summary(f.filter(F.col("kind") == S.VULN))
-    stored.withColumn("epoch", F.lit(-1).cast("long")).write.mode("overwrite").partitionBy("scan_id").parquet(target)
+    stored.write.mode("overwrite").partitionBy("scan_id").parquet(target)
     counts = S.tool_rollup(f).filter(F.col("tool") == "semgrep").select("scan_id", "high", "medium", "low")
     counts.repartition(3, "scan_id").write.mode("overwrite").parquet(src)
     stream = spark.readStream.schema(counts.schema).option("maxFilesPerTrigger", 1).parquet(src)
@@ -180,14 +182,15 @@ register("STR-09", MERGE_SQL)(_stream_str09)
 @register("STR-11", None)
 def q_str11(spark, sf_dir):
     """STR-11: code-corpus files arrive as a stream; the stateless detectors
-    run unchanged on it (append mode, memory sink for the result)."""
+    run unchanged on it (append mode); the findings go to files, not to the
+    driver."""
     import uuid
     run = _scratch(spark, sf_dir, f"str11-{uuid.uuid4().hex[:8]}")
     V.v_code(spark, sf_dir).select("scan_id", "path", "size", "content").repartition(4).write.mode(
         "overwrite").parquet(f"{run}/corpus")
-    name = "str11_" + uuid.uuid4().hex[:8]
-    _run_available_now(P.detect_stream(spark, f"{run}/corpus"), "append", name, f"{run}/ckpt")
-    return spark.table(name)
+    found = P.detect_stream(spark, f"{run}/corpus")
+    _run_available_now(found, "append", f"{run}/features", f"{run}/ckpt")
+    return spark.read.schema(found.schema).parquet(f"{run}/features")
 
 
 def _quota_sql(key: str, max_requests: int, window_ms: int, skip: list[str]) -> str:

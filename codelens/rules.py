@@ -121,8 +121,6 @@ IMPACT_RANK_DEFAULT = 1
 # --------------------------------------------------------------------------
 JS_EXTS = [".js", ".jsx", ".ts", ".tsx"]
 CSS_EXTS = [".css", ".scss"]
-NEW_EXPRESSION_FEATURES = ["XMLHttpRequest", "Worker", "SharedWorker",
-                           "IntersectionObserver", "ResizeObserver", "AbortController"]
 
 # --------------------------------------------------------------------------
 # FIXED VALUES: config files and build tools

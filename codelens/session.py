@@ -48,8 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a shared (HDFS/S3/...) folder and is used
-    as is.  Only when it is unset (local tests) a fresh scratch folder is
-    created and set.
+    as is.  Only when it is unset in local mode (tests) a fresh scratch folder
+    is created and set; on a cluster, where a local folder would be another one
+    on every machine, an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -57,6 +58,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    master = sc.master or ""
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     local = tempfile.mkdtemp(prefix="codelens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(local)
     try:
@@ -67,18 +71,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 * 1024 * 1024,
-               max_split_bytes: int = 256 * 1024 * 1024) -> dict:
+               max_split_bytes: int = 256 * 1024 * 1024, shuffle_share: float = 0.05) -> dict:
     """Settings for a corpus of ``input_bytes`` on ``total_cores`` executor
     cores, derived without touching the data.
 
     - shuffle partitions: enough that one partition of the largest shuffle
-      (assumed about the size of the input) is ~``target_partition_bytes`` and
-      at least 3 waves of tasks per core; AQE coalesces the small ones;
+      (``shuffle_share`` of the input: findings and counts travel, file contents
+      do not) is ~``target_partition_bytes``, and at least 3 waves of tasks per
+      core; AQE coalesces the small ones.  100 TB give some 20,000 partitions,
+      whose map-output state a driver can hold;
     - ``maxPartitionBytes``: parquet / binaryFile splits of at most 256 MB;
     - AQE advisory size and skew thresholds matched to the target, so a scan
       holding a third of all rows is split rather than run as one task.
     """
-    parts = max(3 * total_cores, -(-int(input_bytes) // target_partition_bytes))
+    parts = max(3 * total_cores, -(-int(input_bytes * shuffle_share) // target_partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(parts),
         "spark.sql.files.maxPartitionBytes": str(max_split_bytes),

@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
+from functools import reduce
 from typing import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelens.dims import bounded_broadcast
+from codelens.dims import broadcast_if_few
 from codelens.functions.scalar import basename, dirname, ext
+from codelens.session import ensure_checkpoint_dir
 
 FILES_SCHEMA = "scan_id string, path string, dir string, basename string, ext string, size long, content string"
 
@@ -31,8 +34,14 @@ DEFAULT_PRUNED_DIRS = [
 
 
 def _decode(content) -> F.Column:
-    """Bytes -> UTF-8 text; NULL when the bytes contain a NUL (binary)."""
-    return F.when(F.instr(F.hex(content), "00") % 2 == 1, None).otherwise(F.decode(content, "UTF-8"))
+    """Bytes -> UTF-8 text, malformed bytes as U+FFFD; NULL when the bytes
+    contain a NUL (binary)."""
+    return F.when(F.contains(content, F.lit(bytearray(1))), None).otherwise(F.make_valid_utf8(content.cast("string")))
+
+
+def _text(data: bytes) -> str | None:
+    """The same for bytes that a Python task has read."""
+    return None if b"\x00" in data else data.decode("utf-8", "replace")
 
 
 def with_layout(df: DataFrame) -> DataFrame:
@@ -52,85 +61,107 @@ def _fs_and_path(uri: str):
     return fs, path
 
 
-def _hidden_walker(root_uri: str, max_bytes: int | None):
-    """mapInPandas body: for each directory, the direct children whose names
-    start with '.' or '_' (Spark's listing skips them), walking hidden
-    sub-directories recursively; emits (path, size, content)."""
-    def is_hidden(name: str) -> bool:
-        return name.startswith(".") or name.startswith("_")
+#: A task hands on what it has read whenever this much has come together.
+EMIT_BYTES = 16 << 20
+
+
+def _emit(rows: list, names: list[str]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=names)
 
+
+def _lister(root_uri: str, prune: frozenset):
+    """mapInPandas body: the entries of each directory, as (path, size, is_dir);
+    pruned directory names are not handed on."""
     def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.fs as pafs
         fs, root = _fs_and_path(root_uri)
         root = root.rstrip("/")
+        for pdf in batches:
+            for rel in pdf["path"].tolist():
+                found = fs.get_file_info(pafs.FileSelector(f"{root}/{rel}" if rel else root, recursive=False))
+                rows = [(i.path[len(root) + 1:], int(i.size or 0), i.type == pafs.FileType.Directory) for i in found
+                        if not (i.type == pafs.FileType.Directory and i.base_name in prune)]
+                yield _emit(rows, ["path", "size", "is_dir"])
+    return fn
 
-        def emit(info, rows):
-            size = int(info.size or 0)
-            data = b""
-            if not max_bytes or size <= max_bytes:
-                with fs.open_input_stream(info.path) as fh:
-                    data = fh.read()
-            text = None
-            if b"\x00" not in data:
-                try:
-                    text = data.decode("utf-8")
-                except UnicodeDecodeError:
-                    text = None
-            if max_bytes and size > max_bytes:
-                return
-            rows.append((info.path[len(root) + 1:], size, text))
 
+def _reader(root_uri: str):
+    """mapInPandas body: the text of each listed file, a few megabytes at a time."""
+    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, root = _fs_and_path(root_uri)
+        root, names = root.rstrip("/"), ["path", "size", "content"]
         for pdf in batches:
-            rows: list = []
-            for rel_dir in pdf["rel_dir"].tolist():
-                d = root if not rel_dir else f"{root}/{rel_dir}"
-                try:
-                    children = fs.get_file_info(pafs.FileSelector(d, recursive=False))
-                except (FileNotFoundError, OSError):
-                    continue
-                for info in children:
-                    if not is_hidden(info.base_name):
-                        continue
-                    if info.type == pafs.FileType.File:
-                        emit(info, rows)
-                    elif info.type == pafs.FileType.Directory:
-                        for sub in fs.get_file_info(pafs.FileSelector(info.path, recursive=True)):
-                            if sub.type == pafs.FileType.File:
-                                emit(sub, rows)
-            yield pd.DataFrame(rows, columns=["path", "size", "content"])
+            rows, held = [], 0
+            for rel, size in zip(pdf["path"].tolist(), pdf["size"].tolist()):
+                with fs.open_input_stream(f"{root}/{rel}") as fh:
+                    rows.append((rel, int(size), _text(fh.read())))
+                held += int(size)
+                if held >= EMIT_BYTES:
+                    yield _emit(rows, names)
+                    rows, held = [], 0
+            if rows:
+                yield _emit(rows, names)
     return fn
 
 
+def hidden_files(spark: SparkSession, root: str, max_bytes: int | None = None, glob: str | None = None,
+                 prune: list[str] | None = None) -> DataFrame:
+    """(path, size, content) of the files that Spark's own source skips: empty
+    ones, and those whose name, or a directory above them, starts with '.' or '_'.
+
+    Directories are listed level by level, each level one distributed job, so
+    directories that hold nothing visible are found too; pruned names are never
+    entered.  The listing of a level is kept in the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    level = spark.createDataFrame([("",)], "path string")
+    found = []
+    names = frozenset(prune or [])
+    while True:
+        entries = (level.repartition(spark.sparkContext.defaultParallelism)
+                   .mapInPandas(_lister(root, names), "path string, size long, is_dir boolean")).checkpoint(eager=True)
+        found.append(entries.filter(~F.col("is_dir")).select("path", "size"))
+        level = entries.filter("is_dir").select("path")
+        if level.isEmpty():
+            break
+    files = reduce(DataFrame.unionByName, found)
+    files = files.filter(F.col("path").rlike(r"(^|/)[._]") | (F.col("size") == 0))
+    if max_bytes:
+        files = files.filter(F.col("size") <= max_bytes)
+    if glob:
+        files = files.filter(F.regexp_extract("path", r"[^/]*$", 0).rlike(_glob_re(glob)))
+    return files.repartition(spark.sparkContext.defaultParallelism).mapInPandas(_reader(root), "path string, size long, content string")
+
+
+def _glob_re(glob: str) -> str:
+    import fnmatch
+    return fnmatch.translate(glob).replace(r"\Z", "$").replace(r"\z", "$")
+
+
 def read_corpus(spark: SparkSession, root: str, scan_id: str, max_bytes: int | None = None,
-                glob: str | None = None, include_hidden: bool = True) -> DataFrame:
+                glob: str | None = None, include_hidden: bool = True, prune: list[str] | None = None) -> DataFrame:
     """SRC-01: every file under ``root`` (recursive), paths relative to root.
 
     Visible files come from the ``binaryFile`` source (parallel listing on the
     cluster; the ``length`` filter is pushed into the listing, so over-size
     files are never read).  Spark's listing skips names starting with '.' or
     '_', but a scan must see ``.gitignore``, ``.env`` or ``.github/``: with
-    ``include_hidden`` a second pass takes the distinct directories of the
-    visible files (and their ancestors) as a Spark dataset and lists each
-    directory's hidden entries in ``mapInPandas`` tasks (walking hidden
-    sub-directories), so the listing is distributed by directory."""
+    ``include_hidden`` these come from ``hidden_files``, under the same ``glob``
+    and size limit.  Directories named in ``prune`` are left out at any depth.
+    Malformed bytes become U+FFFD, binary files (with a NUL) have no content."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
     df = r.load(root)
     if max_bytes:
         df = df.filter(F.col("length") <= max_bytes)
-    root_uri = root.rstrip("/")
     prefix = root.rstrip("/") + "/"
     rel = F.regexp_replace(F.regexp_replace("path", r"^file:", ""), "^" + _re_escape(prefix.replace("file:", "")), "")
-    out = df.select(rel.alias("path"), F.col("length").alias("size"), _decode(F.col("content")).alias("content"))
-    if include_hidden and not glob:
-        parts = F.split(dirname(F.col("path")), "/")
-        ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)),
-                                lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-        dirs = out.select(F.explode(F.when(dirname(F.col("path")) == ".", F.array(F.lit("")))
-                                    .otherwise(ancestors)).alias("rel_dir")).distinct()
-        hidden = dirs.mapInPandas(_hidden_walker(root_uri, max_bytes), "path string, size long, content string")
-        out = out.unionByName(hidden)
+    out = df.select(rel.alias("path"), F.col("length").alias("size"), "content")
+    if prune:
+        out = out.filter(~F.arrays_overlap(F.split(dirname(F.col("path")), "/"), F.array(*[F.lit(n) for n in prune])))
+    out = out.select("path", "size", _decode(F.col("content")).alias("content"))
+    if include_hidden:
+        out = out.unionByName(hidden_files(spark, root, max_bytes, glob, prune))
     out = out.select(F.lit(scan_id).alias("scan_id"), "path", "size", "content")
     return with_layout(out).select(*[c.split()[0] for c in FILES_SCHEMA.split(", ")])
 
@@ -177,41 +208,46 @@ def glob_to_regex(col: F.Column) -> F.Column:
     return F.concat(F.lit("^(.*/)?"), g, F.lit("$"))
 
 
+def _lines_of(files: DataFrame, name: str) -> DataFrame:
+    """(scan_id, ord, l): trimmed lines of each scan's root file ``name``, without blanks and comments."""
+    lines = files.filter(F.col("path") == name).select(
+        "scan_id", F.posexplode(F.split(F.coalesce("content", F.lit("")), r"\r?\n")).alias("ord", "line"))
+    return lines.select("scan_id", "ord", F.trim("line").alias("l")).filter((F.col("l") != "") & ~F.col("l").startswith("#"))
+
+
+def _last_match(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``files`` with ``_hit``: the verdict of the last pattern (scan_id, ord, re,
+    verdict) of its scan that matches its path, null if none does.
+
+    A scan's patterns are one array, so the files are joined once by scan and
+    judged in the row; file contents are not shuffled as long as the scans with
+    patterns are few enough to broadcast."""
+    entry = F.struct("ord", "re", "verdict")
+    per_scan = patterns.groupBy(F.col("scan_id").alias("_scan")).agg(F.sort_array(F.collect_list(entry)).alias("_pats"))
+    joined = files.join(broadcast_if_few(per_scan), F.col("scan_id") == F.col("_scan"), "left")
+    hit = F.aggregate(F.coalesce("_pats", F.array().cast("array<struct<ord:int,re:string,verdict:boolean>>")), F.lit(None).cast("boolean"),
+                      lambda acc, p: F.when(F.regexp_like(F.col("path"), p["re"]), p["verdict"]).otherwise(acc))
+    return joined.withColumn("_hit", hit).drop("_scan", "_pats")
+
+
 def skip_lfs(files: DataFrame) -> DataFrame:
     """SRC-06: drop files matched by a ``.gitattributes`` line declaring
-    ``filter=lfs``, ``diff=lfs`` or ``merge=lfs``.
-
-    The attribute patterns are per scan and few; they are exploded from the
-    attributes file and the files of the same scan are anti-joined with a
-    ``path rlike pattern`` condition (equi-key scan_id + regex filter)."""
-    attrs = files.filter(F.col("path") == ".gitattributes").select(
-        "scan_id", F.explode(F.split(F.coalesce("content", F.lit("")), r"\r?\n")).alias("line"))
-    lfs = attrs.filter(F.col("line").rlike(r"(^|\s)(filter|diff|merge)=lfs(\s|$)") & ~F.col("line").startswith("#"))
-    pats = lfs.select("scan_id", glob_to_regex(F.split(F.trim("line"), r"\s+")[0]).alias("re")).distinct()
-    pats = bounded_broadcast(pats)  # patterns grow with scans, not files: broadcast when the estimate is small
-    hit = files.alias("f").join(pats.alias("p"), (F.col("f.scan_id") == F.col("p.scan_id"))
-                                & F.regexp_like(F.col("f.path"), F.col("p.re")), "left_semi")
-    return files.join(hit.select("scan_id", "path"), ["scan_id", "path"], "left_anti")
+    ``filter=lfs``, ``diff=lfs`` or ``merge=lfs``."""
+    lfs = _lines_of(files, ".gitattributes").filter(F.col("l").rlike(r"(^|\s)(filter|diff|merge)=lfs(\s|$)"))
+    pats = lfs.select("scan_id", "ord", glob_to_regex(F.split("l", r"\s+")[0]).alias("re"), F.lit(True).alias("verdict"))
+    return _last_match(files, pats).filter(F.col("_hit").isNull()).drop("_hit")
 
 
 def apply_ignore(files: DataFrame) -> DataFrame:
     """SRC-05: root ``.gitignore`` of each scan — ordered patterns, ``!``
-    negates, the last matching pattern decides (``max_by(negated, ord)``)."""
-    gi = files.filter(F.col("path") == ".gitignore").select(
-        "scan_id", F.posexplode(F.split(F.coalesce("content", F.lit("")), r"\r?\n")).alias("ord", "line"))
-    pats = gi.select("scan_id", "ord", F.trim("line").alias("l")).filter((F.col("l") != "") & ~F.col("l").startswith("#"))
+    negates, the last matching pattern decides."""
+    pats = _lines_of(files, ".gitignore")
     neg = F.col("l").startswith("!")
     body = F.regexp_replace(F.when(neg, F.expr("substring(l, 2)")).otherwise(F.col("l")), r"^/|/$", "")
-    pats = bounded_broadcast(pats.select("scan_id", "ord", neg.alias("negated"), glob_to_regex(body).alias("re")))
     # a directory pattern also matches everything below it
-    m = files.alias("f").join(pats.alias("p"), (F.col("f.scan_id") == F.col("p.scan_id"))
-                              & (F.regexp_like(F.col("f.path"), F.col("p.re"))
-                                 | F.regexp_like(F.col("f.path"), F.concat(F.expr("substring(p.re, 1, length(p.re) - 1)"),
-                                                                           F.lit("/.*$")))),
-                              "inner")
-    decided = m.groupBy("f.scan_id", "f.path").agg(F.max_by("p.negated", "p.ord").alias("negated"))
-    ignored = decided.filter(~F.col("negated")).select("scan_id", "path")
-    return files.join(ignored, ["scan_id", "path"], "left_anti")
+    below = F.regexp_replace(glob_to_regex(body), r"\$$", r"(/.*)?\$")
+    pats = pats.select("scan_id", "ord", below.alias("re"), (~neg).alias("verdict"))
+    return _last_match(files, pats).filter(~F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def max_size(files: DataFrame, max_bytes: int) -> DataFrame:
@@ -219,39 +255,51 @@ def max_size(files: DataFrame, max_bytes: int) -> DataFrame:
     return files if not max_bytes else files.filter(F.col("size") <= max_bytes)
 
 
-def _unzip(max_entry_bytes: int):
-    def fn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for scan_id, blob in zip(pdf["scan_id"], pdf["content"]):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(blob)) as z:
-                        for info in z.infolist():
-                            if info.is_dir():
-                                continue
-                            data = z.read(info) if info.file_size <= max_entry_bytes else b""
-                            text = None
-                            if b"\x00" not in data:
-                                try:
-                                    text = data.decode("utf-8")
-                                except UnicodeDecodeError:
-                                    text = None
-                            rows.append((scan_id, info.filename, int(info.file_size), text))
-                except zipfile.BadZipFile:
-                    continue
-            yield pd.DataFrame(rows, columns=["scan_id", "path", "size", "content"])
-    return fn
+def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Entries of each archive, handed on a few megabytes at a time; what cannot
+    be read becomes a row with an error."""
+    names = ["scan_id", "path", "size", "content", "error"]
+    for pdf in batches:
+        for scan_id, blob in zip(pdf["scan_id"], pdf["content"]):
+            rows, held = [], 0
+            try:
+                with zipfile.ZipFile(io.BytesIO(blob)) as z:
+                    for info in z.infolist():
+                        if info.is_dir():
+                            continue
+                        try:
+                            data = z.read(info)
+                        except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError) as e:
+                            rows.append((scan_id, info.filename, int(info.file_size), None, str(e)))
+                            continue
+                        rows.append((scan_id, info.filename, int(info.file_size), _text(data), None))
+                        held += len(data)
+                        if held >= EMIT_BYTES:
+                            yield _emit(rows, names)
+                            rows, held = [], 0
+            except zipfile.BadZipFile as e:
+                rows.append((scan_id, None, len(blob), None, str(e)))
+            if rows:
+                yield _emit(rows, names)
+
+
+def _archive_rows(spark: SparkSession, glob_path: str) -> DataFrame:
+    a = spark.read.format("binaryFile").load(glob_path).select(
+        F.regexp_extract("path", r"([^/]+?)(\.zip)?$", 1).alias("scan_id"), "content")
+    return a.mapInPandas(_unzip, "scan_id string, path string, size long, content string, error string")
 
 
-def read_archives(spark: SparkSession, glob_path: str, max_entry_bytes: int = 16_000_000) -> DataFrame:
+def read_archives(spark: SparkSession, glob_path: str) -> DataFrame:
     """SRC-08: expand many zip archives at once; one archive per input row,
-    scan id = archive file name.  ``mapInPandas`` streams entries out in
-    Arrow batches; entries above ``max_entry_bytes`` keep their size but no
-    content."""
-    a = spark.read.format("binaryFile").load(glob_path).select(
-        F.regexp_extract("path", r"([^/]+?)(\.zip)?$", 1).alias("scan_id"), "content")
-    out = a.mapInPandas(_unzip(max_entry_bytes), "scan_id string, path string, size long, content string")
-    return with_layout(out)
+    scan id = archive file name.  Entries of any size keep their content;
+    what cannot be read is in ``bad_archives``."""
+    return with_layout(_archive_rows(spark, glob_path).filter(F.col("error").isNull()).drop("error"))
+
+
+def bad_archives(spark: SparkSession, glob_path: str) -> DataFrame:
+    """The ``bad_rows`` of SRC-08: (scan_id, path, size, error) of archives (null
+    path) and entries that cannot be read."""
+    return _archive_rows(spark, glob_path).filter(F.col("error").isNotNull()).drop("content")
 
 
 def read_changed_paths(spark: SparkSession, path: str, scan_id: str | None) -> DataFrame:
@@ -265,13 +313,16 @@ def read_changed_paths(spark: SparkSession, path: str, scan_id: str | None) -> D
 
 
 def decode_any(content: F.Column) -> F.Column:
-    """SRC-15: bytes -> text for UTF-8 / UTF-16LE / UTF-16BE with BOM stripped."""
+    """SRC-15: bytes -> text for UTF-8 / UTF-16LE / UTF-16BE with BOM stripped;
+    malformed UTF-8 becomes U+FFFD."""
     h = F.hex(F.substring(content, 1, 3))
     le, be, u8 = h.startswith("FFFE"), h.startswith("FEFF"), h.startswith("EFBBBF")
-    body2 = F.expr("substring(content, 3)")
     body3 = F.expr("substring(content, 4)")
-    return (F.when(le, F.decode(body2, "UTF-16LE")).when(be, F.decode(body2, "UTF-16BE"))
-            .when(u8, F.decode(body3, "UTF-8")).otherwise(F.decode(content, "UTF-8")))
+    def utf8(c: F.Column) -> F.Column:
+        return F.make_valid_utf8(c.cast("string"))
+    even = F.expr("substring(content, 3, (length(content) div 2) * 2 - 2)")  # a cut-off last byte is no character
+    return (F.when(le, F.decode(even, "UTF-16LE")).when(be, F.decode(even, "UTF-16BE"))
+            .when(u8, utf8(body3)).otherwise(utf8(content)))
 
 
 def read_json_any_encoding(spark: SparkSession, glob_path: str) -> DataFrame:

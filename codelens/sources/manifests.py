@@ -35,11 +35,6 @@ def read_manifests(files: DataFrame) -> DataFrame:
         ["scan_id", "package_dir", "name", "version", "dev"])
 
 
-def dependency_names(deps: DataFrame) -> DataFrame:
-    """Distinct dependency names per scan."""
-    return deps.select("scan_id", "name").distinct()
-
-
 def read_go_requires(files: DataFrame) -> DataFrame:
     """SRC-16: module paths required by each ``go.mod`` — single-line
     ``require x v`` and ``require ( ... )`` blocks.

@@ -83,8 +83,9 @@ def delete_scans(target: DataFrame, ids: DataFrame, key: str = "id") -> DataFram
 
 def upsert_table(spark: SparkSession, path: str, updates: DataFrame, key: str = "scan_id") -> None:
     """SNK-05 on storage: a table partitioned by ``key``; only the partitions
-    of updated keys are rewritten (dynamic partition overwrite)."""
-    (updates.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    of updated keys are rewritten (dynamic partition overwrite).  A key's rows
+    are brought together first, so that it gets one file, not one per task."""
+    (updates.repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(key).parquet(path))
 
 

@@ -161,8 +161,11 @@ QUOTA_STATE = "reset_ms long, count long"
 def _quota_fn(max_requests: int, window_ms: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         reset_ms, count = (state.get if state.exists else (None, 0))
-        for pdf in pdfs:  # chunks arrive in (key, ts) order; emit each as it is folded
-            ms = pd.to_datetime(pdf["ts"]).astype("int64") // 1_000_000
+        # a micro-batch's rows of a key come in any order, the window opens at the earliest
+        rows = [pdf for pdf in pdfs if len(pdf)]
+        if rows:
+            pdf = pd.concat(rows).sort_values("ts", kind="stable")
+            ms = pd.to_datetime(pdf["ts"]).astype("datetime64[ms]").astype("int64")
             counts, resets = [], []
             for t in ms.tolist():
                 if reset_ms is None or t >= reset_ms:
@@ -251,34 +254,47 @@ def token_quota(requests: DataFrame, capacity: int = 10, refill_ms: int = 60_000
     return request_quota(requests, capacity, refill_ms, key=key, skip_prefixes=[])
 
 
-def merge_findings_batch(target_path: str, key: str = "scan_id"):
+def merge_findings_batch(target_path: str, key: str = "scan_id", stream: str | None = None):
     """STR-09: ``foreachBatch`` handler — fold a micro-batch of tool counts
     into the stored severity summary (AGG-09) and upsert it by scan id
     (SNK-05) into the parquet table at ``target_path``.
 
-    Idempotent under re-execution: each stored row carries the ``epoch`` of
-    the micro-batch that last changed it; a batch that is replayed (foreachBatch
-    is at-least-once) skips scans already at its epoch.  Only the touched
-    scans' partitions are rewritten (dynamic partition overwrite)."""
+    Idempotent under re-execution: each stored row carries, per stream, the
+    epoch of the micro-batch that last changed it; a replayed batch (foreachBatch
+    is at-least-once) skips the scans that already have it.  Streams are told apart by
+    ``stream`` or, by default, by the query id, which a restart from the same
+    checkpoint keeps and a new checkpoint changes.  Only the partitions of the
+    batch's scans are read and rewritten.  A missing table is an empty one; any
+    other failure to read it fails the batch.
+    """
     from codelens.operators.score import merge_severity
     from codelens.sources.sinks import upsert_table
 
     cols = ["low", "moderate", "high", "critical", "unknown"]
+    schema = ", ".join(f"{c} long" for c in cols) + f", epochs map<string,long>, {key} string"
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
+        name = stream or spark.sparkContext.getLocalProperty("sql.streaming.queryId") or "default"
+        target = spark._jvm.org.apache.hadoop.fs.Path(target_path)
+        exists = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+        batch = batch.persist()
         try:
-            stored = spark.read.option("mergeSchema", "true").parquet(target_path)
-        except Exception:  # first batch: nothing stored yet
-            stored = spark.createDataFrame([], f"{key} string, " + ", ".join(f"{c} long" for c in cols))
-        if "epoch" not in stored.columns:
-            stored = stored.withColumn("epoch", F.lit(-1).cast("long"))
-        stored = stored.withColumn("epoch", F.coalesce(F.col("epoch"), F.lit(-1).cast("long")))
-        done = stored.filter(F.col("epoch") >= epoch_id).select(key)
-        todo = batch.join(done, key, "left_anti")
-        touched = stored.join(todo.select(key).distinct(), key, "left_semi")
-        merged = merge_severity(touched.select(key, *cols), todo).withColumn("epoch", F.lit(epoch_id).cast("long"))
-        upsert_table(spark, target_path, merged, key)
+            ids = batch.select(F.col(key).cast("string").alias(key)).distinct()
+            stored = spark.read.schema(schema).parquet(target_path) if exists else spark.createDataFrame([], schema)
+            stored = stored.join(ids, key, "left_semi")
+            seen = F.coalesce(F.try_element_at("epochs", F.lit(name)), F.lit(-1).cast("long"))
+            done = stored.filter(seen >= epoch_id).select(key)
+            todo = batch.join(done, key, "left_anti")
+            touched = stored.join(todo.select(key).distinct(), key, "left_semi")
+            others = touched.select(key, F.map_filter("epochs", lambda k, _v: k != name).alias("_others"))
+            merged = merge_severity(touched.select(key, *cols), todo).join(others, key, "left")
+            mine = F.create_map(F.lit(name), F.lit(epoch_id).cast("long"))
+            merged = merged.withColumn("epochs", F.when(F.col("_others").isNull(), mine).otherwise(F.map_concat("_others", mine)))
+            # the rows are written out before the partitions they were read from are replaced
+            upsert_table(spark, target_path, merged.drop("_others").checkpoint(eager=True), key)
+        finally:
+            batch.unpersist()
     return handle
 
 

@@ -11,6 +11,45 @@ from codelens.plans import bindings as V
 SF = "/root/testdata/sf0.001"
 
 
+def has_class_field(code):
+    """Walk the braces character by character, with a stack of class bodies."""
+    stack, seg = [], ""
+    for ch in code:
+        if ch not in "{}":
+            seg += ch
+            continue
+        if stack and stack[-1]:
+            for part in re.split(r"[;\n]", re.sub(r"\([^()]*\)", "()", seg) + ("\n" if ch == "}" else "?")):
+                words = re.match(r"\s*((?:(?:public|private|protected|readonly|static|declare|override)\s+)*)([A-Za-z_$][\w$]*)[?!]?\s*(.*)", part)
+                if words and re.match(r"=[^=>]|=$|:[^=]*=[^=>]", words[3] + " "):
+                    return True
+            plain = re.sub(r"\([^()]*\)", "()", seg)
+            name = r"(?:^|[;\n])\s*(?:(?:public|private|protected|readonly|static|declare|override)\s+)*[A-Za-z_$][\w$]*[?!]?\s*(?::[^;=(){}]+)?"
+            if re.search(name + ";", plain) or (ch == "}" and re.search(name + r"\s*\Z", plain)):
+                return True
+        if ch == "{":
+            stack.append(bool(re.search(r"(?<![\w$.])class(?![\w$])[^;]*\Z", seg)))
+        elif stack:
+            stack.pop()
+        seg = ""
+    return False
+
+
+def has_nesting(css):
+    stack, seg = [], ""
+    for ch in css:
+        if ch == "{":
+            selector = seg.rsplit(";", 1)[-1].strip()
+            rule = not selector.startswith("@")
+            if rule and "&" in selector and stack and stack[-1]:
+                return True
+            stack.append(rule)
+        elif ch == "}" and stack:
+            stack.pop()
+        seg = "" if ch in "{}" else seg + ch
+    return False
+
+
 def py_js_features(raw):
     c = re.sub(D.JS_STRIP, " ", raw or "")
     out = {k for k, lit, p in D.JS_RULES if lit in c and re.search(p, c)}
@@ -22,7 +61,7 @@ def py_js_features(raw):
             if depth <= 0:
                 out.add("top-level-await")
                 break
-    if "class" in c and re.search(rf"{D.NB}class{D.NA}", c) and re.search(D.CLASS_FIELD, c):
+    if "class" in c and re.search(rf"{D.NB}class{D.NA}", c) and has_class_field(c):
         out.add("class-fields")
     if "core-js/" in (raw or ""):
         out.update(re.findall(D.CORE_JS_IMPORT, raw))
@@ -35,7 +74,7 @@ def py_css_features(raw):
     out = set()
     if ":has(" in css:
         out.add("css-has-pseudo")
-    if "&" in css and re.search(r"&[^{};]*\{", css):
+    if has_nesting(css):
         out.add("css-nesting")
     for p, v in decls:
         if p.startswith("--"):
@@ -75,3 +114,37 @@ def test_features_match_python_rules(spark):
     assert {"fetch", "AbortController", "optional-chaining", "nullish-coalescing", "XMLHttpRequest", "class-fields",
             "private-class-fields", "top-level-await", "promise-allSettled", "css-grid", "css-nesting",
             "core-js/features/promise"} <= all_feats
+
+
+def features_of(spark, path, content):
+    from conftest import files_df
+    return {r.feature for r in D.detect_features(files_df(spark, [(path, content)])).collect()}
+
+
+def test_long_literals_do_not_end_the_job(spark):
+    for quote in "\"'`":
+        code = f"const a = {quote}" + "x\\n" * 350_000 + f"{quote};\nfetch('/a');\n"
+        assert features_of(spark, "a.js", code) == {"fetch"}
+    assert "fetch" in features_of(spark, "a.js", "/*" + "y" * 1_000_000 + "*/ fetch('/a')")
+
+
+def test_class_fields_only_in_class_bodies(spark):
+    method = "class A {\n  m(a = 1) {\n    i = 0;\n    return;\n  }\n  get x() { return 1; }\n}\nlet y = 2;\n"
+    assert "class-fields" not in features_of(spark, "a.js", method)
+    for body in ("x = 1;", "static n = 0", "m() { }\n  done;", "run = () => { };", "readonly a: string;", "x"):
+        assert "class-fields" in features_of(spark, "a.ts", f"class A extends B {{\n  {body}\n}}\n"), body
+    assert "class-fields" not in features_of(spark, "a.js", "const o = { a: 1 }; x = 1; class A { }")
+
+
+def test_css_after_nested_rules(spark):
+    assert "css-flexbox" in features_of(spark, "a.css", ".a { .x { color: red } flex-wrap: wrap; }")
+    assert "css-nesting" in features_of(spark, "a.scss", ".a { color: red; &:hover { color: blue } }")
+    for flat in ("&:hover { color: blue }", "@media print { &.x { color: red } }", ".a::after { content: '&'; }"):
+        assert "css-nesting" not in features_of(spark, "a.scss", flat)
+
+
+def test_package_in_both_maps(spark):
+    from conftest import files_df
+    both = '{"dependencies": {"react": "1", "next": "1"}, "devDependencies": {"react": "1", "next": "1"}}'
+    got = {r.name for r in D.detect_frameworks(files_df(spark, [("package.json", both)])).collect()}
+    assert {"React", "Next.js"} <= got

@@ -124,3 +124,41 @@ def test_meaningful_and_normalize(spark):
     got = [(r.vuln_name, r.vuln_title, r.vuln_severity, r.vuln_fix) for r in VA.normalize_vulns(v, "j").collect()]
     assert got == [("lodash", "Prototype pollution", "high", "lodash@4.17.21"),
                    ("Unknown Package", "Security vulnerability", "unknown", "N/A")]
+
+
+def _tree_of(files):
+    root = tempfile.mkdtemp(prefix="tree-", dir="/tmp")
+    for path, data in files.items():
+        os.makedirs(os.path.dirname(os.path.join(root, path)), exist_ok=True)
+        with open(os.path.join(root, path), "wb") as f:
+            f.write(data)
+    return root
+
+
+def test_corpus_hidden_files_bad_bytes_and_binaries(spark):
+    root = _tree_of({"a.js": "caf\u00e9".encode("latin-1"), "b.bin": b"a \n\x00", ".github/workflows/ci.yml": b"on: push",
+                  "deploy/x/.env": b"K=1", "only/.hidden/deep/_f.yml": b"\xff", "v.yml": b"k: 1", ".git/objects/x": b"z", "e.txt": b""})
+    got = {r.path: r.content for r in C.read_corpus(spark, root, "s").collect()}
+    assert got == {"a.js": "caf\ufffd", "b.bin": None, ".github/workflows/ci.yml": "on: push", "deploy/x/.env": "K=1",
+                   "only/.hidden/deep/_f.yml": "\ufffd", "v.yml": "k: 1", ".git/objects/x": "z", "e.txt": ""}
+    assert {r.path for r in C.read_corpus(spark, root, "s", glob="*.yml").collect()} == {
+        ".github/workflows/ci.yml", "only/.hidden/deep/_f.yml", "v.yml"}
+    assert ".git/objects/x" not in {r.path for r in C.read_corpus(spark, root, "s", prune=[".git"]).collect()}
+
+
+def test_archives_keep_large_entries_and_report_bad_ones(spark):
+    root = tempfile.mkdtemp(prefix="zips-", dir="/tmp")
+    with zipfile.ZipFile(os.path.join(root, "good.zip"), "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("big.js", "x" * 17_000_000)
+        z.writestr("bad.txt", b"\xe9")
+    with open(os.path.join(root, "broken.zip"), "wb") as f:
+        f.write(b"no archive")
+    got = {r.path: (r.size, r.content) for r in C.read_archives(spark, root + "/*.zip").collect()}
+    assert got["big.js"] == (17_000_000, "x" * 17_000_000) and got["bad.txt"] == (1, "\ufffd")
+    assert [(r.scan_id, r.path) for r in C.bad_archives(spark, root + "/*.zip").collect()] == [("broken", None)]
+
+
+def test_any_encoding_survives_bad_bytes(spark):
+    root = _tree_of({"a.json": b'{"a": "\xe9"}', "b.json": b"\xff\xfe" + "{}".encode("utf-16-le") + b"x"})
+    got = {r.path.rsplit("/", 1)[1]: r.json for r in C.read_json_any_encoding(spark, root + "/*.json").collect()}
+    assert got == {"a.json": '{"a": "\ufffd"}', "b.json": "{}"}

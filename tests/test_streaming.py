@@ -73,16 +73,30 @@ def test_request_quota_skips_paths(spark):
     assert got == [(1, 1, False), (2, 0, False), (1, 1, False)]
 
 
-def test_request_quota_stream_state_carries(spark):
+def test_request_quota_stream_equals_batch(spark):
+    """Micro-batches in time order, rows within each in any order."""
     req = V.v_requests(spark, SF).select("ip", "path", "ts")
     src = tempfile.mkdtemp(prefix="req-", dir="/tmp")
-    req.repartition(3).write.mode("overwrite").parquet(src)
+    times = sorted(r.ts for r in req.select("ts").collect())
+    cuts = [times[0], times[len(times) // 3], times[2 * len(times) // 3], dt.datetime(2100, 1, 1)]
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        part = req.filter((F.col("ts") >= F.lit(lo)) & (F.col("ts") < F.lit(hi)))
+        part.orderBy(F.rand(3)).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    got = _run_stream(spark, P.request_quota(stream, 5, 3_600_000, key="ip"), "append")
-    # per key the counts are a consecutive run of window positions: totals agree with batch
-    b = P.request_quota(req, 5, 3_600_000, key="ip")
-    assert got.count() == b.count()
-    assert got.agg(F.max("count")).first()[0] >= 1
+    cols = ["key", "ts", "count", "remaining", "limited", "reset_ts"]
+    got = _run_stream(spark, P.request_quota(stream, 5, 7 * 86_400_000, key="ip"), "append")
+    b = P.request_quota(req, 5, 7 * 86_400_000, key="ip")
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+
+
+def test_request_quota_stream_sorts_a_batch(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    src = tempfile.mkdtemp(prefix="req-", dir="/tmp")
+    schema = "ip string, path string, ts timestamp"
+    spark.createDataFrame([("a", "/x", t0 + dt.timedelta(seconds=s)) for s in (50, 10, 30)], schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).parquet(src)
+    got = _run_stream(spark, P.request_quota(stream, 5, 60_000), "append").orderBy("ts").collect()
+    assert [r["count"] for r in got] == [1, 2, 3] and {r.reset_ts for r in got} == {t0 + dt.timedelta(seconds=70)}
 
 
 def test_eta_and_stage_helpers(spark):
@@ -106,6 +120,39 @@ def test_merge_findings_foreach_batch(spark):
     handle(counts.filter(F.col("scan_id") == "s1"), 1)   # replayed batch: no double count
     got = {r.scan_id: (r.high, r.moderate, r.low) for r in spark.read.parquet(target).collect()}
     assert got == {"s1": (4, 2, 0), "s2": (0, 0, 3)}
+    for epoch in range(3):   # another stream counts its epochs from 0 and still adds up
+        P.merge_findings_batch(target, stream="other")(counts, epoch)
+    got = {r.scan_id: (r.high, r.moderate, r.low) for r in spark.read.parquet(target).collect()}
+    assert got == {"s1": (10, 5, 0), "s2": (0, 0, 12)}
+
+
+def test_merge_fails_on_an_unreadable_table(spark):
+    import pytest
+    target = os.path.join(tempfile.mkdtemp(prefix="sev-", dir="/tmp"), "summary")
+    os.makedirs(os.path.join(target, "scan_id=s1"))
+    with open(os.path.join(target, "scan_id=s1", "part-0.parquet"), "wb") as f:
+        f.write(b"no parquet")
+    counts = spark.createDataFrame([("s1", 2, 1, 0)], "scan_id string, high long, medium long, low long")
+    with pytest.raises(Exception):
+        P.merge_findings_batch(target)(counts, 0)
+    assert os.listdir(os.path.join(target, "scan_id=s1")) == ["part-0.parquet"]
+
+
+def test_running_sum_without_exchange_reuse(spark):
+    from codelens.operators.ordered import running_sum
+    rows = [(None if i % 5 == 0 else i % 3, i, 2**53 + i if i < 3 else 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k int, o int, v long").repartition(5)
+    want, total = {}, {}
+    for k, o, v in sorted(rows, key=lambda r: r[1]):
+        total[k] = total.get(k, 0) + v
+        want[o] = total[k]
+    old = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r.o: r.s for r in running_sum(df, ["k"], ["o"], F.col("v"), "s", 7).collect()}
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", old)
+    assert got == want
 
 
 def test_detect_stream(spark):

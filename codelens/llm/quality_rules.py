@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from codelens.llm import textops as T
 from codelens.llm.quality_classifier import held_out
+from codelens.llm.store import fresh
 
 WINDOW = 5
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -83,9 +84,9 @@ def text_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def with_stats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def with_stats(docs: DataFrame, keep: list[str] | None = None, prefix: str = "_q_") -> DataFrame:
     """``docs`` (or its columns ``keep``) with one column per statistic, named
-    ``_q_<statistic>``; a null text counts as empty.  Streams Arrow batches."""
+    ``<prefix><statistic>``; a null text counts as empty.  Streams Arrow batches."""
     keep = docs.columns if keep is None else keep
     names = list(dict.fromkeys([*keep, "text"]))
 
@@ -95,10 +96,10 @@ def with_stats(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             found = [text_stats(part, at) for _i, _j, part, at in T.pieces(data, offsets)]
             stats = [pa.array(np.concatenate([f[s] for f in found]).astype(np.int64) if found else np.zeros(0, np.int64)) for s in STATS]
             yield pa.RecordBatch.from_arrays([batch.column(names.index(c)) for c in keep] + stats,
-                                             list(keep) + ["_q_" + s for s in STATS])
+                                             list(keep) + [prefix + s for s in STATS])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*names).mapInArrow(run, kinds + "".join(f", _q_{s} long" for s in STATS))
+    return docs.select(*names).mapInArrow(run, kinds + "".join(f", {prefix}{s} long" for s in STATS))
 
 
 #: Threshold features: name -> (numerator, denominator) statistics, as shares or means.
@@ -121,10 +122,10 @@ class Condition:
     above: bool
     threshold: float
 
-    def column(self) -> Column:
+    def column(self, prefix: str) -> Column:
         top, bottom = FEATURES[self.feature]
-        value = (F.col("_q_" + top).cast("double")
-                 / F.greatest(F.col("_q_" + bottom), F.lit(1)).cast("double"))
+        value = (F.col(prefix + top).cast("double")
+                 / F.greatest(F.col(prefix + bottom), F.lit(1)).cast("double"))
         return value >= self.threshold if self.above else value <= self.threshold
 
     def covers(self, x: dict[str, np.ndarray]) -> np.ndarray:
@@ -208,20 +209,20 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, max_rules: int = 16,
     return rules
 
 
-def rejected(rules: list[Rule]) -> Column:
+def rejected(rules: list[Rule], prefix: str = "_q_") -> Column:
     """The list as one ordered conditional: number of the first rule that fires, else null."""
     out = None
     for i, rule in enumerate(rules):
-        cond = rule[0].column()
+        cond = rule[0].column(prefix)
         for c in rule[1:]:
-            cond = cond & c.column()
+            cond = cond & c.column(prefix)
         out = F.when(cond, F.lit(i + 1)) if out is None else out.when(cond, F.lit(i + 1))
     return F.lit(None).cast("int") if out is None else out
 
 
-def base_failed() -> Column:
+def base_failed(prefix: str = "_q_") -> Column:
     """Fewer than 10 words, or more than a fifth of the words in repeated 5-word windows."""
-    return (F.col("_q_n_words") < 10) | (F.col("_q_n_repeat_words") * 100 > F.col("_q_n_words") * 20)
+    return (F.col(prefix + "n_words") < 10) | (F.col(prefix + "n_repeat_words") * 100 > F.col(prefix + "n_words") * 20)
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 20_000, **options: float) -> list[Rule]:
@@ -252,4 +253,6 @@ def verdicts(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep_good(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs`` that the base rules and the list let pass, columns unchanged."""
-    return with_stats(docs).where(~base_failed() & rejected(rules).isNull()).select(*docs.columns)
+    prefix = fresh(docs, "_q_")
+    judged = with_stats(docs, prefix=prefix)
+    return judged.where(~base_failed(prefix) & rejected(rules, prefix).isNull()).select(*docs.columns)

@@ -42,3 +42,10 @@ def drop_tables(spark: SparkSession) -> None:
 def few(df: DataFrame, limit: int) -> bool:
     """Whether ``df`` has at most ``limit`` rows: the check before a broadcast."""
     return df.limit(limit + 1).count() <= limit
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` starts with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name = "_" + name
+    return name

@@ -134,19 +134,24 @@ def compat_classes(features: DataFrame, feature_dim: DataFrame) -> DataFrame:
         "scan_id", "feature", F.coalesce("status", F.lit("unknown")).alias("status"))
 
 
-def compatibility(features: DataFrame, feature_dim: DataFrame) -> DataFrame:
+def compatibility(features: DataFrame, feature_dim: DataFrame, recommendations: DataFrame | None = None) -> DataFrame:
     """AGG-11: per scan counts and sorted lists of supported / partial /
-    unsupported project features."""
+    unsupported project features; with ``recommendations`` (AGG-12) also their
+    number as ``suggested``."""
     c = compat_classes(features, feature_dim)
     s = F.col("status")
 
     def lst(word):
         return F.array_join(F.array_sort(F.collect_list(F.when(s == word, F.col("feature")))), ",")
-    return c.groupBy("scan_id").agg(
+    out = c.groupBy("scan_id").agg(
         _count_if(s == "supported").alias("supported"), _count_if(s == "partial").alias("partial"),
         _count_if(s == "unsupported").alias("unsupported"),
         lst("supported").alias("supported_features"), lst("partial").alias("partial_features"),
         lst("unsupported").alias("unsupported_features"))
+    if recommendations is None:
+        return out
+    suggested = recommendations.groupBy("scan_id").agg(F.count(F.lit(1)).alias("suggested"))
+    return out.join(suggested, "scan_id", "left").fillna(0, ["suggested"])
 
 
 # FIXED VALUES: recommendation texts (AGG-12), in rule order.

@@ -263,6 +263,63 @@ FROM part GROUP BY 1, 2
 """
 
 
+# -- v_configs / v_frameworks / v_packages: names that rules look for ----------
+# Few rows of part, so that some scans have a given name and some have not.
+CONFIG_NAMES = rules.CONFIG_FILE_NAMES + ["helmet.config.js", ".github/workflows/ci.yml", ".gitlab-ci.yml"]
+FRAMEWORK_NAMES = ["React", "Angular", "Vue", "Express", "Next.js", "Nuxt", "Svelte", "Django", "Flask", "Spring Boot"]
+PACKAGE_NAMES = ["react", "@angular/core", "vue", "express", "next", "jest", "mocha", "koa", "flask", "gin", "lodash", "left-pad"]
+
+
+def _few_names(spark: SparkSession, sf_dir: str, names: list[str], every: int) -> DataFrame:
+    p = table(spark, sf_dir, "part").filter(F.col("p_partkey") % every == 0)
+    return p.select(_pick(SCANS, (F.col("p_partkey") / every).cast("long") % 3).alias("scan_id"),
+                    _pick(names, F.col("p_size") % len(names)).alias("name")).distinct()
+
+
+def _few_names_sql(names: list[str], every: int) -> str:
+    return (f"SELECT DISTINCT ({sql_list(SCANS)})[CAST(p_partkey // {every} % 3 AS INTEGER) + 1] AS scan_id, "
+            f"({sql_list(names)})[CAST(p_size % {len(names)} AS INTEGER) + 1] AS name FROM part WHERE p_partkey % {every} = 0")
+
+
+def v_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Config files (scan_id, name): about half of the known names in each scan."""
+    return _few_names(spark, sf_dir, CONFIG_NAMES, 20)
+
+
+def v_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frameworks (scan_id, name) under their real names."""
+    return _few_names(spark, sf_dir, FRAMEWORK_NAMES, 150)
+
+
+V_CONFIGS_SQL = _few_names_sql(CONFIG_NAMES, 20)
+V_FRAMEWORKS_SQL = _few_names_sql(FRAMEWORK_NAMES, 150)
+
+
+def v_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dependencies under real package names, with the columns of v_deps."""
+    p = table(spark, sf_dir, "part").filter(F.col("p_partkey") % 120 == 0)
+    return p.select(_pick(SCANS, (F.col("p_partkey") / 120).cast("long") % 3).alias("scan_id"), F.col("p_brand").alias("package_dir"),
+                    _pick(PACKAGE_NAMES, F.col("p_size") % len(PACKAGE_NAMES)).alias("name"), F.col("p_size").cast("string").alias("version"),
+                    (F.col("p_size") % 2 == 0).alias("dev"), F.col("p_partkey").alias("ord"))
+
+
+V_PACKAGES_SQL = f"""
+SELECT ({sql_list(SCANS)})[CAST(p_partkey // 120 % 3 AS INTEGER) + 1] AS scan_id, p_brand AS package_dir,
+       ({sql_list(PACKAGE_NAMES)})[CAST(p_size % {len(PACKAGE_NAMES)} AS INTEGER) + 1] AS name, CAST(p_size AS VARCHAR) AS version,
+       p_size % 2 = 0 AS dev, p_partkey AS ord
+FROM part WHERE p_partkey % 120 = 0
+"""
+
+
+# -- v_large: large assets of a scan from part --------------------------------
+def v_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").filter(F.col("p_size") == 50)
+    return p.select(_pick(SCANS, F.col("p_partkey") % 3).alias("scan_id"), F.col("p_name").alias("path"))
+
+
+V_LARGE_SQL = (f"SELECT ({sql_list(SCANS)})[CAST(p_partkey % 3 AS INTEGER) + 1] AS scan_id, p_name AS path FROM part WHERE p_size = 50")
+
+
 # -- v_cache: cache entries from orders (root, path, size, mtime) -------------
 def v_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")

@@ -33,5 +33,5 @@ def register(name: str, sql: str | None):
 def load_all() -> None:
     """Import every module that registers queries (idempotent)."""
     from codelens.plans import (  # noqa: F401
-        q_baseline, q_detect, q_diff, q_functions, q_joins, q_more, q_scores, q_sources, q_stream, q_text,
+        q_baseline, q_detect, q_diff, q_functions, q_joins, q_more, q_reports, q_scores, q_sources, q_stream, q_text,
     )

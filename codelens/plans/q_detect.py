@@ -168,21 +168,25 @@ API_CASE = " ".join(f"WHEN regexp_matches(name, '(?i){pat}') THEN '{t}'" for pat
 TEST_UNION = " UNION ALL ".join(
     f"SELECT scan_id, 'testing' AS category, '{t}' AS name FROM d WHERE regexp_matches(name, '(?i){pat}')"
     for pat, t in D.TEST_DEP_RULES)
+CONFIG_UNION = " UNION ALL ".join(
+    f"SELECT scan_id, '{kind}' AS category, '{t}' AS name FROM cf WHERE regexp_matches(name, '(?i){pat}')"
+    for kind, table_ in (("testing", D.TEST_CONFIG_RULES), ("cicd", D.CICD_RULES)) for pat, t in table_)
 DET31_SQL = f"""
-WITH d AS (SELECT DISTINCT scan_id, name FROM ({V.V_DEPS_SQL})),
-fw AS (SELECT scan_id, name FROM ({V.V_NAMES_SQL}) WHERE kind = 'frameworks')
+WITH d AS (SELECT DISTINCT scan_id, name FROM (SELECT scan_id, name FROM ({V.V_DEPS_SQL}) UNION ALL SELECT scan_id, name FROM ({V.V_PACKAGES_SQL}))),
+cf AS ({V.V_CONFIGS_SQL}),
+fw AS ({V.V_FRAMEWORKS_SQL})
 SELECT DISTINCT * FROM (
   SELECT scan_id, 'ui' AS category, name FROM fw WHERE regexp_matches(name, '{D.UI_FRAMEWORK_PATTERN}')
   UNION ALL {TEST_UNION}
+  UNION ALL {CONFIG_UNION}
   UNION ALL SELECT scan_id, 'api', CASE {API_CASE} END FROM d WHERE (CASE {API_CASE} END) IS NOT NULL)
 """
 
 
 @register("DET-31", DET31_SQL)
 def q_det31(spark, sf_dir):
-    fw = V.v_names(spark, sf_dir).filter(F.col("kind") == "frameworks").select("scan_id", "name")
-    empty_cfg = spark.createDataFrame([], "scan_id string, name string")
-    return D.tech_classes(V.v_deps(spark, sf_dir), fw, empty_cfg)
+    deps = V.v_deps(spark, sf_dir).unionByName(V.v_packages(spark, sf_dir))
+    return D.tech_classes(deps, V.v_frameworks(spark, sf_dir), V.v_configs(spark, sf_dir))
 
 
 # Sub-rules of the framework detector (DET-05..13) and of the security rule

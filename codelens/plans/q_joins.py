@@ -87,14 +87,14 @@ def q_join13(spark, sf_dir):
 JOIN14_SQL = f"""
 WITH s AS (SELECT DISTINCT scan_id FROM ({V.V_FEATURES_SQL}))
 SELECT scan_id, name FROM s, (VALUES ('.browserslistrc'), ('postcss.config.js'), ('babel.config.js')) AS t(name)
+WHERE NOT EXISTS (SELECT 1 FROM ({V.V_CONFIGS_SQL}) c WHERE c.scan_id = s.scan_id AND c.name = t.name)
 """
 
 
 @register("JOIN-14", JOIN14_SQL)
 def q_join14(spark, sf_dir):
     f = V.v_features(spark, sf_dir)
-    cfg = spark.createDataFrame([], "scan_id string, name string")
-    return J.missing_configs(cfg, f, f.select("scan_id"))
+    return J.missing_configs(V.v_configs(spark, sf_dir), f, f.select("scan_id"))
 
 
 JOIN15_SQL = f"""
@@ -180,7 +180,7 @@ def compat(spark, sf_dir):
 
 def risk(spark, sf_dir):
     f = V.v_features(spark, sf_dir)
-    missing = J.missing_configs(spark.createDataFrame([], "scan_id string, name string"), f, f.select("scan_id"))
+    missing = J.missing_configs(V.v_configs(spark, sf_dir), f, f.select("scan_id"))
     return S.risk_score(V.v_findings(spark, sf_dir), compat(spark, sf_dir), missing, V.v_suggestions(spark, sf_dir))
 
 
@@ -219,10 +219,11 @@ WITH f AS (SELECT scan_id, {cnt("kind = 'vulnerability'")} AS vulns, {cnt("kind
 c AS ({COMPAT_SQL}),
 r AS (SELECT scan_id, array_to_string(list(recommendation ORDER BY ord)[1:20], chr(10)) AS recommendations FROM ({RECS_SQL}) GROUP BY scan_id),
 b AS (SELECT coalesce(f.scan_id, c.scan_id) AS scan_id, coalesce(vulns, 0) + coalesce(policies, 0) AS base_findings,
-             coalesce(unsupported, 0) AS unsupported, coalesce(policies, 0) AS missing_policies
+             coalesce(unsupported, 0) AS unsupported, coalesce(policies, 0) AS missing_policies,
+             (SELECT count(*) FROM ({V.V_LARGE_SQL}) l WHERE l.scan_id = coalesce(f.scan_id, c.scan_id)) AS large
       FROM f FULL JOIN c ON f.scan_id = c.scan_id)
 SELECT b.scan_id, CAST(base_findings AS BIGINT) AS base_findings, CAST(unsupported AS BIGINT) AS unsupported,
-       CAST(missing_policies AS BIGINT) AS missing_policies, CAST(0 AS BIGINT) AS large_assets,
+       CAST(missing_policies AS BIGINT) AS missing_policies, CAST(large AS BIGINT) AS large_assets,
        coalesce(r.recommendations, '') AS recommendations,
        CASE WHEN base_findings + unsupported > 0 THEN 'attention' ELSE 'pass' END AS status, s.standard
 FROM b LEFT JOIN r ON b.scan_id = r.scan_id, (VALUES ('SOC2'), ('ISO27001'), ('GDPR')) AS s(standard)
@@ -231,12 +232,20 @@ FROM b LEFT JOIN r ON b.scan_id = r.scan_id, (VALUES ('SOC2'), ('ISO27001'), ('G
 
 @register("AGG-20", AGG20_SQL)
 def q_agg20(spark, sf_dir):
-    large = spark.createDataFrame([], "scan_id string")
     return S.compliance_report(V.v_findings(spark, sf_dir), compat(spark, sf_dir), S.recommendations(flags(spark, sf_dir)),
-                               large, STANDARDS)
+                               V.v_large(spark, sf_dir), STANDARDS)
 
 
-register("JOIN-20", AGG20_SQL)(q_agg20)
+JOIN20_SQL = f"""
+SELECT s.id, s.status, t.standard FROM ({V.V_SCANS_SQL}) s, (VALUES ('SOC2'), ('PCI')) AS t(standard)
+"""
+
+
+@register("JOIN-20", JOIN20_SQL)
+def q_join20(spark, sf_dir):
+    """Every scan of the history with every requested standard (the list has spaces and an empty entry)."""
+    s = V.v_scans(spark, sf_dir).select(F.col("id").alias("scan_id"), "status")
+    return J.scan_standards(s, " SOC2,,PCI ").select(F.col("scan_id").alias("id"), "status", "standard")
 
 
 def tool_runs(spark, sf_dir):

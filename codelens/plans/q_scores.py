@@ -138,17 +138,8 @@ FROM ({COMPAT_ROWS_SQL}) GROUP BY scan_id
 """
 
 
-@register("AGG-11", COMPAT_SQL)
-def q_agg11(spark, sf_dir):
-    return S.compatibility(V.v_features(spark, sf_dir), dims.feature_dim(spark))
-
-
-def empty_configs(spark):
-    return spark.createDataFrame([], "scan_id string, name string")
-
-
 def flags(spark, sf_dir):
-    return S.scan_flags(V.v_features(spark, sf_dir), empty_configs(spark), findings(spark, sf_dir),
+    return S.scan_flags(V.v_features(spark, sf_dir), V.v_configs(spark, sf_dir), findings(spark, sf_dir),
                         dims.feature_dim(spark))
 
 
@@ -169,14 +160,15 @@ fl AS (SELECT scan_id, {cnt("kind = 'missing_policy'")} AS policies, {cnt("kind
         max(CASE WHEN kind = 'missing_policy' AND title = 'X-Powered-By' THEN 1 ELSE 0 END) AS t_xpb,
         max(CASE WHEN kind = 'missing_policy' AND title IN ('Permissive CORS', 'Permissive CORS with credentials', 'Wildcard CORS headers/methods') THEN 1 ELSE 0 END) AS t_cors,
         max(CASE WHEN kind = 'insecure_api' AND title IN ('Cookie without httpOnly', 'Cookie without secure') THEN 1 ELSE 0 END) AS t_cookie
-      FROM {FIND} GROUP BY scan_id)
-SELECT coalesce(f.scan_id, fl.scan_id) AS scan_id,
+      FROM {FIND} GROUP BY scan_id),
+cf AS (SELECT scan_id, max(CASE WHEN name = 'helmet.config.js' THEN 1 ELSE 0 END) AS has_helmet FROM ({V.V_CONFIGS_SQL}) GROUP BY scan_id)
+SELECT coalesce(f.scan_id, fl.scan_id, cf.scan_id) AS scan_id, coalesce(has_helmet, 0) AS has_helmet,
        coalesce(has_xhr, 0) AS has_xhr, coalesce(has_fetch, 0) AS has_fetch, coalesce(has_abort, 0) AS has_abort,
        coalesce(has_promise_polyfill, 0) AS has_promise_polyfill, coalesce(aa_supported, 0) AS aa_supported,
        coalesce(unsupported, 0) AS unsupported, coalesce(policies, 0) AS policies, coalesce(insecure, 0) AS insecure,
        coalesce(t_rate, 0) AS t_rate, coalesce(t_csrf, 0) AS t_csrf, coalesce(t_xpb, 0) AS t_xpb,
        coalesce(t_cors, 0) AS t_cors, coalesce(t_cookie, 0) AS t_cookie
-FROM f FULL JOIN fl ON f.scan_id = fl.scan_id
+FROM f FULL JOIN fl ON f.scan_id = fl.scan_id FULL JOIN cf ON cf.scan_id = coalesce(f.scan_id, fl.scan_id)
 """
 RECS_SQL = f"""
 WITH g AS ({FLAGS_SQL})
@@ -184,7 +176,7 @@ SELECT scan_id, ord, recommendation FROM (
   SELECT scan_id, 1 AS ord, '{RECS[0]}' AS recommendation FROM g WHERE has_xhr = 1 AND has_fetch = 0
   UNION ALL SELECT scan_id, 2, '{RECS[1]}' FROM g WHERE has_promise_polyfill = 1 AND aa_supported = 1
   UNION ALL SELECT scan_id, 3, '{RECS[2]}' FROM g WHERE has_fetch = 1 AND has_abort = 0
-  UNION ALL SELECT scan_id, 4, '{RECS[3]}' FROM g WHERE policies > 0
+  UNION ALL SELECT scan_id, 4, '{RECS[3]}' FROM g WHERE policies > 0 AND has_helmet = 0
   UNION ALL SELECT scan_id, 5, '{RECS[4]}' FROM g WHERE t_rate = 1
   UNION ALL SELECT scan_id, 6, '{RECS[5]}' FROM g WHERE t_csrf = 1
   UNION ALL SELECT scan_id, 7, '{RECS[6].replace("'", "''")}' FROM g WHERE t_xpb = 1
@@ -198,6 +190,17 @@ def q_agg12(spark, sf_dir):
     return S.recommendations(flags(spark, sf_dir)).withColumn("ord", F.col("ord"))
 
 
+AGG11_SQL = f"""
+SELECT c.*, coalesce(r.n, 0) AS suggested FROM ({COMPAT_SQL}) c
+LEFT JOIN (SELECT scan_id, count(*) AS n FROM ({RECS_SQL}) GROUP BY scan_id) r ON r.scan_id = c.scan_id
+"""
+
+
+@register("AGG-11", AGG11_SQL)
+def q_agg11(spark, sf_dir):
+    return S.compatibility(V.v_features(spark, sf_dir), dims.feature_dim(spark), S.recommendations(flags(spark, sf_dir)))
+
+
 FEATURE_USAGE_SQL = f"""
 SELECT scan_id, feature, count(DISTINCT file) AS files FROM ({V.V_FEATURES_SQL}) GROUP BY scan_id, feature
 """

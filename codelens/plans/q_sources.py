@@ -17,7 +17,6 @@ from codelens.operators import score as S
 from codelens.operators import topk as T
 from codelens.plans import bindings as V
 from codelens.plans.catalog import ORACLE, register
-from codelens.plans.q_scores import SEV_SUMMARY_SQL
 from codelens.session import ensure_checkpoint_dir
 from codelens.sources import corpus as C
 from codelens.sources import manifests as M
@@ -235,76 +234,6 @@ def q_snk06(spark, sf_dir):
     return K.delete_scans(s, s.filter(F.col("status") == "processing").select("id"), "id")
 
 
-def _csv_sql(v: str) -> str:
-    return (f"CASE WHEN regexp_matches({v}, '[\",\\n]') THEN '\"' || replace({v}, '\"', '\"\"') || '\"' ELSE {v} END")
-
-
-SNK02_SQL = f"""
-SELECT scan_id, section_ord, ord, line FROM (
-  SELECT scan_id, 0 AS section_ord, CAST(0 AS BIGINT) AS ord,
-         'Meta,' || {_csv_sql("k")} || ',' || {_csv_sql("v")} AS line
-  FROM (SELECT scan_id, unnest(['findings', 'vulnerabilities']) AS k,
-               unnest([CAST(count(*) AS VARCHAR), CAST(count(*) FILTER (WHERE kind = 'vulnerability') AS VARCHAR)]) AS v
-        FROM {FIND} GROUP BY scan_id)
-  UNION ALL
-  SELECT scan_id, 1, CAST(min(ord) AS BIGINT), 'Findings,' || {_csv_sql("title")} || ',' || {_csv_sql("CAST(count(*) AS VARCHAR)")}
-  FROM {FIND} GROUP BY scan_id, title)
-"""
-
-
-def csv_lines(spark, sf_dir):
-    f = V.v_findings(spark, sf_dir)
-    meta = f.groupBy("scan_id").agg(F.count(F.lit(1)).alias("findings"),
-                                    F.sum((F.col("kind") == S.VULN).cast("int")).alias("vulnerabilities"))
-    meta = meta.select("scan_id", F.explode(F.create_map(
-        F.lit("findings"), F.col("findings").cast("string"),
-        F.lit("vulnerabilities"), F.col("vulnerabilities").cast("string"))).alias("key", "value"))
-    titles = f.groupBy("scan_id", F.col("title").alias("key")).agg(
-        F.count(F.lit(1)).cast("string").alias("value"), F.min("ord").alias("ord"))
-    return K.report_csv([("Meta", meta), ("Findings", titles)])
-
-
-register("SNK-02", SNK02_SQL)(csv_lines)
-
-
-SNK03_SQL = f"""
-SELECT scan_id, 'Section,Key,Value' || chr(10) || string_agg(line, chr(10) ORDER BY section_ord, ord, line) AS csv
-FROM ({SNK02_SQL}) GROUP BY scan_id
-"""
-
-
-@register("SNK-03", SNK03_SQL)
-def q_snk03(spark, sf_dir):
-    """Combined CSV text per scan (header + sections in order)."""
-    return K.report_csv_text(csv_lines(spark, sf_dir))
-
-
-@register("SNK-01", None)
-def q_snk01(spark, sf_dir):
-    f = V.v_findings(spark, sf_dir)
-    sev = S.severity_summary(f.filter(F.col("kind") == S.VULN))
-    top = T.top_findings(f.filter(F.col("kind") == S.VULN), 50).select("scan_id", "rank", "title", "severity")
-    return K.report_json({"vulnSeveritySummary": sev, "topFindings": top})
-
-
-SNK04_SQL = f"""
-SELECT scan_id, '# Scan ' || scan_id || chr(10) || '- critical: ' || CAST(critical AS VARCHAR) || ', high: ' || CAST(high AS VARCHAR)
-       || ', moderate: ' || CAST(moderate AS VARCHAR) || ', low: ' || CAST(low AS VARCHAR) AS markdown
-FROM ({SEV_SUMMARY_SQL})
-"""
-
-
-@register("SNK-04", SNK04_SQL)
-def q_snk04(spark, sf_dir):
-    f = V.v_findings(spark, sf_dir)
-    sev = S.severity_summary(f.filter(F.col("kind") == S.VULN))
-    lines = sev.select("scan_id", F.lit(0).alias("ord"), F.concat(F.lit("# Scan "), F.col("scan_id")).alias("line")).unionByName(
-        sev.select("scan_id", F.lit(1).alias("ord"), F.concat(
-            F.lit("- critical: "), F.col("critical").cast("string"), F.lit(", high: "), F.col("high").cast("string"),
-            F.lit(", moderate: "), F.col("moderate").cast("string"), F.lit(", low: "), F.col("low").cast("string")).alias("line")))
-    return K.report_markdown(lines)
-
-
 @register("SNK-07", None)
 def q_snk07(spark, sf_dir):
     files = V.v_files(spark, sf_dir)
@@ -424,23 +353,6 @@ def q_src15(spark, sf_dir):
     return lines.select(F.from_json("line", "id string, status string, progress double").alias("d")).select("d.*")
 
 
-def _snk01_sql():
-    from codelens.plans.q_scores import TOP02_SQL
-    return f"""
-WITH s1 AS (SELECT scan_id, to_json(list({{'low': low, 'moderate': moderate, 'high': high, 'critical': critical,
-                                         'unknown': unknown}})) AS v FROM ({SEV_SUMMARY_SQL}) GROUP BY scan_id),
-s2 AS (SELECT scan_id, to_json(list({{'rank': rank, 'title': title, 'severity': severity}} ORDER BY rank, title, severity)) AS t
-       FROM ({TOP02_SQL}) GROUP BY scan_id)
-SELECT coalesce(s1.scan_id, s2.scan_id) AS scan_id,
-       '{{"apiVersion":"v1","scanId":"' || coalesce(s1.scan_id, s2.scan_id) || '"}}' AS meta,
-       '{{"vulnSeveritySummary":' || coalesce(v, '[]') || ',"topFindings":' || coalesce(t, '[]') || '}}' AS sections
-FROM s1 FULL JOIN s2 ON s1.scan_id = s2.scan_id
-"""
-
-
-ORACLE["SNK-01"] = _snk01_sql()
-
-
 def _snk07_sql():
     from codelens.plans.q_scores import AGG01_SQL, FEATURE_USAGE_SQL, TOP07_SQL
     def t(div):

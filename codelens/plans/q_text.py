@@ -119,12 +119,14 @@ def q_txt06(spark, sf_dir):
 
 def txt07_flags(spark, sf_dir):
     f = V.v_features(spark, sf_dir)
-    flags = S.scan_flags(f, spark.createDataFrame([], "scan_id string, name string"), V.v_findings(spark, sf_dir),
+    flags = S.scan_flags(f, V.v_configs(spark, sf_dir), V.v_findings(spark, sf_dir),
                          dims.feature_dim(spark))
     extra = f.groupBy("scan_id").agg(
         F.max((F.col("feature") == "async-await").cast("int")).alias("has_async_await"))
-    return flags.join(extra, "scan_id", "left").fillna(0).withColumn("has_next", F.lit(0)).withColumn(
-        "has_next_cfg", F.lit(0))
+    fw = V.v_frameworks(spark, sf_dir).groupBy("scan_id").agg(F.max((F.col("name") == "Next.js").cast("int")).alias("has_next"))
+    cfg = V.v_configs(spark, sf_dir).groupBy("scan_id").agg(
+        F.max(F.col("name").isin("next.config.js", "next.config.mjs").cast("int")).alias("has_next_cfg"))
+    return flags.join(extra, "scan_id", "left").join(fw, "scan_id", "left").join(cfg, "scan_id", "left").fillna(0)
 
 
 GEN = X.GENERATED_SUGGESTIONS
@@ -138,12 +140,17 @@ WITH f AS (SELECT scan_id, max(CASE WHEN feature = 'XMLHttpRequest' THEN 1 ELSE
 p AS (SELECT scan_id, count(*) FILTER (WHERE kind = 'missing_policy') AS policies FROM ({V.V_FINDINGS_SQL}) GROUP BY scan_id),
 g AS (SELECT coalesce(f.scan_id, p.scan_id) AS scan_id, coalesce(xhr, 0) AS xhr, coalesce(has_fetch, 0) AS has_fetch,
              coalesce(abort, 0) AS abort, coalesce(poly, 0) AS poly, coalesce(aa, 0) AS aa, coalesce(policies, 0) AS policies
-      FROM f FULL JOIN p ON f.scan_id = p.scan_id)
+      FROM f FULL JOIN p ON f.scan_id = p.scan_id),
+fw AS (SELECT scan_id FROM ({V.V_FRAMEWORKS_SQL}) WHERE name = 'Next.js'), cf AS ({V.V_CONFIGS_SQL})
 SELECT scan_id, title, severity, category, file FROM (
   SELECT scan_id, '{GEN[0][1]}' AS title, '{GEN[0][3]}' AS severity, '{GEN[0][4]}' AS category, '{GEN[0][5]}' AS file FROM g WHERE xhr = 1 AND has_fetch = 0
   UNION ALL SELECT scan_id, '{GEN[1][1]}', '{GEN[1][3]}', '{GEN[1][4]}', '{GEN[1][5]}' FROM g WHERE poly = 1 AND aa = 1
   UNION ALL SELECT scan_id, '{GEN[2][1]}', '{GEN[2][3]}', '{GEN[2][4]}', '{GEN[2][5]}' FROM g WHERE has_fetch = 1 AND abort = 0
-  UNION ALL SELECT scan_id, '{GEN[3][1]}', '{GEN[3][3]}', '{GEN[3][4]}', '{GEN[3][5]}' FROM g WHERE policies > 0)
+  UNION ALL SELECT scan_id, '{GEN[3][1]}', '{GEN[3][3]}', '{GEN[3][4]}', '{GEN[3][5]}' FROM g WHERE policies > 0
+    AND NOT EXISTS (SELECT 1 FROM cf WHERE cf.scan_id = g.scan_id AND name = 'helmet.config.js')
+  UNION ALL SELECT scan_id, '{GEN[4][1]}', '{GEN[4][3]}', '{GEN[4][4]}', '{GEN[4][5]}' FROM g
+  WHERE EXISTS (SELECT 1 FROM fw WHERE fw.scan_id = g.scan_id)
+    AND NOT EXISTS (SELECT 1 FROM cf WHERE cf.scan_id = g.scan_id AND name IN ('next.config.js', 'next.config.mjs')))
 """
 
 

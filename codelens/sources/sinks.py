@@ -14,23 +14,41 @@ from pyspark.sql import functions as F
 API_VERSION = "v1"
 
 
-def report_json(sections: dict[str, DataFrame], key: str = "scan_id") -> DataFrame:
-    """SNK-01: one JSON document per scan: ``{scanId, apiVersion, <section>:
-    [...]}``.  Each section is collected per scan (a section is one scan's
-    list — a summary or a top-k — bounded by what the report shows), sorted by
-    its columns in order so the document is deterministic, and the sections
-    are joined on the scan id."""
-    parts = []
-    for name, df in sections.items():
-        cols = [c for c in df.columns if c != key]
-        parts.append(df.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(F.struct(*cols))),
-                                                   {"ignoreNullFields": "false"}).alias(name)))
-    base = reduce(lambda a, b: a.join(b, key, "full"), parts)
-    fields = [F.lit(API_VERSION).alias("apiVersion"), F.col(key).alias("scanId")] + [
-        F.coalesce(F.col(n), F.lit("[]")).alias(n) for n in sections]
-    doc = F.concat(F.lit("{"), F.concat_ws(",", *[
-        F.concat(F.lit(f'"{n}":'), F.coalesce(F.col(n), F.lit("[]"))) for n in sections]), F.lit("}"))
-    return base.select(F.col(key).alias("scan_id"), F.to_json(F.struct(*fields[:2])).alias("meta"), doc.alias("sections"))
+# FIXED VALUES: the parts of the JSON report, in order; all are objects but the lists
+REPORT_PARTS = ["repoDetails", "projectFeatures", "architecture", "compatibility", "securityAndPerformance",
+                "healthAndMaintenance", "modernizationSuggestions", "analytics", "summaryLog"]
+REPORT_LISTS = ["modernizationSuggestions"]
+_JSON = {"ignoreNullFields": "false"}
+
+
+def _json_value(c: F.Column) -> F.Column:
+    """A column as one JSON value (quoted and escaped text, or null)."""
+    return F.regexp_extract(F.to_json(F.struct(c.alias("v")), _JSON), r'(?s)^\{"v":(.*)\}$', 1)
+
+
+def report_json(scans: DataFrame, parts: dict[str, DataFrame], generated_at: str) -> DataFrame:
+    """SNK-01: ``(scan_id, document)`` — one JSON document per row of ``scans``
+    (scan_id, repo_url) with every field of the report: id, repoUrl, the parts
+    in order, generatedAt and apiVersion.
+
+    A part is a table with one row per scan, which becomes an object of its
+    columns (missing: ``{}``); a list part has any number of rows per scan and
+    becomes an array sorted by its columns (missing: ``[]``).  A list holds what
+    one report shows of one scan."""
+    out = scans.select("scan_id", "repo_url")
+    for name in REPORT_PARTS:
+        df = parts.get(name)
+        if df is None:
+            continue
+        row = F.struct(*[c for c in df.columns if c != "scan_id"])
+        value = F.to_json(F.array_sort(F.collect_list(row)), _JSON) if name in REPORT_LISTS else F.max(F.to_json(row, _JSON))
+        out = out.join(df.groupBy("scan_id").agg(value.alias(name)), "scan_id", "left")
+    fields = [F.concat(F.lit('"id":'), _json_value(F.col("scan_id"))), F.concat(F.lit('"repoUrl":'), _json_value(F.col("repo_url")))]
+    for name in REPORT_PARTS:
+        empty = F.lit("[]" if name in REPORT_LISTS else "{}")
+        fields.append(F.concat(F.lit(f'"{name}":'), F.coalesce(F.col(name), empty) if name in parts else empty))
+    fields += [F.concat(F.lit('"generatedAt":'), _json_value(F.lit(generated_at))), F.lit(f'"apiVersion":"{API_VERSION}"')]
+    return out.select("scan_id", F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("document"))
 
 
 def csv_value(v: F.Column) -> F.Column:
@@ -39,31 +57,103 @@ def csv_value(v: F.Column) -> F.Column:
     return F.when(s.rlike('[",\n]'), F.concat(F.lit('"'), F.regexp_replace(s, '"', '""'), F.lit('"'))).otherwise(s)
 
 
-def report_csv(sections: list[tuple[str, DataFrame]], key: str = "scan_id") -> DataFrame:
-    """SNK-02 / SNK-03: long-form ``Section,Key,Value`` lines per scan in
-    section order; each input is ``(scan_id, key, value[, ord])``.  Returns
-    ``(scan_id, section_ord, ord, line)`` — write with ``write.text`` after
-    ``orderBy`` or use ``report_csv_text`` for one string per scan."""
+# FIXED VALUES: what the reports show, in order.  A report line is about one topic of the
+# facts table (scan_id, topic, ord, name, value): ("value", topic, ..., default) is one line per
+# scan, ("list", topic, ...) one per fact, ("text", ...) a line as it stands.  A value without a default
+# is left out where there is no fact.
+BUNDLE_CSV = [
+    ("value", "repo", "Meta", "Repo", ""), ("value", "branch", "Meta", "Branch", ""), ("value", "started", "Meta", "Started", ""),
+    ("value", "completed", "Meta", "Completed", ""), ("value", "supported", "Analytics", "Supported", "0"),
+    ("value", "partial", "Analytics", "Partial", "0"), ("value", "unsupported", "Analytics", "Unsupported", "0"),
+    ("value", "suggested", "Analytics", "Suggested", "0"), ("list", "supported_feature", "Supported", "Feature"),
+    ("list", "partial_feature", "Partial", "Feature"), ("list", "unsupported_item", "Unsupported", "Item"),
+    ("list", "missing_config", "MissingConfig", "File"), ("list", "recommendation", "Recommendation", "Action"),
+]
+COMBINED_CSV = [
+    ("value", "supported", "Analytics", "Supported", "0"), ("value", "partial", "Analytics", "Partial", "0"),
+    ("value", "unsupported", "Analytics", "Unsupported", "0"), ("value", "suggested", "Analytics", "Suggested", "0"),
+    ("list", "supported_feature", "Compatibility-Supported", "Feature"), ("list", "partial_feature", "Compatibility-Partial", "Feature"),
+    ("list", "unsupported_item", "Compatibility-Unsupported", "Item"), ("list", "missing_config", "Compatibility-MissingConfig", "Config"),
+    ("list", "recommendation", "Compatibility-Recommendation", "Action"), ("list", "framework", "Environment-Framework", None),
+    ("list", "dependency", "Environment-Dependency", None), ("list", "upgrade", "Environment-Upgrade", None),
+    ("list", "security", "Security", None), ("list", "performance", "Performance", None),
+    ("value", "structure", "Architecture", "Structure", ""), ("value", "pattern", "Architecture", "Pattern", ""),
+    ("value", "modularization", "Architecture", "Modularization", ""), ("list", "config_file", "Architecture-Config", "File"),
+    ("value", "duration", "Summary", "Duration", ""), ("value", "files_ignored", "Summary", "FilesIgnored", "0"),
+    ("value", "agent_version", "Summary", "AgentVersion", ""), ("value", "scan_date", "Summary", "ScanDate", ""),
+    ("list", "log", "Summary-Error", "Log"),
+]
+MARKDOWN = [
+    ("text", "# Baseline Scan Report"), ("text", ""), ("value", "repo", "- Repo: ", "", "N/A"), ("value", "license", "- License: ", "", "N/A"),
+    ("value", "size", "- Size: ", "", "N/A"), ("value", "last_updated", "- Last Updated: ", "", "N/A"), ("text", ""), ("text", "## Analytics"),
+    ("value", "supported", "- Supported: ", "", "0"), ("value", "partial", "- Partial: ", "", "0"),
+    ("value", "unsupported", "- Unsupported: ", "", "0"), ("value", "suggested", "- Suggested: ", "", "0"), ("text", ""),
+    ("text", "## Compatibility Report"), ("text", "### Supported Features"), ("list", "supported_feature", "- ", None), ("text", ""),
+    ("text", "### Partial Features"), ("list", "partial_feature", "- ", None), ("text", ""), ("text", "### Unsupported/Deprecated Code"),
+    ("list", "unsupported_item", "- ", None), ("text", ""), ("text", "### Missing Configurations"), ("list", "missing_config", "- ", None),
+    ("text", ""), ("text", "### Recommended Migrations"), ("list", "recommendation", "- ", None), ("text", ""),
+    ("text", "## Environment & Versioning"), ("text", "### Frameworks"), ("list", "framework", "- ", " "), ("text", "### Dependencies"),
+    ("list", "dependency", "- ", " "), ("text", "### Recommended Upgrades"), ("list", "upgrade", "- ", ": "), ("text", ""),
+    ("text", "## Security & Performance"), ("list", "security", "- [Security] ", ": "), ("list", "performance", "- [Perf] ", ": "),
+    ("text", ""), ("text", "## Architecture"), ("value", "structure", "- Structure: ", "", "N/A"), ("value", "pattern", "- Pattern: ", "", "N/A"),
+    ("value", "modularization", "- Modularization: ", "", "N/A"), ("text", "### Config Files"), ("list", "config_file", "- ", None),
+    ("text", ""), ("text", "## Health & Maintenance"), ("value", "health_score", "- Health Score: ", "", "0"),
+    ("value", "maintainability", "- Maintainability Index: ", "", "0"), ("value", "coverage", "- Test Coverage: ", "%", "0"),
+    ("value", "build_status", "- Build Status: ", "", "N/A"), ("value", "contributors", "- Contributors: ", "", "0"),
+    ("value", "commit_frequency", "- Commit Frequency: ", "", "N/A"), ("text", ""), ("text", "## Summary Log"),
+    ("value", "duration", "- Duration: ", "", "N/A"), ("value", "files_ignored", "- Files Ignored: ", "", "0"),
+    ("value", "agent_version", "- Agent Version: ", "", "N/A"), ("value", "scan_date", "- Scan Date: ", "", "N/A"),
+    ("value", "files_scanned", "- Files Scanned: ", "", None), ("value", "files_analyzed", "- Files Analyzed: ", "", None),
+    ("value", "issues_found", "- Issues Found: ", "", None), ("value", "resource_usage", "- Resource Usage: ", "", None),
+    ("list", "warning", "- Warning: ", None), ("list", "log", "- LOG: ", None),
+]
+
+
+def report_facts(topics: dict[str, DataFrame]) -> DataFrame:
+    """(scan_id, topic, ord, name, value) from one table (scan_id, name[, value][, ord]) per topic."""
     parts = []
-    for i, (name, df) in enumerate(sections):
-        o = F.col("ord") if "ord" in df.columns else F.lit(0)
-        parts.append(df.select(F.col(key).alias("scan_id"), F.lit(i).alias("section_ord"), o.cast("long").alias("ord"),
-                               F.concat_ws(",", csv_value(F.lit(name)), csv_value(F.col("key")),
-                                           csv_value(F.col("value"))).alias("line")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def report_csv_text(lines: DataFrame) -> DataFrame:
-    """One CSV text per scan (header first, lines in section / ord order)."""
+    for topic, df in topics.items():
+        value = F.col("value").cast("string") if "value" in df.columns else F.lit(None).cast("string")
+        order = F.col("ord").cast("long") if "ord" in df.columns else F.lit(0).cast("long")
+        parts.append(df.select("scan_id", F.lit(topic).alias("topic"), order.alias("ord"), F.col("name").cast("string").alias("name"),
+                               value.alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def report_lines(scans: DataFrame, facts: DataFrame, layout: list[tuple], csv: bool) -> DataFrame:
+    """``(scan_id, section_ord, ord, line)`` of a layout for every scan; lines of a
+    list come in order of ``ord`` and text.  The layout has a fixed number of entries, the
+    facts are joined once by scan and topic."""
+    fixed = [(i, e[0], e[1], *((None,) * 3 if e[0] == "text" else e[2:5])) for i, e in enumerate(layout) if e[0] != "list"]
+    lists = [(i, e[1], e[2], e[3]) for i, e in enumerate(layout) if e[0] == "list"]
+    spark = scans.sparkSession
+    entry = F.array(*[F.struct(F.lit(i).alias("section_ord"), F.lit(kind).alias("kind"), F.lit(topic).alias("topic"),
+                               *[F.lit(v).cast("string").alias(n) for n, v in zip("abd", rest)]) for i, kind, topic, *rest in fixed])
+    single = facts.groupBy("scan_id", "topic").agg(F.max(F.coalesce("value", "name")).alias("value"))
+    rows = scans.select("scan_id", F.explode(entry).alias("e")).select("scan_id", "e.*").join(single, ["scan_id", "topic"], "left")
+    value = F.coalesce("value", "d")
+    if csv:
+        line = F.concat_ws(",", csv_value(F.col("a")), csv_value(F.col("b")), csv_value(value))
+    else:
+        line = F.when(F.col("kind") == "text", F.col("topic")).otherwise(F.concat("a", value, F.coalesce("b", F.lit(""))))
+    one = rows.select("scan_id", "section_ord", F.lit(0).cast("long").alias("ord"), line.alias("line")).filter(F.col("line").isNotNull())
+    kinds = F.broadcast(spark.createDataFrame(lists, "section_ord int, topic string, a string, b string"))  # a fixed list
+    hits = facts.join(kinds, "topic").join(scans.select("scan_id").distinct(), "scan_id", "left_semi")
+    if csv:
+        key = F.coalesce("b", "name")
+        shown = F.when(F.col("b").isNotNull(), F.col("name")).otherwise(F.col("value"))
+        line = F.concat_ws(",", csv_value(F.col("a")), csv_value(key), csv_value(shown))
+    else:
+        line = F.concat("a", "name", F.when(F.col("b").isNotNull(), F.concat("b", F.coalesce("value", F.lit("")))).otherwise(F.lit("")))
+    return one.unionByName(hits.select("scan_id", "section_ord", "ord", line.alias("line")))
+
+
+def report_text(lines: DataFrame, header: str | None = None, name: str = "text") -> DataFrame:
+    """One text per scan: the header, then the lines in order.  A text is one
+    scan's report; write ``lines`` themselves for anything larger."""
     g = lines.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("section_ord", "ord", "line"))).alias("l"))
-    return g.select("scan_id", F.concat(F.lit("Section,Key,Value\n"),
-                                        F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("csv"))
-
-
-def report_markdown(lines: DataFrame) -> DataFrame:
-    """SNK-04: ``(scan_id, ord, line)`` rows -> one Markdown text per scan."""
-    g = lines.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("l"))
-    return g.select("scan_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("markdown"))
+    body = F.array_join(F.transform("l", lambda x: x["line"]), "\n")
+    return g.select("scan_id", (body if header is None else F.concat(F.lit(header + "\n"), body)).alias(name))
 
 
 def upsert(target: DataFrame, updates: DataFrame, key: str = "id", ts_col: str | None = "updated_at") -> DataFrame:

@@ -277,17 +277,28 @@ def q_udf02b(spark, sf_dir):
 
 
 def _udf03_sql():
-    from codelens.plans.q_sources import SEMSEV
+    from codelens.plans.q_sources import SRC11_SQL, SRC12_AUDIT_SQL, SRC12_SQL, SRC10_SQL
     return f"""
-SELECT scan_id, title, {SEMSEV} AS severity, coalesce(file, '') AS file
-FROM ({V.V_FINDINGS_SQL}) WHERE source = 'semgrep'
+SELECT scan_id, 'semgrep' AS tool, title AS name, severity FROM ({SRC10_SQL})
+UNION ALL SELECT scan_id, 'trufflehog', title, 'High' FROM ({SRC11_SQL})
+UNION ALL SELECT scan_id, 'npm-audit', name, severity FROM ({SRC12_AUDIT_SQL})
+UNION ALL SELECT scan_id, 'npm-outdated', name, NULL FROM ({SRC12_SQL})
 """
 
 
 @register("UDF-03", _udf03_sql())
 def q_udf03(spark, sf_dir):
-    from codelens.plans.q_sources import semgrep_docs
-    return TL.ingest_tool("semgrep", semgrep_docs(spark, sf_dir)).select("scan_id", "title", "severity", "file")
+    """Every tool's raw output through the one ingest entry."""
+    from codelens.plans.q_sources import audit_docs, outdated_docs, semgrep_docs, trufflehog_lines
+    raw = {"semgrep": semgrep_docs, "trufflehog": trufflehog_lines, "npm-audit": audit_docs, "npm-outdated": outdated_docs}
+    out = None
+    for tool, docs in raw.items():
+        r = TL.ingest_tool(tool, docs(spark, sf_dir))
+        name = "title" if "title" in r.columns else "name"
+        severity = F.col("severity") if "severity" in r.columns else F.lit(None).cast("string")
+        r = r.select("scan_id", F.lit(tool).alias("tool"), F.col(name).alias("name"), severity.alias("severity"))
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 def _txt11_sql():

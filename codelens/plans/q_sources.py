@@ -186,6 +186,29 @@ def q_src12(spark, sf_dir):
     return TL.read_outdated(outdated_docs(spark, sf_dir))
 
 
+def audit_docs(spark, sf_dir):
+    """npm-audit documents: one per scan and 200 event numbers."""
+    f = V.v_findings(spark, sf_dir).filter(F.col("source") == "npm-audit")
+    entry = F.struct(F.concat_ws("-", "title", F.col("ord").cast("string")).alias("name"), F.struct(
+        "severity", F.col("file").alias("via"), F.concat(F.lit("<"), (F.col("ord") % 7).cast("string"), F.lit(".0.0")).alias("range"),
+        (F.col("ord") % 2 == 0).cast("string").alias("fixAvailable")).alias("v"))
+    docs = f.groupBy("scan_id", F.floor(F.col("ord") / 200).cast("long").alias("dir_ord")).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("vulnerabilities"))
+    return docs.select("scan_id", "dir_ord", F.to_json(F.struct("vulnerabilities")).alias("json"))
+
+
+SRC12_AUDIT_SQL = f"""
+SELECT scan_id, CAST(ord // 200 AS BIGINT) AS dir_ord, title || '-' || CAST(ord AS VARCHAR) AS name, severity,
+       '<' || CAST(ord % 7 AS VARCHAR) || '.0.0' AS range, CASE WHEN ord % 2 = 0 THEN 'true' ELSE 'false' END AS fix
+FROM {FIND} WHERE source = 'npm-audit'
+"""
+
+
+@register("SRC-12-audit", SRC12_AUDIT_SQL)
+def q_src12_audit(spark, sf_dir):
+    return TL.read_audit(audit_docs(spark, sf_dir))
+
+
 SRC13_SQL = f"SELECT id, repo_url, created_at FROM {SCANS} WHERE status = 'done'"
 
 

@@ -54,9 +54,37 @@ def q_txt02(spark, sf_dir):
     return r.withColumn("rank", F.col("rank").cast("long"))
 
 
-register("TXT-03", TXT02_SQL.replace("WHERE rank <= 10", "WHERE rank <= 10"))(
-    lambda spark, sf_dir: q_txt02(spark, sf_dir))
-register("TOP-04", TXT02_SQL)(lambda spark, sf_dir: q_txt02(spark, sf_dir))
+TXT03_SQL = f"""
+WITH l AS (SELECT scan_id, path, string_split_regex(coalesce(content, ''), '\\r?\\n') AS lines FROM {FILES}),
+p AS (SELECT *, coalesce(list_position(list_transform(lines, lambda x: contains(lower(x), 'license') OR contains(lower(x), 'token')), true), 0) AS i FROM l)
+SELECT scan_id, path, CAST(i AS INTEGER) AS match_line, CAST(greatest(1, i - 1) AS INTEGER) AS start_line,
+       CAST(least(len(lines), i + 1) AS INTEGER) AS end_line, array_to_string(lines[greatest(1, i - 1):least(len(lines), i + 1)], chr(10)) AS snippet
+FROM p WHERE i > 0
+"""
+
+
+@register("TXT-03", TXT03_SQL)
+def q_txt03(spark, sf_dir):
+    """Snippet (one line of context) of every file with a hit, ranked or not."""
+    sn = X.snippet(F.col("content"), QUERY, context=1)
+    r = V.v_files(spark, sf_dir).select("scan_id", "path", sn.alias("sn")).filter(F.col("sn").isNotNull())
+    return r.select("scan_id", "path", "sn.match_line", "sn.start_line", "sn.end_line", "sn.snippet")
+
+
+TOP04_SQL = f"""
+SELECT scan_id, path, score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY score DESC, path) AS rank FROM (
+    SELECT scan_id, path, CAST(len(list_filter({TOKENS_SQL.format(c='content')}, lambda t: t IN ('the', 'der', 'que', 'une'))) AS BIGINT) AS score
+    FROM {FILES}) WHERE score > 0) WHERE rank <= 3
+"""
+
+
+@register("TOP-04", TOP04_SQL)
+def q_top04(spark, sf_dir):
+    """The three best hits of each scan for words that most files have: ranks decide."""
+    r = X.search_files(V.v_files(spark, sf_dir), "The der, que une!", 3)
+    return r.select("scan_id", "path", "score", F.col("rank").cast("long").alias("rank"))
+
 
 LOGQ = "the der"
 TXT04_SQL = f"""

@@ -28,11 +28,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelens.llm import textops as T
-from codelens.llm.store import materialize
+from codelens.llm.store import fresh, materialize
 from codelens.llm.winnow import (NO_ID, Chunk, TextStore, below_bucket, key_buckets, key_levels, pack32, shared_keys, split_keys,
                                  unpack32)
 
@@ -85,7 +86,7 @@ def _levels(chunk: Chunk, answers: pa.Table, buckets: int) -> tuple[np.ndarray,
     """(keys, offsets, frequency level of each key)."""
     got = {b: x for b, x in zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist()) if b >= 0}
     keys, at = shingle_sets(chunk)
-    u, inverse = np.unique(keys, return_inverse=True)
+    u, inverse, _n = T.distinct(keys)
     return keys, at, key_levels(u, got, buckets)[inverse]
 
 
@@ -193,12 +194,16 @@ def _links(table: pa.Table) -> tuple[list[int], list[int]]:
         groups.setdefault(task_group[i], []).append(i)
     a, b = [], []
     for rows in groups.values():
-        sets, pre = [], []
+        sets, pre, own = [], [], []
         for i in rows:
             keys = np.frombuffer(body[i], np.uint64, size[i])
             level = np.frombuffer(body[i], np.uint8, size[i], 8 * size[i])
             sets.append(set(keys[level > 0].tolist()))
             pre.append([set(p.tolist()) for p in prefixes(keys, level)])
+            own.append(1 - len(sets[-1]) / size[i])
+        # originals before their edited copies: a text with few tokens of its own is the better centre
+        best = sorted(range(len(rows)), key=lambda x: (own[x], rows[x]))
+        rows, sets, pre = ([v[x] for x in best] for v in (rows, sets, pre))
         for i, root in zip(rows, _Stars().join([size[i] for i in rows], sets, pre)):
             if rows[root] != i:
                 a.append(node[rows[root]])
@@ -255,15 +260,29 @@ def grouped_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
                                for c, w in zip(table.column("chunk").to_pylist(), table.column("owners").to_pylist())])
         order = np.lexsort((node, k))
         k, node = k[order], node[order]
+        press = zstandard.ZstdCompressor(level=1)
         first = np.concatenate(([True], k[1:] != k[:-1]))
         centre = node[np.flatnonzero(first)][np.cumsum(first) - 1]
-        pair = np.unique(np.stack((centre, node), axis=1)[centre != node], axis=0)
-        tag = np.int64(key[0].as_py() // buckets) << np.int64(60)
-        return pa.table({"a": pa.array(pair[:, 0] + tag), "b": pa.array(pair[:, 1] + tag)})
+        pair = np.unique(np.stack((node, centre), axis=1)[centre != node], axis=0)
+        home = pair[:, 0] >> 32
+        cut = np.flatnonzero(np.concatenate((home[1:] != home[:-1], [True]))) + 1 if len(home) else np.zeros(0, np.int64)
+        parts = [pair[i:j] for i, j in zip([0, *cut[:-1]], cut)]
+        return pa.table({"chunk": pa.array([int(x[0, 0]) >> 32 for x in parts], pa.int32()),
+                         "rank": pa.array([key[0].as_py() // buckets] * len(parts), pa.int32()),
+                         "blob": pa.array([press.compress(x.tobytes()) for x in parts], pa.binary())})
+
+    def gather(table: pa.Table) -> pa.Table:
+        """The distinct edges of a chunk's documents, over all buckets."""
+        unpack = zstandard.ZstdDecompressor()
+        parts = [np.frombuffer(unpack.decompress(x), np.int64).reshape(-1, 2) + (np.int64(o) << np.int64(60))
+                 for o, x in zip(table.column("rank").to_pylist(), table.column("blob").to_pylist())]
+        pair = np.unique(np.concatenate(parts), axis=0)
+        return pa.table({"a": pa.array(pair[:, 1]), "b": pa.array(pair[:, 0])})
 
     chunks = store.table.groupBy("chunk")
     sent = chunks.cogroup(masks.groupBy("chunk")).applyInArrow(tokens, "chunk int, bucket int, keys binary, owners binary")
-    edges = sent.groupBy("bucket").applyInArrow(connect, "a long, b long")
+    edges = (sent.groupBy("bucket").applyInArrow(connect, "chunk int, rank int, blob binary")
+             .groupBy("chunk").applyInArrow(gather, "a long, b long"))
     roots = connected_components(edges)
     plain = F.col("node").bitwiseAND(F.lit((1 << 60) - 1))
     order = F.shiftright("node", 60)
@@ -281,7 +300,8 @@ def grouped_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     tasks = (placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("node", F.shiftright("node", 32).cast("int").alias("chunk"),
                      F.when(F.col("blocks") == 1, F.col("grp"))
-                     .otherwise(F.xxhash64("grp", F.least("mine", "other"), F.greatest("mine", "other"))).alias("grp")))
+                     .otherwise(F.xxhash64("grp", F.least("mine", "other"), F.greatest("mine", "other"))).alias("grp"),
+                     (F.col("blocks") > 1).alias("shared")))
     tasks = materialize(tasks)
     n_tasks = max(8, -(-tasks.count() // block))
 
@@ -309,7 +329,10 @@ def grouped_texts(docs: DataFrame, block: int = BLOCK) -> DataFrame:
             .unionByName(tasks.select("chunk", F.lit(1).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("blob"), "node", "grp")))
     delivered = chunks.cogroup(side.groupBy("chunk")).applyInArrow(deliver, "task int, grp long, node long, n int, body binary")
     links = delivered.groupBy("task").applyInArrow(link, "a long, b long")
-    groups = connected_components(links)
+    if tasks.where("shared").limit(1).count():
+        groups = connected_components(links)
+    else:  # every group was joined in one task: the links lead straight to the roots
+        groups = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
     member = texts.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     return store.rows.select("doc_id", "h1", "h2").join(member.where("n > 0").select("h1", "h2", "n", "root"), ["h1", "h2"], "left")
@@ -337,15 +360,14 @@ def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("h1"),
                    F.xxhash64(F.lit(7), text).alias("h2"))
+    name = fresh(docs, "_key")
     rows = (materialize(grouped_texts(docs.select("doc_id", "text"), block)).where(F.col("root").isNotNull())
-            .select("root", F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "h1", "h2").alias("_key")))
-    first = rows.groupBy("root").agg(F.min("_key").alias("first"))
-    judged = rows.join(first, "root")
-    gone = judged.where(F.col("_key") != F.col("first")).select("_key").distinct()
-    keyed = docs.withColumn("_key", key)
-    kept = keyed.join(gone, "_key", "left_anti")
-    twice = materialize(judged.where(F.col("_key") == F.col("first")).groupBy("_key").count().where("count > 1").select("_key"))
+            .select("root", F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), "h1", "h2").alias(name)))
+    judged = rows.join(rows.groupBy("root").agg(F.min(name).alias("first")), "root")
+    gone = judged.where(F.col(name) != F.col("first")).select(name).distinct()
+    kept = docs.withColumn(name, key).join(gone, name, "left_anti")
+    twice = materialize(judged.where(F.col(name) == F.col("first")).groupBy(name).count().where("count > 1").select(name))
     if twice.limit(1).count():
-        kept = (kept.join(twice, "_key", "left_anti")
-                .unionByName(kept.join(twice, "_key", "left_semi").dropDuplicates(["_key"])))
+        kept = (kept.join(twice, name, "left_anti")
+                .unionByName(kept.join(twice, name, "left_semi").dropDuplicates([name])))
     return kept.select(*docs.columns)

@@ -145,3 +145,15 @@ def sums_by_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of values[offsets[i]:offsets[i+1]] for every row."""
     c = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
     return c[offsets[1:]] - c[offsets[:-1]]
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values in ascending order, index of each value among them, their counts)."""
+    order = np.argsort(values)
+    s = values[order]
+    new = np.ones(len(s), dtype=bool)
+    new[1:] = s[1:] != s[:-1]
+    inverse = np.empty(len(s), dtype=np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return s[first], inverse, np.diff(np.append(first, len(s)))

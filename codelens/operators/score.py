@@ -14,6 +14,7 @@ from codelens.functions.scalar import clamp, round_half_up
 from codelens.functions.severity import normalize_severity, semgrep_severity, severity_bucket
 from codelens.functions.status import impact_rank
 from codelens.operators.baseline import support_map
+from codelens.operators.topk import top_findings
 
 
 def _count_if(cond: Column) -> Column:
@@ -523,10 +524,18 @@ def compliance_report(findings: DataFrame, compat: DataFrame, recommendations_df
 TOOLS_SAST = {"semgrep": "semgrep", "npm": "npm-audit", "owasp_dependency_check": "owasp-dependency-check", "safety": "safety"}
 
 
-def sast_report(findings: DataFrame, compat: DataFrame, tool_runs: DataFrame) -> DataFrame:
+def _top_lines(findings: DataFrame, name: str, k: int = 50) -> DataFrame:
+    """(scan_id, name): the k most severe findings of each scan as lines ``[severity] title``."""
+    line = F.concat(F.lit("["), F.coalesce("severity", F.lit("unknown")), F.lit("] "), F.coalesce("title", F.lit("")))
+    top = top_findings(findings, k).select("scan_id", F.struct("rank", line.alias("line")).alias("e"))
+    return top.groupBy("scan_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["line"]), "\n").alias(name))
+
+
+def sast_report(findings: DataFrame, compat: DataFrame, tool_runs: DataFrame, frameworks: DataFrame) -> DataFrame:
     """AGG-21: per scan vulnerability counts (AGG-05), hygiene counts
-    (AGG-06), unsupported count, CI summary (AGG-23) and tool statuses
-    (``not_executed`` when a tool has no run)."""
+    (AGG-06), unsupported count, frameworks, CI summary (AGG-23), the 50 top findings of
+    both groups, tool statuses (``not_executed`` when a tool has no run) and the
+    number of semgrep findings."""
     k = F.col("kind")
     b = severity_bucket(F.col("severity"), "low")
     s = normalize_severity(F.col("severity"))
@@ -539,21 +548,30 @@ def sast_report(findings: DataFrame, compat: DataFrame, tool_runs: DataFrame) ->
     names = [f"{p}_{x}" for p in ("v", "h") for x in ("critical", "high", "medium", "low")] + \
             ["ci_workflows", "ci_high", "ci_medium", "ci_low", "unsupported"]
     f = _fold(_measures(*parts), names)
-    st = tool_runs.groupBy("scan_id").agg(support_map("tool", F.col("status")).alias("_t"))
-    j = f.join(st, "scan_id", "left")
+    semgrep = F.max(F.when(F.col("tool") == TOOLS_SAST["semgrep"], F.col("findings")))
+    st = tool_runs.groupBy("scan_id").agg(support_map("tool", F.col("status")).alias("_t"), semgrep.alias("_semgrep"))
+    fw = frameworks.groupBy("scan_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("frameworks"))
+    j = (f.join(st, "scan_id", "left").join(fw, "scan_id", "left")
+         .join(_top_lines(findings.filter(k == VULN), "top_vulnerabilities"), "scan_id", "left")
+         .join(_top_lines(findings.filter(hyg), "top_hygiene"), "scan_id", "left"))
     tools = [F.coalesce(F.try_element_at("_t", F.lit(t)), F.lit("not_executed")).alias("tool_" + c) for c, t in TOOLS_SAST.items()]
-    return j.select("scan_id", *[F.col(n).cast("long").alias(n) for n in names], *tools)
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("frameworks", "top_vulnerabilities", "top_hygiene")]
+    return j.select("scan_id", *[F.col(n).cast("long").alias(n) for n in names], *tools,
+                    F.coalesce("_semgrep", F.lit(0)).cast("long").alias("semgrep_findings"), *texts)
 
 
 def secrets_report(findings: DataFrame, tool_runs: DataFrame) -> DataFrame:
-    """AGG-22: secret counts (AGG-07) and trufflehog status / findings count
-    (``not_executed`` and 0 when it did not run)."""
+    """AGG-22: secret counts (AGG-07), the 50 top secrets, the status of the three
+    secret scanners (``not_executed`` if one did not run) and trufflehog's
+    findings count."""
     c = secret_counts(findings)
-    t = tool_runs.filter(F.col("tool") == "trufflehog").select("scan_id", F.col("status").alias("trufflehog_status"),
-                                                               F.col("findings").alias("trufflehog_findings"))
-    j = c.join(t, "scan_id", "left")
-    return j.select(*c.columns, F.coalesce("trufflehog_status", F.lit("not_executed")).alias("trufflehog_status"),
-                    F.coalesce("trufflehog_findings", F.lit(0)).cast("long").alias("trufflehog_findings"))
+    runs = tool_runs.groupBy("scan_id").agg(support_map("tool", F.col("status")).alias("_t"),
+                                            F.max(F.when(F.col("tool") == "trufflehog", F.col("findings"))).alias("_n"))
+    j = c.join(runs, "scan_id", "left").join(_top_lines(secret_items(findings), "top_secrets"), "scan_id", "left")
+    tools = [F.coalesce(F.try_element_at("_t", F.lit(t)), F.lit("not_executed")).alias(t.replace("-", "_") + "_status")
+             for t in ("trufflehog", "gitleaks", "detect-secrets")]
+    return j.select(*c.columns, *tools, F.coalesce("_n", F.lit(0)).cast("long").alias("trufflehog_findings"),
+                    F.coalesce("top_secrets", F.lit("")).alias("top_secrets"))
 
 
 def scan_impact(files: DataFrame, changed: DataFrame, polyfills_removed: DataFrame | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from codelens.operators import joins as J
 from codelens.operators import score as S
 from codelens.plans import bindings as V
 from codelens.plans.catalog import register
-from codelens.plans.q_scores import COMPAT_SQL, FIND, NSEV, RECS_SQL, SEV_SUMMARY_SQL, cnt, flags
+from codelens.plans.q_scores import COMPAT_SQL, FIND, NSEV, RECS_SQL, SEV_SUMMARY_SQL, WEIGHT, cnt, flags
 
 DEPS = f"({V.V_DEPS_SQL})"
 OUTD = f"({V.V_OUTDATED_SQL})"
@@ -256,6 +256,13 @@ def tool_runs(spark, sf_dir):
 
 
 B_ = "(CASE WHEN (" + NSEV + ") = 'unknown' THEN 'low' ELSE (" + NSEV + ") END)"
+def _top_sql(cond: str) -> str:
+    """The 50 most severe findings of each scan as lines."""
+    return f"""SELECT scan_id, string_agg('[' || coalesce(severity, 'unknown') || '] ' || coalesce(title, ''), chr(10) ORDER BY rank) AS t FROM (
+      SELECT scan_id, severity, title, row_number() OVER (PARTITION BY scan_id ORDER BY {WEIGHT} DESC, ord) AS rank FROM {FIND} WHERE {cond})
+      WHERE rank <= 50 GROUP BY scan_id"""
+
+
 AGG21_SQL = f"""
 WITH f AS (SELECT scan_id,
   {cnt("kind = 'vulnerability' AND " + B_ + " = 'critical'")} AS v_critical, {cnt("kind = 'vulnerability' AND " + B_ + " = 'high'")} AS v_high,
@@ -266,20 +273,25 @@ WITH f AS (SELECT scan_id,
   {cnt("kind IN ('missing_policy', 'insecure_api') AND " + B_ + " = 'low'")} AS h_low,
   {cnt("kind = 'ci'")} AS ci_workflows, {cnt("kind = 'ci' AND (" + NSEV + ") IN ('critical', 'high')")} AS ci_high,
   {cnt("kind = 'ci' AND (" + NSEV + ") = 'medium'")} AS ci_medium, {cnt("kind = 'ci' AND (" + NSEV + ") = 'low'")} AS ci_low,
-  max(CASE WHEN source = 'semgrep' THEN 1 ELSE 0 END) AS has_semgrep, max(CASE WHEN source = 'npm-audit' THEN 1 ELSE 0 END) AS has_npm
+  {cnt("source = 'semgrep'")} AS n_semgrep, max(CASE WHEN source = 'npm-audit' THEN 1 ELSE 0 END) AS has_npm
   FROM {FIND} GROUP BY scan_id),
 c AS ({COMPAT_SQL})
 SELECT f.scan_id, v_critical, v_high, v_medium, v_low, h_critical, h_high, h_medium, h_low,
        ci_workflows, ci_high, ci_medium, ci_low, CAST(coalesce(c.unsupported, 0) AS BIGINT) AS unsupported,
-       CASE WHEN has_semgrep = 1 THEN 'ok' ELSE 'not_executed' END AS tool_semgrep,
-       CASE WHEN has_npm = 1 THEN 'ok' ELSE 'not_executed' END AS tool_npm, 'not_executed' AS tool_owasp_dependency_check, 'not_executed' AS tool_safety
+       CASE WHEN n_semgrep > 0 THEN 'ok' ELSE 'not_executed' END AS tool_semgrep,
+       CASE WHEN has_npm = 1 THEN 'ok' ELSE 'not_executed' END AS tool_npm, 'not_executed' AS tool_owasp_dependency_check, 'not_executed' AS tool_safety,
+       CAST(n_semgrep AS BIGINT) AS semgrep_findings,
+       coalesce((SELECT array_to_string(list_sort(list(DISTINCT name)), ',') FROM ({V.V_FRAMEWORKS_SQL}) w WHERE w.scan_id = f.scan_id), '') AS frameworks,
+       coalesce(tv.t, '') AS top_vulnerabilities, coalesce(th.t, '') AS top_hygiene
 FROM f LEFT JOIN c ON f.scan_id = c.scan_id
+LEFT JOIN ({_top_sql("kind = 'vulnerability'")}) tv ON tv.scan_id = f.scan_id
+LEFT JOIN ({_top_sql("kind IN ('missing_policy', 'insecure_api')")}) th ON th.scan_id = f.scan_id
 """
 
 
 @register("AGG-21", AGG21_SQL)
 def q_agg21(spark, sf_dir):
-    return S.sast_report(V.v_findings(spark, sf_dir), compat(spark, sf_dir), tool_runs(spark, sf_dir))
+    return S.sast_report(V.v_findings(spark, sf_dir), compat(spark, sf_dir), tool_runs(spark, sf_dir), V.v_frameworks(spark, sf_dir))
 
 
 AGG22_SQL = f"""
@@ -293,8 +305,11 @@ b AS (SELECT scan_id, {cnt("(CASE WHEN (" + NSEV + ") = 'unknown' THEN 'low' ELS
 t AS (SELECT scan_id, count(*) AS n FROM {FIND} WHERE source = 'trufflehog' GROUP BY scan_id)
 SELECT b.scan_id, critical, high, medium, low, critical + high + medium + low AS total,
        CASE WHEN t.n IS NULL THEN 'not_executed' ELSE 'ok' END AS trufflehog_status,
-       CAST(coalesce(t.n, 0) AS BIGINT) AS trufflehog_findings
+       'not_executed' AS gitleaks_status, 'not_executed' AS detect_secrets_status,
+       CAST(coalesce(t.n, 0) AS BIGINT) AS trufflehog_findings, coalesce(ts.t, '') AS top_secrets
 FROM b LEFT JOIN t ON b.scan_id = t.scan_id
+LEFT JOIN ({_top_sql("kind = 'secret' OR (kind = 'vulnerability' AND regexp_matches(coalesce(nullif(title, ''), description, ''), '(?i)(secret|credential|token|key)'))")}) ts
+  ON ts.scan_id = b.scan_id
 """
 
 

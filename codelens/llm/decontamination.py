@@ -171,12 +171,12 @@ def _matches(index: Index, data: np.ndarray, offsets: np.ndarray, radius: int, t
                 order = np.argsort(distance[ok], kind="stable")
                 for x, y, d in zip(wi[ok][order], ii[ok][order], distance[ok][order]):
                     no = int(numbers[y])
-                    key = (int(r[x]), no)
-                    if key in best and best[key][2] == 1.0:
+                    key, start = (int(r[x]), no), int(a[x] - at[r[x]])
+                    if key in best and best[key][2] == 1.0 and best[key][0] <= start:
                         continue
                     sim = _similarity(s[a[x]:a[x] + c[x]], index.shingles[no])
-                    if sim >= threshold and (key not in best or sim > best[key][2]):
-                        best[key] = (int(a[x] - at[r[x]]), int(d), sim, int(c[x] + k - 1))
+                    if sim >= threshold and (key not in best or (-sim, start) < (-best[key][2], best[key][0])):
+                        best[key] = (start, int(d), sim, int(c[x] + k - 1))
     for (r, no), (start, d, sim, words) in best.items():
         yield r, no, start, words, d, sim
 
@@ -201,8 +201,7 @@ def _blocks(benchmark: DataFrame, block_items: int, radius: int) -> Iterator[Ind
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, radius: int = RADIUS,
                block_items: int = 20_000) -> DataFrame:
     """One row per document and item it contains: doc_id, item_id, start_word,
-    n_words, distance (bits), similarity, of the most similar window (the nearest
-    by SimHash, then the first, on ties).
+    n_words, distance (bits), similarity, of the most similar window (the first on ties).
 
     Items and documents with fewer than five words are one shingle; texts
     without words, null or empty, match nothing.  Repeated documents and items

@@ -48,7 +48,8 @@ LINE_SQL = r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                       generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no FROM documents),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS pos FROM lines
-             WHERE regexp_matches(line, '[^ 	-]')),
+             WHERE regexp_matches(line, '[^ 	-
+]')),
 pairs AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM numbered),
 later AS (SELECT *, row_number() OVER (PARTITION BY line, following ORDER BY doc_id, pos) AS copy FROM pairs WHERE following IS NOT NULL),
 gone AS (SELECT doc_id, pos FROM later WHERE copy > 1 UNION SELECT doc_id, pos + 1 FROM later WHERE copy > 1),
@@ -72,9 +73,32 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_slots(table(spark, sf_dir, "documents"), shards=16)
 
 
-@query("op4_decontamination")
+# for items of five words or more, which all items of the table have
+LEAK_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                         '[0-9A-Za-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+ds AS MATERIALIZED (SELECT doc_id, p, array_to_string(w[p + 1:p + 5], ' ') AS s FROM d, unnest(range(0, len(w) - 4)) AS t(p)),
+sh AS MATERIALIZED (SELECT item_id, s, count(*) AS c FROM (
+    SELECT item_id, array_to_string(w[p + 1:p + 5], ' ') AS s FROM i, unnest(range(0, len(w) - 4)) AS t(p)) GROUP BY ALL),
+pairs AS (SELECT DISTINCT doc_id, item_id FROM ds JOIN sh USING (s)),
+windows AS (SELECT doc_id, item_id, len(i.w) - 4 AS m, least(len(i.w), len(d.w)) AS n, unnest(range(0, greatest(1, len(d.w) - len(i.w) + 1))) AS start
+            FROM pairs JOIN d USING (doc_id) JOIN i USING (item_id)),
+counted AS (SELECT w.doc_id, w.item_id, w.start, w.m, w.n, ds.s, count(*) AS c FROM windows w
+            JOIN ds ON ds.doc_id = w.doc_id AND ds.p >= w.start AND ds.p <= w.start + w.n - 5 GROUP BY ALL),
+scored AS (SELECT c.doc_id, c.item_id, c.start, c.m, c.n, sum(least(c.c, sh.c)) AS low FROM counted c
+           JOIN sh ON sh.item_id = c.item_id AND sh.s = c.s GROUP BY ALL),
+best AS (SELECT *, low / (m + n - 4 - low) AS similarity,
+                row_number() OVER (PARTITION BY doc_id, item_id ORDER BY low / (m + n - 4 - low) DESC, start) AS place FROM scored)
+SELECT doc_id, item_id, start AS start_word, n AS n_words, similarity FROM best WHERE place = 1 AND similarity >= 0.75
+"""
+
+
+@query("op4_decontamination", LEAK_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.75)
+    leaks = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.75)
+    return leaks.select("doc_id", "item_id", "start_word", "n_words", "similarity")
 
 
 @query("op5_html_extraction")
@@ -82,7 +106,26 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
-@query("op6_suffix_dedup")
+SUFFIX_SQL = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+-- short pieces first: substr counts characters from the start of its string
+piece AS MATERIALIZED (SELECT doc_id, n, q, substr(h, 2 * q + 1, 2 * 549) AS h FROM b, unnest(range(0, n, 500)) AS t(q)),
+win AS MATERIALIZED (SELECT doc_id, q + k AS p, substr(h, 2 * k + 1, 100) AS s FROM piece, unnest(range(0, 500)) AS t(k) WHERE q + k + 50 <= n),
+first AS (SELECT s, min(doc_id) AS doc_id FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
+again AS MATERIALIZED (SELECT w.doc_id, w.p FROM win w JOIN first f ON f.s = w.s WHERE f.doc_id < w.doc_id),
+bytes AS (SELECT doc_id, q + k AS p, substr(h, 2 * k + 1, 2) AS c FROM piece, unnest(range(0, 500)) AS t(k) WHERE q + k < n),
+marked AS (SELECT x.doc_id, x.p, x.c, coalesce(x.p - a.p < 50, false) AS gone
+           FROM bytes x ASOF LEFT JOIN again a ON a.doc_id = x.doc_id AND x.p >= a.p),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM marked),
+told AS (SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+                string_agg(c, '' ORDER BY p) FILTER (WHERE NOT gone) AS h FROM edges GROUP BY doc_id)
+SELECT b.doc_id, b.n AS n_bytes, coalesce(t.n_removed, 0) AS n_removed, coalesce(t.n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(t.h, ''))) AS kept_sha256
+FROM b LEFT JOIN told t ON t.doc_id = b.doc_id
+"""
+
+
+@query("op6_suffix_dedup", SUFFIX_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_spans(table(spark, sf_dir, "documents"), length=50)
 
@@ -123,7 +166,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-@query("op8_substring_dedup")
+REPEAT_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(w[p:p + 34], ' ') AS s FROM d, unnest(range(1, len(w) - 33)) AS t(p)),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY s) AS n FROM win) WHERE n > 1),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, p + k AS p FROM again, unnest(range(0, 35)) AS t(k)),
+kept AS (SELECT x.doc_id, string_agg(x.w, ' ' ORDER BY x.p) AS t
+         FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS p FROM d) x ANTI JOIN gone g ON g.doc_id = x.doc_id AND g.p = x.p
+         GROUP BY x.doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, (SELECT count(*) FROM gone g WHERE g.doc_id = d.doc_id) AS n_removed,
+       sha256(coalesce(k.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
+
+
+@query("op8_substring_dedup", REPEAT_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=35)
 

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelens.llm.store import materialize
+from codelens.llm.store import few, fresh, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 BINS = 4096
@@ -84,7 +84,8 @@ def allocate_copies(rows: DataFrame, targets: DataFrame, max_copies: int, seed:
     t = targets.select(F.struct(F.col("source").isNull().alias("n"),
                                 F.coalesce("source", F.lit("")).alias("s")).alias("source_key"),
                        "source_size", "target")
-    joined = joined.join(t, "source_key")
+    # one row per source: broadcast when they are few, so that no source has to meet in one task
+    joined = joined.join(F.broadcast(t) if few(t, 100_000) else t, "source_key")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = joined.withColumn("whole", F.least(F.floor(ratio), F.lit(max_copies)).cast("long"))
     joined = joined.withColumn("rest_words", F.col("target") - (F.col("whole") * F.col("source_size")).cast("double"))
@@ -99,7 +100,8 @@ def allocate_copies(rows: DataFrame, targets: DataFrame, max_copies: int, seed:
                                                    F.first("rest_words").alias("rest_words"))
     before = Window.partitionBy("source_key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = (bins.withColumn("words_before", F.coalesce(F.sum("bin_words").over(before), F.lit(0)))
-            .withColumn("side", F.when(F.col("words_before") + F.col("bin_words") <= F.col("rest_words"), 1)
+            .withColumn("side", F.when(F.col("rest_words") <= 0, -1)  # whole copies are all: nothing to cut
+                        .when(F.col("words_before") + F.col("bin_words") <= F.col("rest_words"), 1)
                         .when(F.col("words_before") <= F.col("rest_words"), 0).otherwise(-1))
             .select("source_key", "bin", "words_before", "side"))
     placed = ranked.join(bins, ["source_key", "bin"])
@@ -146,14 +148,10 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), tot
     cut = (ranks.withColumn("whole", whole).groupBy("source")
            .agg(F.max(F.when(F.col("copies") > F.col("whole"), F.struct("u", "doc_id", "size"))).alias("last"),
                 F.first("whole").alias("whole")))
-    cut = cut.select(F.col("source").alias("_mix_source"), F.col("last").alias("_mix_last"), F.col("whole").alias("_mix_whole"))
+    name = fresh(docs, "_mix_")
+    cut = cut.select(F.col("source").alias(name + "source"), F.col("last").alias(name + "last"), F.col("whole").alias(name + "whole"))
     mine = F.struct(random_unit(F.col("doc_id"), seed).alias("u"), F.col("doc_id"), word_count(F.col("text")).alias("size"))
-    n = F.col("_mix_whole") + F.when(mine <= F.col("_mix_last"), 1).otherwise(0)
-    out = docs.join(F.broadcast(cut) if _few(cut) else cut, F.col("source").eqNullSafe(F.col("_mix_source")))
-    out = out.withColumn("_mix_copy", F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n))))
+    n = F.col(name + "whole") + F.when(mine <= F.col(name + "last"), 1).otherwise(0)
+    out = docs.join(F.broadcast(cut) if few(cut, 100_000) else cut, F.col("source").eqNullSafe(F.col(name + "source")))
+    out = out.withColumn(name + "copy", F.explode(F.when(n > 0, F.sequence(F.lit(1).cast("long"), n))))
     return out.select(*docs.columns)
-
-
-def _few(per_source: DataFrame, limit: int = 100_000) -> bool:
-    """Whether a one-row-per-source table is small enough to broadcast."""
-    return per_source.limit(limit + 1).count() <= limit

@@ -110,7 +110,7 @@ def delete_repeats(docs: DataFrame, min_lines: int = 2, with_text: bool = False)
     def emit(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = Chunk.load(table)
         a, b, at = line_ids(chunk)
-        u, inverse = np.unique(a, return_inverse=True)
+        u, inverse, _n = T.distinct(a)
         again = np.flatnonzero(key_levels(u, dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist())),
                                           buckets)[inverse]) if len(u) else np.zeros(0, np.int64)
         row = np.searchsorted(at, again, side="right") - 1

@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelens.llm.suffix_dedup import spans_of
-from codelens.llm.winnow import Chunk, Scheme, Stretches, TextStore, repeated_windows
+from codelens.llm.winnow import Chunk, Scheme, Stretches, TextStore, Windows, repeated_windows
 
-K = 8
+#: Words of an anchor.
+K = 12
 #: Words a shard compiles at once; below the number of characters that words can be mapped to.
 BATCH_WORDS = 1_000_000
 
@@ -108,13 +108,16 @@ def remove_repeats(docs: DataFrame, length: int = 35, with_text: bool = False) -
     scheme = Scheme(length, min(K, length), words=True)
     store = TextStore.build(docs)
 
-    def finish(chunk: Chunk, found: list) -> pa.Table:
+    def finish(chunk: Chunk, windows: Windows) -> pa.Table:
+        split = [t.split() for t in chunk.texts]
+        row, low, high = windows.spans(windows.value > 0, np.array([len(w) for w in split], np.int64), length)
+        spans: list[list[tuple[int, int]]] = [[] for _ in split]
+        for r, a, b in zip(row.tolist(), low.tolist(), high.tolist()):
+            spans[r].append((a, b))
         counts, removed, kept = [], [], []
-        for text, windows in zip(chunk.texts, found):
-            words = text.split()
-            spans = spans_of(windows, lambda v: v > 0, len(words), length)
+        for words, cut in zip(split, spans):
             rest, at = [], 0
-            for a, b in spans:
+            for a, b in cut:
                 rest += words[at:a]
                 at = b
             rest += words[at:]

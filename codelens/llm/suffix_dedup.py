@@ -13,17 +13,16 @@ byte by byte, so a hash collision can never remove anything.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codelens.llm import textops as T
-from codelens.llm.winnow import NO_ID, Chunk, Scheme, Stretches, TextStore, repeated_windows
+from codelens.llm.winnow import NO_ID, Chunk, Scheme, Stretches, TextStore, Windows, repeated_windows
 
-K = 18
+#: Bytes of an anchor: long enough that texts seldom share one by chance.
+K = 22
 
 
 def common_extension(prefix: np.ndarray, x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
@@ -84,13 +83,30 @@ def suffix_sort(data: np.ndarray, prefix: np.ndarray, positions: np.ndarray, blo
     return order
 
 
+#: Windows that are sorted at once; whole anchors, so results do not depend on it.
+BATCH = 300_000
+
+
 def least_owner(s: Stretches, scheme: Scheme) -> list[np.ndarray]:
     """For every window of every stretch the smallest id of a document that has it."""
     out = [np.full(n, m, dtype=np.int64) for n, m in zip(s.count.tolist(), s.least.tolist())]
-    _u, group, members = np.unique(s.anchor, return_inverse=True, return_counts=True)
+    _u, group, members = T.distinct(s.anchor)
     several = np.flatnonzero(members[group] > 1)
-    if not len(several):
-        return out
+    several = several[np.argsort(group[several], kind="stable")]
+    total, g = np.cumsum(s.count[several]), group[several]
+    begin = 0
+    while begin < len(several):
+        # up to the last anchor that fits, one anchor at least
+        end = int(np.searchsorted(total, (total[begin - 1] if begin else 0) + BATCH, side="right"))
+        end = max(int(np.searchsorted(g, g[min(end, len(g) - 1)])) if end < len(g) else end, int(np.searchsorted(g, g[begin], side="right")))
+        _sorted_batch(s, scheme, several[begin:end], g[begin:end], out)
+        begin = end
+    return out
+
+
+def _sorted_batch(s: Stretches, scheme: Scheme, several: np.ndarray, group: np.ndarray, out: list[np.ndarray]) -> None:
+    """Suffix-sort the windows of the stretches ``several`` (anchors ``group``)
+    and write the smallest owner of each neighbourhood of equal ones to ``out``."""
     texts = [s.texts[i] for i in several]
     data = np.frombuffer(b"".join(texts) + b"\0", dtype=np.uint8)
     base = np.concatenate(([0], np.cumsum([len(t) for t in texts])))[:-1]
@@ -99,7 +115,7 @@ def least_owner(s: Stretches, scheme: Scheme) -> list[np.ndarray]:
     offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     positions = base[owner] + offset
     # equal windows have their anchor at the same place: only these are compared
-    blocks = group[several][owner] * (scheme.length + 1) + (s.lead[several][owner] - offset)
+    blocks = (group - group[0])[owner] * (scheme.length + 1) + (s.lead[several][owner] - offset)
     prefix = T.prefix_hash(data)
     order = suffix_sort(data, prefix, positions, blocks, scheme.length)
     p, b = positions[order], blocks[order]
@@ -108,8 +124,8 @@ def least_owner(s: Stretches, scheme: Scheme) -> list[np.ndarray]:
     if len(near):
         near = near[common_extension(prefix, p[near - 1], p[near], scheme.length) >= scheme.length]
         span = np.arange(scheme.length)
-        for i in range(0, len(near), 1 << 15):
-            m = near[i:i + (1 << 15)]
+        for i in range(0, len(near), 1 << 14):
+            m = near[i:i + (1 << 14)]
             same[m] = (data[p[m - 1][:, None] + span] == data[p[m][:, None] + span]).all(axis=1)
     starts = np.flatnonzero(~same)
     least = np.minimum.reduceat(s.least[several][owner][order], starts)
@@ -117,21 +133,6 @@ def least_owner(s: Stretches, scheme: Scheme) -> list[np.ndarray]:
     flat[order] = np.repeat(least, np.diff(np.append(starts, len(p))))
     for i, v in zip(several.tolist(), np.split(flat, np.cumsum(count)[:-1])):
         out[i] = v
-    return out
-
-
-def spans_of(windows: list[tuple[int, np.ndarray]], picked: Callable[[np.ndarray], np.ndarray], n: int, length: int) -> list[tuple[int, int]]:
-    """Maximal covered runs of a text of ``n`` units."""
-    edge = np.zeros(n + 1, dtype=np.int64)
-    for start, values in windows:
-        at = start + np.flatnonzero(picked(values))
-        np.add.at(edge, at, 1)
-        np.add.at(edge, at + length, -1)
-    inside = np.cumsum(edge[:n]) > 0
-    if not inside.any():
-        return []
-    flips = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))
-    return list(zip(flips[::2].tolist(), flips[1::2].tolist()))
 
 
 def without_spans(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -155,9 +156,12 @@ def repeated_spans(docs: DataFrame, length: int = 50, with_text: bool = False) -
     scheme = Scheme(length, min(K, length), words=False)
     store = TextStore.build(docs)
 
-    def finish(chunk: Chunk, found: list) -> pa.Table:
-        spans = [spans_of(f, lambda v, i=i: v < i, len(t), length) for f, t, i in zip(found, chunk.texts, chunk.ids.tolist())]
-        kept = [without_spans(t, s) for t, s in zip(chunk.texts, spans)]
+    def finish(chunk: Chunk, windows: Windows) -> pa.Table:
+        row, low, high = windows.spans(windows.value < chunk.ids[windows.row], np.array([len(t) for t in chunk.texts], np.int64), length)
+        spans: list[list[tuple[int, int]]] = [[] for _ in chunk.texts]
+        for r, a, b in zip(row.tolist(), low.tolist(), high.tolist()):
+            spans[r].append((a, b))
+        kept = [without_spans(t, s) if s else t for t, s in zip(chunk.texts, spans)]
         columns = {"h1": pa.array(chunk.h1), "h2": pa.array(chunk.h2), "least": pa.array(chunk.ids),
                    "n_removed": pa.array([len(t) - len(k) for t, k in zip(chunk.texts, kept)], pa.int64()),
                    "n_spans": pa.array([len(s) for s in spans], pa.int64()),

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from codelens.llm import textops as T
 from codelens.llm.store import bucketed, materialize
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 NO_ID = (1 << 63) - 1                     # a null doc_id is larger than every other
 HOT = 1024
 PIECE = 1 << 17
@@ -180,7 +180,7 @@ def shared_keys(store: TextStore, keys_of: Callable[[Chunk], tuple[np.ndarray, b
     def send(key: tuple, table: pa.Table) -> pa.Table:
         chunk = key[0].as_py()
         keys, note = keys_of(Chunk.load(table, normalise))
-        u, n = np.unique(keys, return_counts=True)
+        u, _inverse, n = T.distinct(keys)
         level = np.searchsorted(_WEIGHT, n, side="right") - 1
         cut = split_keys(u, buckets)
         low = below_bucket(u, buckets)
@@ -245,14 +245,15 @@ def _power(n: int) -> np.uint64:
 
 
 def leftmost_minimum(h: np.ndarray, w: int) -> np.ndarray:
-    """Position of the leftmost smallest value of every w consecutive ones."""
-    val, arg, span = h, np.arange(len(h), dtype=np.int32), 1
+    """Position of the leftmost smallest value (by its leading 32 bits) of every w
+    consecutive ones: minima of value and position in one number, by doubling."""
+    key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    span = 1
     while span < w:
         s = min(span, w - span)
-        less = val[s:] < val[:-s]
-        val, arg = np.where(less, val[s:], val[:-s]), np.where(less, arg[s:], arg[:-s])
+        key = np.minimum(key[s:], key[:-s])
         span += s
-    return arg
+    return (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -285,12 +286,12 @@ class Scheme:
             if not len(inside):
                 continue
             best = best[inside]
-            owner = np.searchsorted(at, inside, side="right") - 1
             new = np.ones(len(inside), dtype=bool)
-            new[1:] = (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])
+            new[1:] = best[1:] != best[:-1]
             s = np.flatnonzero(new)
             size = np.diff(np.append(s, len(inside)))
-            s0, p, o = inside[s], best[s], owner[s]
+            s0, p = inside[s], best[s]
+            o = np.searchsorted(at, s0, side="right") - 1
             ids.append(T.mix64(grams[p] + np.uint64(0x632BE59BD9B4E019)))
             row.append(o + first)
             start.append(s0 - at[o])
@@ -355,58 +356,110 @@ def _windows_of(text: bytes, scheme: Scheme, count: int) -> list[bytes]:
     return [b" ".join(words[i:i + scheme.length]) for i in range(count)]
 
 
-def _stretches(chunk: Chunk, scheme: Scheme, answers: dict[int, bytes], buckets: int):
-    """({bucket: Stretches}, occurrences): occurrences are rows (bucket, stretch,
-    text, first window, windows), in a fixed order."""
+@dataclass
+class Occurrences:
+    """Where a chunk's stretches stand: bucket, number in the bucket, text, first window; in a fixed order."""
+
+    bucket: np.ndarray
+    number: np.ndarray
+    row: np.ndarray
+    start: np.ndarray
+
+
+def _stretches(chunk: Chunk, scheme: Scheme, answers: dict[int, bytes], keys_in: int, buckets: int) -> tuple[dict[int, Stretches], Occurrences]:
+    """The stretches around shared anchors (told by ``answers`` from ``keys_in``
+    buckets of keys) by bucket of stretches, and where they stand."""
     anchors = scheme.anchors(chunk)
-    keys = np.unique(anchors.ids)
-    level = key_levels(keys, answers, buckets)[np.searchsorted(keys, anchors.ids)] if len(keys) else np.zeros(0, np.uint8)
-    shift = 64 - (buckets.bit_length() - 1)
-    numbers: dict[int, dict] = {}
-    rows: dict[int, list] = {}
-    where: list[tuple] = []
-    picked = np.flatnonzero(level)
-    for i, key, r, start, count, lead, a, b, lv in zip(picked.tolist(), anchors.ids[picked].tolist(), *(
-            x[picked].tolist() for x in (anchors.row, anchors.start, anchors.count, anchors.lead, anchors.low, anchors.high, level))):
-        text = chunk.texts[r][a:b]
-        if lv == 1:
-            entries = ((key, lead, count, text, start),)
+    keys, inverse, _n = T.distinct(anchors.ids)
+    level = key_levels(keys, answers, keys_in)[inverse]
+    shift = np.uint64(64 - (buckets.bit_length() - 1))
+    known: dict[tuple, int] = {}
+    names, leads, counts, least, seen, bodies = [], [], [], [], [], []
+    ids, texts = chunk.ids.tolist(), chunk.texts
+
+    def number(text: bytes, lead: int, anchor: int, count: int, owner: int) -> int:
+        key = (text, lead, anchor)
+        no = known.get(key)
+        if no is None:
+            known[key] = no = len(names)
+            names.append(anchor)
+            leads.append(lead)
+            counts.append(count)
+            least.append(owner)
+            seen.append(1)
+            bodies.append(text)
         else:
-            entries = [(xxhash.xxh3_64_intdigest(w), 0, 1, w, start + j) for j, w in enumerate(_windows_of(text, scheme, count))]
-        for anchor, ld, n, t, s in entries:
-            bucket = anchor >> shift
-            known, listed = numbers.setdefault(bucket, {}), rows.setdefault(bucket, [])
-            no = known.setdefault((t, ld, anchor), len(known))
-            if no == len(listed):
-                listed.append([anchor, ld, n, int(chunk.ids[r]), 1, t])
-            else:
-                e = listed[no]
-                e[4] = 2
-                if chunk.ids[r] < e[3]:
-                    e[3] = int(chunk.ids[r])
-            where.append((bucket, no, r, s, n))
-    packed = {b: Stretches(np.array([e[0] for e in v], np.uint64), *(np.array([e[i] for e in v], np.int64) for i in (1, 2, 3, 4)),
-                           [e[5] for e in v]) for b, v in rows.items()}
-    return packed, where
+            seen[no] = 2
+            if owner < least[no]:
+                least[no] = owner
+        return no
+
+    def columns(picked: np.ndarray):
+        return zip(anchors.ids[picked].tolist(), *(x[picked].tolist() for x in (anchors.row, anchors.start, anchors.count,
+                                                                                anchors.lead, anchors.low, anchors.high)))
+
+    shared, hot = np.flatnonzero(level == 1), np.flatnonzero(level > 1)
+    found = [number(texts[r][a:b], lead, key, count, ids[r]) for key, r, _s, count, lead, a, b in columns(shared)]
+    rows, starts = [anchors.row[shared]], [anchors.start[shared]]
+    for _key, r, start, count, _lead, a, b in columns(hot):
+        found += [number(w, 0, xxhash.xxh3_64_intdigest(w), 1, ids[r]) for w in _windows_of(texts[r][a:b], scheme, count)]
+        rows.append(np.full(count, r))
+        starts.append(np.arange(start, start + count))
+    name = np.array(names, dtype=np.uint64)
+    home = (name >> shift).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    cut = np.searchsorted(home[order], np.arange(buckets + 1))
+    place = np.empty(len(name), dtype=np.int64)
+    place[order] = np.arange(len(name)) - cut[home[order]]
+    parts = [np.array(x, dtype=np.int64) for x in (leads, counts, least, seen)]
+    packed = {}
+    for b in np.flatnonzero(np.diff(cut)).tolist():
+        mine = order[cut[b]:cut[b + 1]]
+        packed[b] = Stretches(name[mine], *(x[mine] for x in parts), [bodies[i] for i in mine.tolist()])
+    at = np.array(found, dtype=np.int64)
+    return packed, Occurrences(home[at], place[at], np.concatenate(rows), np.concatenate(starts))
+
+
+@dataclass
+class Windows:
+    """Runs of consecutive windows with the same value: text, first window, number of windows, value."""
+
+    row: np.ndarray
+    start: np.ndarray
+    count: np.ndarray
+    value: np.ndarray
+
+    def spans(self, picked: np.ndarray, units: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, first unit, end unit) of the maximal runs that the picked windows
+        cover, for texts of ``units`` units each."""
+        at = np.concatenate(([0], np.cumsum(units))).astype(np.int64)
+        low = at[self.row[picked]] + self.start[picked]
+        high = low + self.count[picked] - 1 + length
+        edge = np.bincount(low, minlength=at[-1] + 1) - np.bincount(high, minlength=at[-1] + 1)
+        first, last = T.runs_of(np.cumsum(edge[:-1]) > 0, at)
+        row = T.rows_of(first, at)
+        return row, first - at[row], last - at[row]
 
 
 Solve = Callable[[Stretches, Scheme], list[np.ndarray]]
 
 
-def repeated_windows(store: TextStore, scheme: Scheme, solve: Solve, finish: Callable[[Chunk, list], pa.Table], schema: str) -> DataFrame:
+def repeated_windows(store: TextStore, scheme: Scheme, solve: Solve, finish: Callable[[Chunk, Windows], pa.Table], schema: str) -> DataFrame:
     """Run the four steps.
 
     ``solve`` gets the distinct stretches of a bucket (over all chunks) and returns
-    one value per window of each.  ``finish`` gets a chunk and, per text, a list of
-    (first window, values) and returns rows of ``schema``.
+    one value per window of each.  ``finish`` gets a chunk and the values of its
+    windows and returns rows of ``schema``.
     """
-    buckets = key_buckets(store.chunks)
-    masks = materialize(shared_keys(store, lambda c: (scheme.anchors(c).ids, None), scheme.normalise, buckets))
+    keys_in = key_buckets(store.chunks)
+    # stretches compress better together: fewer buckets than for the bare keys, still in step with the data
+    buckets = key_buckets(-(-store.chunks // 2))
+    masks = materialize(shared_keys(store, lambda c: (scheme.anchors(c).ids, None), scheme.normalise, keys_in))
 
     def send(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         got = dict(zip(answers.column("bucket").to_pylist(), answers.column("blob").to_pylist()))
         press = zstandard.ZstdCompressor(level=3)
-        packed, _where = _stretches(Chunk.load(table, scheme.normalise), scheme, got, buckets)
+        packed, _where = _stretches(Chunk.load(table, scheme.normalise), scheme, got, keys_in, buckets)
         return _table(chunk=[key[0].as_py()] * len(packed), bucket=list(packed), blob=[s.dump(press) for s in packed.values()])
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
@@ -424,10 +477,17 @@ def repeated_windows(store: TextStore, scheme: Scheme, solve: Solve, finish: Cal
         unpack = zstandard.ZstdDecompressor()
         values = {b: _unruns(unpack.decompress(x)) for k, b, x in zip(kinds, where_from, blobs) if k == 1}
         chunk = Chunk.load(table, scheme.normalise)
-        found: list[list] = [[] for _ in chunk.texts]
-        for bucket, no, r, start, _n in _stretches(chunk, scheme, got, buckets)[1]:
-            found[r].append((start, values[bucket][no]))
-        return finish(chunk, found)
+        where = _stretches(chunk, scheme, got, keys_in, buckets)[1]
+        order = np.argsort(where.bucket, kind="stable")
+        cut = np.searchsorted(where.bucket[order], np.arange(buckets + 1))
+        parts: list[tuple] = []
+        for b, (runs, value, offset, length) in values.items():
+            mine = order[cut[b]:cut[b + 1]]
+            first, n = runs[where.number[mine]], runs[where.number[mine] + 1] - runs[where.number[mine]]
+            at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            parts.append((np.repeat(where.row[mine], n), np.repeat(where.start[mine], n) + offset[at], length[at], value[at]))
+        columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 4
+        return finish(chunk, Windows(*columns))
 
     chunks = store.table.groupBy("chunk")
     sent = chunks.cogroup(masks.groupBy("chunk")).applyInArrow(send, "chunk int, bucket int, blob binary")
@@ -439,37 +499,44 @@ def repeated_windows(store: TextStore, scheme: Scheme, solve: Solve, finish: Cal
 def _merge(parts: list[Stretches]) -> tuple[Stretches, list[list[int]]]:
     """Distinct stretches over all chunks, and each part's numbers in them."""
     known: dict[tuple, int] = {}
-    rows: list[list] = []
+    first: list[tuple[int, int]] = []
     numbers = []
-    for p in parts:
+    for i, p in enumerate(parts):
         mine = []
-        for anchor, lead, count, least, seen, text in zip(p.anchor.tolist(), p.lead.tolist(), p.count.tolist(), p.least.tolist(),
-                                                          p.seen.tolist(), p.texts):
-            no = known.setdefault((text, lead, anchor), len(known))
-            if no == len(rows):
-                rows.append([anchor, lead, count, least, seen, text])
-            else:
-                rows[no][3] = min(rows[no][3], least)
-                rows[no][4] = 2
+        for j, key in enumerate(zip(p.texts, p.lead.tolist(), p.anchor.tolist())):
+            no = known.setdefault(key, len(known))
+            if no == len(first):
+                first.append((i, j))
             mine.append(no)
         numbers.append(mine)
-    return Stretches(np.array([r[0] for r in rows], np.uint64), *(np.array([r[i] for r in rows], np.int64) for i in (1, 2, 3, 4)),
-                     [r[5] for r in rows]), numbers
+    sizes = np.cumsum([0] + [len(p.texts) for p in parts])
+    pick = np.array([sizes[i] + j for i, j in first], dtype=np.int64)
+    every = np.concatenate([np.array(m, dtype=np.int64) for m in numbers])
+    join = lambda f: np.concatenate([getattr(p, f) for p in parts])
+    least = np.full(len(first), NO_ID, dtype=np.int64)
+    np.minimum.at(least, every, join("least"))
+    seen = np.bincount(every, weights=join("seen"), minlength=len(first)).astype(np.int64)
+    return Stretches(join("anchor")[pick], join("lead")[pick], join("count")[pick], least, np.minimum(seen, 2),
+                     [parts[i].texts[j] for i, j in first]), numbers
 
 
 def _runs(values: list[np.ndarray]) -> bytes:
-    """Arrays as runs: number of arrays, their sizes, then value and length of each run."""
+    """Arrays as runs: their number, the number of runs of each, then value, offset
+    in the array and length of each run."""
     every = np.concatenate(values) if values else np.zeros(0, np.int64)
     sizes = np.array([len(v) for v in values], dtype=np.int64)
+    begin = np.cumsum(sizes) - sizes
     new = np.ones(len(every), dtype=bool)
     new[1:] = every[1:] != every[:-1]
+    new[begin[sizes > 0]] = True
     at = np.flatnonzero(new)
-    return b"".join([np.array([len(sizes), len(at)], np.int64).tobytes(), sizes.tobytes(), every[at].astype(np.int64).tobytes(),
-                     np.diff(np.append(at, len(every))).astype(np.int64).tobytes()])
+    runs = np.searchsorted(at, np.append(begin, len(every)))
+    owner = np.searchsorted(begin, at, side="right") - 1
+    return b"".join(x.astype(np.int64).tobytes() for x in (np.array([len(sizes), len(at)]), runs, every[at], at - begin[owner],
+                                                           np.diff(np.append(at, len(every)))))
 
 
-def _unruns(raw: bytes) -> list[np.ndarray]:
+def _unruns(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds of each array's runs, value, offset, length of each run)."""
     n, m = np.frombuffer(raw, np.int64, 2)
-    sizes = np.frombuffer(raw, np.int64, n, 16)
-    value, length = (np.frombuffer(raw, np.int64, m, 16 + 8 * n + 8 * m * i) for i in range(2))
-    return np.split(np.repeat(value, length), np.cumsum(sizes)[:-1]) if n else []
+    return (np.frombuffer(raw, np.int64, n + 1, 16), *(np.frombuffer(raw, np.int64, m, 16 + 8 * (n + 1) + 8 * m * i) for i in range(3)))

@@ -124,5 +124,5 @@ def test_rolling_and_minimum():
             groups.setdefault(tuple(v[i:i + k].tolist()), set()).add(int(h[i]))
         assert all(len(g) == 1 for g in groups.values()) and len({next(iter(g)) for g in groups.values()}) == len(groups)
     for w in (1, 4, 33):
-        best = winnow.leftmost_minimum(v, w)
+        best = winnow.leftmost_minimum(v << np.uint64(32), w)
         assert [int(v[i:i + w].argmin()) + i for i in range(len(v) - w + 1)] == best.tolist()

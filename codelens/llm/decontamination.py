@@ -2,16 +2,17 @@
 
 Words are runs of letters and digits (ASCII letters lower-cased), shingles are
 five consecutive words.  The windows that are considered have the size of an
-item, in words.  A window and an item are compared by the 128-bit SimHash of
-their shingles; a multi-index over 16 blocks of 8 bits finds every pair within
-``radius`` bits (if two fingerprints differ in at most ``radius`` bits, some
-block differs in at most ``radius // 16``, so looking up the neighbours of each
-block misses none).  Pairs within the radius are verified with the exact weighted
-Jaccard similarity: shingles weigh as often as they occur, and
-``sum(min) / sum(max)`` must reach ``threshold``.
-
-Only windows that share at least one shingle with some item are fingerprinted.
-That loses nothing: without a common shingle the similarity is 0.
+item, in words.  A window contains an item if their exact weighted Jaccard
+similarity reaches ``threshold``: shingles weigh as often as they occur, and the
+similarity is ``sum(min) / sum(max)``.
+
+No pair of at least that similarity is missed.  Of every item so many of its
+rarest shingles are looked up that the others weigh less than ``threshold`` of it,
+so a window without any of them cannot reach the threshold.  A document and an
+item that share one are compared by all their shingles: the number that every
+window has in common with the item is counted in one sweep over the places of
+the item's shingles in the document.  The 128-bit SimHash of the shingles only
+tells the ``distance`` of what was found.
 
 The benchmark is the stated query set.  It is read in blocks of ``block_items``
 items; each block is broadcast (its size is bounded by that number) and held
@@ -20,7 +21,6 @@ against all documents in one map over them, without any shuffle of texts.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
@@ -33,7 +33,8 @@ from codelens.llm import textops as T
 
 SHINGLE = 5
 BLOCKS = 16
-#: Bits of 128.  Unrelated texts differ in 64 +- 6 bits; texts at similarity 0.75 in 22 +- 4.3.
+#: Bits of 128, for callers that want a ``radius``.  Unrelated texts differ in 64 +- 6 bits; ordinary texts at
+#: similarity 0.75 in 22 +- 4.3, texts with repeated shingles in more.  Without a ``radius`` no bits are compared.
 RADIUS = 35
 PIECE = 1 << 18
 
@@ -63,145 +64,148 @@ def _fingerprints(sums: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """A block of benchmark items, grouped by their size in words."""
+    """A block of benchmark items."""
 
     items: list = field(default_factory=list)          # item ids
-    shingles: list = field(default_factory=list)       # Counter per item
     width: list = field(default_factory=list)          # words per item
-    by_size: dict = field(default_factory=dict)        # size -> (item numbers, near (16, 256, n), fingerprints)
-    lookup: dict = field(default_factory=dict)         # shingle size -> (bitmap, sorted hashes, first, item sizes)
+    total: list = field(default_factory=list)          # shingles per item
+    prints: list = field(default_factory=list)         # fingerprint per item
+    at: np.ndarray | None = None                       # item number -> its range in keys and counts
+    keys: np.ndarray | None = None                     # distinct shingles of the items, one after the other
+    counts: np.ndarray | None = None                   # how often the item has them
+    lookup: dict = field(default_factory=dict)         # shingle size -> (bitmap, sorted rarest shingles, their item numbers)
 
     @staticmethod
-    def build(rows: list[tuple], radius: int = RADIUS) -> "Index":
-        index, texts = Index(), []
+    def build(rows: list[tuple], threshold: float) -> "Index":
+        index, keys, counts = Index(), [], []
+        numbers: dict[int, list[int]] = {}
         for item, text in rows:
             h, _ = word_hashes(*T.buffer_of(pa.array([text or ""], pa.string())))
-            if len(h):
-                index.items.append(item)
-                texts.append(h)
-        sizes: dict[int, list[int]] = {}
-        pairs: dict[int, set] = {}
-        prints = []
-        for no, h in enumerate(texts):
+            if not len(h):
+                continue
             k = min(SHINGLE, len(h))
             s = T.fold_hash(h, k)
-            index.shingles.append(Counter(s.tolist()))
+            numbers.setdefault(k, []).append(len(index.items))
+            index.items.append(item)
             index.width.append(len(h))
-            prints.append(_fingerprints(_bits(s).sum(axis=0, keepdims=True))[0])
-            sizes.setdefault(len(h), []).append(no)
-            pairs.setdefault(k, set()).update((v, len(h)) for v in s.tolist())
-        values = np.arange(256, dtype=np.uint8)
-        for size, numbers in sizes.items():
-            fps = np.stack([prints[i] for i in numbers])
-            near = np.stack([_POPCOUNT[values[:, None] ^ fps[None, :, b]] <= radius // BLOCKS for b in range(BLOCKS)])
-            index.by_size[size] = (np.array(numbers), near, fps)
-        for k, found in pairs.items():
-            table = sorted(found)
-            keys = np.array([v for v, _ in table], dtype=np.uint64)
+            index.total.append(len(s))
+            index.prints.append(_fingerprint(s))
+            u, n = np.unique(s, return_counts=True)
+            keys.append(u)
+            counts.append(n)
+        index.at = np.concatenate(([0], np.cumsum([len(u) for u in keys]))).astype(np.int64)
+        index.keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        index.counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        for k, group in numbers.items():
+            _, inverse, times = np.unique(np.concatenate([keys[i] for i in group]), return_inverse=True, return_counts=True)
+            rare, whose, first = [], [], 0
+            for i in group:
+                u, n, f = keys[i], counts[i], times[inverse[first:first + len(keys[i])]]
+                first += len(u)
+                order = np.argsort(f, kind="stable")
+                left = index.total[i] - np.cumsum(n[order])
+                some = order[:int(np.argmax(left / index.total[i] < threshold)) + 1] if threshold > 0 else order
+                rare.append(u[some])
+                whose.append(np.full(len(some), i, dtype=np.int64))
+            table, whose = np.concatenate(rare), np.concatenate(whose)
+            order = np.argsort(table, kind="stable")
             bitmap = np.zeros(1 << 22, dtype=bool)
-            bitmap[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
-            index.lookup[k] = (bitmap, keys, np.array([n for _, n in table], dtype=np.int64))
+            bitmap[(table & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
+            index.lookup[k] = (bitmap, table[order], whose[order])
         return index
 
 
-def _windows(index: Index, k: int, s: np.ndarray, at: np.ndarray) -> dict[int, np.ndarray]:
-    """size -> starts (word positions) of the windows of that size that hold a shingle of an item of that size."""
-    bitmap, keys, widths = index.lookup[k]
-    row_end = at[1:]
-    near = np.flatnonzero(bitmap[(s & np.uint64((1 << 22) - 1)).astype(np.int64)])
-    lo, hi = np.searchsorted(keys, s[near], "left"), np.searchsorted(keys, s[near], "right")
-    near, lo, hi = near[hi > lo], lo[hi > lo], hi[hi > lo]
-    row = np.searchsorted(at, near, side="right") - 1
-    inside = near + k <= row_end[row]
-    near, lo, hi, row = near[inside], lo[inside], hi[inside], row[inside]
-    if not len(near):
-        return {}
-    n = hi - lo
-    pos = np.repeat(near, n)
-    which = np.repeat(row, n)
-    size = widths[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-    out: dict[int, np.ndarray] = {}
-    for w in np.unique(size):
-        m = size == w
-        p, first, last = pos[m], at[which[m]], row_end[which[m]]
-        # starts p-w+k .. p, inside the document; a document shorter than the item is one window
-        low = np.maximum(p - (w - k), first)
-        high = np.minimum(p, np.maximum(last - w, first))
-        low = np.minimum(low, high)
-        edge = np.zeros(len(s) + k + 1, dtype=np.int64)
-        np.add.at(edge, low, 1)
-        np.add.at(edge, high + 1, -1)
-        out[int(w)] = np.flatnonzero(np.cumsum(edge) > 0)
-    return out
+def _fingerprint(s: np.ndarray) -> np.ndarray:
+    """16 bytes, from pieces of the shingles."""
+    sums = np.zeros((1, 8 * BLOCKS), dtype=np.int64)
+    for i in range(0, len(s), 1 << 14):
+        sums += _bits(s[i:i + (1 << 14)]).sum(axis=0, keepdims=True)
+    return _fingerprints(sums)[0]
+
+
+def _spread(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """lo, lo + 1, ... of n places each, one after the other."""
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
 
+def _best_window(places: list[np.ndarray], counts: list[int], shingles: int, size: int) -> tuple[int, int]:
+    """(shingles in common, start) of the first of the best windows of ``size`` shingles.
 
-def _matches(index: Index, data: np.ndarray, offsets: np.ndarray, radius: int, threshold: float) -> Iterator[tuple]:
+    ``places`` are the places of each of the item's shingles.  Place p counts for
+    a window that holds it but not the ``count``-th place before it, so for
+    the starts from ``opens`` to p; the best start is one where a place opens."""
+    opens, ends = [], []
+    for p, c in zip(places, counts):
+        a = np.maximum(p - size + 1, 0)
+        a[c:] = np.maximum(a[c:], p[:-c] + 1)
+        opens.append(a)
+        ends.append(p)
+    opens, ends = np.concatenate(opens), np.concatenate(ends)
+    inside = opens <= shingles - size
+    opens, ends = np.sort(opens[inside]), np.sort(ends[inside])
+    low = np.searchsorted(opens, opens, "right") - np.searchsorted(ends, opens, "left")
+    i = int(np.argmax(low))
+    return int(low[i]), int(opens[i])
+
+
+def _matches(index: Index, data: np.ndarray, offsets: np.ndarray, threshold: float, radius: int | None) -> Iterator[tuple]:
     """(row, item number, start word, words, distance, similarity): the best window of each row and item."""
     h, at = word_hashes(data, offsets)
-    best: dict[tuple, tuple] = {}
-    for k in index.lookup:
-        s = T.fold_hash(h, k)
-        if not len(s):
+    width, total = np.array(index.width, dtype=np.int64), np.array(index.total, dtype=np.int64)
+    for k, (bitmap, table, whose) in index.lookup.items():
+        every = T.fold_hash(h, k)
+        if not len(every):
             continue
-        for size, starts in _windows(index, k, s, at).items():
-            if k != min(SHINGLE, size):
-                continue
-            row = np.searchsorted(at, starts, side="right") - 1
-            ends = np.minimum(starts + size, at[row + 1])        # in words
-            counts = ends - starts - k + 1                       # shingles
-            starts, ends, row, counts = (a[counts > 0] for a in (starts, ends, row, counts))
-            numbers, near, fps = index.by_size[size]
-            step = max(1, min(4096, (1 << 22) // len(numbers)))
-            for i in range(0, len(starts), step):
-                a, c, r = starts[i:i + step], counts[i:i + step], row[i:i + step]
-                needed = np.zeros(len(s) + 1, dtype=np.int64)
-                np.add.at(needed, a, 1)
-                np.add.at(needed, a + c, -1)
-                used = np.flatnonzero(np.cumsum(needed[:-1]) > 0)
-                sums = np.zeros((len(used) + 1, 8 * BLOCKS), dtype=np.int32)
-                np.cumsum(_bits(s[used]), axis=0, out=sums[1:])
-                first = np.searchsorted(used, a)
-                prints = _fingerprints(sums[first + c] - sums[first])
-                candidate = near[0][prints[:, 0]]
-                for b in range(1, BLOCKS):
-                    candidate = candidate | near[b][prints[:, b]]
-                wi, ii = np.nonzero(candidate)
-                distance = _POPCOUNT[prints[wi] ^ fps[ii]].sum(axis=1)
-                ok = distance <= radius
-                order = np.argsort(distance[ok], kind="stable")
-                for x, y, d in zip(wi[ok][order], ii[ok][order], distance[ok][order]):
-                    no = int(numbers[y])
-                    key, start = (int(r[x]), no), int(a[x] - at[r[x]])
-                    if key in best and best[key][2] == 1.0 and best[key][0] <= start:
+        near = np.flatnonzero(bitmap[(every & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        found = every[near]
+        near = near[table[np.minimum(np.searchsorted(table, found), len(table) - 1)] == found]
+        row = np.searchsorted(at, near, side="right") - 1
+        inside = near + k <= at[row + 1]
+        near, row = near[inside], row[inside]
+        for r in np.unique(row):
+            rare = np.unique(every[near[np.searchsorted(row, r, "left"):np.searchsorted(row, r, "right")]])
+            lo, hi = np.searchsorted(table, rare, "left"), np.searchsorted(table, rare, "right")
+            numbers = np.unique(whose[_spread(lo, hi - lo)])
+            s = every[at[r]:at[r + 1] - k + 1]
+            order = np.argsort(s, kind="stable")
+            ranked = s[order]
+            # items in groups, so that a document that meets very many takes little memory
+            for part in np.array_split(numbers, 1 + int((index.at[numbers + 1] - index.at[numbers]).sum()) // (1 << 20)):
+                n_keys = index.at[part + 1] - index.at[part]
+                key = _spread(index.at[part], n_keys)
+                lo, hi = np.searchsorted(ranked, index.keys[key], "left"), np.searchsorted(ranked, index.keys[key], "right")
+                ends = np.cumsum(n_keys)
+                c = np.concatenate(([0], np.cumsum(np.minimum(hi - lo, index.counts[key]))))
+                size = np.minimum(width[part], at[r + 1] - at[r]) - k + 1
+                most = np.minimum(c[ends] - c[ends - n_keys], size)      # no window has more in common
+                for i in np.flatnonzero(most / (total[part] + size - most) >= threshold):
+                    no, n = int(part[i]), int(size[i])
+                    held = [x for x in range(int(ends[i] - n_keys[i]), int(ends[i])) if hi[x] > lo[x]]
+                    low, start = _best_window([order[lo[x]:hi[x]] for x in held], [int(index.counts[key[x]]) for x in held], len(s), n)
+                    sim = low / (index.total[no] + n - low)
+                    if sim < threshold:
                         continue
-                    sim = _similarity(s[a[x]:a[x] + c[x]], index.shingles[no])
-                    if sim >= threshold and (key not in best or (-sim, start) < (-best[key][2], best[key][0])):
-                        best[key] = (start, int(d), sim, int(c[x] + k - 1))
-    for (r, no), (start, d, sim, words) in best.items():
-        yield r, no, start, words, d, sim
-
-
-def _similarity(window: np.ndarray, item: Counter) -> float:
-    mine = Counter(window.tolist())
-    low = sum(min(n, item[v]) for v, n in mine.items() if v in item)
-    return low / (sum(mine.values()) + sum(item.values()) - low)
+                    distance = int(_POPCOUNT[_fingerprint(s[start:start + n]) ^ index.prints[no]].sum())
+                    if radius is None or distance <= radius:
+                        yield int(r), no, start, n + k - 1, distance, sim
 
 
-def _blocks(benchmark: DataFrame, block_items: int, radius: int) -> Iterator[Index]:
+def _blocks(benchmark: DataFrame, block_items: int, threshold: float) -> Iterator[Index]:
     rows: list[tuple] = []
     for r in benchmark.select("item_id", "text").toLocalIterator():
         rows.append((r[0], r[1]))
         if len(rows) == block_items:
-            yield Index.build(rows, radius)
+            yield Index.build(rows, threshold)
             rows = []
     if rows:
-        yield Index.build(rows, radius)
+        yield Index.build(rows, threshold)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, radius: int = RADIUS,
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, radius: int | None = None,
                block_items: int = 20_000) -> DataFrame:
     """One row per document and item it contains: doc_id, item_id, start_word,
     n_words, distance (bits), similarity, of the most similar window (the first on ties).
+    With a ``radius`` only rows within that distance are given.
 
     Items and documents with fewer than five words are one shingle; texts
     without words, null or empty, match nothing.  Repeated documents and items
@@ -218,7 +222,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, r
             for batch in batches:
                 data, offsets = T.buffer_of(batch.column("text"))
                 found = [(i + m[0], *m[1:]) for i, _j, part, at in T.pieces(data, offsets, PIECE)
-                         for m in _matches(index, part, at, radius, threshold)]
+                         for m in _matches(index, part, at, threshold, radius)]
                 rows, items, *rest = zip(*found) if found else ((),) * 6
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(rows, pa.int64())),
@@ -228,11 +232,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, r
         return run
 
     parts = [docs.select("doc_id", "text").mapInArrow(search(spark.sparkContext.broadcast(index)), schema)
-             for index in _blocks(benchmark, block_items, radius)]
+             for index in _blocks(benchmark, block_items, threshold)]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, radius: int = RADIUS,
+def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75, radius: int | None = None,
                   block_items: int = 20_000) -> DataFrame:
     """The documents in which ``find_leaks`` finds nothing, columns unchanged."""
     names = docs.columns
@@ -244,12 +248,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.75
                 data, offsets = T.buffer_of(batch.column(names.index("text")))
                 keep = np.ones(len(offsets) - 1, dtype=bool)
                 for i, _j, part, at in T.pieces(data, offsets, PIECE):
-                    keep[[i + m[0] for m in _matches(index, part, at, radius, threshold)]] = False
+                    keep[[i + m[0] for m in _matches(index, part, at, threshold, radius)]] = False
                 yield batch.filter(pa.array(keep))
         return run
 
     out = docs
-    for index in _blocks(benchmark, block_items, radius):
+    for index in _blocks(benchmark, block_items, threshold):
         out = out.mapInArrow(search(docs.sparkSession.sparkContext.broadcast(index)), docs.schema)
     return out
 

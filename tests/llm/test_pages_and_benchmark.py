@@ -139,3 +139,46 @@ def test_multi_index_misses_nothing():
     distance = D._POPCOUNT[a ^ b].sum(axis=1)
     candidate = (D._POPCOUNT[a ^ b] <= D.RADIUS // D.BLOCKS).any(axis=1)
     assert candidate[distance <= D.RADIUS].all()
+
+
+def hard_leaks():
+    """Items with masked runs, repeated shingles and windows at similarity 0.75 to 0.8, and documents that hold them."""
+    r = np.random.default_rng(5)
+    found, docs = [], []
+    for i in range(9):
+        n = int(r.integers(9, 150))
+        w = [f"c{x}" for x in r.integers(0, 5000, n)]
+        if i % 3 == 1:
+            w[n // 2:n // 2 + n // 4] = [w[0]] * (n // 4)                        # a run of one word
+        if i % 3 == 2:
+            w = (w[:7] * n)[:n]                                                  # the same seven words over and over
+        found.append((i, " ".join(w)))
+        noise = [f"n{x}" for x in r.integers(0, 900, 40)]
+        docs.append((10 * i, " ".join(noise + w[:n - n // 7] + ["mask"] * (n // 7) + noise)))
+        for j in range(1, 7):
+            x = list(w)
+            for at in r.choice(n, max(1, n * j // 120), replace=False):
+                x[at] = "other"
+            docs.append((10 * i + j, " ".join(noise[:j] + x + noise)))
+        docs.append((10 * i + 7, " ".join(w[:n - n // 7])))
+    for i, (n, masked) in enumerate(((74, 10), (144, 20))):
+        w = [f"m{i}x{x}" for x in range(n)]
+        docs.append((1000 + i, " ".join(w[:n - masked] + ["mask"] * masked)))
+        found.append((100 + i, " ".join(w[:n - masked] + ["mask"] * masked)))
+        found.append((200 + i, " ".join(w)))
+    return found, docs
+
+
+@pytest.mark.parametrize("threshold", [0.75, 0.5])
+def test_leaks_at_the_threshold_and_with_repeated_shingles(spark, threshold):
+    """Every pair that reaches the threshold is found, however many bits its fingerprints differ in."""
+    found, docs = hard_leaks()
+    want = brute.leaks(docs, found, threshold)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(found, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in D.find_leaks(df, bench, threshold).collect()}
+    assert set(got) == set(want)
+    assert all(got[k]["similarity"] == pytest.approx(want[k]) for k in want)
+    assert any(r["distance"] > D.RADIUS for r in got.values())
+    clean = {r["doc_id"] for r in D.without_leaks(df, bench, threshold).collect()}
+    assert clean == {d for d, _t in docs} - {d for d, _i in want}

@@ -1,10 +1,11 @@
 """Main-text extraction from web pages by consensus of a host's pages.
 
 Two passes.  First every page scores its containers and votes for the one that
-holds most of its text, under a generalised path (tags with their class words,
+holds its article: the smallest with most of its text, widened to the article, main
+or other container around it that has the rest (title, lead, notes).  The vote is under a generalised path (tags with their class words,
 digits masked).  Spark adds up the votes per host and ranks the paths.  Then
 every page is extracted again with the best-ranked path of its host that occurs
-on it; a page on which none occurs falls back to its own best container.  So a
+on it, widened in the same way; a page on which none occurs falls back to its own best container.  So a
 page that is cut short, or has little text, is read where its host keeps articles.
 """
 
@@ -12,7 +13,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -161,15 +163,65 @@ def _score(block: tuple[str, int, str]) -> int:
     return 0 if 2 * links > len(text) else len(text) - links
 
 
-def best_container(blocks: list, containers: list) -> tuple[tuple, int, int, int] | None:
-    """The smallest container with at least 80 % of the page's text: (path, first, end, score)."""
+def _sums(blocks: list) -> list[int]:
     sums = [0]
     for b in blocks:
         sums.append(sums[-1] + _score(b))
+    return sums
+
+
+def _widener(blocks: list, containers: list, sums: list[int]) -> Callable[[int], int]:
+    """For a container that holds most of an article, the one that holds all of it.
+
+    That is the outermost article or main around it, where there is one.  Else the
+    smallest one around it with all the text that any container below body has;
+    and body itself if it adds text that stands in no container of its own."""
+    kinds = [p[-1].split(".", 1)[0] for p, _a, _b in containers]
+    chars = [sums[b] - sums[a] for _p, a, b in containers]
+    parent, open_ = [-1] * len(containers), []
+    for i in range(len(containers) - 1, -1, -1):               # outer ones are closed later
+        while open_ and containers[open_[-1]][1] > containers[i][1]:
+            open_.pop()
+        parent[i] = open_[-1] if open_ else -1
+        open_.append(i)
+    edges = [0] * (len(blocks) + 1)
+    for kind, (_p, a, b) in zip(kinds, containers):
+        if kind != "body":
+            edges[a] += 1
+            edges[b] -= 1
+    own = any(depth == 0 and sums[i + 1] > sums[i] for i, depth in zip(range(len(blocks)), accumulate(edges)))
+
+    def widen(at: int) -> int:
+        best, body, i = at, -1, at
+        named = -1
+        while i >= 0 and containers[at][1] < containers[at][2]:
+            if kinds[i] in ("article", "main"):
+                named = i
+            elif kinds[i] == "body":
+                body = i
+            elif chars[i] > chars[best]:
+                best = i
+            i = parent[i]
+        if named >= 0:
+            return named
+        return body if body >= 0 and own and chars[body] > chars[best] else best
+
+    return widen
+
+
+def best_container(blocks: list, containers: list) -> tuple[tuple, int, int, int] | None:
+    """The container with the page's article: (path, first, end, score).  It is the
+    smallest one with at least 80 % of the page's text, or the one around it that
+    holds what else belongs to the article (``_widener``)."""
+    sums = _sums(blocks)
     if not sums[-1]:
         return None
-    good = [(p, a, b, sums[b] - sums[a]) for p, a, b in containers if 10 * (sums[b] - sums[a]) >= 8 * sums[-1]]
-    return min(good, key=lambda c: (c[2] - c[1], -len(c[0])), default=None)
+    good = [i for i, (_p, a, b) in enumerate(containers) if 10 * (sums[b] - sums[a]) >= 8 * sums[-1]]
+    if not good:
+        return None
+    best = min(good, key=lambda i: (containers[i][2] - containers[i][1], -len(containers[i][0])))
+    path, a, b = containers[_widener(blocks, containers, sums)(best)]
+    return path, a, b, sums[b] - sums[a]
 
 
 def join_path(path: tuple) -> str:
@@ -184,12 +236,13 @@ def extract(page: str | None, paths: list[str]) -> str:
     blocks, containers = parse(page)
     found: list[tuple[int, int]] = []
     if containers:
-        at: dict[str, list[tuple[int, int]]] = {}
-        for p, a, b in containers:
-            at.setdefault(join_path(p), []).append((a, b))
+        at: dict[str, list[int]] = {}
+        for i, (p, _a, _b) in enumerate(containers):
+            at.setdefault(join_path(p), []).append(i)
         path = next((p for p in paths if p in at), None)
         if path is not None:
-            found = at[path]
+            widen = _widener(blocks, containers, _sums(blocks))
+            found = list({containers[widen(i)][1:3] for i in at[path]})
     if not found:
         best = best_container(blocks, containers)
         found = [best[1:3]] if best else [(0, len(blocks))]

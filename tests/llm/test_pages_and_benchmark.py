@@ -54,6 +54,20 @@ def test_host_consensus_beats_the_single_page(spark):
     assert extract(spark, rows)[8]["text"] == "short."
 
 
+@pytest.mark.parametrize("frame", ["<body><article>{}</article></body>", "<body><main><section>{}</section></main></body>",
+                                   "<body><div id=wrap><div class=post>{}</div></div></body>", "<body>{}</body>"])
+def test_articles_in_parts(spark, frame):
+    """Title, lead and notes belong to the article though one container holds most of its text."""
+    parts = "<h1>Title</h1><div class=lead><p>{}</p></div><div class=body><p>{}</p><p>{}</p></div><div class=notes><p>{}</p></div>"
+    texts = [["lead " * 20, "body text " * 60, "more text " * 50, "note " * 9], ["a lead as long as the text", "short", "text", "n"]]
+    rows = [(i, "http://h.org/", frame.format(parts.format(*texts[0]))) for i in range(6)]
+    rows.append((6, "http://h.org/", frame.format(parts.format(*texts[1]))))
+    rows += [(i, "http://h.org/", frame.format("<div class=body><p>only the body</p></div>")) for i in range(7, 20)]
+    out = extract(spark, rows)
+    for i, want in [(0, texts[0]), (5, texts[0]), (6, texts[1]), (9, None)]:
+        assert out[i]["text"] == ("\n\n".join(["Title", *(" ".join(x.split()) for x in want)]) if want else "only the body")
+
+
 def test_hosts(spark):
     urls = {"https://A.b/c": "a.b", "http://u:p@x.org:8080/": "x.org", "//y.z?q": "y.z", "mailto:a": "", "": "", None: ""}
     df = spark.createDataFrame([(u,) for u in urls], "url string")

@@ -27,9 +27,10 @@ BLOCK_TAGS = frozenset("""address article aside blockquote body center dd detail
 figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section
 summary table tbody td tfoot th thead title tr ul""".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "select", "title")
+RAW_TAGS = ("script", "style", "noscript", "template", "iframe", "svg", "object", "textarea", "select", "title")
 # never part of an article, wherever they stand
 SKIP_TAGS = frozenset("head nav footer aside form button menu dialog fieldset label canvas audio video map".split())
+_LISTS = frozenset("ul ol dl".split())
 CONTAINER_TAGS = frozenset("body article main section div td".split())
 #: An open p is ended by the start of these, other elements by their own kind.
 _SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
@@ -43,7 +44,9 @@ sidebox social sponsor sponsored subscribe subscription toolbar widget widgets c
 login signup pagination pager""".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW_TAGS) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    # a self-closed svg has no end tag; the annotation of a formula repeats it in another notation and is not shown
+    r"<!--.*?(?:-->|\Z)|<(?:svg|annotation(?:-xml)?)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>"
+    r"|<annotation(?:-xml)?(?=[\s>])[^>]*>.*?(?=</(?:annotation|semantics|math)|\Z)|<(?P<raw>" + "|".join(RAW_TAGS) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)|(?P<text>[^<]+|<)", re.S | re.I)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -52,10 +55,10 @@ MAX_PATH = 16
 
 
 class _Node:
-    __slots__ = ("tag", "path", "skip", "first", "inside")
+    __slots__ = ("tag", "path", "skip", "first", "inside", "listed")
 
-    def __init__(self, tag: str, path: tuple, skip: bool, first: int, inside: bool):
-        self.tag, self.path, self.skip, self.first, self.inside = tag, path, skip, first, inside
+    def __init__(self, tag: str, path: tuple, skip: bool, first: int, inside: bool, listed: int):
+        self.tag, self.path, self.skip, self.first, self.inside, self.listed = tag, path, skip, first, inside, listed
 
 
 def _label(tag: str, attrs: str) -> tuple[str, bool]:
@@ -71,24 +74,26 @@ def _label(tag: str, attrs: str) -> tuple[str, bool]:
     return ".".join([tag, *sorted(set(classes))]), not words.isdisjoint(SKIP_WORDS)
 
 
-def parse(page: str | None) -> tuple[list[tuple[str, int, str]], list[tuple[tuple, int, int]]]:
+def parse(page: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[tuple, int, int]]]:
     """(blocks, containers) of a page: the text blocks outside everything that
-    is skipped, with their link characters and tag, and for every container its path and
+    is skipped, with their link characters and the number of the outermost list that
+    they stand in (0: in none, or in an article or main), and for every container its path and
     range of blocks.  One pass over the tokens; markup that the page's end cuts
     off is dropped."""
-    blocks: list[tuple[str, int, str]] = []
+    blocks: list[tuple[str, int, int]] = []
     containers: list[tuple[tuple, int, int]] = []
-    stack: list[_Node] = [_Node("", (), False, 0, False)]
+    stack: list[_Node] = [_Node("", (), False, 0, False, 0)]
     text: list[str] = []
     links = 0
     anchors = 0
+    lists = 0
 
     def flush() -> None:
         nonlocal links
         if text:
             block = " ".join("".join(text).split())
             if block:
-                blocks.append((block, links, next((n.tag for n in reversed(stack) if n.tag in BLOCK_TAGS), "")))
+                blocks.append((block, links, 0 if stack[-1].inside else stack[-1].listed))
             text.clear()
         links = 0
 
@@ -141,6 +146,8 @@ def parse(page: str | None) -> tuple[list[tuple[str, int, str]], list[tuple[tupl
                     break
         if tag in VOID_TAGS:
             continue
+        if m.group("attrs").endswith("/") and (tag == "math" or any(n.tag == "math" for n in stack)):
+            continue
         top = stack[-1]
         label, named = _label(tag, m.group("attrs"))
         inside = top.inside or tag in ("article", "main")
@@ -150,19 +157,26 @@ def parse(page: str | None) -> tuple[list[tuple[str, int, str]], list[tuple[tupl
             flush()
         if tag == "a":
             anchors += 1
-        stack.append(_Node(tag, (*top.path, label)[-MAX_PATH:], skip, len(blocks), inside))
+        if tag in _LISTS and not top.listed:
+            lists += 1
+        stack.append(_Node(tag, (*top.path, label)[-MAX_PATH:], skip, len(blocks), inside,
+                           top.listed or (lists if tag in _LISTS else 0)))
     while len(stack) > 1:
         close()
     flush()
     return blocks, containers
 
 
-def _score(block: tuple[str, int, str]) -> int:
+def _score(block: tuple[str, int, int]) -> int:
     """Characters that are not in links; a block that is mostly links counts nothing."""
-    text, links, _tag = block
+    text, links, _list = block
     return 0 if 2 * links > len(text) else len(text) - links
 
 
+def _kind(path: tuple) -> str:
+    return path[-1].split(".", 1)[0]
+
+
 def _sums(blocks: list) -> list[int]:
     sums = [0]
     for b in blocks:
@@ -176,7 +190,7 @@ def _widener(blocks: list, containers: list, sums: list[int]) -> Callable[[int],
     That is the outermost article or main around it, where there is one.  Else the
     smallest one around it with all the text that any container below body has;
     and body itself if it adds text that stands in no container of its own."""
-    kinds = [p[-1].split(".", 1)[0] for p, _a, _b in containers]
+    kinds = [_kind(p) for p, _a, _b in containers]
     chars = [sums[b] - sums[a] for _p, a, b in containers]
     parent, open_ = [-1] * len(containers), []
     for i in range(len(containers) - 1, -1, -1):               # outer ones are closed later
@@ -224,17 +238,29 @@ def best_container(blocks: list, containers: list) -> tuple[tuple, int, int, int
     return path, a, b, sums[b] - sums[a]
 
 
+def _menus(blocks: list) -> set[int]:
+    """Numbers of the lists outside articles of which every block is mostly links."""
+    found = {n for _text, _links, n in blocks if n}
+    return found - {n for text, links, n in blocks if 2 * links <= len(text)}
+
+
 def join_path(path: tuple) -> str:
     return ">".join(path)
 
 
+def _range(container: tuple) -> tuple[int, int, bool]:
+    """(first, end, whether it is an article's container, not the body)."""
+    return container[1], container[2], _kind(container[0]) != "body"
+
+
 def extract(page: str | None, paths: list[str]) -> str:
     """Text of the containers under the first of ``paths`` that occurs on the page
     (several on one page follow each other, nested ones count once), else of the
-    page's own best container.  List items that are mostly links are a menu and
-    left out."""
+    page's own best container.  All text of an article container is kept, lists of
+    links too.  Where a page has none but body, or no container at all, lists outside articles
+    that are links throughout are menus and left out."""
     blocks, containers = parse(page)
-    found: list[tuple[int, int]] = []
+    found: list[tuple[int, int, bool]] = []
     if containers:
         at: dict[str, list[int]] = {}
         for i, (p, _a, _b) in enumerate(containers):
@@ -242,14 +268,15 @@ def extract(page: str | None, paths: list[str]) -> str:
         path = next((p for p in paths if p in at), None)
         if path is not None:
             widen = _widener(blocks, containers, _sums(blocks))
-            found = list({containers[widen(i)][1:3] for i in at[path]})
+            found = [_range(containers[widen(i)]) for i in at[path]]
     if not found:
         best = best_container(blocks, containers)
-        found = [best[1:3]] if best else [(0, len(blocks))]
+        found = [_range(best)] if best else [(0, len(blocks), False)]
     out: list[str] = []
     done = 0
-    for a, b in sorted(found):
-        out += [t for t, links, tag in blocks[max(a, done):b] if tag != "li" or 2 * links <= len(t)]
+    menus = _menus(blocks)
+    for a, b, article in sorted(set(found)):
+        out += [t for t, _links, n in blocks[max(a, done):b] if article or n not in menus]
         done = max(done, b)
     return "\n\n".join(out)
 

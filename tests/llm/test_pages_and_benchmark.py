@@ -68,6 +68,28 @@ def test_articles_in_parts(spark, frame):
         assert out[i]["text"] == ("\n\n".join(["Title", *(" ".join(x.split()) for x in want)]) if want else "only the body")
 
 
+def test_links_formulas_and_drawings_in_articles(spark):
+    story = "<p>" + "story text " * 30 + "</p>"
+    told = ("story text " * 30).strip()
+    menu = "<ul><li><a href=/>Home</a></li><li><a href=/a>About</a></li></ul>"
+    mixed = "<ul><li><a href=/>Book</a></li><li>a note without link</li></ul>"
+    pages = {
+        "<article>" + story + "<h2>Sources</h2>" + menu + "<p>end</p></article>": [told, "Sources", "Home", "About", "end"],
+        "<div class=post>" + story + menu + "</div>": [told, "Home", "About"],
+        menu + story: [told],
+        mixed + story: ["Book", "a note without link", told],
+        "<article>" + menu + "</article>" + story: ["Home", "About", told],
+        "<article><p>one<svg viewBox='0 0 > 1' /> two</p><p>three</p><svg><text>no</text></svg>four</article>": ["one two", "three", "four"],
+        "<article><svg/><p>one</p></article>": ["one"],
+        "<article><p>so <math><mi>a</mi><mspace width='1'/><mo>=</mo><mn>2</mn></math> holds</p><math/><p>b</p></article>": ["so a=2 holds", "b"],
+        "<article><p>so <math><semantics><mi>a</mi><annotation encoding=x>\\alpha</annotation></semantics></math> holds</p></article>":
+            ["so a holds"],
+    }
+    rows = [(i, f"http://h{i}.org/", f"<body>{page}</body>") for i, page in enumerate(pages)]
+    out = extract(spark, rows)
+    assert [out[i]["text"].split("\n\n") for i in range(len(rows))] == list(pages.values())
+
+
 def test_hosts(spark):
     urls = {"https://A.b/c": "a.b", "http://u:p@x.org:8080/": "x.org", "//y.z?q": "y.z", "mailto:a": "", "": "", None: ""}
     df = spark.createDataFrame([(u,) for u in urls], "url string")

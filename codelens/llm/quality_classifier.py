@@ -10,7 +10,7 @@ its count over the number of features.  Only the text is read: labels, lang,
 source and doc_id never enter a score.
 
 Training fits a bounded, documented sample: the ``train_rows`` labelled documents
-with the smallest hash of their id.  The model is 2^20 weights whatever the
+with the smallest hash of their id, repeated rows counted once.  The model is 2^20 weights whatever the
 input, which is what gets broadcast.
 """
 
@@ -110,7 +110,7 @@ class Ftrl:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rank, label, text) -> (rank, label, slots, values): distinct features of each document."""
+    """(rank, label, hash, text) -> (rank, label, hash, slots, values): distinct features of each document."""
     for batch in batches:
         data, offsets = T.buffer_of(batch.column("text"))
         found, shares = [], []
@@ -120,8 +120,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 u, c = np.unique(slots[a:b], return_counts=True)
                 found.append(u.astype(np.int32).tobytes())
                 shares.append((SCALE * c / max(b - a, 1)).astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("rank"), batch.column("label"), pa.array(found, pa.binary()),
-                                          pa.array(shares, pa.binary())], ["rank", "label", "slots", "values"])
+        yield pa.RecordBatch.from_arrays([batch.column("rank"), batch.column("label"), batch.column("hash"), pa.array(found, pa.binary()),
+                                          pa.array(shares, pa.binary())], ["rank", "label", "hash", "slots", "values"])
 
 
 def _fit(batches: Iterator[pa.RecordBatch], epochs: int, **ftrl: float) -> Iterator[pa.RecordBatch]:
@@ -143,6 +143,19 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
+def _sample(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
+    """(rank, label, slots, values) of at most ``train_rows`` rows: a document counts
+    once per label and text, however often it is repeated, and the smallest hashes of id, then label and text, come first."""
+    wanted = (labels.select(F.col("doc_id").alias("k"), F.col("label").cast("int").alias("label"))
+              .where(F.col("k").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("k"))).distinct()
+              .withColumn("rank", F.xxhash64("k")).orderBy("rank", "k", "label").limit(train_rows))
+    sample = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("k"))  # train_rows labels at most
+    once = sample.withColumn("hash", F.sha2("text", 256)).dropDuplicates(["k", "label", "hash"])
+    rows = (once.select("rank", "label", "hash", "text")
+            .mapInArrow(_rows, "rank long, label int, hash string, slots binary, values binary"))
+    return rows.orderBy("rank", "label", "hash").limit(train_rows).select("rank", "label", "slots", "values")
+
+
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = 10_000, epochs: int = 3, **ftrl: float) -> tuple[np.ndarray, float]:
     """Fit on at most ``train_rows`` labelled documents outside the held-out fifth.
 
@@ -152,11 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 10_000, epochs:
     sample and returns the weights.  Without any label the model is all zero.
     """
     spark = docs.sparkSession
-    wanted = (labels.select(F.col("doc_id").alias("k"), F.col("label").cast("int").alias("label"))
-              .where(F.col("k").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("k"))).distinct()
-              .withColumn("rank", F.xxhash64("k")).orderBy("rank", "k", "label").limit(train_rows))
-    sample = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("k"))  # train_rows rows at most
-    rows = sample.select("rank", "label", "text").mapInArrow(_rows, "rank long, label int, slots binary, values binary")
+    rows = _sample(docs, labels, train_rows)
     fitted = (rows.repartition(1).mapInArrow(lambda b: _fit(b, epochs, **ftrl), "bias double, slots binary, weights binary")).collect()
     weights = np.zeros(SLOTS)
     if not fitted:

@@ -108,3 +108,15 @@ def test_no_rules_without_labels(no_docs, odd_docs, odd_rows):
     kept = R.keep_good(odd_docs, [])
     assert kept.columns == odd_docs.columns
     assert kept.count() == sum(1 for _d, t in odd_rows if (n := brute.base_counts(t))[0] >= 10 and 100 * n[4] <= 20 * n[0])
+
+
+def test_the_sample_is_bounded_in_rows(spark):
+    """Rows that repeat a sampled id count once per text, and no more than train_rows are fitted."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5][:30]
+    rows = [(i, f"text of {i}") for i in ids] + [(ids[0], f"text of {ids[0]}")] * 200 + [(ids[1], f"other text {j}") for j in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, label int")
+    assert C._sample(docs, labels, 1000).count() == len(ids) + 100
+    first = [tuple(r) for r in C._sample(docs, labels, 20).collect()]
+    assert len(first) == 20
+    assert sorted(first) == sorted(tuple(r) for r in C._sample(docs.repartition(3), labels, 20).collect())

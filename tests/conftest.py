@@ -12,14 +12,3 @@ def spark():
     s = build_session("local[4]", 4, app="codelens-tests")
     yield s
     s.stop()
-
-
-def files_df(spark, rows, scan="s1"):
-    """rows: list of (path, content) or (path, content, size)."""
-    data = []
-    for r in rows:
-        path, content = r[0], r[1]
-        size = r[2] if len(r) > 2 else len(content or "")
-        data.append((scan, path, size, content))
-    from codelens.operators.detect import with_path_cols
-    return with_path_cols(spark.createDataFrame(data, "scan_id string, path string, size long, content string"))

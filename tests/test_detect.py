@@ -1,6 +1,6 @@
 """Detector rules on hand-made code rows (one positive and one negative per rule)."""
 
-from conftest import files_df
+from scan_files import files_df
 
 from codelens.operators import detect as D
 

@@ -117,7 +117,7 @@ def test_features_match_python_rules(spark):
 
 
 def features_of(spark, path, content):
-    from conftest import files_df
+    from scan_files import files_df
     return {r.feature for r in D.detect_features(files_df(spark, [(path, content)])).collect()}
 
 
@@ -144,7 +144,7 @@ def test_css_after_nested_rules(spark):
 
 
 def test_package_in_both_maps(spark):
-    from conftest import files_df
+    from scan_files import files_df
     both = '{"dependencies": {"react": "1", "next": "1"}, "devDependencies": {"react": "1", "next": "1"}}'
     got = {r.name for r in D.detect_frameworks(files_df(spark, [("package.json", both)])).collect()}
     assert {"React", "Next.js"} <= got

@@ -12,7 +12,7 @@ from codelens.operators import text as X
 from codelens.operators import topk as T
 from codelens.operators import window as W
 from codelens.sources import manifests as M
-from conftest import files_df
+from scan_files import files_df
 
 
 def test_allow_list_and_bypass(spark):

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelens.llm import (decontamination, html_extraction, line_dedup, mixing, ngram_join, quality_classifier,
+from codelens.llm import (decontamination, html_extraction, line_dedup, merkle_manifest, mixing, ngram_join, quality_classifier,
                           quality_rules, sharding, substring_dedup, suffix_dedup)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +215,50 @@ FROM words w LEFT JOIN sizes s ON s.doc_id = w.doc_id JOIN reach r ON r.doc_id =
 @query("op10_ngram_join", NEAR_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
+# crc: the text's bits, lowest first, through the reflected polynomial (ids are ASCII)
+MANIFEST_SQL = r"""
+WITH RECURSIVE told AS (
+    SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+                  lambda c: list_transform(range(8), lambda b: (ascii(c)::BIGINT >> b) & 1)))),
+                  lambda r, b: xor(r >> 1, CASE WHEN xor(r, b) & 1 = 1 THEN 3988292384 ELSE 0 END))) % 7 = 0 AS wrong FROM documents),
+leaves AS MATERIALIZED (
+    SELECT doc_id, lang, wrong, n_chars, sha256(before || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || body) AS leaf,
+           sha256(before || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || body) AS other
+    FROM (SELECT *, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                    || coalesce(strlen(lang) || ':' || lang, '-') AS before, coalesce(strlen(text) || ':' || text, '-') AS body FROM told)),
+placed AS MATERIALIZED (
+    SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, count(*) OVER (PARTITION BY lang) AS n,
+           row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM leaves),
+tree AS (
+    SELECT g, 0 AS level, p, n, leaf AS h FROM placed
+    UNION ALL
+    SELECT g, level + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM tree WHERE n > 1 GROUP BY g, level, p // 2, n),
+stored AS MATERIALIZED (SELECT * FROM tree),
+top AS (
+    SELECT 0 AS level, g AS p, (SELECT count(DISTINCT g) FROM placed) AS n, h FROM stored WHERE n = 1
+    UNION ALL
+    SELECT level + 1, p // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY p)) FROM top WHERE n > 1 GROUP BY level, p // 2, n),
+upper AS MATERIALIZED (SELECT * FROM top),
+climb AS (
+    SELECT doc_id, g, p AS leaf_no, 0 AS level, p, n, '' AS proof, CASE WHEN wrong THEN other ELSE leaf END AS h FROM placed
+    UNION ALL
+    SELECT c.doc_id, c.g, c.leaf_no, c.level + 1, c.p // 2, (c.n + 1) // 2, c.proof || coalesce(s.h, ''),
+           sha256(CASE WHEN c.p % 2 = 0 THEN c.h || coalesce(s.h, '') ELSE s.h || c.h END)
+    FROM climb c LEFT JOIN stored s ON s.g = c.g AND s.level = c.level AND s.p = xor(c.p, 1) WHERE c.n > 1),
+on_top AS (
+    SELECT doc_id, g, leaf_no, 0 AS level, g AS p, (SELECT count(DISTINCT g) FROM placed) AS n, proof, h FROM climb WHERE n = 1
+    UNION ALL
+    SELECT c.doc_id, c.g, c.leaf_no, c.level + 1, c.p // 2, (c.n + 1) // 2, c.proof || coalesce(s.h, ''),
+           sha256(CASE WHEN c.p % 2 = 0 THEN c.h || coalesce(s.h, '') ELSE s.h || c.h END)
+    FROM on_top c LEFT JOIN upper s ON s.level = c.level AND s.p = xor(c.p, 1) WHERE c.n > 1)
+SELECT l.doc_id, l.leaf, r.h AS subroot, t.h AS root, sha256(o.proof) AS proof_sha256, o.h AS folded_root, o.h = t.h AS verified
+FROM placed l JOIN on_top o ON o.g = l.g AND o.leaf_no = l.p AND o.n = 1 JOIN stored r ON r.g = l.g AND r.n = 1 JOIN upper t ON t.n = 1
+"""
+
+
+@query("op13_merkle_manifest", MANIFEST_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle_manifest.audit(docs, told=merkle_manifest.tampered_leaf(divisor=7))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelens.llm import (decontamination, html_extraction, line_dedup, merkle_manifest, mixing, ngram_join, quality_classifier,
-                          quality_rules, sharding, substring_dedup, suffix_dedup)
+                          quality_rules, sharding, substring_dedup, suffix_dedup, token_alignment)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -217,6 +217,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+#: Folder of the public vocabulary files.
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    return token_alignment.link_statistics(table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
+
+
 # crc: the text's bits, lowest first, through the reflected polynomial (ids are ASCII)
 MANIFEST_SQL = r"""
 WITH RECURSIVE told AS (

@@ -11,8 +11,8 @@ Texts are never held as tokens as a whole: a text is cut in front of single
 spaces between two other characters, where a token of either vocabulary must
 end (no piece has a space behind another character, and the pattern of the byte
 vocabulary starts a new piece at every space), so a cut changes no token.  Equal
-segments are encoded once per worker.  A very long text is worked off window by
-window.
+segments of a window of texts are encoded once; a very long text is worked off
+window by window.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import json
 import os
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,10 @@ from codelens.llm import textops as T
 from codelens.llm.store import materialize
 from codelens.session import ensure_checkpoint_dir
 
-#: Segments that a worker keeps the tokens of, besides those of a window, and the bytes up to which one is kept.
-CACHE_SEGMENTS = 200_000
-CACHE_BYTES = 64
+#: Bytes of text that are aligned at a time.
+WINDOW = 2 << 20
+#: Segments that the piece vocabulary encodes as one text (its time per byte grows with the text).
+JOINED = 32
 #: Linked id pairs that are broadcast at a time (16 bytes each).
 SLICE_PAIRS = 1 << 21
 #: Linked id pairs that a task adds up before it passes them on.
@@ -47,6 +50,15 @@ _ASCII_WORD[0x21:0x7F] = True
 #: First bytes of characters that may be white space outside ASCII, and of the piece vocabulary's own space sign.
 _LEADS = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
 
+#: Bytes that do not keep a segment from being encoded joined with others: printing ASCII, tab and line ends, and those of
+#: U+00A1 .. U+024F, whose categories no Unicode version changes.
+_STABLE = np.zeros(256, dtype=bool)
+_STABLE[[0x09, 0x0A, 0x0D, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC2, 0xCA)]] = True
+_NO_SPACE = _STABLE.copy()
+_NO_SPACE[[0x09, 0x0A, 0x0D, 0x20]] = False
+# Fixed value: the published pattern of byte-level vocabularies with a regex pre-tokenizer.
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 
 def gallop(short: np.ndarray, long: np.ndarray, start: np.ndarray) -> np.ndarray:
     """For every value of ``short`` the index of the first value of ``long`` that is
@@ -121,8 +133,34 @@ def _byte_of_sign() -> dict[str, int]:
     return signs | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
+@dataclass
+class _Tokens:
+    """Ids of distinct segments: ``counts`` of them from ``first`` on."""
+    ids: np.ndarray
+    first: np.ndarray
+    counts: np.ndarray
+
+    def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, count per code) of the segments that the codes name, one after the other."""
+        counts = self.counts[codes]
+        start = np.cumsum(counts) - counts
+        return self.ids[np.arange(int(counts.sum())) + np.repeat(self.first[codes] - start, counts)], counts
+
+
+def _joinable(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Segments with no space behind the first or at the end, all of whose characters are stable:
+    one after the other they are encoded as each by itself."""
+    good = _STABLE[data]
+    good[:-1] &= ~((data[:-1] == 0xC2) & (data[1:] < 0xA1))
+    bad = np.concatenate(([0], np.cumsum(~good)))
+    size = np.diff(offsets)
+    last = np.maximum(offsets[1:] - 1, 0)
+    second = np.minimum(offsets[:-1] + 1, max(len(data) - 1, 0))
+    return (size > 1) & (bad[offsets[1:]] == bad[offsets[:-1]]) & _NO_SPACE[data[second]] & _NO_SPACE[data[last]] if len(data) else size > 1
+
+
 class Encoders:
-    """The two tokenizers, from their files' contents, and the segments encoded so far."""
+    """The two tokenizers, from their files' contents."""
 
     def __init__(self, byte_json: bytes, piece_model: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the machine's cores already
@@ -146,28 +184,67 @@ class Encoders:
         self.cuttable = (split.get("normalizer") is None and kind.get("type") == "ByteLevel" and bool(kind.get("use_regex"))
                          and not kind.get("add_prefix_space") and not any("▁" in p.lstrip("▁") for p in pieces)
                          and "".join(self.b.encode(" a  ﬁ b", out_type=str)) == "▁▁a▁▁ﬁ▁b")
+        self.fast = self._ranks(split) if self.cuttable else None
         # ids in decimal with what follows them: within a side, and at the end of a side
         self.words = pa.array([f"{i}{x}" for n, last in ((len(self.bytes_a), "|"), (len(self.bytes_b), ";")) for i in range(n) for x in (",", last)])
         self.word_size = pc.binary_length(self.words).to_numpy().astype(np.int64)
-        self.seen: dict[bytes, tuple[bytes, bytes]] = {}
-
-    def encode(self, segments: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(ids of A, ids of B) as int32 bytes; both empty where the tokens' bytes are
-        not those of the segment, which starts with a space."""
-        new = [s for s in segments if s not in self.seen]
-        if len(self.seen) + len(new) > CACHE_SEGMENTS:
-            self.seen.clear()
-            new = segments
-        once = {}
-        if new:
-            texts = [s.decode() for s in new]
-            left = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
-            right = self.b.encode([t[1:] for t in texts])
-            for s, x, y in zip(new, left, right):
-                same = b"".join([self.bytes_a[i] for i in x]) == s == b"".join([self.bytes_b[i] for i in y])
-                kept = self.seen if len(s) <= CACHE_BYTES else once
-                kept[s] = (np.array(x, np.int32).tobytes(), np.array(y, np.int32).tobytes()) if same else (b"", b"")
-        return [self.seen[s] if s in self.seen else once[s] for s in segments]
+
+    def _ranks(self, split: dict):
+        """An encoder by ranks for the same vocabulary, or None where it might differ.
+
+        Merging by the rank of the merged token and merging by listed pairs agree if
+        every token comes from one pair, ranks follow the list, and each token's own
+        bytes are encoded as that token: then a pair that makes a token is its listed pair.
+        """
+        import tiktoken
+
+        model = split["model"]
+        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        ids = [model["vocab"].get("".join(p)) for p in pairs]
+        words = sorted(model["vocab"].items(), key=lambda x: x[1])
+        single, merged = [t for t, _i in words if len(t) == 1], set(ids)
+        if (model.get("type", "BPE") != "BPE" or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or None in ids
+                or ids != sorted(set(ids)) or len(single) != 256
+                or any([k.id for k in self.a.model.tokenize(t)] != [i] for t, i in words if i in merged or len(t) == 1)):
+            return None
+        ranks = {self.bytes_a[i]: i for t, i in words if i in merged or len(t) == 1}
+        return tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, segments: pa.LargeBinaryArray) -> tuple[_Tokens, _Tokens]:
+        """The tokens of distinct segments that start with a space, on either side; none
+        on either where the tokens' bytes are not those of the segment."""
+        data, offsets = T.buffer_of(segments)
+        plain = _joinable(data, offsets) if self.cuttable else np.zeros(len(segments), bool)
+        kept = data[np.repeat(plain, np.diff(offsets))].tobytes()
+        ends = np.cumsum(np.diff(offsets)[plain])
+        a = b = None
+        if kept:  # cut again where the segments end: there a token ends on both sides
+            text = kept.decode()
+            a = np.array(self.fast.encode_ordinary(text) if self.fast is not None else self.a.encode(text, add_special_tokens=False).ids, np.int64)
+            some = [0, *ends[JOINED - 1:-1:JOINED].tolist(), len(kept)]
+            b = np.fromiter(chain.from_iterable(self.b.encode([kept[i + 1:j].decode() for i, j in zip(some, some[1:])])), np.int64)
+            if not b"".join([self.bytes_a[i] for i in a.tolist()]) == kept == b"".join([self.bytes_b[i] for i in b.tolist()]):
+                plain, a, b = np.zeros(len(segments), bool), None, None
+        single = segments.filter(pa.array(~plain)).to_pylist()
+        texts = [s.decode() for s in single]
+        left = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        right = self.b.encode([t[1:] for t in texts]) if texts else []
+        for i, (s, x, y) in enumerate(zip(single, left, right)):
+            if not b"".join([self.bytes_a[k] for k in x]) == s == b"".join([self.bytes_b[k] for k in y]):
+                left[i], right[i] = [], []
+        out = []
+        for size, ids, others in ((self.size_a, a, left), (self.size_b, b, right)):
+            counts = np.zeros(len(segments), np.int64)
+            if ids is None:
+                ids = np.zeros(0, np.int64)
+            else:
+                counts[plain] = np.diff(np.searchsorted(np.cumsum(size[ids]), ends) + 1, prepend=0)
+            counts[~plain] = list(map(len, others))
+            first = np.zeros(len(segments), np.int64)
+            first[plain] = np.cumsum(counts[plain]) - counts[plain]
+            first[~plain] = len(ids) + np.cumsum(counts[~plain]) - counts[~plain]
+            out.append(_Tokens(np.concatenate((ids, np.fromiter(chain.from_iterable(others), np.int64))), first, counts))
+        return out[0], out[1]
 
 
 _encoders: dict[str, Encoders] = {}
@@ -179,16 +256,9 @@ def cuts_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     before, after = data[b - 1], data[b + 1]
     plain = _ASCII_WORD[before] | ((before >= 0x80) & ~_LEADS[data[np.maximum(b - 2, 0)]] & ~_LEADS[data[np.maximum(b - 3, 0)]])
     good = b[plain & (_ASCII_WORD[after] | ((after >= 0x80) & ~_LEADS[after]))]
-    return np.union1d(good, offsets[:-1][np.diff(offsets) > 0])
-
-
-def _gathered(parts: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(values, count per code) of the int32 ``parts`` that the codes name, one after the other."""
-    sizes = np.array(list(map(len, parts)), np.int64) // 4
-    flat, first = np.frombuffer(b"".join(parts), np.int32), np.cumsum(sizes) - sizes
-    counts = sizes[codes]
-    start = np.cumsum(counts) - counts
-    return flat[np.arange(int(counts.sum())) + np.repeat(first[codes] - start, counts)].astype(np.int64), counts
+    cut = np.zeros(len(data), dtype=bool)
+    cut[good] = cut[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(cut)
 
 
 class _Row:
@@ -226,14 +296,13 @@ class _Row:
                 self.keys[0].astype(np.int64).tobytes(), self.counts[0].astype(np.int64).tobytes())
 
 
-def align_texts(column: pa.Array, coders: Encoders, keep_groups: bool = False, window: int = T.PIECE_BYTES) -> list[tuple]:
+def align_texts(column: pa.Array, coders: Encoders, keep_groups: bool = False, window: int = WINDOW) -> list[tuple]:
     """(n_a, n_b, n_groups, digest of the groups, groups, keys and counts of the linked
     id pairs) of every text; zeros and empty values for a null or empty one and for one whose tokens differ from it."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    spaced = pc.binary_join_element_wise(pa.scalar(" ", column.type), pc.if_else(pc.equal(column, ""), None, column), pa.scalar("", column.type))
-    data, offsets = T.buffer_of(spaced)
-    n = len(offsets) - 1
+    spaced = [(" " + t).encode() if t else b"" for t in column.to_pylist()]
+    data = np.frombuffer(b"".join(spaced), np.uint8)
+    n, offsets = len(spaced), np.concatenate(([0], np.cumsum(list(map(len, spaced))))).astype(np.int64)
+    del spaced
     rows = [_Row(keep_groups) for _ in range(n)]
     starts = cuts_of(data, offsets) if coders.cuttable else offsets[:-1][np.diff(offsets) > 0]
     bounds = np.append(starts, len(data))
@@ -249,16 +318,15 @@ def _window(data: np.ndarray, bounds: np.ndarray, owner: np.ndarray, rows: list[
     """Add the segments of a window to their rows."""
     segments = pa.Array.from_buffers(pa.large_binary(), len(owner), [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
     coded = segments.dictionary_encode()
-    codes, found = coded.indices.to_numpy().astype(np.int64), coders.encode(coded.dictionary.to_pylist())
-    bad = np.array([not x for x, _y in found], dtype=bool)[codes]
+    codes, (left, right) = coded.indices.to_numpy().astype(np.int64), coders.encode(coded.dictionary)
+    bad = (left.counts == 0)[codes]
     for r in np.unique(owner[bad]):
         rows[r].ok = False
     fine = np.array([rows[r].ok for r in range(owner[0], owner[-1] + 1)], dtype=bool)[owner - owner[0]]
     codes, owner = codes[fine], owner[fine]
     if not len(codes):
         return
-    ids_a, count_a = _gathered([x for x, _y in found], codes)
-    ids_b, count_b = _gathered([y for _x, y in found], codes)
+    (ids_a, count_a), (ids_b, count_b) = left.of(codes), right.of(codes)
     texts, owner = np.unique(owner, return_inverse=True)
     m = len(texts)
     row_a, row_b = np.repeat(owner, count_a), np.repeat(owner, count_b)

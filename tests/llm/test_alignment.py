@@ -1,7 +1,6 @@
 """Cross-tokenizer alignment against whole-text tokenizing and a plain two-pointer merge."""
 
 import hashlib
-import random
 from collections import Counter
 
 import numpy as np
@@ -92,11 +91,12 @@ def test_tables_texts(spark, coders):
     check([r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()], coders)
 
 
-def test_cache_is_bounded(coders, monkeypatch):
-    monkeypatch.setattr(A, "CACHE_SEGMENTS", 50)
-    r = random.Random(1)
-    check([" ".join(f"w{r.randrange(200)}" for _ in range(60)) + " " + "y" * 100 for _ in range(20)], coders, window=300)
-    assert len(coders.seen) <= 50 + 150 and max(map(len, coders.seen), default=0) <= A.CACHE_BYTES
+def test_without_ranks(coders, monkeypatch):
+    assert coders.fast is not None
+    monkeypatch.setattr(coders, "fast", None)
+    check(ODD, coders)
+    monkeypatch.setattr(coders, "cuttable", False)
+    check(ODD, coders)
 
 
 @settings(max_examples=200, deadline=None)

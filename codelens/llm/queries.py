@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelens.llm import (decontamination, html_extraction, line_dedup, merkle_manifest, mixing, ngram_join, quality_classifier,
-                          quality_rules, sharding, substring_dedup, suffix_dedup, token_alignment)
+from codelens.llm import (decontamination, html_extraction, language_id, line_dedup, merkle_manifest, mixing, ngram_join,
+                          quality_classifier, quality_rules, sharding, substring_dedup, suffix_dedup, token_alignment)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -226,6 +226,13 @@ def op11(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> Data
     return token_alignment.link_statistics(table(spark, sf_dir, "documents"), f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
 
 
+@query("op12_language_id")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.train(docs), with_spans=False)
+    return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 # crc: the text's bits, lowest first, through the reflected polynomial (ids are ASCII)
 MANIFEST_SQL = r"""
 WITH RECURSIVE told AS (

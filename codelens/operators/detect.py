@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelens import rules
+from codelens.functions.lexer import code_column, strip_css
 from codelens.functions.scalar import basename, ext as ext_of
 
 ID = "A-Za-z0-9_$"
@@ -51,20 +52,10 @@ def with_path_cols(files: DataFrame) -> DataFrame:
 
 # -- DET-01: JS / TS features --------------------------------------------------
 
-# comments and string / template literals (one left-to-right alternation, so a
-# '//' inside a string is consumed as part of the string).  Literals are unrolled
-# with possessive loops: Java's engine then iterates, so a literal of any length
-# (a minified bundle, a data URI) neither recurses per character nor backtracks.
-JS_STRIP = (r"""//[^\n]*|/\*[\s\S]*?\*/|"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"|'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"""
-            r"""|`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`""")
 CORE_JS_IMPORT = r"""(?:^|[\n;])\s*import\s+(?:[^'";]*?\s+from\s+)?['"](core-js/[^'"]+)['"]"""
 AWAIT_SPLIT = rf"(?<![{ID}.])await(?![{ID}])"
 
 
-def strip_js(c: Column) -> Column:
-    return F.regexp_replace(c, JS_STRIP, " ")
-
-
 def _brace_delta(seg: Column) -> Column:
     return (F.length(seg) - F.length(F.regexp_replace(seg, r"\{", ""))) - \
            (F.length(seg) - F.length(F.regexp_replace(seg, r"\}", "")))
@@ -157,13 +148,12 @@ def class_fields(code: Column) -> Column:
     return _scopes(code, lambda seg: seg.rlike(CLASS_HEAD), found)
 
 
-def js_features(code_raw: Column, stripped: Column | None = None) -> Column:
+def js_features(code_raw: Column, stripped: Column) -> Column:
     """ARRAY<STRING> of feature keys for one JS/TS source text.
 
-    ``stripped`` is the text without comments and literals; pass it as a
-    projected column so the (costly) strip runs once per row — a generator's
-    input expression gets no common-subexpression elimination."""
-    c = stripped if stripped is not None else strip_js(F.coalesce(code_raw, F.lit("")))
+    ``stripped`` is the text without comments and literals, as a projected column
+    (``lexer.code_column``): it is made once per row, and all rules read it."""
+    c = stripped
     base = F.array_compact(F.array(*[F.when(guarded(c, lit, p), F.lit(k)) for k, lit, p in JS_RULES]))
     tla = F.when(c.contains("await") & top_level_await(c),
                  F.array(F.lit("top-level-await"))).otherwise(F.array().cast("array<string>"))
@@ -178,7 +168,7 @@ def js_features(code_raw: Column, stripped: Column | None = None) -> Column:
 def detect_js(files: DataFrame) -> DataFrame:
     """DET-01: ``(scan_id, file, feature)`` for ``.js .jsx .ts .tsx`` files."""
     f = with_path_cols(files).filter(F.col("ext").isin(*rules.JS_EXTS))
-    g = f.select("scan_id", "path", "content", strip_js(F.coalesce(F.col("content"), F.lit(""))).alias("_code"))
+    g = code_column(f.select("scan_id", "path", "content"))
     g = g.select("scan_id", F.col("path").alias("file"), js_features(F.col("content"), F.col("_code")).alias("_f"))
     return g.select("scan_id", "file", explode_rules(F.col("_f"), "feature")).filter(F.col("feature").isNotNull())
 
@@ -198,8 +188,9 @@ def css_nesting(css: Column) -> Column:
     return _scopes(css, rule, lambda seg, last: (last == "{") & rule(seg) & selector(seg).contains("&"))
 
 
-def css_features(css_raw: Column) -> Column:
-    css = F.regexp_replace(F.coalesce(css_raw, F.lit("")), r"/\*[\s\S]*?\*/", " ")
+def css_features(css_raw: Column, scss: Column | None = None) -> Column:
+    """ARRAY<STRING> of feature keys for one style sheet; where ``scss`` holds, ``//`` opens a comment."""
+    css = strip_css(F.coalesce(css_raw, F.lit("")), scss)
     props = F.regexp_extract_all(css, F.lit(CSS_DECL), 1)
     vals = F.regexp_extract_all(css, F.lit(CSS_DECL), 2)
     decls = F.arrays_zip(props.alias("p"), vals.alias("v"))
@@ -225,16 +216,16 @@ def detect_css(files: DataFrame) -> DataFrame:
     """DET-02: ``(scan_id, file, feature)`` for ``.css .scss`` files."""
     f = with_path_cols(files).filter(F.col("ext").isin(*rules.CSS_EXTS))
     return f.select("scan_id", F.col("path").alias("file"),
-                    explode_rules(css_features(F.col("content")), "feature")).filter(F.col("feature").isNotNull())
+                    explode_rules(css_features(F.col("content"), F.col("ext") == ".scss"), "feature")).filter(F.col("feature").isNotNull())
 
 
 def detect_features(files: DataFrame) -> DataFrame:
     """DET-01 + DET-02 in one scan of the corpus, distinct per file."""
     f = with_path_cols(files).filter(F.col("ext").isin(*(rules.JS_EXTS + rules.CSS_EXTS)))
     is_js = F.col("ext").isin(*rules.JS_EXTS)
-    g = f.select("scan_id", "path", "ext", "content",
-                 F.when(is_js, strip_js(F.coalesce(F.col("content"), F.lit("")))).alias("_code"))
-    feats = F.when(is_js, js_features(F.col("content"), F.col("_code"))).otherwise(css_features(F.col("content")))
+    g = code_column(f.select("scan_id", "path", "ext", "content"), when=is_js)
+    feats = F.when(is_js, js_features(F.col("content"), F.col("_code"))).otherwise(
+        css_features(F.col("content"), F.col("ext") == ".scss"))
     g = g.select("scan_id", F.col("path").alias("file"), feats.alias("_f"))
     return g.select("scan_id", "file", explode_rules(F.col("_f"), "feature")).filter(F.col("feature").isNotNull())
 

@@ -465,8 +465,11 @@ for _id, _names in FRAMEWORK_GROUPS.items():
 # DET-02 oracle: CSS declarations are the segments between '{' or ';' and the
 # next ';' or '}' that read "prop: value" (split on the delimiters instead of
 # a lookahead).
+# Comments, strings and unquoted addresses go first; SCSS has line comments besides.
+_CSS_LITERAL_RE2 = (r"""/\*(?s:.*?)\*/|"([^"\\\n]|\\(?s:.))*"|''([^''\\\n]|\\(?s:.))*''|(?i:url)\(\s*[^"''()\s][^()\n]*\)""")
 DET02_SQL = f"""
-WITH f AS (SELECT scan_id, path, regexp_replace(coalesce(content, ''), '/\\*[\\s\\S]*?\\*/', ' ', 'g') AS css
+WITH f AS (SELECT scan_id, path, CASE WHEN ext = '.scss' THEN regexp_replace(coalesce(content, ''), '{_CSS_LITERAL_RE2}|//[^\\n]*', ' ', 'g')
+                  ELSE regexp_replace(coalesce(content, ''), '{_CSS_LITERAL_RE2}', ' ', 'g') END AS css
            FROM {CORPUS} WHERE ext IN ('.css', '.scss')),
 g AS (SELECT scan_id, path, css, regexp_extract_all(css, '([^{{}};]*)([{{}};]|$)', 1) AS s,
              regexp_extract_all(css, '([^{{}};]*)([{{}};]|$)', 2) AS d FROM f),

@@ -5,6 +5,7 @@ lookaround patterns have no DuckDB oracle)."""
 import re
 
 from codelens import rules
+from codelens.functions.lexer import strip_js_text
 from codelens.operators import detect as D
 from codelens.plans import bindings as V
 
@@ -51,7 +52,7 @@ def has_nesting(css):
 
 
 def py_js_features(raw):
-    c = re.sub(D.JS_STRIP, " ", raw or "")
+    c = strip_js_text(raw or "")
     out = {k for k, lit, p in D.JS_RULES if lit in c and re.search(p, c)}
     if "await" in c:
         segs = re.split(D.AWAIT_SPLIT, c)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from codelens.functions.scalar import round_half_up
+from codelens.operators.quota import anchored_quota
 
 TERMINAL = ["done", "failed", "cancelled"]
 
@@ -183,30 +184,6 @@ def _quota_fn(max_requests: int, window_ms: int):
     return fn
 
 
-def _quota_batch_fn(max_requests: int, window_ms: int):
-    """Fold over a partition sorted by (key, ts): state is reset when the key
-    changes, so memory is one Arrow chunk plus the current key's two longs."""
-    def fn(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cur, reset_ms, count = None, None, 0
-        for pdf in chunks:
-            ms = (pd.to_datetime(pdf["ts"]).astype("int64") // 1_000_000).tolist()
-            counts, resets = [], []
-            for k, t in zip(pdf["key"].tolist(), ms):
-                if k != cur:
-                    cur, reset_ms, count = k, None, 0
-                if reset_ms is None or t >= reset_ms:
-                    reset_ms, count = t + window_ms, 0
-                count += 1
-                counts.append(count)
-                resets.append(reset_ms)
-            out = pd.DataFrame({"key": pdf["key"].values, "ts": pdf["ts"].values, "count": counts})
-            out["remaining"] = (max_requests - out["count"]).clip(lower=0)
-            out["limited"] = out["count"] > max_requests
-            out["reset_ts"] = pd.to_datetime(pd.Series(resets, dtype="int64"), unit="ms")
-            yield out
-    return fn
-
-
 def request_quota(requests: DataFrame, max_requests: int = 60, window_ms: int = 60_000,
                   key: str = "ip", skip_prefixes: list[str] | None = None) -> DataFrame:
     """STR-06: fixed window per key that opens at the key's first request (and
@@ -219,11 +196,8 @@ def request_quota(requests: DataFrame, max_requests: int = 60, window_ms: int =
     event-time timeout would need a watermark, which drops late requests, and
     a processing-time timeout keeps ``availableNow`` runs issuing empty
     batches; state is two longs per distinct key (use the RocksDB state store
-    provider for very many keys).  Batch: the rows are
-    hash-partitioned by key and sorted by (key, ts) within the partition, then
-    folded by ``mapInPandas`` one Arrow chunk at a time — a hot key is still
-    one sequential fold (the semantics is sequential) but never held in memory
-    whole.  STR-07 is the same operator keyed by tenant."""
+    provider for very many keys).  Batch: ``quota.anchored_quota``, in which a hot
+    key is folded by many tasks.  STR-07 is the same operator keyed by tenant."""
     skip = skip_prefixes if skip_prefixes is not None else ["/socket.io", "/api/browsers"]
     r = requests
     for p in skip:
@@ -232,8 +206,7 @@ def request_quota(requests: DataFrame, max_requests: int = 60, window_ms: int =
     if r.isStreaming:
         return r.groupBy("key").applyInPandasWithState(
             _quota_fn(max_requests, window_ms), QUOTA_OUT, QUOTA_STATE, "append", GroupStateTimeout.NoTimeout)
-    r = r.repartition("key").sortWithinPartitions("key", "ts")
-    return r.mapInPandas(_quota_batch_fn(max_requests, window_ms), QUOTA_OUT)
+    return anchored_quota(r, max_requests, window_ms)
 
 
 def request_quota_aligned(requests: DataFrame, max_requests: int = 60, window: str = "60 seconds",

@@ -264,60 +264,72 @@ FROM part GROUP BY 1, 2
 
 
 # -- v_configs / v_frameworks / v_packages: names that rules look for ----------
-# Few rows of part, so that some scans have a given name and some have not.
+# Every part names something; a hash of scan and name decides which scan lacks
+# which name, so that at any size some scans have a given name and some have not.
 CONFIG_NAMES = rules.CONFIG_FILE_NAMES + ["helmet.config.js", ".github/workflows/ci.yml", ".gitlab-ci.yml"]
 FRAMEWORK_NAMES = ["React", "Angular", "Vue", "Express", "Next.js", "Nuxt", "Svelte", "Django", "Flask", "Spring Boot"]
 PACKAGE_NAMES = ["react", "@angular/core", "vue", "express", "next", "jest", "mocha", "koa", "flask", "gin", "lodash", "left-pad"]
 
 
-def _few_names(spark: SparkSession, sf_dir: str, names: list[str], every: int) -> DataFrame:
-    p = table(spark, sf_dir, "part").filter(F.col("p_partkey") % every == 0)
-    return p.select(_pick(SCANS, (F.col("p_partkey") / every).cast("long") % 3).alias("scan_id"),
-                    _pick(names, F.col("p_size") % len(names)).alias("name")).distinct()
+def _named(parts: DataFrame, names: list[str], digit: int = 6) -> DataFrame:
+    """parts with ``scan_id`` and a ``name`` of ``names``, without the pairs of both whose hash has a high ``digit``."""
+    p = parts.withColumns({"scan_id": _pick(SCANS, F.col("p_partkey") % 3),
+                           "name": _pick(names, F.floor(F.col("p_partkey") / 3) % len(names))})
+    return p.where(F.substring(F.md5(F.concat_ws("/", "scan_id", "name")), digit, 1) < "8")
 
 
-def _few_names_sql(names: list[str], every: int) -> str:
-    return (f"SELECT DISTINCT ({sql_list(SCANS)})[CAST(p_partkey // {every} % 3 AS INTEGER) + 1] AS scan_id, "
-            f"({sql_list(names)})[CAST(p_size % {len(names)} AS INTEGER) + 1] AS name FROM part WHERE p_partkey % {every} = 0")
+def _named_sql(names: list[str], columns: str = "", digit: int = 6) -> str:
+    return (f"SELECT scan_id, name{columns} FROM (SELECT *, ({sql_list(SCANS)})[CAST(p_partkey % 3 AS INTEGER) + 1] AS scan_id, "
+            f"({sql_list(names)})[CAST(p_partkey // 3 % {len(names)} AS INTEGER) + 1] AS name FROM part) "
+            f"WHERE substr(md5(scan_id || '/' || name), {digit}, 1) < '8'")
 
 
 def v_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Config files (scan_id, name): about half of the known names in each scan."""
-    return _few_names(spark, sf_dir, CONFIG_NAMES, 20)
+    return _named(table(spark, sf_dir, "part"), CONFIG_NAMES).select("scan_id", "name").distinct()
 
 
 def v_frameworks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frameworks (scan_id, name) under their real names."""
-    return _few_names(spark, sf_dir, FRAMEWORK_NAMES, 150)
+    return _named(table(spark, sf_dir, "part"), FRAMEWORK_NAMES).select("scan_id", "name").distinct()
 
 
-V_CONFIGS_SQL = _few_names_sql(CONFIG_NAMES, 20)
-V_FRAMEWORKS_SQL = _few_names_sql(FRAMEWORK_NAMES, 150)
+V_CONFIGS_SQL = f"SELECT DISTINCT * FROM ({_named_sql(CONFIG_NAMES)})"
+V_FRAMEWORKS_SQL = f"SELECT DISTINCT * FROM ({_named_sql(FRAMEWORK_NAMES)})"
+
+
+def v_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Allow lists (scan_id, name) of frameworks; the last scan has none."""
+    f = _named(table(spark, sf_dir, "part"), FRAMEWORK_NAMES, 10)
+    return f.where(F.col("scan_id") != SCANS[-1]).select("scan_id", "name").distinct()
+
+
+V_ALLOWED_SQL = f"SELECT DISTINCT * FROM ({_named_sql(FRAMEWORK_NAMES, digit=10)}) WHERE scan_id <> '{SCANS[-1]}'"
 
 
 def v_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dependencies under real package names, with the columns of v_deps."""
-    p = table(spark, sf_dir, "part").filter(F.col("p_partkey") % 120 == 0)
-    return p.select(_pick(SCANS, (F.col("p_partkey") / 120).cast("long") % 3).alias("scan_id"), F.col("p_brand").alias("package_dir"),
-                    _pick(PACKAGE_NAMES, F.col("p_size") % len(PACKAGE_NAMES)).alias("name"), F.col("p_size").cast("string").alias("version"),
-                    (F.col("p_size") % 2 == 0).alias("dev"), F.col("p_partkey").alias("ord"))
+    return _named(table(spark, sf_dir, "part"), PACKAGE_NAMES).select(
+        "scan_id", F.col("p_brand").alias("package_dir"), "name", F.col("p_size").cast("string").alias("version"),
+        (F.col("p_size") % 2 == 0).alias("dev"), F.col("p_partkey").alias("ord"))
 
 
 V_PACKAGES_SQL = f"""
-SELECT ({sql_list(SCANS)})[CAST(p_partkey // 120 % 3 AS INTEGER) + 1] AS scan_id, p_brand AS package_dir,
-       ({sql_list(PACKAGE_NAMES)})[CAST(p_size % {len(PACKAGE_NAMES)} AS INTEGER) + 1] AS name, CAST(p_size AS VARCHAR) AS version,
-       p_size % 2 = 0 AS dev, p_partkey AS ord
-FROM part WHERE p_partkey % 120 = 0
+SELECT scan_id, p_brand AS package_dir, name, CAST(p_size AS VARCHAR) AS version, p_size % 2 = 0 AS dev, p_partkey AS ord
+FROM ({_named_sql(PACKAGE_NAMES, ", p_brand, p_size, p_partkey")})
 """
 
 
-# -- v_large: large assets of a scan from part --------------------------------
+# -- v_large: large files of a scan, by their size (DET-24) --------------------
+LARGE_KB = 10
+
+
 def v_large(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").filter(F.col("p_size") == 50)
-    return p.select(_pick(SCANS, F.col("p_partkey") % 3).alias("scan_id"), F.col("p_name").alias("path"))
+    f = v_files(spark, sf_dir).where(F.col("size") > LARGE_KB * 1024)
+    return f.select(_pick(SCANS, F.col("ord") % 3).alias("scan_id"), "path")
 
 
-V_LARGE_SQL = (f"SELECT ({sql_list(SCANS)})[CAST(p_partkey % 3 AS INTEGER) + 1] AS scan_id, p_name AS path FROM part WHERE p_size = 50")
+V_LARGE_SQL = (f"SELECT ({sql_list(SCANS)})[CAST(ord % 3 AS INTEGER) + 1] AS scan_id, path FROM ({V_FILES_SQL}) WHERE size > {LARGE_KB} * 1024")
 
 
 # -- v_cache: cache entries from orders (root, path, size, mtime) -------------

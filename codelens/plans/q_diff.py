@@ -195,8 +195,8 @@ def q_set05(spark, sf_dir):
 FILES = f"({V.V_FILES_SQL})"
 DEPS = f"({V.V_DEPS_SQL})"
 ROUTER_SQL = f"""
-WITH f AS (SELECT * FROM {FILES} WHERE ext IN ('.js', '.jsx', '.ts', '.tsx', '.md', '.py', '.java', '.go', '.ipynb')),
-d AS (SELECT DISTINCT scan_id, name FROM {DEPS}),
+WITH f AS (SELECT * FROM ({V.V_FILES_SQL} UNION ALL {V.V_CODE_SQL}) WHERE ext IN ('.js', '.jsx', '.ts', '.tsx', '.md', '.py', '.java', '.go', '.ipynb')),
+d AS (SELECT scan_id, name FROM {DEPS} UNION SELECT scan_id, name FROM ({V.V_PACKAGES_SQL})),
 dr AS (
   SELECT DISTINCT scan_id, grp, name, w FROM (
     SELECT scan_id, 'frameworks' AS grp, 'Next.js' AS name, 3 AS w FROM d WHERE name = 'next'
@@ -227,7 +227,8 @@ GROUP BY scan_id, grp, name
 
 
 def router(spark, sf_dir):
-    return W.router_scores(V.v_files(spark, sf_dir), V.v_deps(spark, sf_dir))
+    return W.router_scores(V.v_files(spark, sf_dir).unionByName(V.v_code(spark, sf_dir)),
+                           V.v_deps(spark, sf_dir).unionByName(V.v_packages(spark, sf_dir)))
 
 
 register("AGG-31", ROUTER_SQL)(router)
@@ -260,10 +261,9 @@ def q_win02(spark, sf_dir):
     return W.allow_threshold(router(spark, sf_dir), 0.5)
 
 
-# WIN-03: frameworks of each scan ordered by router rank (none ranked here ->
-# all unknown -> by name).
+# WIN-03: frameworks of each scan ordered by router rank (unranked ones last, by name).
 WIN03_SQL = f"""
-WITH fw AS (SELECT scan_id, name FROM {NAMES} WHERE kind = 'frameworks'),
+WITH fw AS ({V.V_FRAMEWORKS_SQL}),
 rk AS (SELECT scan_id, name, rank FROM ({WIN01_SQL}) WHERE grp = 'frameworks')
 SELECT fw.scan_id, fw.name,
        row_number() OVER (PARTITION BY fw.scan_id ORDER BY coalesce(rk.rank, 1073741824), fw.name) AS position
@@ -273,8 +273,7 @@ FROM fw LEFT JOIN rk ON fw.scan_id = rk.scan_id AND fw.name = rk.name
 
 @register("WIN-03", WIN03_SQL)
 def q_win03(spark, sf_dir):
-    fw = V.v_names(spark, sf_dir).filter(F.col("kind") == "frameworks").select("scan_id", "name")
-    return W.order_frameworks(fw, W.rank_router(router(spark, sf_dir)))
+    return W.order_frameworks(V.v_frameworks(spark, sf_dir), W.rank_router(router(spark, sf_dir)))
 
 
 WIN05_SQL = f"""

@@ -30,9 +30,10 @@ def q_join05(spark, sf_dir):
 
 PKG_VALUES = ", ".join(f"('{f}', '{p}')" for f, p in J.FRAMEWORK_PACKAGES)
 JOIN06_SQL = f"""
-WITH fw AS (SELECT scan_id, name FROM {NAMES} WHERE kind = 'frameworks'),
+WITH fw AS (SELECT scan_id, name FROM ({V.V_FRAMEWORKS_SQL})),
 pk AS (SELECT * FROM (VALUES {PKG_VALUES}) AS t(framework, package)),
-first AS (SELECT scan_id, lower(name) AS package, arg_min(version, ord) AS version FROM {DEPS} GROUP BY scan_id, lower(name)),
+first AS (SELECT scan_id, lower(name) AS package, arg_min(version, ord) AS version
+          FROM (SELECT scan_id, name, version, ord FROM {DEPS} UNION ALL SELECT scan_id, name, version, ord FROM ({V.V_PACKAGES_SQL})) GROUP BY scan_id, lower(name)),
 f AS (SELECT fw.scan_id, fw.name AS framework, coalesce(pk.package, lower(fw.name)) AS package
       FROM fw LEFT JOIN pk ON fw.name = pk.framework)
 SELECT f.scan_id, f.framework, f.package, coalesce(first.version, '') AS version
@@ -42,24 +43,21 @@ FROM f LEFT JOIN first ON f.scan_id = first.scan_id AND f.package = first.packag
 
 @register("JOIN-06", JOIN06_SQL)
 def q_join06(spark, sf_dir):
-    fw = V.v_names(spark, sf_dir).filter(F.col("kind") == "frameworks").select("scan_id", "name")
+    fw = V.v_frameworks(spark, sf_dir)
     pk = spark.createDataFrame(J.FRAMEWORK_PACKAGES, "framework string, package string")
-    return J.framework_versions(fw, V.v_deps(spark, sf_dir), pk)
+    return J.framework_versions(fw, V.v_deps(spark, sf_dir).unionByName(V.v_packages(spark, sf_dir)), pk)
 
 
 JOIN12_SQL = f"""
-SELECT scan_id, name FROM {NAMES} f WHERE kind = 'frameworks'
-  AND (EXISTS (SELECT 1 FROM {NAMES} a WHERE a.kind = 'buildTools' AND a.scan_id = f.scan_id AND a.name = f.name)
-       OR NOT EXISTS (SELECT 1 FROM {NAMES} a WHERE a.kind = 'buildTools' AND a.scan_id = f.scan_id))
+WITH a AS ({V.V_ALLOWED_SQL})
+SELECT scan_id, name FROM ({V.V_FRAMEWORKS_SQL}) f
+WHERE EXISTS (SELECT 1 FROM a WHERE a.scan_id = f.scan_id AND a.name = f.name) OR NOT EXISTS (SELECT 1 FROM a WHERE a.scan_id = f.scan_id)
 """
 
 
 @register("JOIN-12", JOIN12_SQL)
 def q_join12(spark, sf_dir):
-    n = V.v_names(spark, sf_dir)
-    fw = n.filter(F.col("kind") == "frameworks").select("scan_id", "name")
-    allow = n.filter(F.col("kind") == "buildTools").select("scan_id", "name")
-    return J.apply_allow_list(fw, allow, enforce=True)
+    return J.apply_allow_list(V.v_frameworks(spark, sf_dir), V.v_allowed(spark, sf_dir), enforce=True)
 
 
 # JOIN-13: router names (languages / frameworks) through the evaluation gate.

@@ -7,21 +7,47 @@ the fact table, and a hot ``scan_id`` or ``feature`` cannot skew it.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelens.dims import bounded_broadcast
 from codelens.functions.status import worst_of
 from codelens.rules import BROWSERS
-from codelens.session import ensure_checkpoint_dir
 
 UNMAPPED_NOTE = "No baseline mapping available (fallback)"
 
 
-#: Feature keys that meet the catalogue at once (a few hundred bytes each).
-KEY_BLOCK = 50_000
+#: Length of the substrings by which names are found.
+GRAM = 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    """All substrings of ``n`` characters."""
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(
+        F.array().cast("array<string>"))
+
+
+def first_containing(keys: DataFrame, names: DataFrame) -> DataFrame:
+    """(key, ord): for every key the smallest ``ord`` of a row of ``names`` (ord, texts)
+    one of whose texts contains it; keys that none contains are left out.
+
+    Equi-joins on substrings only.  Every text's substrings of one to three characters
+    are counted, with the first row that has each.  A key of up to three characters is
+    one of them, so that row is its answer (for an empty key the first row of all).  A longer key
+    is looked up by its rarest substring of three, and the rows found are compared as a whole.
+    """
+    texts = names.select("ord", F.explode("texts").alias("text"))
+    found = texts.select("ord", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[_grams(F.col("text"), n) for n in range(1, GRAM + 1)]))).alias("gram"))
+    stats = found.groupBy("gram").agg(F.count(F.lit(1)).alias("times"), F.min("ord").alias("first"))
+    short = (keys.where(F.length("key") <= GRAM).join(stats, F.col("key") == F.col("gram")).select("key", F.col("first").alias("ord")))
+    parts = keys.where(F.length("key") > GRAM).select("key", F.explode(F.array_distinct(_grams(F.col("key"), GRAM))).alias("gram"))
+    # a key with a substring that no text has is contained in none
+    rarest = (parts.join(stats, "gram", "left").groupBy("key")
+              .agg(F.min_by("gram", F.struct("times", "gram")).alias("gram"), F.count("times").alias("known"), F.count(F.lit(1)).alias("all"))
+              .where(F.col("known") == F.col("all")).select("key", "gram"))
+    rows = found.where(F.length("gram") == GRAM).join(rarest, "gram").select("key", "ord").distinct()
+    whole = rows.join(texts, "ord").where(F.col("text").contains(F.col("key"))).groupBy("key").agg(F.min("ord").alias("ord"))
+    return short.unionByName(whole)
 
 
 def _unknown_support():
@@ -107,25 +133,17 @@ def lookup_web_features(baseline: DataFrame, web_features: DataFrame) -> DataFra
     """JOIN-03: for rows still ``unknown``, the first catalogue row (by
     ``ord``) whose lower name or slug contains the lower feature key.
 
-    The keys are the stated query set and are held against all catalogue rows in
-    blocks: free text among them (``core-js/...`` import paths) grows with the
-    corpus, so they are split into blocks of ``KEY_BLOCK`` by hash and each
-    block, whose size is counted, meets the whole catalogue.  The first match per
-    key is a grouped ``min_by`` (partial aggregation), equi-joined back to the
-    baseline rows.
+    Free text among the keys (``core-js/...`` import paths) grows with the corpus and
+    so may the catalogue: both meet through their substrings (``first_containing``),
+    never pair by pair.  Rows that share an ``ord`` rank by slug, then name.
     """
-    keys = baseline.filter(F.col("status") == "unknown").select("feature").distinct()
-    cat = web_features.select("ord", F.lower(F.coalesce("name", F.lit(""))).alias("_n"),
-                              F.lower(F.coalesce("slug", F.lit(""))).alias("_s"),
-                              F.coalesce("slug", "name").alias("_label"), "support")
-    q = F.lower(F.col("feature"))
-    ensure_checkpoint_dir(keys.sparkSession)
-    keys = keys.checkpoint(eager=True)
-    blocks = max(1, -(-keys.count() // KEY_BLOCK))
-    parts = [keys.filter(F.pmod(F.xxhash64("feature"), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [keys]
-    hits = [cat.join(F.broadcast(part), F.col("_n").contains(q) | F.col("_s").contains(q), "inner") for part in parts]
-    cand = reduce(DataFrame.unionByName, hits)
-    first = cand.groupBy("feature").agg(F.min_by(F.struct("support", "_label"), F.col("ord")).alias("_hit"))
+    keys = baseline.filter(F.col("status") == "unknown").select("feature", F.lower("feature").alias("key")).distinct()
+    name, slug = (F.lower(F.coalesce(c, F.lit(""))) for c in ("name", "slug"))
+    cat = web_features.select("ord", F.array(name, slug).alias("texts"), F.coalesce("slug", "name").alias("_label"), "support")
+    hits = keys.join(first_containing(keys.select("key").distinct(), cat.select("ord", "texts")), "key")
+    # of the rows with that ord, one that contains the key
+    matches = hits.join(cat, "ord").where(F.exists("texts", lambda t: t.contains(F.col("key"))))
+    first = matches.groupBy("feature").agg(F.min_by(F.struct("support", "_label"), F.col("_label")).alias("_hit"))
     wsupport = F.create_map(*[x for b in BROWSERS
                               for x in (F.lit(b), F.coalesce(F.col("_hit.support")[b], F.lit("unknown")))])
     j = baseline.join(first, "feature", "left")

@@ -4,21 +4,18 @@
 Every operator here is written once against a DataFrame and runs unchanged on
 a batch table or a ``readStream`` source: aggregates are keyed by scan id
 (update mode), and the two stateful operators keep O(1) state per key with
-``applyInPandasWithState``.  Batch twins exist for the oracle and for
+``transformWithState`` (``keyed.py``).  Batch twins exist for the oracle and for
 backfills.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from codelens.functions.scalar import round_half_up
 from codelens.operators.quota import anchored_quota
+from codelens.streaming.keyed import Quota, Timeout, keyed
 
 TERMINAL = ["done", "failed", "cancelled"]
 
@@ -115,31 +112,6 @@ def timed_out(status: DataFrame, now, limit_ms: int) -> DataFrame:
 
 
 TIMEOUT_OUT = "id string, last_ts timestamp, kind string"
-TIMEOUT_STATE = "last_ms long, kind string"
-
-
-def _timeout_fn(limit_ms: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:  # the watermark passed last event + limit with no newer event
-            last_ms, kind = state.get
-            state.remove()
-            if kind not in TERMINAL:
-                yield pd.DataFrame({"id": [key[0]], "last_ts": [pd.Timestamp(last_ms, unit="ms")], "kind": ["timed_out"]})
-            return
-        last_ms, kind = state.get if state.exists else (None, None)
-        for pdf in pdfs:
-            ms = pd.to_datetime(pdf["ts"]).astype("int64") // 1_000_000
-            i = int(ms.values.argmax())
-            if last_ms is None or int(ms.iloc[i]) >= last_ms:
-                last_ms, kind = int(ms.iloc[i]), str(pdf["kind"].iloc[i])
-        state.update((last_ms, kind))
-        if kind in TERMINAL:
-            state.remove()
-        else:
-            state.setTimeoutTimestamp(last_ms + limit_ms)
-        yield pd.DataFrame({"id": [], "last_ts": [], "kind": []}).astype({"id": "object", "kind": "object"})
-    return fn
-
 
 def timed_out_stream(events: DataFrame, limit_ms: int, watermark: str = "10 minutes") -> DataFrame:
     """STR-08 on a stream: an event-time timer per scan id (state: last event
@@ -149,63 +121,32 @@ def timed_out_stream(events: DataFrame, limit_ms: int, watermark: str = "10 minu
     The watermark delay is the tolerated lateness of progress events (events
     later than that are not considered, as for any event-time timer)."""
     e = events.select(F.col("id").cast("string").alias("id"), F.col("ts").cast("timestamp").alias("ts"), "kind")
-    return e.withWatermark("ts", watermark).groupBy("id").applyInPandasWithState(
-        _timeout_fn(limit_ms), TIMEOUT_OUT, TIMEOUT_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed(e, "id", Timeout(limit_ms, TERMINAL), TIMEOUT_OUT, watermark)
 
 
 # -- request quotas (STR-06 / STR-07) ------------------------------------------
 
 QUOTA_OUT = "key string, ts timestamp, count long, remaining long, limited boolean, reset_ts timestamp"
-QUOTA_STATE = "reset_ms long, count long"
-
-
-def _quota_fn(max_requests: int, window_ms: int):
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        reset_ms, count = (state.get if state.exists else (None, 0))
-        # a micro-batch's rows of a key come in any order, the window opens at the earliest
-        rows = [pdf for pdf in pdfs if len(pdf)]
-        if rows:
-            pdf = pd.concat(rows).sort_values("ts", kind="stable")
-            ms = pd.to_datetime(pdf["ts"]).astype("datetime64[ms]").astype("int64")
-            counts, resets = [], []
-            for t in ms.tolist():
-                if reset_ms is None or t >= reset_ms:
-                    reset_ms, count = t + window_ms, 0
-                count += 1
-                counts.append(count)
-                resets.append(reset_ms)
-            out = pd.DataFrame({"key": key[0], "ts": pdf["ts"].values, "count": counts})
-            out["remaining"] = (max_requests - out["count"]).clip(lower=0)
-            out["limited"] = out["count"] > max_requests
-            out["reset_ts"] = pd.to_datetime(pd.Series(resets, dtype="int64"), unit="ms")
-            yield out
-        if reset_ms is not None:
-            state.update((int(reset_ms), int(count)))
-    return fn
-
 
 def request_quota(requests: DataFrame, max_requests: int = 60, window_ms: int = 60_000,
-                  key: str = "ip", skip_prefixes: list[str] | None = None) -> DataFrame:
+                  key: str = "ip", skip_prefixes: list[str] | None = None, watermark: str = "10 minutes") -> DataFrame:
     """STR-06: fixed window per key that opens at the key's first request (and
     re-opens at the first request after it closes); each request gets its
     running count, ``remaining = max(0, max - count)`` and ``limited`` when the
     count exceeds the maximum.  Paths with a skip prefix are not counted.
 
-    Streaming: ``applyInPandasWithState`` with two longs of state per key
-    (append mode; arrival order across micro-batches).  No timeout: an
-    event-time timeout would need a watermark, which drops late requests, and
-    a processing-time timeout keeps ``availableNow`` runs issuing empty
-    batches; state is two longs per distinct key (use the RocksDB state store
-    provider for very many keys).  Batch: ``quota.anchored_quota``, in which a hot
-    key is folded by many tasks.  STR-07 is the same operator keyed by tenant."""
+    Streaming: ``transformWithState`` with two longs per key in RocksDB (append
+    mode; arrival order across micro-batches), which are dropped when the watermark
+    passes the window's end; requests later than ``watermark`` are not considered.
+    Batch: ``quota.anchored_quota``, in which a hot key is folded by many tasks.
+    STR-07 is the same operator keyed by tenant."""
     skip = skip_prefixes if skip_prefixes is not None else ["/socket.io", "/api/browsers"]
     r = requests
     for p in skip:
         r = r.filter(~F.col("path").startswith(p))
     r = r.select(F.col(key).cast("string").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
     if r.isStreaming:
-        return r.groupBy("key").applyInPandasWithState(
-            _quota_fn(max_requests, window_ms), QUOTA_OUT, QUOTA_STATE, "append", GroupStateTimeout.NoTimeout)
+        return keyed(r, "key", Quota(max_requests, window_ms), QUOTA_OUT, watermark)
     return anchored_quota(r, max_requests, window_ms)
 
 

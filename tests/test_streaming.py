@@ -182,3 +182,45 @@ def test_timed_out_stream_event_time_timer(spark):
     q.stop()
     got = sorted((r.id, r.kind) for r in spark.table(name).collect())
     assert got == [("a", "timed_out"), ("b", "timed_out")]          # c finished; z is still within its limit
+
+
+def _state_rows(query):
+    return sum(int(o["numRowsTotal"]) for p in query.recentProgress[-1:] for o in p["stateOperators"])
+
+
+def test_quota_forgets_idle_keys(spark):
+    """The state of keys whose window is over goes when the watermark passes it; the counts go on."""
+    src = tempfile.mkdtemp(prefix="req-", dir="/tmp")
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "ip string, path string, ts timestamp"
+    batches = [[(f"k{i}", "/x", t0 + dt.timedelta(seconds=i)) for i in range(50)],
+               [("k1", "/x", t0 + dt.timedelta(seconds=30)), ("k7", "/x", t0 + dt.timedelta(hours=1))],
+               [("k7", "/x", t0 + dt.timedelta(hours=1, seconds=1)), ("k8", "/x", t0 + dt.timedelta(hours=1, seconds=2))]]
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    name = "q_" + next(tempfile._get_candidate_names())
+    q = (P.request_quota(stream, 1, 60_000, watermark="1 minute").writeStream.outputMode("append").format("memory").queryName(name)
+         .option("checkpointLocation", tempfile.mkdtemp(prefix="ck-", dir="/tmp")).start())
+    q.processAllAvailable()
+    q.processAllAvailable()
+    rows, kept = spark.table(name).collect(), _state_rows(q)
+    q.stop()
+    assert len(rows) == 54
+    limited = {(r.key, r.ts) for r in rows if r.limited}
+    assert limited == {("k1", t0 + dt.timedelta(seconds=30)), ("k7", t0 + dt.timedelta(hours=1, seconds=1))}
+    assert kept <= 8   # k7 and k8 (value, timer and its index), not the fifty
+
+
+def test_timeout_fires_once_and_again_after_new_events(spark):
+    src = tempfile.mkdtemp(prefix="prog-", dir="/tmp")
+    t0 = dt.datetime(2024, 1, 1)
+    schema = "id string, ts timestamp, kind string"
+    hours = lambda h: t0 + dt.timedelta(hours=h)
+    for b in ([("a", t0, "progress")], [("z", hours(2), "progress")], [("z", hours(3), "progress")],
+              [("a", hours(4), "progress"), ("z", hours(4), "done")], [("y", hours(9), "done")]):
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = sorted((r.id, r.last_ts) for r in _run_stream(spark, P.timed_out_stream(stream, 30 * 60 * 1000, "1 minute"), "append").collect())
+    assert [g for g in got if g[0] == "a"] == [("a", t0), ("a", hours(4))]
+    assert len(got) == len(set(got))

@@ -3,10 +3,14 @@
 Two passes.  First every page scores its containers and votes for the one that
 holds its article: the smallest with most of its text, widened to the article, main
 or other container around it that has the rest (title, lead, notes).  The vote is under a generalised path (tags with their class words,
-digits masked).  Spark adds up the votes per host and ranks the paths.  Then
-every page is extracted again with the best-ranked path of its host that occurs
-on it, widened in the same way; a page on which none occurs falls back to its own best container.  So a
+digits masked, of any depth; its digest is the key).  Spark adds up the votes per host and path.  Then
+every page is extracted again with that of its own containers' paths that has most votes on its
+host, widened in the same way; a page on which none occurs falls back to its own best container.  So a
 page that is cut short, or has little text, is read where its host keeps articles.
+
+Elements whose class, id or role names them as a menu, advert, comment and the like are
+left out, but the host's vote stands above the names: where most pages of a host that have such an
+element have no text outside it, it is read as any other.
 """
 
 from __future__ import annotations
@@ -14,10 +18,12 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from hashlib import blake2b
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelens.llm.store import few, materialize
@@ -36,12 +42,20 @@ CONTAINER_TAGS = frozenset("body article main section div td".split())
 _SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
                  "th": ("td", "th"), "option": ("option",)}
 _SCOPE = frozenset("ul ol dl table body article section div main aside nav header footer blockquote form".split())
-#: Words in a class, id or role that mark what is not article text.
+#: Words of a class, id or role that mark what is not article text, where they stand alone or with words of place only
+#: (``comment-list``, ``site-footer``; but not ``share-prices`` or ``related-work``).
 SKIP_WORDS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist
 cookie cookies consent copyright discussion disqus footer foot masthead menu menubar nav navbar navigation newsletter notice
 notification popup modal overlay promo promotion promoted related recommended respond reply replies share sharing sidebar
 sidebox social sponsor sponsored subscribe subscription toolbar widget widgets contentinfo complementary search skip skiplink
 login signup pagination pager""".split())
+PLACE_WORDS = frozenset("""area bar block body bottom box button buttons column container content fixed form global group head header
+holder icons inner item items left link links list main module outer page panel placeholder posts primary region right row secondary
+section site slot sticky thread top unit wrap wrapper zone""".split())
+#: Pages of a host on which a named element must be all there is before the names are overruled.
+MIN_ALONE = 3
+#: Voted paths (of 100 bytes each) that are broadcast; more are joined.
+MAX_VOTED = 100_000
 
 _TOKEN = re.compile(
     # a self-closed svg has no end tag; the annotation of a formula repeats it in another notation and is not shown
@@ -51,38 +65,61 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)|(?P<text>[^<]+|<)", re.S | re.I)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
-MAX_PATH = 16
 
 
 class _Node:
-    __slots__ = ("tag", "path", "skip", "first", "inside", "listed")
+    __slots__ = ("tag", "path", "depth", "skip", "region", "first", "inside", "listed")
+
+    def __init__(self, tag: str, path: str, depth: int, skip: bool, region: int, first: int, inside: bool, listed: int):
+        self.tag, self.path, self.depth, self.skip = tag, path, depth, skip
+        self.region, self.first, self.inside, self.listed = region, first, inside, listed
+
 
-    def __init__(self, tag: str, path: tuple, skip: bool, first: int, inside: bool, listed: int):
-        self.tag, self.path, self.skip, self.first, self.inside, self.listed = tag, path, skip, first, inside, listed
+@dataclass
+class _Container:
+    """An element that may hold the article: the digest of its path, and its range of blocks."""
+    path: str
+    kind: str
+    depth: int
+    first: int
+    end: int
+
+
+def _marks(token: str) -> bool:
+    """Whether a single name says that its element is no article text."""
+    words = [w.lower() for w in _SPLIT.split(token) if w]
+    return any(w in SKIP_WORDS for w in words) and all(w in SKIP_WORDS or w in PLACE_WORDS for w in words)
 
 
 def _label(tag: str, attrs: str) -> tuple[str, bool]:
     """(generalised tag with classes, whether its names mark it as no article text)."""
     if not attrs:
         return tag, False
-    classes, words = [], set()
+    classes, named = [], False
     for name, a, b, c in _ATTR.findall(attrs):
-        value = a or b or c
-        words.update(w.lower() for w in _SPLIT.split(value) if w)
+        tokens = (a or b or c).split()
+        named = named or any(map(_marks, tokens))
         if name.lower() == "class":
-            classes += [re.sub(r"\d+", "#", x.lower()) for x in value.split()]
-    return ".".join([tag, *sorted(set(classes))]), not words.isdisjoint(SKIP_WORDS)
+            classes += [re.sub(r"\d+", "#", x.lower()) for x in tokens]
+    return ".".join([tag, *sorted(set(classes))]), named
+
 
+def _child(path: str, label: str) -> str:
+    """Digest of a path one element longer."""
+    return blake2b(f"{path}>{label}".encode(), digest_size=16).hexdigest()
 
-def parse(page: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[tuple, int, int]]]:
-    """(blocks, containers) of a page: the text blocks outside everything that
+
+def parse(page: str | None, released: frozenset = frozenset()) -> tuple[list[tuple[str, int, int]], list[_Container], list[tuple[str, int]]]:
+    """(blocks, containers, regions) of a page: the text blocks outside everything that
     is skipped, with their link characters and the number of the outermost list that
-    they stand in (0: in none, or in an article or main), and for every container its path and
-    range of blocks.  One pass over the tokens; markup that the page's end cuts
-    off is dropped."""
+    they stand in (0: in none, or in an article or main); for every container its path and
+    range of blocks; and for every element that was skipped for its names its path and
+    characters outside links.  Elements with a path in ``released`` are not skipped for their names.
+    One pass over the tokens; markup that the page's end cuts off is dropped."""
     blocks: list[tuple[str, int, int]] = []
-    containers: list[tuple[tuple, int, int]] = []
-    stack: list[_Node] = [_Node("", (), False, 0, False, 0)]
+    containers: list[_Container] = []
+    regions: list[list] = []
+    stack: list[_Node] = [_Node("", "", 0, False, -1, 0, False, 0)]
     text: list[str] = []
     links = 0
     anchors = 0
@@ -107,7 +144,7 @@ def parse(page: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[tupl
             anchors -= 1
         elif node.tag in BLOCK_TAGS:
             if node.tag in CONTAINER_TAGS and not node.skip:
-                containers.append((node.path, node.first, len(blocks)))
+                containers.append(_Container(node.path, node.tag, node.depth, node.first, len(blocks)))
 
     for m in _TOKEN.finditer(page or ""):
         piece = m.group("text")
@@ -117,6 +154,8 @@ def parse(page: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[tupl
                 text.append(piece)
                 if anchors:
                     links += len(piece)
+            elif stack[-1].region >= 0 and not anchors:
+                regions[stack[-1].region][1] += len(piece.strip())
             continue
         tag = m.group("tag")
         if tag is None:
@@ -151,20 +190,26 @@ def parse(page: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[tupl
         top = stack[-1]
         label, named = _label(tag, m.group("attrs"))
         inside = top.inside or tag in ("article", "main")
-        skip = (top.skip or tag in SKIP_TAGS or (named and tag not in ("html", "body", "article", "main"))
-                or (tag == "header" and not inside))
+        path = _child(top.path, label) if tag in BLOCK_TAGS else top.path
+        # names count on blocks only: a marked word in a paragraph is part of it
+        named = named and tag in BLOCK_TAGS and tag not in ("html", "body", "main") and path not in released
+        plain = tag in SKIP_TAGS or (tag == "header" and not inside)
+        region = -1 if plain else top.region
+        if named and not plain and not top.skip:
+            region = len(regions)
+            regions.append([path, 0])
+        skip = top.skip or plain or named
         if skip and not top.skip:
             flush()
         if tag == "a":
             anchors += 1
         if tag in _LISTS and not top.listed:
             lists += 1
-        stack.append(_Node(tag, (*top.path, label)[-MAX_PATH:], skip, len(blocks), inside,
-                           top.listed or (lists if tag in _LISTS else 0)))
+        stack.append(_Node(tag, path, top.depth + 1, skip, region, len(blocks), inside, top.listed or (lists if tag in _LISTS else 0)))
     while len(stack) > 1:
         close()
     flush()
-    return blocks, containers
+    return blocks, containers, [(p, n) for p, n in regions]
 
 
 def _score(block: tuple[str, int, int]) -> int:
@@ -173,10 +218,6 @@ def _score(block: tuple[str, int, int]) -> int:
     return 0 if 2 * links > len(text) else len(text) - links
 
 
-def _kind(path: tuple) -> str:
-    return path[-1].split(".", 1)[0]
-
-
 def _sums(blocks: list) -> list[int]:
     sums = [0]
     for b in blocks:
@@ -190,28 +231,27 @@ def _widener(blocks: list, containers: list, sums: list[int]) -> Callable[[int],
     That is the outermost article or main around it, where there is one.  Else the
     smallest one around it with all the text that any container below body has;
     and body itself if it adds text that stands in no container of its own."""
-    kinds = [_kind(p) for p, _a, _b in containers]
-    chars = [sums[b] - sums[a] for _p, a, b in containers]
+    chars = [sums[c.end] - sums[c.first] for c in containers]
     parent, open_ = [-1] * len(containers), []
     for i in range(len(containers) - 1, -1, -1):               # outer ones are closed later
-        while open_ and containers[open_[-1]][1] > containers[i][1]:
+        while open_ and containers[open_[-1]].first > containers[i].first:
             open_.pop()
         parent[i] = open_[-1] if open_ else -1
         open_.append(i)
     edges = [0] * (len(blocks) + 1)
-    for kind, (_p, a, b) in zip(kinds, containers):
-        if kind != "body":
-            edges[a] += 1
-            edges[b] -= 1
+    for c in containers:
+        if c.kind != "body":
+            edges[c.first] += 1
+            edges[c.end] -= 1
     own = any(depth == 0 and sums[i + 1] > sums[i] for i, depth in zip(range(len(blocks)), accumulate(edges)))
 
     def widen(at: int) -> int:
         best, body, i = at, -1, at
         named = -1
-        while i >= 0 and containers[at][1] < containers[at][2]:
-            if kinds[i] in ("article", "main"):
+        while i >= 0 and containers[at].first < containers[at].end:
+            if containers[i].kind in ("article", "main"):
                 named = i
-            elif kinds[i] == "body":
+            elif containers[i].kind == "body":
                 body = i
             elif chars[i] > chars[best]:
                 best = i
@@ -223,19 +263,19 @@ def _widener(blocks: list, containers: list, sums: list[int]) -> Callable[[int],
     return widen
 
 
-def best_container(blocks: list, containers: list) -> tuple[tuple, int, int, int] | None:
-    """The container with the page's article: (path, first, end, score).  It is the
+def best_container(blocks: list, containers: list[_Container]) -> tuple[_Container, int] | None:
+    """The container with the page's article, and its score.  It is the
     smallest one with at least 80 % of the page's text, or the one around it that
     holds what else belongs to the article (``_widener``)."""
     sums = _sums(blocks)
     if not sums[-1]:
         return None
-    good = [i for i, (_p, a, b) in enumerate(containers) if 10 * (sums[b] - sums[a]) >= 8 * sums[-1]]
+    good = [i for i, c in enumerate(containers) if 10 * (sums[c.end] - sums[c.first]) >= 8 * sums[-1]]
     if not good:
         return None
-    best = min(good, key=lambda i: (containers[i][2] - containers[i][1], -len(containers[i][0])))
-    path, a, b = containers[_widener(blocks, containers, sums)(best)]
-    return path, a, b, sums[b] - sums[a]
+    best = min(good, key=lambda i: (containers[i].end - containers[i].first, -containers[i].depth))
+    found = containers[_widener(blocks, containers, sums)(best)]
+    return found, sums[found.end] - sums[found.first]
 
 
 def _menus(blocks: list) -> set[int]:
@@ -244,34 +284,27 @@ def _menus(blocks: list) -> set[int]:
     return found - {n for text, links, n in blocks if 2 * links <= len(text)}
 
 
-def join_path(path: tuple) -> str:
-    return ">".join(path)
-
-
-def _range(container: tuple) -> tuple[int, int, bool]:
+def _range(container: _Container) -> tuple[int, int, bool]:
     """(first, end, whether it is an article's container, not the body)."""
-    return container[1], container[2], _kind(container[0]) != "body"
+    return container.first, container.end, container.kind != "body"
 
 
-def extract(page: str | None, paths: list[str]) -> str:
-    """Text of the containers under the first of ``paths`` that occurs on the page
-    (several on one page follow each other, nested ones count once), else of the
+def extract(page: str | None, rank: Callable[[str], tuple | None] = lambda path: None, released: frozenset = frozenset()) -> str:
+    """Text of the containers under that path of the page which ``rank`` puts highest
+    (None: no vote; several containers under it follow each other, nested ones count once), else of the
     page's own best container.  All text of an article container is kept, lists of
     links too.  Where a page has none but body, or no container at all, lists outside articles
     that are links throughout are menus and left out."""
-    blocks, containers = parse(page)
+    blocks, containers, _regions = parse(page, released)
     found: list[tuple[int, int, bool]] = []
-    if containers:
-        at: dict[str, list[int]] = {}
-        for i, (p, _a, _b) in enumerate(containers):
-            at.setdefault(join_path(p), []).append(i)
-        path = next((p for p in paths if p in at), None)
-        if path is not None:
-            widen = _widener(blocks, containers, _sums(blocks))
-            found = [_range(containers[widen(i)]) for i in at[path]]
+    voted = {c.path: r for c in containers if (r := rank(c.path)) is not None}
+    if voted:
+        path = max(voted, key=lambda p: (voted[p], p))
+        widen = _widener(blocks, containers, _sums(blocks))
+        found = [_range(containers[widen(i)]) for i, c in enumerate(containers) if c.path == path]
     if not found:
         best = best_container(blocks, containers)
-        found = [_range(best)] if best else [(0, len(blocks), False)]
+        found = [_range(best[0])] if best else [(0, len(blocks), False)]
     out: list[str] = []
     done = 0
     menus = _menus(blocks)
@@ -286,50 +319,98 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def host_paths(pages: DataFrame, per_host: int = 16) -> DataFrame:
-    """(host, paths): the paths that a host's pages voted for, most votes first.
+def _host_key(url: Column) -> Column:
+    return F.md5(host_of(url))
+
+
+_VOTES = pa.schema([("host", pa.string()), ("path", pa.string()), ("region", pa.bool_()), ("chars", pa.int64()), ("alone", pa.int64())])
+
+
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
+            blocks, containers, regions = parse(page.as_py())
+            best = best_container(blocks, containers)
+            if best:
+                rows.append((host, best[0].path, False, best[1], 0))
+            # a named element is alone where nothing stands outside it and no other has more text
+            most = max(regions, key=lambda r: r[1], default=None)
+            rows += [(host, path, True, 0, int(not blocks and (path, n) == most and n > 0)) for path, n in set(regions)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, _VOTES)], schema=_VOTES)
+
+
+def host_votes(pages: DataFrame) -> DataFrame:
+    """(host, path, region, votes, chars): by digest of the host, the paths that its pages
+    voted for as article (region false), with the text under them, and those of named elements that are
+    to be read nevertheless (region true).
 
     Votes are added up before and after the shuffle, so a host with a third of
-    all pages is no hot spot; a list holds the ``per_host`` best paths (what
-    comes later has fewer votes than every one of them)."""
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hosts, paths, chars = [], [], []
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
-                best = best_container(*parse(page.as_py()))
-                if best:
-                    hosts.append(host)
-                    paths.append(join_path(best[0]))
-                    chars.append(best[3])
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()),
-                                              pa.array(chars, pa.int64())], ["host", "path", "chars"])
-
-    votes = (pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(vote, "host string, path string, chars long")
-             .groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("chars").alias("chars")))
-    order = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("chars"), "path")
-    ranked = votes.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_host)
-    return (ranked.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("ranked"))
-            .select("host", F.col("ranked.path").alias("paths")))
-
-
-def extract_pages(pages: DataFrame, per_host: int = 16) -> DataFrame:
+    all pages is no hot spot; every path that got a vote is kept."""
+    votes = (pages.select(_host_key(F.col("url")).alias("host"), "html").mapInArrow(_votes, "host string, path string, region boolean, chars long, alone long")
+             .groupBy("host", "path", "region").agg(F.count(F.lit(1)).alias("votes"), F.sum("chars").alias("chars"), F.sum("alone").alias("alone")))
+    return votes.where(~F.col("region") | ((F.col("alone") >= MIN_ALONE) & (2 * F.col("alone") > F.col("votes")))).drop("alone")
+
+
+def _paths_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html) -> the page's digest and every path on it, of containers and named elements."""
+    for batch in batches:
+        rows = {}
+        for key, host, page in zip(batch.column("key").to_pylist(), batch.column("host").to_pylist(), batch.column("html")):
+            if key not in rows:
+                _blocks, containers, regions = parse(page.as_py())
+                rows[key] = {(key, host, p, False) for p in {c.path for c in containers}} | {(key, host, p, True) for p, _n in regions}
+        flat = [r for x in rows.values() for r in x]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat) if flat else [[]] * 4, (pa.string(), pa.string(), pa.string(), pa.bool_()))],
+                                         ["key", "host", "path", "region"])
+
+
+def extract_pages(pages: DataFrame, max_voted: int = MAX_VOTED) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
     A null or empty page has the text ''.  Repeated rows are extracted alike; a
     null or odd URL belongs to the host ''; other columns are not read; an empty
-    table gives an empty result.  Paths are broadcast when there are few hosts,
-    else joined by host.
+    table gives an empty result.  Up to ``max_voted`` paths are broadcast; more are joined to
+    the paths that each page has itself, with the same result.
     """
-    paths = materialize(host_paths(pages, per_host)).withColumnRenamed("host", "_host")
-    joined = (pages.select("page_id", "url", "html").withColumn("_host_of", host_of(F.col("url")))
-              .join(F.broadcast(paths) if few(paths, 20_000) else paths, F.col("_host_of") == F.col("_host"), "left"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    votes = materialize(host_votes(pages))
+    rows = pages.select("page_id", "url", "html", _host_key(F.col("url")).alias("host"))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    schema = f"page_id {kind}, url string, text string, n_chars long"
+
+    def told(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
+                                           pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    if few(votes, max_voted):
+        by_host: dict[str, tuple[dict, set]] = {}
+        for r in votes.toLocalIterator():
+            ranks, released = by_host.setdefault(r["host"], ({}, set()))
+            if r["region"]:
+                released.add(r["path"])
+            else:
+                ranks[r["path"]] = (r["votes"], r["chars"])
+        shared = pages.sparkSession.sparkContext.broadcast({h: (ranks, frozenset(x)) for h, (ranks, x) in by_host.items()})
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                known = (shared.value.get(h, ({}, frozenset())) for h in batch.column("host").to_pylist())
+                yield told(batch, [extract(page.as_py(), ranks.get, released) for page, (ranks, released) in zip(batch.column("html"), known)])
+
+        return rows.mapInArrow(run, schema)
+
+    rows = rows.withColumn("key", F.sha2(F.concat_ws(" ", "host", F.coalesce("html", F.lit(""))), 256))
+    own = rows.select("key", "host", "html").mapInArrow(_paths_on, "key string, host string, path string, region boolean").distinct()
+    met = own.join(votes, ["host", "path", "region"])
+    best = met.groupBy("key").agg(
+        F.max(F.when(~F.col("region"), F.struct("votes", "chars", "path")))["path"].alias("best"),
+        F.collect_set(F.when(F.col("region"), F.col("path"))).alias("released"))
+    joined = rows.join(best.withColumnRenamed("key", "of"), F.col("key") == F.col("of"), "left")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract(page.as_py(), paths or []) for page, paths in
-                     zip(batch.column("html"), batch.column("paths").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
-                                              pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            texts = [extract(page.as_py(), lambda p, path=path: (0,) if p == path else None, frozenset(released or ()))
+                     for page, path, released in zip(batch.column("html"), batch.column("best").to_pylist(), batch.column("released").to_pylist())]
+            yield told(batch, texts)
 
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return joined.select("page_id", "url", "html", "paths").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "best", "released").mapInArrow(read, schema)

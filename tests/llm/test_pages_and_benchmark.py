@@ -90,6 +90,52 @@ def test_links_formulas_and_drawings_in_articles(spark):
     assert [out[i]["text"].split("\n\n") for i in range(len(rows))] == list(pages.values())
 
 
+STORY = "story text " * 30
+
+
+def texts_of(spark, pages, **more):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in H.extract_pages(df, **more).orderBy("page_id").collect()]
+
+
+def test_names_of_single_tokens_only(spark):
+    pages = {
+        "<main><article><p>%s</p></article><article class=comment><p>reader says</p></article></main>": STORY.strip(),
+        "<div class=share-prices><p>%s</p></div>": STORY.strip(),
+        "<article><p>%s</p><section class=related-work><p>work</p></section></article>": STORY.strip() + "\n\nwork",
+        "<article><p>a <span class=search-term>term</span> and <code class=ad>code</code> %s</p></article>": "a term and code " + STORY.strip(),
+        "<article><p>%s</p><div class='comment-list'>no</div><div id=siteFooter>no</div><p class=ad>no</p></article>": STORY.strip(),
+    }
+    assert texts_of(spark, [(f"http://h{i}.org/", p % STORY) for i, p in enumerate(pages)]) == list(pages.values())
+
+
+def test_the_host_overrules_a_name(spark):
+    """Where a named element is all that most pages of a host have, it is the article; elsewhere it stays out."""
+    only = "<body><div class=discussion><p>%s</p></div></body>"
+    pages = [("http://a.org/", only % f"talk {i}") for i in range(4)] + [("http://b.org/", only % "cut off before the article")]
+    pages += [("http://c.org/", "<body><div class=ad>buy</div><article><p>%s</p></article></body>" % STORY)] * 4
+    pages += [("http://c.org/", "<body><div class=ad>buy")] * 3
+    for more in ({}, {"max_voted": 0}):
+        assert texts_of(spark, pages, **more) == [f"talk {i}" for i in range(4)] + [""] + [STORY.strip()] * 4 + [""] * 3
+
+
+@pytest.mark.parametrize("max_voted", [H.MAX_VOTED, 0])
+def test_many_templates_and_deep_paths(spark, max_voted):
+    """Every template of a host has its own consensus, however many there are and however deep they lie."""
+    names = [chr(97 + i // 10) + chr(97 + i % 10) for i in range(30)]
+    page = "<body><div class=t%s>" + "<div>" * 40 + "<p>{}</p>" + "</div>" * 40 + "</div><div class=extra>" + "<div>" * 40 + "<p>{}</p></div></body>"
+    pages = [("http://h.org/", (page % n).format(STORY, "x")) for n in names for _ in range(3)]
+    pages += [("http://h.org/", (page % n).format("short.", "much longer than the story " * 9)) for n in names]
+    assert texts_of(spark, pages, max_voted=max_voted) == [STORY.strip()] * 90 + ["short."] * 30
+
+
+def test_pages_with_clashing_columns_and_nulls(spark):
+    df = spark.createDataFrame([(1, "http://h.org/", "<p>a</p>", "x", "y", 1, "p"), (None, None, None, None, None, None, None)],
+                               "page_id long, url string, html string, host string, path string, votes long, best string")
+    for n in (H.MAX_VOTED, 0):
+        assert sorted((r.page_id is None, r.text) for r in H.extract_pages(df, max_voted=n).collect()) == [(False, "a"), (True, "")]
+
+
 def test_hosts(spark):
     urls = {"https://A.b/c": "a.b", "http://u:p@x.org:8080/": "x.org", "//y.z?q": "y.z", "mailto:a": "", "": "", None: ""}
     df = spark.createDataFrame([(u,) for u in urls], "url string")

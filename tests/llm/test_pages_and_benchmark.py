@@ -123,9 +123,9 @@ def test_the_host_overrules_a_name(spark):
 def test_many_templates_and_deep_paths(spark, max_voted):
     """Every template of a host has its own consensus, however many there are and however deep they lie."""
     names = [chr(97 + i // 10) + chr(97 + i % 10) for i in range(30)]
-    page = "<body><div class=t%s>" + "<div>" * 40 + "<p>{}</p>" + "</div>" * 40 + "</div><div class=extra>" + "<div>" * 40 + "<p>{}</p></div></body>"
-    pages = [("http://h.org/", (page % n).format(STORY, "x")) for n in names for _ in range(3)]
-    pages += [("http://h.org/", (page % n).format("short.", "much longer than the story " * 9)) for n in names]
+    page = "<body><div class=t%s>" + "<div>" * 40 + "<p>{}</p>" + "</div>" * 40 + "</div><div class=e%s>" + "<div>" * 40 + "<p>{}</p></div></body>"
+    pages = [("http://h.org/", (page % (n, n)).format(STORY, "x")) for n in names for _ in range(3)]
+    pages += [("http://h.org/", (page % (n, n)).format("short.", "much longer than the story " * 9)) for n in names]
     assert texts_of(spark, pages, max_voted=max_voted) == [STORY.strip()] * 90 + ["short."] * 30
 
 

@@ -9,7 +9,7 @@ join is left to Catalyst/AQE (shuffle hash or sort-merge).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelens import rules
@@ -62,3 +62,16 @@ def compat_aliases(spark: SparkSession) -> DataFrame:
 
 def tech_dim(spark: SparkSession) -> DataFrame:
     return literal_dim(spark, rules.TECH_EVALUATION, "name string, approved boolean, status string, testing_level string")
+
+
+def sql_text(v: str | None) -> str:
+    """A string (or null) as a literal of Spark SQL."""
+    if v is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def literal_array(values: list[str]) -> Column:
+    """An array of strings, parsed at once: the time to build a plan is that of
+    the calls into the JVM, and a column per literal is three of them."""
+    return F.expr("array(" + ", ".join(map(sql_text, values)) + ")")

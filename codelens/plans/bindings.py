@@ -11,8 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from codelens import rules
+from codelens.dims import literal_array
 
 # Feature vocabulary used by the lineitem-based views: every mapped feature
 # key, then the detector keys that have no mapping (they resolve to unknown).
@@ -26,8 +28,16 @@ STATUS_CYCLE = ["supported", "partial", "unsupported", "unknown"]
 FILES_PER_SUPPLIER = 7
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table.  Its schema is read from the files once (a job of its own);
+    a plan that reads the table in several places does not infer it again."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def sql_list(values: list[str]) -> str:
@@ -35,7 +45,7 @@ def sql_list(values: list[str]) -> str:
 
 
 def _pick(values: list[str], idx0: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx0 + 1).cast("int"))
+    return F.element_at(literal_array(values), (idx0 + 1).cast("int"))
 
 
 # -- v_features: (scan_id, file, feature) from lineitem ----------------------

@@ -12,7 +12,6 @@ from codelens.plans import bindings as V
 from codelens.plans.catalog import QUERIES, register
 from codelens.plans.q_joins import AGG27_SQL, JOIN05_SQL, JOIN06_SQL, JOIN14_SQL
 from codelens.plans.q_scores import COMPAT_ROWS_SQL, RECS_SQL, flags
-from codelens.session import ensure_checkpoint_dir
 from codelens.sources import sinks as K
 
 FIND = f"({V.V_FINDINGS_SQL})"
@@ -28,42 +27,48 @@ def scans(spark, sf_dir):
 SCANS_SQL = f"SELECT scan_id, 'https://example.org/org/' || scan_id AS repo_url FROM (SELECT DISTINCT scan_id FROM {FIND})"
 
 
+LISTED = {"supported": "supported_feature", "partial": "partial_feature", "unsupported": "unsupported_item"}
+
+
+def _by_status(names: dict[str, str]):
+    topic = F.lit(None).cast("string")
+    for status, name in names.items():
+        topic = F.when(F.col("status") == status, name).otherwise(topic)
+    return topic.alias("topic")
+
+
 def facts(spark, sf_dir):
-    """Everything that the CSV and Markdown reports show, long form."""
+    """Everything that the CSV and Markdown reports show, long form: one or two
+    branches per source table, which a report that does not show a topic never computes."""
     features, dim = V.v_features(spark, sf_dir), dims.feature_dim(spark)
-    ensure_checkpoint_dir(spark)
-    classes = S.compat_classes(features, dim).checkpoint()  # used by six topics
-    recs = S.recommendations(flags(spark, sf_dir)).checkpoint()
+    classes = S.compat_classes(features, dim)
+    recs = S.recommendations(flags(spark, sf_dir))
     findings = V.v_findings(spark, sf_dir)
     times = V.table(spark, sf_dir, "events").groupBy(V._pick(V.SCANS, F.col("user_id") % 3).alias("scan_id")).agg(
         F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last"))
-    stats = S.scan_statistics(features.select("scan_id", "file").distinct(), features.filter(F.col("feature").isNotNull()).select(
-        "scan_id", "file").distinct(), findings).checkpoint()
-    out = {"repo": scans(spark, sf_dir).select("scan_id", F.concat(F.lit("org/"), F.col("scan_id")).alias("name")),
-           "started": times.select("scan_id", F.col("first").alias("name")), "completed": times.select("scan_id", F.col("last").alias("name")),
-           "scan_date": times.select("scan_id", F.col("last").alias("name"))}
-    for status, counted, listed in (("supported",) * 2 + ("supported_feature",), ("partial",) * 2 + ("partial_feature",),
-                                    ("unsupported",) * 2 + ("unsupported_item",)):
-        mine = classes.filter(F.col("status") == status)
-        out[counted] = mine.groupBy("scan_id").agg(F.count(F.lit(1)).alias("name"))
-        out[listed] = mine.select("scan_id", F.col("feature").alias("name"))
-    out["suggested"] = recs.groupBy("scan_id").agg(F.count(F.lit(1)).alias("name"))
-    out["recommendation"] = recs.select("scan_id", F.col("recommendation").alias("name"), "ord")
-    out["missing_config"] = QUERIES["JOIN-14"](spark, sf_dir).select("scan_id", "name")
-    out["framework"] = QUERIES["JOIN-06"](spark, sf_dir).select("scan_id", F.col("framework").alias("name"), F.col("version").alias("value"))
+    with_feature = features.filter(F.col("feature").isNotNull()).select("scan_id", "file")
+    stats = S.scan_statistics(features.select("scan_id", "file").distinct(), with_feature.distinct(), findings)
     deps = J.dependency_status(V.v_deps(spark, sf_dir), V.v_outdated(spark, sf_dir))
-    out["dependency"] = deps.select("scan_id", "name", F.concat("version", F.lit(" ("), "status", F.lit(")")).alias("value"), "ord")
-    out["upgrade"] = V.v_outdated(spark, sf_dir).filter("current <> latest").select(
-        "scan_id", "name", F.concat("current", F.lit(" -> "), "latest").alias("value"))
-    told = findings.filter(F.col("kind").isin(S.INSECURE, S.POLICY)).select("scan_id", F.col("title").alias("name"),
-                                                                           F.col("description").alias("value"), "ord")
-    out["security"] = told.filter(~F.col("name").isin(PERF))
-    out["performance"] = told.filter(F.col("name").isin(PERF))
-    out["config_file"] = V.v_names(spark, sf_dir).filter(F.col("kind") == "configFiles").select("scan_id", "name")
-    for topic, column in (("files_scanned", "files_scanned"), ("files_ignored", "files_ignored"), ("issues_found", "issues_found")):
-        out[topic] = stats.select("scan_id", F.col(column).alias("name"))
-    out["warning"] = stats.select("scan_id", F.explode(F.filter(F.split("warnings", "\n"), lambda w: w != "")).alias("name"))
-    return K.report_facts(out).checkpoint()
+    told = findings.filter(F.col("kind").isin(S.INSECURE, S.POLICY))
+    return K.report_facts([
+        K.topics_of(scans(spark, sf_dir), {"repo": F.concat(F.lit("org/"), F.col("scan_id"))}),
+        K.topics_of(times, {"started": F.col("first"), "completed": F.col("last"), "scan_date": F.col("last")}),
+        classes.groupBy("scan_id", "status").agg(F.count(F.lit(1)).alias("name")).select("scan_id", _by_status({s: s for s in LISTED}), "name"),
+        classes.select("scan_id", _by_status(LISTED), F.col("feature").alias("name")),
+        K.topics_of(recs.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n")), {"suggested": F.col("n")}),
+        recs.select("scan_id", F.lit("recommendation").alias("topic"), F.col("recommendation").alias("name"), "ord"),
+        QUERIES["JOIN-14"](spark, sf_dir).select("scan_id", F.lit("missing_config").alias("topic"), "name"),
+        QUERIES["JOIN-06"](spark, sf_dir).select("scan_id", F.lit("framework").alias("topic"), F.col("framework").alias("name"),
+                                                 F.col("version").alias("value")),
+        deps.select("scan_id", F.lit("dependency").alias("topic"), "name", F.concat("version", F.lit(" ("), "status", F.lit(")")).alias("value"), "ord"),
+        V.v_outdated(spark, sf_dir).filter("current <> latest").select(
+            "scan_id", F.lit("upgrade").alias("topic"), "name", F.concat("current", F.lit(" -> "), "latest").alias("value")),
+        told.select("scan_id", F.when(F.col("title").isin(PERF), "performance").otherwise("security").alias("topic"),
+                    F.col("title").alias("name"), F.col("description").alias("value"), "ord"),
+        V.v_names(spark, sf_dir).filter(F.col("kind") == "configFiles").select("scan_id", F.lit("config_file").alias("topic"), "name"),
+        K.topics_of(stats, {c: F.col(c) for c in ("files_scanned", "files_ignored", "issues_found")},
+                    {"warning": F.filter(F.split("warnings", "\n"), lambda w: w != "")}),
+    ])
 
 
 _PERF = ", ".join(f"'{p}'" for p in PERF)
@@ -196,15 +201,21 @@ FROM ({SCANS_SQL}) s
 @register("SNK-01", SNK01_SQL)
 def q_snk01(spark, sf_dir):
     all_scans = scans(spark, sf_dir)
-    told = facts(spark, sf_dir)
-    ids = all_scans.select("scan_id")
-
-    def objects(lists=(), numbers=()):
-        """One row per scan with a sorted list or a number per topic."""
-        per = told.groupBy("scan_id").agg(
-            *[F.sort_array(F.collect_list(F.when(F.col("topic") == t, F.col("name")))).alias(n) for n, t in lists],
-            *[F.coalesce(F.max(F.when(F.col("topic") == t, F.col("name").cast("long"))), F.lit(0).cast("long")).alias(n) for n, t in numbers])
-        return ids.join(per, "scan_id")
+    # one row per scan with a sorted list or a number per topic, in one aggregate
+    names = lambda t: F.sort_array(F.collect_list(F.when(F.col("topic") == t, F.col("name"))))
+    number = lambda t: F.coalesce(F.max(F.when(F.col("topic") == t, F.col("name").cast("long"))), F.lit(0).cast("long"))
+    objects = {
+        "architecture": {"configFiles": names("config_file")},
+        "compatibility": {"supportedFeatures": names("supported_feature"), "partialFeatures": names("partial_feature"),
+                          "unsupportedCode": names("unsupported_item"), "missingConfigs": names("missing_config"),
+                          "recommendations": names("recommendation")},
+        "analytics": {c: number(c) for c in ("supported", "partial", "unsupported", "suggested")},
+        "summaryLog": {"filesScanned": number("files_scanned"), "filesIgnored": number("files_ignored"),
+                       "issuesFound": number("issues_found"), "warnings": names("warning")}}
+    shown = ["config_file", "supported_feature", "partial_feature", "unsupported_item", "missing_config", "recommendation", "supported",
+             "partial", "unsupported", "suggested", "files_scanned", "files_ignored", "issues_found", "warning"]
+    per = facts(spark, sf_dir).where(F.col("topic").isin(shown)).groupBy("scan_id").agg(
+        *[F.struct(*[c.alias(k) for k, c in columns.items()]).alias(name) for name, columns in objects.items()])
     kinds = V.v_findings(spark, sf_dir).groupBy("scan_id").agg(*[
         F.sum((F.col("kind") == k).cast("int")).cast("long").alias(n)
         for n, k in (("vulnerabilities", S.VULN), ("insecureApiCalls", S.INSECURE), ("missingPolicies", S.POLICY))])
@@ -212,15 +223,8 @@ def q_snk01(spark, sf_dir):
         F.sort_array(F.collect_set("feature")).alias("features"))
     parts = {
         "repoDetails": all_scans.select("scan_id", F.concat(F.lit("org/"), F.col("scan_id")).alias("repoName")),
-        "projectFeatures": feats, "architecture": objects([("configFiles", "config_file")]),
-        "compatibility": objects([("supportedFeatures", "supported_feature"), ("partialFeatures", "partial_feature"),
-                                  ("unsupportedCode", "unsupported_item"), ("missingConfigs", "missing_config"),
-                                  ("recommendations", "recommendation")]),
+        "projectFeatures": feats,
         "securityAndPerformance": kinds,
         "modernizationSuggestions": V.v_suggestions(spark, sf_dir).select("scan_id", "ord", "title", "severity", "category", "file"),
-        "analytics": objects(numbers=[(c, c) for c in ("supported", "partial", "unsupported", "suggested")]),
-        "summaryLog": objects([("warnings", "warning")], [("filesScanned", "files_scanned"), ("filesIgnored", "files_ignored"),
-                                                          ("issuesFound", "issues_found")]).select(
-            "scan_id", "filesScanned", "filesIgnored", "issuesFound", "warnings"),
     }
-    return K.report_json(all_scans, parts, GENERATED_AT)
+    return K.report_json(all_scans.join(per, "scan_id", "left"), parts, GENERATED_AT)

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codelens.dims import sql_text
+
 API_VERSION = "v1"
 
 
@@ -34,8 +36,9 @@ def report_json(scans: DataFrame, parts: dict[str, DataFrame], generated_at: str
     A part is a table with one row per scan, which becomes an object of its
     columns (missing: ``{}``); a list part has any number of rows per scan and
     becomes an array sorted by its columns (missing: ``[]``).  A list holds what
-    one report shows of one scan."""
-    out = scans.select("scan_id", "repo_url")
+    one report shows of one scan.  A part may also be a struct column of ``scans`` under its name."""
+    own = [n for n in REPORT_PARTS if n in scans.columns and n not in parts]
+    out = scans.select("scan_id", "repo_url", *[F.to_json(F.col(n), _JSON).alias(n) for n in own])
     for name in REPORT_PARTS:
         df = parts.get(name)
         if df is None:
@@ -46,7 +49,7 @@ def report_json(scans: DataFrame, parts: dict[str, DataFrame], generated_at: str
     fields = [F.concat(F.lit('"id":'), _json_value(F.col("scan_id"))), F.concat(F.lit('"repoUrl":'), _json_value(F.col("repo_url")))]
     for name in REPORT_PARTS:
         empty = F.lit("[]" if name in REPORT_LISTS else "{}")
-        fields.append(F.concat(F.lit(f'"{name}":'), F.coalesce(F.col(name), empty) if name in parts else empty))
+        fields.append(F.concat(F.lit(f'"{name}":'), F.coalesce(F.col(name), empty) if name in out.columns else empty))
     fields += [F.concat(F.lit('"generatedAt":'), _json_value(F.lit(generated_at))), F.lit(f'"apiVersion":"{API_VERSION}"')]
     return out.select("scan_id", F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("document"))
 
@@ -109,15 +112,27 @@ MARKDOWN = [
 ]
 
 
-def report_facts(topics: dict[str, DataFrame]) -> DataFrame:
-    """(scan_id, topic, ord, name, value) from one table (scan_id, name[, value][, ord]) per topic."""
-    parts = []
-    for topic, df in topics.items():
+def topics_of(df: DataFrame, topics: dict[str, F.Column], lists: dict[str, F.Column] | None = None) -> DataFrame:
+    """(scan_id, topic, name) of a table with one row per scan: a row per topic, and
+    one per entry of each array in ``lists``, in one pass over the table."""
+    one = F.array(*[F.struct(F.lit(t).alias("topic"), c.cast("string").alias("name")) for t, c in topics.items()])
+
+    def entries(topic: str, values: F.Column) -> F.Column:
+        return F.transform(values, lambda v: F.struct(F.lit(topic).alias("topic"), v.cast("string").alias("name")))
+
+    more = [entries(t, c) for t, c in (lists or {}).items()]
+    return df.select("scan_id", F.explode(F.concat(one, *more) if more else one).alias("_e")).select("scan_id", "_e.topic", "_e.name")
+
+
+def report_facts(parts: list[DataFrame]) -> DataFrame:
+    """(scan_id, topic, ord, name, value) from tables (scan_id, topic, name[, value][, ord]); rows without a topic are left out."""
+    out = []
+    for df in parts:
         value = F.col("value").cast("string") if "value" in df.columns else F.lit(None).cast("string")
         order = F.col("ord").cast("long") if "ord" in df.columns else F.lit(0).cast("long")
-        parts.append(df.select("scan_id", F.lit(topic).alias("topic"), order.alias("ord"), F.col("name").cast("string").alias("name"),
-                               value.alias("value")))
-    return reduce(DataFrame.unionByName, parts)
+        out.append(df.where(F.col("topic").isNotNull()).select("scan_id", "topic", order.alias("ord"), F.col("name").cast("string").alias("name"),
+                                                               value.alias("value")))
+    return reduce(DataFrame.unionByName, out)
 
 
 def report_lines(scans: DataFrame, facts: DataFrame, layout: list[tuple], csv: bool) -> DataFrame:
@@ -127,9 +142,11 @@ def report_lines(scans: DataFrame, facts: DataFrame, layout: list[tuple], csv: b
     fixed = [(i, e[0], e[1], *((None,) * 3 if e[0] == "text" else e[2:5])) for i, e in enumerate(layout) if e[0] != "list"]
     lists = [(i, e[1], e[2], e[3]) for i, e in enumerate(layout) if e[0] == "list"]
     spark = scans.sparkSession
-    entry = F.array(*[F.struct(F.lit(i).alias("section_ord"), F.lit(kind).alias("kind"), F.lit(topic).alias("topic"),
-                               *[F.lit(v).cast("string").alias(n) for n, v in zip("abd", rest)]) for i, kind, topic, *rest in fixed])
-    single = facts.groupBy("scan_id", "topic").agg(F.max(F.coalesce("value", "name")).alias("value"))
+    entry = F.expr("array(" + ", ".join(
+        f"named_struct('section_ord', {i}, 'kind', '{kind}', 'topic', {sql_text(topic)}, "
+        + ", ".join(f"'{n}', {sql_text(v)}" for n, v in zip("abd", rest)) + ")" for i, kind, topic, *rest in fixed) + ")")
+    # no topic is in both kinds of entries: every branch of the facts is computed for one of them
+    single = facts.where(F.col("topic").isin([t for _i, kind, t, *_r in fixed if kind == "value"])).groupBy("scan_id", "topic").agg(F.max(F.coalesce("value", "name")).alias("value"))
     rows = scans.select("scan_id", F.explode(entry).alias("e")).select("scan_id", "e.*").join(single, ["scan_id", "topic"], "left")
     value = F.coalesce("value", "d")
     if csv:
@@ -138,7 +155,7 @@ def report_lines(scans: DataFrame, facts: DataFrame, layout: list[tuple], csv: b
         line = F.when(F.col("kind") == "text", F.col("topic")).otherwise(F.concat("a", value, F.coalesce("b", F.lit(""))))
     one = rows.select("scan_id", "section_ord", F.lit(0).cast("long").alias("ord"), line.alias("line")).filter(F.col("line").isNotNull())
     kinds = F.broadcast(spark.createDataFrame(lists, "section_ord int, topic string, a string, b string"))  # a fixed list
-    hits = facts.join(kinds, "topic").join(scans.select("scan_id").distinct(), "scan_id", "left_semi")
+    hits = facts.where(F.col("topic").isin([t for _i, t, _a, _b in lists])).join(kinds, "topic").join(scans.select("scan_id").distinct(), "scan_id", "left_semi")
     if csv:
         key = F.coalesce("b", "name")
         shown = F.when(F.col("b").isNotNull(), F.col("name")).otherwise(F.col("value"))

@@ -68,7 +68,8 @@ def sql_text(v: str | None) -> str:
     """A string (or null) as a literal of Spark SQL."""
     if v is None:
         return "CAST(NULL AS STRING)"
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+    # "${" would be read as a variable of the session
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n").replace("${", "\\u0024{") + "'"
 
 
 def literal_array(values: list[str]) -> Column:

@@ -15,17 +15,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def snapshots(baseline: DataFrame, scans: list[str]) -> DataFrame:
+    """One row per (file, feature) seen in any of ``scans`` (up to 63): ``present``
+    with a bit per scan, in their order, and ``statuses`` with the first status in
+    each (by ``ord`` if present; null where absent).
+
+    Any two of the scans are compared from this frame (``pair``): the table is read
+    and shuffled once for all of them."""
+    if len(scans) > 63:
+        raise ValueError("a row has bits for 63 scans")
+    order_key = F.col("ord") if "ord" in baseline.columns else F.lit(0)
+    st = F.coalesce(F.col("status"), F.lit("unknown")) if "status" in baseline.columns else F.lit("unknown")
+    bit, statuses = F.lit(0).cast("long"), []
+    for i, scan in enumerate(scans):
+        mine = F.col("scan_id") == scan
+        bit = F.when(mine, F.lit(1 << i).cast("long")).otherwise(bit)
+        statuses.append(F.min_by(F.when(mine, st), F.when(mine, order_key)))
+    return baseline.filter(F.col("scan_id").isin(list(scans))).groupBy("file", "feature").agg(
+        F.bit_or(bit).alias("present"), F.array(*statuses).alias("statuses"))
+
+
+def pair(frame: DataFrame, scans: list[str], a: str, b: str) -> DataFrame:
+    """(file, feature, in_a, in_b, status_a, status_b) of two scans of a ``snapshots`` frame."""
+    i, j = scans.index(a), scans.index(b)
+
+    def bit(k):
+        return F.shiftright("present", k).bitwiseAND(F.lit(1).cast("long")).cast("int")
+
+    return frame.select("file", "feature", bit(i).alias("in_a"), bit(j).alias("in_b"), F.element_at("statuses", i + 1).alias("status_a"),
+                        F.element_at("statuses", j + 1).alias("status_b")).filter((F.col("in_a") == 1) | (F.col("in_b") == 1))
+
+
 def pair_features(baseline: DataFrame, a: str, b: str) -> DataFrame:
     """One row per (file, feature) seen in scan ``a`` or ``b`` with presence
     flags and the first status in each snapshot (by ``ord`` if present)."""
-    ab = baseline.filter(F.col("scan_id").isin(a, b))
-    order_key = F.col("ord") if "ord" in baseline.columns else F.lit(0)
-    st = F.coalesce(F.col("status"), F.lit("unknown")) if "status" in baseline.columns else F.lit("unknown")
-    in_a, in_b = F.col("scan_id") == a, F.col("scan_id") == b
-    return ab.groupBy("file", "feature").agg(
-        F.max(in_a.cast("int")).alias("in_a"), F.max(in_b.cast("int")).alias("in_b"),
-        F.min_by(F.when(in_a, st), F.when(in_a, order_key)).alias("status_a"),
-        F.min_by(F.when(in_b, st), F.when(in_b, order_key)).alias("status_b"))
+    scans = list(dict.fromkeys([a, b]))
+    return pair(snapshots(baseline, scans), scans, a, b)
 
 
 def diff_features(features: DataFrame, a: str, b: str) -> DataFrame:
@@ -99,19 +124,27 @@ def diff_summary(baseline: DataFrame, suggestions: DataFrame, a: str, b: str) ->
     """AGG-25: files changed (files with a status change), features added,
     features removed, suggestions added, suggestions removed.
 
-    The three diffs are unioned as (metric, value) rows and folded by one
-    global aggregate (no join between the one-row results)."""
-    st = diff_status(baseline, a, b).select(F.lit("files_changed").alias("m"), F.col("file").alias("v"))
-    fe = diff_features(baseline, a, b).select(
-        F.concat(F.lit("features_"), F.col("change")).alias("m"), F.lit(None).cast("string").alias("v"))
-    sg = diff_suggestions(suggestions, a, b).select(
-        F.concat(F.lit("suggestions_"), F.col("change")).alias("m"), F.lit(None).cast("string").alias("v"))
-    u = st.unionByName(fe).unionByName(sg)
-
-    def n(metric):
-        return F.sum(F.when(F.col("m") == metric, 1).otherwise(0)).cast("long").alias(metric)
-    return u.agg(F.count_distinct(F.when(F.col("m") == "files_changed", F.col("v"))).alias("files_changed"),
-                 n("features_added"), n("features_removed"), n("suggestions_added"), n("suggestions_removed"))
+    Each table is read once: features by one ``snapshots`` frame, suggestions
+    by their number per key in either scan.  Both give one row per file or key with
+    its counts, and one global aggregate adds them up."""
+    names = ["files_changed", "features_added", "features_removed", "suggestions_added", "suggestions_removed"]
+
+    def counts(df: DataFrame, **given):
+        return df.select(*[given.get(n, F.lit(0)).cast("long").alias(n) for n in names])
+
+    p = pair_features(baseline, a, b)
+    both = (F.col("in_a") == 1) & (F.col("in_b") == 1)
+    files = p.groupBy("file").agg(
+        F.max((both & (F.coalesce("status_a", F.lit("unknown")) != F.coalesce("status_b", F.lit("unknown")))).cast("int")).alias("changed"),
+        F.sum(F.when(F.col("in_a") == 0, 1).otherwise(0)).alias("added"), F.sum(F.when(F.col("in_b") == 0, 1).otherwise(0)).alias("removed"))
+    # a null file is no file that changed
+    files = counts(files, files_changed=F.when(F.col("file").isNotNull(), F.col("changed")).otherwise(0),
+                   features_added=F.col("added"), features_removed=F.col("removed"))
+    of = lambda scan: F.sum((F.col("scan_id") == scan).cast("int"))
+    keys = suggestions.filter(F.col("scan_id").isin(a, b)).groupBy(suggestion_key().alias("key")).agg(of(a).alias("in_a"), of(b).alias("in_b"))
+    keys = counts(keys, suggestions_added=F.when(F.col("in_a") == 0, F.col("in_b")).otherwise(0),
+                  suggestions_removed=F.when(F.col("in_b") == 0, F.col("in_a")).otherwise(0))
+    return files.unionByName(keys).agg(*[F.coalesce(F.sum(n), F.lit(0).cast("long")).alias(n) for n in names])
 
 
 # -- set operations -----------------------------------------------------------

@@ -51,3 +51,28 @@ def test_router(spark):
 @pytest.mark.parametrize("query", [q_joins.q_join12, q_joins.q_join13, q_joins.q_join14, q_detect.q_det31])
 def test_not_empty(spark, query):
     assert query(spark, SF).limit(1).count() == 1
+
+
+def test_literals_of_sql(spark):
+    from codelens.dims import literal_array, sql_text
+    values = ["a'b", 'c"d', "e\\f", "\\n", "g\nh", "${user}", "$1", "`", "é\t", "", "%s {x}", "\\u0041"]
+    assert spark.range(1).select(literal_array(values).alias("v")).first().v == values
+    assert spark.sql(f"SELECT {sql_text(None)} IS NULL AS x").first().x
+
+
+def test_snapshots_compare_any_two_scans(spark):
+    from codelens.operators import diff as D
+    rows = [("a", "f", "x", "supported"), ("a", "f", "y", None), ("b", "f", "x", "partial"), ("c", "f", "y", "partial"), ("c", "g", "x", "supported"),
+            ("d", "f", "x", "supported"), ("b", "f", "x", "partial")]
+    base = spark.createDataFrame(rows, "scan_id string, file string, feature string, status string")
+    scans = ["a", "b", "c"]
+    frame = D.snapshots(base, scans)
+    assert {(r.file, r.feature): r.present for r in frame.collect()} == {("f", "x"): 3, ("f", "y"): 5, ("g", "x"): 4}
+    for a, b in (("a", "b"), ("b", "c"), ("c", "a")):
+        assert sorted(map(tuple, D.pair(frame, scans, a, b).collect())) == sorted(map(tuple, D.pair_features(base, a, b).collect()))
+    sugg = spark.createDataFrame([("a", "1", "f", "t"), ("a", None, "f", "t"), ("c", "1", "f", "t"), ("c", "2", "f", "t"), ("c", "2", "g", "u")],
+                                 "scan_id string, id string, file string, title string")
+    assert tuple(D.diff_summary(base, sugg, "a", "c").first()) == (1, 1, 1, 2, 1)
+    assert tuple(D.diff_summary(base, sugg, "a", "a").first()) == (0, 0, 0, 0, 0)
+    p = D.diff_summary(base, sugg, "a", "c")._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("LogicalRDD") + p.count("LocalRelation") == 2

@@ -48,11 +48,14 @@ LINE_SQL = r"""
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                       generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no FROM documents),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS pos FROM lines
-             WHERE regexp_matches(line, '[^ 	-
-]')),
+             WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 pairs AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM numbered),
 later AS (SELECT *, row_number() OVER (PARTITION BY line, following ORDER BY doc_id, pos) AS copy FROM pairs WHERE following IS NOT NULL),
-gone AS (SELECT doc_id, pos FROM later WHERE copy > 1 UNION SELECT doc_id, pos + 1 FROM later WHERE copy > 1),
+single AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS copy FROM numbered
+           WHERE len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) >= 10),
+whole AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS copy FROM documents) WHERE copy > 1),
+gone AS (SELECT doc_id, pos FROM later WHERE copy > 1 UNION SELECT doc_id, pos + 1 FROM later WHERE copy > 1
+         UNION SELECT doc_id, pos FROM single WHERE copy > 1 UNION SELECT doc_id, pos FROM numbered WHERE doc_id IN (SELECT doc_id FROM whole)),
 kept AS (SELECT l.doc_id, sha256(string_agg(l.line, chr(10) ORDER BY l.no)) AS h
          FROM lines l LEFT JOIN numbered n ON n.doc_id = l.doc_id AND n.no = l.no
          WHERE (l.doc_id, coalesce(n.pos, -1)) NOT IN (SELECT doc_id, pos FROM gone) GROUP BY l.doc_id)

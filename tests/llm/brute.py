@@ -54,19 +54,24 @@ def substring_dedup(rows, length=35):
     return out
 
 
-def line_dedup(rows, min_lines):
+def line_dedup(rows, min_lines, long_words=10):
     lines = [(d, (t or "").split("\n")) for d, t in rows]
     numbered = [(d, [(i, x) for i, x in enumerate(ls) if WORD.search(x)]) for d, ls in lines]
-    first = {}
-    for d, ls in sorted(numbered, key=lambda r: order(r[0])):
-        for p in range(len(ls) - min_lines + 1):
-            first.setdefault(tuple(x for _i, x in ls[p:p + min_lines]), (order(d), p))
+    first, texts = {}, {}
+    for (d, t), (_d, ls) in sorted(zip(rows, numbered), key=lambda r: order(r[0][0])):
+        texts.setdefault(t or "", order(d))
+        for p in range(len(ls)):
+            for n in {1, min_lines}:
+                if p + n <= len(ls):
+                    first.setdefault(tuple(x for _i, x in ls[p:p + n]), (order(d), p))
     out = []
     for (d, every), (_d, ls) in zip(lines, numbered):
-        gone = set()
-        for p in range(len(ls) - min_lines + 1):
-            if first[tuple(x for _i, x in ls[p:p + min_lines])] < (order(d), p):
-                gone.update(i for i, _x in ls[p:p + min_lines])
+        gone = {i for i, _x in ls} if texts["\n".join(every)] < order(d) else set()
+        for p in range(len(ls)):
+            for n in {1, min_lines}:
+                run = tuple(x for _i, x in ls[p:p + n])
+                if p + n <= len(ls) and (n == min_lines or len(words(run[0])) >= long_words) and first[run] < (order(d), p):
+                    gone.update(i for i, _x in ls[p:p + n])
         out.append((d, len(ls), len(gone), sha("\n".join(x for i, x in enumerate(every) if i not in gone).encode())))
     return out
 

@@ -91,7 +91,8 @@ def repeated_starts(lines: DataFrame, min_lines: int) -> DataFrame:
 
 def _later(ranks: DataFrame, lines: int) -> DataFrame:
     me = F.struct("least", "node", "pos")
-    original = ranks.groupBy("rank").agg(F.min(me).alias("original"))
+    # written out, so that the join is one of its own, whose hot ranks Spark can split
+    original = materialize(ranks.groupBy("rank").agg(F.min(me).alias("original")))
     return (ranks.join(original, "rank").where(me != F.col("original"))
             .select("node", "pos", F.lit(lines).alias("lines"), F.col("original.node").alias("from_node"), F.col("original.pos").alias("from_pos")))
 

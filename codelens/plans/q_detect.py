@@ -37,18 +37,18 @@ def q_det03(spark, sf_dir):
     return D.project_features(f).select("scan_id", F.array_join("features", ",").alias("features"))
 
 
-# DET-17: insecure http:// references, run over each page's source URL.
+# DET-17: insecure http:// references in each page's address and whole text.
 DET17_SQL = f"""
 SELECT scan_id, path AS file, 'insecure_api' AS kind, 'Insecure HTTP usage' AS title, 'High' AS severity,
        'Found http:// reference in ' || basename AS description
-FROM {PAGES} WHERE regexp_matches(url, '(?i)http://')
+FROM {PAGES} WHERE regexp_matches(concat_ws(chr(10), url, content), '(?i)http://')
 """
 
 
 @register("DET-17", DET17_SQL)
 def q_det17(spark, sf_dir):
-    links = V.v_pages(spark, sf_dir).withColumn("content", F.col("url"))
-    return D.detect_security(links, [".html"])
+    pages = V.v_pages(spark, sf_dir).withColumn("content", F.concat_ws("\n", "url", "content"))
+    return D.detect_security(pages, [".html"]).filter(F.col("title") == "Insecure HTTP usage")
 
 
 @register("DET-18", None)

@@ -1,6 +1,7 @@
 """Line dedup: later copies of repeated runs of lines are deleted.
 
-Documents are sequences of line ids (128-bit hashes of their non-blank lines).
+Documents are sequences of line ids (128-bit BLAKE2b digests of their non-blank lines, so
+equal ids stand for equal lines).
 Suffixes of all sequences are ranked by distributed prefix doubling: a suffix's
 rank counts the suffixes that sort before it by their first ``depth`` lines, and
 the ranks at depth ``d`` and ``d`` lines further on give the ranks at depth
@@ -31,7 +32,6 @@ from codelens.llm.winnow import NO_ID, Chunk, TextStore, key_buckets, key_levels
 
 PIECE = 1 << 18
 RANK_BITS = 12
-_OTHER = T.mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x452821E638D01377))
 
 
 def line_ids(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -43,8 +43,9 @@ def line_ids(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
         n = np.searchsorted(words, b) - np.searchsorted(words, a)
         a, b, n = a[n > 0], b[n > 0], n[n > 0]
         counts.append(n)
-        one.append(T.span_hash(T.prefix_hash(data), a, b))
-        two.append(T.span_hash(T.prefix_hash(_OTHER[data]), a, b))
+        halves = T.span_digests(data, a, b)
+        one.append(halves[:, 0])
+        two.append(halves[:, 1])
         sizes.append(np.bincount(T.rows_of(a, offsets), minlength=len(offsets) - 1))
     if not one:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64)

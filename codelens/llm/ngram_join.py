@@ -56,7 +56,7 @@ def shingle_sets(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     parts, sizes = [], []
     for _first, data, offsets in chunk.pieces(PIECE):
         a, b = T.words_of(data, offsets)
-        words = T.span_hash(T.prefix_hash(data), a, b)
+        words = T.span_ids(data, a, b)
         at = T.counts_to_offsets(T.rows_of(a, offsets), len(offsets) - 1)
         grams = T.fold_hash(words, SHINGLE)
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist()):

@@ -7,6 +7,7 @@ piece of its own), so memory does not depend on the batch size.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -113,6 +114,27 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64((prefix[ends] - prefix[starts]) * down[starts])
 
 
+#: From this many bytes on a span is identified by a digest: long texts of two letters can have equal polynomial
+#: hashes modulo 2^64 under any base (a Thue-Morse word of 1,024 letters and its complement do).
+LONG_SPAN = 64
+
+
+def span_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit ids of the spans by their bytes alone: the polynomial hash, and a BLAKE2b digest for long spans."""
+    ids = span_hash(prefix_hash(data), starts, ends)
+    for i in np.flatnonzero(ends - starts >= LONG_SPAN).tolist():
+        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
+        ids[i] = np.frombuffer(digest, dtype=np.uint64)[0]
+    return ids
+
+
+def span_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(n, 2) halves of the 128-bit BLAKE2b digests of the spans: equal digests stand for equal bytes."""
+    raw, digest = data.tobytes(), hashlib.blake2b
+    joined = b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist())])
+    return np.frombuffer(joined, dtype=np.uint64).reshape(-1, 2)
+
+
 def fold_hash(values: np.ndarray, k: int) -> np.ndarray:
     """Order-sensitive hash of every k consecutive 64-bit values (length n-k+1)."""
     n = len(values) - k + 1

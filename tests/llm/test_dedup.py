@@ -126,3 +126,23 @@ def test_rolling_and_minimum():
     for w in (1, 4, 33):
         best = winnow.leftmost_minimum(v << np.uint64(32), w)
         assert [int(v[i:i + w].argmin()) + i for i in range(len(v) - w + 1)] == best.tolist()
+
+
+def twins(k=10):
+    """Two different words of 2^k letters with equal polynomial hashes modulo 2^64 (from k = 10 on)."""
+    word = ["ab"[bin(i).count("1") % 2] for i in range(1 << k)]
+    return "".join(word), "".join("ba"[c == "b"] for c in word)
+
+
+def test_long_words_of_equal_polynomial_hash_are_different(spark):
+    one, two = twins()
+    data = np.frombuffer((one + two).encode(), dtype=np.uint8)
+    a, b = np.array([0, 1024]), np.array([1024, 2048])
+    assert len(set(winnow.T.span_hash(winnow.T.prefix_hash(data), a, b).tolist())) == 1
+    assert len(set(winnow.T.span_ids(data, a, b).tolist())) == 2
+    assert len({tuple(x) for x in winnow.T.span_digests(data, a, b).tolist()}) == 2
+    rows = [(1, f"{one}\nalpha beta\n{one}"), (2, f"{two}\nalpha beta\n{two}"), (3, f"{one}\nalpha beta"),
+            (4, f"{one} w x y z"), (5, f"{two} w x y z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(line_dedup.delete_repeats(docs, 2).select("doc_id", "n_lines", "n_removed", "kept_sha256"), brute.line_dedup(rows, 2))
+    same(ngram_join.near_duplicate_groups(docs), brute.near_groups(rows))

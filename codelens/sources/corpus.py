@@ -8,9 +8,6 @@ per-scan queries prune partitions and binaryFile listing is paid once).
 
 from __future__ import annotations
 
-import io
-import zipfile
-import zlib
 from functools import reduce
 from typing import Iterator
 
@@ -21,6 +18,7 @@ from pyspark.sql import functions as F
 from codelens.dims import broadcast_if_few
 from codelens.functions.scalar import basename, dirname, ext
 from codelens.session import ensure_checkpoint_dir
+from codelens.sources.archives import archive_rows
 
 FILES_SCHEMA = "scan_id string, path string, dir string, basename string, ext string, size long, content string"
 
@@ -255,51 +253,17 @@ def max_size(files: DataFrame, max_bytes: int) -> DataFrame:
     return files if not max_bytes else files.filter(F.col("size") <= max_bytes)
 
 
-def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Entries of each archive, handed on a few megabytes at a time; what cannot
-    be read becomes a row with an error."""
-    names = ["scan_id", "path", "size", "content", "error"]
-    for pdf in batches:
-        for scan_id, blob in zip(pdf["scan_id"], pdf["content"]):
-            rows, held = [], 0
-            try:
-                with zipfile.ZipFile(io.BytesIO(blob)) as z:
-                    for info in z.infolist():
-                        if info.is_dir():
-                            continue
-                        try:
-                            data = z.read(info)
-                        except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError) as e:
-                            rows.append((scan_id, info.filename, int(info.file_size), None, str(e)))
-                            continue
-                        rows.append((scan_id, info.filename, int(info.file_size), _text(data), None))
-                        held += len(data)
-                        if held >= EMIT_BYTES:
-                            yield _emit(rows, names)
-                            rows, held = [], 0
-            except zipfile.BadZipFile as e:
-                rows.append((scan_id, None, len(blob), None, str(e)))
-            if rows:
-                yield _emit(rows, names)
-
-
-def _archive_rows(spark: SparkSession, glob_path: str) -> DataFrame:
-    a = spark.read.format("binaryFile").load(glob_path).select(
-        F.regexp_extract("path", r"([^/]+?)(\.zip)?$", 1).alias("scan_id"), "content")
-    return a.mapInPandas(_unzip, "scan_id string, path string, size long, content string, error string")
-
-
 def read_archives(spark: SparkSession, glob_path: str) -> DataFrame:
-    """SRC-08: expand many zip archives at once; one archive per input row,
-    scan id = archive file name.  Entries of any size keep their content;
-    what cannot be read is in ``bad_archives``."""
-    return with_layout(_archive_rows(spark, glob_path).filter(F.col("error").isNull()).drop("error"))
+    """SRC-08: expand many zip archives at once, each by as many tasks as its
+    size asks for (see ``archives``); scan id = archive file name.  Entries keep
+    their whole content; what cannot be read is in ``bad_archives``."""
+    return with_layout(archive_rows(spark, glob_path).filter(F.col("error").isNull()).drop("error"))
 
 
 def bad_archives(spark: SparkSession, glob_path: str) -> DataFrame:
     """The ``bad_rows`` of SRC-08: (scan_id, path, size, error) of archives (null
     path) and entries that cannot be read."""
-    return _archive_rows(spark, glob_path).filter(F.col("error").isNotNull()).drop("content")
+    return archive_rows(spark, glob_path).filter(F.col("error").isNotNull()).drop("content")
 
 
 def read_changed_paths(spark: SparkSession, path: str, scan_id: str | None) -> DataFrame:

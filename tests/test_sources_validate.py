@@ -11,6 +11,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from codelens.operators import validate as VA
+from codelens.sources import archives as A
 from codelens.sources import corpus as C
 from codelens.sources import tools as TL
 
@@ -158,6 +159,48 @@ def test_archives_keep_large_entries_and_report_bad_ones(spark):
     assert [(r.scan_id, r.path) for r in C.bad_archives(spark, root + "/*.zip").collect()] == [("broken", None)]
 
 
+def test_one_archive_is_read_by_many_tasks(spark):
+    """Spans of entries go to tasks of their own; methods, odd entries and broken ones are as zipfile sees them."""
+    root = tempfile.mkdtemp(prefix="zips-", dir="/tmp")
+    path = os.path.join(root, "one.zip")
+    methods = [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA]
+    texts = {f"src/f{i}.js": f"// {i}\n" * (i * 40) for i in range(40)}  # the first one is empty
+    with open(path, "wb") as f:
+        f.write(b"#!/bin/sh\n")  # bytes before the archive
+    with zipfile.ZipFile(path, "a") as z:
+        z.mkdir("src")
+        for i, (name, text) in enumerate(texts.items()):
+            z.writestr(name, text, compress_type=methods[i % 4])
+        z.writestr("logo.bin", b"\x00\x01")
+        z.writestr("hurt.js", "y" * 500)
+        hurt = z.getinfo("hurt.js")
+    with open(path, "r+b") as f:
+        f.seek(hurt.header_offset + 30 + len("hurt.js") + 7)
+        f.write(b"z")
+    spans = A.entry_spans(spark, root + "/*.zip", span_bytes=2000)
+    assert spans.select("span").distinct().count() > 5
+    rows = A.archive_rows(spark, root + "/*.zip", span_bytes=2000)
+    got = rows.withColumn("task", F.spark_partition_id()).collect()
+    assert {r.path: r.content for r in got} == {**texts, "logo.bin": None, "hurt.js": None}
+    assert [r.path for r in got if r.error] == ["hurt.js"]
+    assert len({r.task for r in got}) > 1
+
+
+def test_archive_beyond_two_gigabytes(spark):
+    """A sparse file: entries behind 3 GB of nothing, offsets as in a 64-bit archive."""
+    root = tempfile.mkdtemp(prefix="zips-", dir="/tmp")
+    path = os.path.join(root, "huge.zip")
+    with open(path, "wb") as f, zipfile.ZipFile(f, "w") as z:
+        z.writestr("first.js", "fetch()")
+        f.seek(5 << 30)
+        z.start_dir = f.tell()
+        z.writestr("last.js", "last()")
+    assert os.path.getsize(path) > 5 << 30 and os.stat(path).st_blocks * 512 < 1 << 20
+    got = {r.path: r.content for r in C.read_archives(spark, root + "/*.zip").collect()}
+    assert got == {"first.js": "fetch()", "last.js": "last()"}
+    assert C.bad_archives(spark, root + "/*.zip").count() == 0
+
+
 def test_any_encoding_survives_bad_bytes(spark):
     root = _tree_of({"a.json": b'{"a": "\xe9"}', "b.json": b"\xff\xfe" + "{}".encode("utf-16-le") + b"x"})
     got = {r.path.rsplit("/", 1)[1]: r.json for r in C.read_json_any_encoding(spark, root + "/*.json").collect()}

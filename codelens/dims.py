@@ -38,12 +38,13 @@ def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> Da
     return df
 
 
-def broadcast_if_few(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """``df``, computed once, with a broadcast hint if it has at most ``max_rows``
-    rows (counted, not estimated)."""
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES // 4, max_rows: int = 1_000_000) -> DataFrame:
+    """``df``, computed once, with a broadcast hint if its rows, measured as JSON
+    text, have at most ``max_bytes`` together; else the join is left to Spark."""
     ensure_checkpoint_dir(df.sparkSession)
     df = df.checkpoint(eager=True)
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= max_rows and (size or 0) <= max_bytes else df
 
 
 def feature_dim(spark: SparkSession) -> DataFrame:

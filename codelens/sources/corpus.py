@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codelens.dims import broadcast_if_few
+from codelens.dims import broadcast_if_small
 from codelens.functions.scalar import basename, dirname, ext
 from codelens.session import ensure_checkpoint_dir
 from codelens.sources.archives import archive_rows
@@ -213,27 +213,66 @@ def _lines_of(files: DataFrame, name: str) -> DataFrame:
     return lines.select("scan_id", "ord", F.trim("line").alias("l")).filter((F.col("l") != "") & ~F.col("l").startswith("#"))
 
 
-def _last_match(files: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``files`` with ``_hit``: the verdict of the last pattern (scan_id, ord, re,
-    verdict) of its scan that matches its path, null if none does.
-
-    A scan's patterns are one array, so the files are joined once by scan and
-    judged in the row; file contents are not shuffled as long as the scans with
-    patterns are few enough to broadcast."""
-    entry = F.struct("ord", "re", "verdict")
-    per_scan = patterns.groupBy(F.col("scan_id").alias("_scan")).agg(F.sort_array(F.collect_list(entry)).alias("_pats"))
-    joined = files.join(broadcast_if_few(per_scan), F.col("scan_id") == F.col("_scan"), "left")
-    hit = F.aggregate(F.coalesce("_pats", F.array().cast("array<struct<ord:int,re:string,verdict:boolean>>")), F.lit(None).cast("boolean"),
-                      lambda acc, p: F.when(F.regexp_like(F.col("path"), p["re"]), p["verdict"]).otherwise(acc))
-    return joined.withColumn("_hit", hit).drop("_scan", "_pats")
+def _pattern_key(glob: F.Column) -> F.Column:
+    """What a path must have, as one of its ``_path_keys``, to match the pattern: the
+    longest segment without wildcards; else the last suffix from a dot, the first
+    character or the last one; else nothing but ``*``.  Matches begin and end
+    where a segment does, so the ends of the pattern are ends of segments."""
+    segments = F.split(glob, "/")
+    literal = F.array_max(F.transform(F.filter(segments, lambda s: (s != "") & ~s.rlike(r"[*?]")), lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))
+    head, tail = F.regexp_extract(glob, r"^([^*?/]*)", 1), F.regexp_extract(glob, r"([^*?/]*)$", 1)
+    suffix = F.regexp_extract(tail, r"(\.[^.]*)$", 1)
+    return (F.when(literal.isNotNull(), F.concat(F.lit("s"), literal["s"]))
+            .when(suffix != "", F.concat(F.lit("d"), suffix))
+            .when(head != "", F.concat(F.lit("p"), F.substring(head, 1, 1)))
+            .when(tail != "", F.concat(F.lit("e"), F.substring(tail, -1, 1)))
+            .otherwise(F.lit("*")))
+
+
+def _path_keys(path: F.Column) -> F.Column:
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
+    return F.array_distinct(F.concat(
+        F.array(F.lit("*")), F.transform(segments, lambda s: F.concat(F.lit("s"), s)),
+        F.transform(segments, lambda s: F.concat(F.lit("d"), F.regexp_extract(s, r"(\.[^.]*)$", 1))),
+        F.transform(segments, lambda s: F.concat(F.lit("p"), F.substring(s, 1, 1))),
+        F.transform(segments, lambda s: F.concat(F.lit("e"), F.substring(s, -1, 1)))))
+
+
+def last_match(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(scan_id, path, verdict): for each path that a pattern of its scan matches, the
+    verdict of the last one.
+
+    Patterns are (scan_id, ord, glob, below, verdict); one that is ``below`` also
+    matches whatever lies under what it names.  Paths meet patterns by an
+    equi-join on (scan, key); patterns without wildcards are then compared as
+    plain strings, only the others as regular expressions.  File contents take no
+    part; null scans and null paths match nothing."""
+    wild = F.col("glob").rlike(r"[*?]")
+    regex = glob_to_regex(F.col("glob"))
+    patterns = patterns.select(
+        F.col("scan_id").alias("_scan"), _pattern_key(F.col("glob")).alias("_key"), "ord", "verdict", "below",
+        F.when(~wild, F.concat(F.lit("/"), "glob")).alias("plain"),
+        F.when(wild & F.col("below"), F.regexp_replace(regex, r"\$$", r"(/.*)?\$")).when(wild, regex).alias("re"))
+    keyed = files.select("scan_id", "path", F.explode(_path_keys(F.col("path"))).alias("_key"))
+    met = keyed.join(broadcast_if_small(patterns), (F.col("scan_id") == F.col("_scan")) & (keyed["_key"] == patterns["_key"]))
+    rooted = F.concat(F.lit("/"), "path")
+    plain = F.when(F.col("below"), F.contains(F.concat(rooted, F.lit("/")), F.concat("plain", F.lit("/")))).otherwise(F.endswith(rooted, F.col("plain")))
+    hit = met.filter(F.when(F.col("plain").isNotNull(), plain).otherwise(F.regexp_like("path", F.col("re"))))
+    return hit.groupBy("scan_id", "path").agg(F.max(F.struct("ord", "verdict"))["verdict"].alias("verdict"))
+
+
+def _without(files: DataFrame, matched: DataFrame) -> DataFrame:
+    """The files that are not named; the names are broadcast if they are few bytes, so contents stay where they are."""
+    named = matched.select(F.col("scan_id").alias("_scan"), F.col("path").alias("_path"))
+    return files.join(broadcast_if_small(named), (F.col("scan_id") == F.col("_scan")) & (F.col("path") == F.col("_path")), "left_anti")
 
 
 def skip_lfs(files: DataFrame) -> DataFrame:
     """SRC-06: drop files matched by a ``.gitattributes`` line declaring
     ``filter=lfs``, ``diff=lfs`` or ``merge=lfs``."""
     lfs = _lines_of(files, ".gitattributes").filter(F.col("l").rlike(r"(^|\s)(filter|diff|merge)=lfs(\s|$)"))
-    pats = lfs.select("scan_id", "ord", glob_to_regex(F.split("l", r"\s+")[0]).alias("re"), F.lit(True).alias("verdict"))
-    return _last_match(files, pats).filter(F.col("_hit").isNull()).drop("_hit")
+    pats = lfs.select("scan_id", "ord", F.split("l", r"\s+")[0].alias("glob"), F.lit(False).alias("below"), F.lit(True).alias("verdict"))
+    return _without(files, last_match(files, pats))
 
 
 def apply_ignore(files: DataFrame) -> DataFrame:
@@ -241,11 +280,10 @@ def apply_ignore(files: DataFrame) -> DataFrame:
     negates, the last matching pattern decides."""
     pats = _lines_of(files, ".gitignore")
     neg = F.col("l").startswith("!")
-    body = F.regexp_replace(F.when(neg, F.expr("substring(l, 2)")).otherwise(F.col("l")), r"^/|/$", "")
+    glob = F.regexp_replace(F.when(neg, F.expr("substring(l, 2)")).otherwise(F.col("l")), r"^/|/$", "")
     # a directory pattern also matches everything below it
-    below = F.regexp_replace(glob_to_regex(body), r"\$$", r"(/.*)?\$")
-    pats = pats.select("scan_id", "ord", below.alias("re"), (~neg).alias("verdict"))
-    return _last_match(files, pats).filter(~F.coalesce("_hit", F.lit(False))).drop("_hit")
+    pats = pats.select("scan_id", "ord", glob.alias("glob"), F.lit(True).alias("below"), (~neg).alias("verdict"))
+    return _without(files, last_match(files, pats).filter("verdict"))
 
 
 def max_size(files: DataFrame, max_bytes: int) -> DataFrame:

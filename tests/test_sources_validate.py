@@ -5,6 +5,8 @@ import base64
 import io
 import json
 import os
+import random
+import re
 import tempfile
 import zipfile
 
@@ -51,6 +53,42 @@ def test_read_corpus_and_filters(spark):
     assert {r.path for r in C.exclude_paths(f, "src\\deep;build").collect()} & {"src/deep/b.css", "build/out.js"} == set()
 
 
+def test_ignore_rules_against_plain_regular_expressions(spark):
+    """Keyed joins give what every pattern tried on every path gives; the last match decides."""
+    rnd = random.Random(3)
+    names = ["a", "b", "lib", "x.log", "y.min.js", "foo1", "fob~", ".env", "z{1}+", "src"]
+    paths = sorted({"/".join(rnd.choices(names, k=rnd.randint(1, 4))) for _ in range(150)} | {"a//b", "/a", "x/", "n\u00e9.log"})
+    globs = ["a", "lib/a", "/src", "b/", "*.log", "*.min.js", "fo*", "*~", "?", "**", "src/**/a", "a*b", "l?b/x.log", ".e*", "z{1}+", "*.js",
+             "**/foo1", "/", "a/*", "lib/**", "f*1", "x.*", "a/b/lib"]
+    texts = {s: [("!" if rnd.random() < 0.3 else "") + rnd.choice(globs) for _ in range(rnd.randint(1, 8))] for s in map(str, range(40))}
+    texts.update({f"one{i}": [g] for i, g in enumerate(globs)})
+
+    def regex(glob, below):
+        out = "".join({"**": ".*", "*": "[^/]*", "?": "[^/]"}.get(t) or re.escape(t) for t in re.findall(r"\*\*|.", glob))
+        return re.compile("(.*/)?" + out + ("(/.*)?" if below else ""), re.S)
+
+    ignored, lfs = set(), set()
+    for scan, lines in texts.items():
+        for path in [*paths, ".gitignore", ".gitattributes"]:
+            verdict = False
+            for line in lines:
+                if regex(re.sub("^/|/$", "", line.lstrip("!")), True).fullmatch(path):
+                    verdict = not line.startswith("!")
+            if verdict:
+                ignored.add((scan, path))
+            if any(regex(line.lstrip("!"), False).fullmatch(path) for line in lines):
+                lfs.add((scan, path))
+    rows = [(s, p, "") for s in texts for p in paths] + [(None, "a", ""), ("0", None, "")]
+    rows += [(s, ".gitignore", "\n".join(["# rules", "", *lines])) for s, lines in texts.items()]
+    rows += [(s, ".gitattributes", "\n".join(f"{x.lstrip('!')} filter=lfs -text" for x in lines)) for s, lines in texts.items()]
+    files = spark.createDataFrame(rows, "scan_id string, path string, content string")
+    every = [(s, p) for s, p, _ in rows]
+    for kept, gone in ((C.apply_ignore(files), ignored), (C.skip_lfs(files), lfs)):
+        assert sorted(map(str, [(r.scan_id, r.path) for r in kept.collect()])) == sorted(map(str, [k for k in every if k not in gone]))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
 def test_read_archives(spark):
     d = tempfile.mkdtemp(prefix="zips-", dir="/tmp")
     for name, entries in {"one.zip": {"a/x.js": "fetch()"}, "two.zip": {"b.css": ".a{}", "c/": None}}.items():

@@ -8,65 +8,69 @@ from pyspark.sql import functions as F
 
 from codelens.functions.severity import semgrep_severity
 
-SEMGREP_SCHEMA = ("results array<struct<check_id:string, path:string, start:struct<line:int>, "
-                  "end:struct<line:int>, extra:struct<severity:string, message:string>>>")
+def _parsed(docs: DataFrame, col: str) -> DataFrame:
+    """``docs`` with ``col`` parsed once, as the variant ``_v``; its fields are read off that.
+    Names are case-sensitive.  A text that is no JSON, has a name twice in an object or is larger
+    than Spark lets a variant be is null there and one of ``bad_records``."""
+    return docs.withColumn("_v", F.try_parse_json(col))
+
+
+def _at(v: str, *paths: str, kind: str = "string") -> F.Column:
+    """The first of the paths that the variant has, as ``kind``; values of other kinds count as missing."""
+    return F.coalesce(*[F.try_variant_get(F.col(v), "$." + p, kind) for p in paths])
+
+
+def _filled(v: str, *paths: str) -> F.Column:
+    """The first of the paths whose text is not empty."""
+    return F.coalesce(*[F.nullif(_at(v, p), F.lit("")) for p in paths])
+
+
+def bad_records(docs: DataFrame, col: str = "json") -> DataFrame:
+    """The ``bad_rows`` of SRC-10..12: rows whose ``col`` has text that cannot be parsed (a
+    tool's log lines among its records, cut-off documents), columns unchanged."""
+    return _parsed(docs, col).filter(F.col("_v").isNull() & (F.trim(F.col(col)) != "")).drop("_v")
 
 
 def read_semgrep(docs: DataFrame, col: str = "json") -> DataFrame:
     """SRC-10: semgrep JSON per scan -> findings (severity error/high/critical
     -> High, warning/medium -> Medium, else Low), with the result ordinal.
     Unparsable documents yield no rows."""
-    p = docs.select("scan_id", F.from_json(col, SEMGREP_SCHEMA).alias("d"))
-    r = p.select("scan_id", F.posexplode("d.results").alias("ord", "r"))
+    r = _parsed(docs, col).select("scan_id", F.posexplode(F.try_variant_get("_v", "$.results", "array<variant>")).alias("ord", "_r"))
     return r.select(
         "scan_id", "ord", F.lit("vulnerability").alias("kind"), F.lit("semgrep").alias("source"),
-        F.coalesce("r.check_id", "r.extra.message", F.lit("Semgrep finding")).alias("title"),
-        semgrep_severity(F.col("r.extra.severity")).alias("severity"),
-        F.coalesce("r.path", F.lit("")).alias("file"),
-        F.struct(F.col("r.start.line").alias("start"), F.col("r.end.line").alias("end")).alias("range"),
-        F.coalesce("r.extra.message", F.lit("")).alias("description"))
-
-
-# ``Verified`` / ``verified`` differ only in case, which struct field access
-# cannot tell apart; both are read with (case-sensitive) JSON paths instead.
-TRUFFLEHOG_SCHEMA = ("DetectorName string, detector string, rule string, "
-                     "SourceMetadata struct<Data:struct<filepath:string>>, path string, File string")
+        F.coalesce(_at("_r", "check_id", "extra.message"), F.lit("Semgrep finding")).alias("title"),
+        semgrep_severity(_at("_r", "extra.severity")).alias("severity"),
+        F.coalesce(_at("_r", "path"), F.lit("")).alias("file"),
+        F.struct(_at("_r", "start.line", kind="int").alias("start"), _at("_r", "end.line", kind="int").alias("end")).alias("range"),
+        F.coalesce(_at("_r", "extra.message"), F.lit("")).alias("description"))
 
 
 def read_trufflehog(lines: DataFrame, col: str = "value") -> DataFrame:
-    """SRC-11: trufflehog NDJSON lines -> secrets; non-JSON lines dropped;
-    detector / path / verified from their alternative field names."""
-    j = lines.filter(F.trim(F.col(col)) != "").select(
-        "scan_id", "ord", F.from_json(col, TRUFFLEHOG_SCHEMA, {"mode": "PERMISSIVE"}).alias("o"), F.col(col).alias("raw"))
-    ok = j.filter(F.col("o").isNotNull() & F.trim("raw").startswith("{"))
+    """SRC-11: trufflehog NDJSON lines -> secrets; lines that are no JSON object
+    dropped; detector / path / verified from their alternative field names."""
+    ok = _parsed(lines, col).filter(F.schema_of_variant("_v").startswith("OBJECT"))
     return ok.select(
         "scan_id", "ord", F.lit("secret").alias("kind"), F.lit("trufflehog").alias("source"),
-        F.coalesce("o.DetectorName", "o.detector", "o.rule", F.lit("unknown")).alias("title"),
+        F.coalesce(_at("_v", "DetectorName", "detector", "rule"), F.lit("unknown")).alias("title"),
         F.lit("High").alias("severity"),
-        F.coalesce(F.nullif("o.SourceMetadata.Data.filepath", F.lit("")), F.nullif("o.path", F.lit("")),
-                   F.nullif("o.File", F.lit("")), F.lit("")).alias("file"),
-        (F.coalesce(F.get_json_object("raw", "$.Verified").cast("boolean"), F.lit(False))
-         | F.coalesce(F.get_json_object("raw", "$.verified").cast("boolean"), F.lit(False))).alias("verified"))
-
-
-AUDIT_SCHEMA = "vulnerabilities map<string, struct<severity:string, via:string, range:string, fixAvailable:string>>"
-OUTDATED_SCHEMA = "map<string, struct<current:string, latest:string>>"
+        F.coalesce(_filled("_v", "SourceMetadata.Data.filepath", "path", "File"), F.lit("")).alias("file"),
+        (F.coalesce(_at("_v", "Verified", kind="boolean"), F.lit(False))
+         | F.coalesce(_at("_v", "verified", kind="boolean"), F.lit(False))).alias("verified"))
 
 
 def read_audit(docs: DataFrame, col: str = "json") -> DataFrame:
     """SRC-12: npm-audit JSON -> vulnerability rows (one per package)."""
-    p = docs.select("scan_id", "dir_ord", F.from_json(col, AUDIT_SCHEMA).alias("d"))
-    return p.select("scan_id", "dir_ord", F.explode("d.vulnerabilities").alias("name", "v")).select(
-        "scan_id", "dir_ord", "name", F.col("v.severity").alias("severity"), F.col("v.range").alias("range"),
-        F.col("v.fixAvailable").alias("fix"))
+    p = _parsed(docs, col).select("scan_id", "dir_ord", F.explode(F.try_variant_get("_v", "$.vulnerabilities", "map<string,variant>")).alias("name", "_p"))
+    return p.select("scan_id", "dir_ord", "name", _at("_p", "severity").alias("severity"), _at("_p", "range").alias("range"),
+                    _at("_p", "fixAvailable").alias("fix"))
 
 
 def read_outdated(docs: DataFrame, col: str = "json") -> DataFrame:
     """SRC-12: outdated JSON of several package dirs -> ``(scan_id, name,
     current, latest)``; the later directory (``dir_ord``) wins per name."""
-    p = docs.select("scan_id", "dir_ord", F.explode(F.from_json(col, OUTDATED_SCHEMA)).alias("name", "v"))
-    return p.groupBy("scan_id", "name").agg(F.max_by("v", "dir_ord").alias("v")).select(
-        "scan_id", "name", F.col("v.current").alias("current"), F.col("v.latest").alias("latest"))
+    p = _parsed(docs, col).select("scan_id", "dir_ord", F.explode(F.try_variant_get("_v", "$", "map<string,variant>")).alias("name", "_p"))
+    return p.groupBy("scan_id", "name").agg(F.max(F.struct("dir_ord", _at("_p", "current").alias("current"), _at("_p", "latest").alias("latest"))).alias("v")).select(
+        "scan_id", "name", "v.current", "v.latest")
 
 
 def ingest_tool(name: str, df: DataFrame) -> DataFrame:

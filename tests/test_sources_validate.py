@@ -243,3 +243,26 @@ def test_any_encoding_survives_bad_bytes(spark):
     root = _tree_of({"a.json": b'{"a": "\xe9"}', "b.json": b"\xff\xfe" + "{}".encode("utf-16-le") + b"x"})
     got = {r.path.rsplit("/", 1)[1]: r.json for r in C.read_json_any_encoding(spark, root + "/*.json").collect()}
     assert got == {"a.json": '{"a": "\ufffd"}', "b.json": "{}"}
+
+
+def test_tool_records_are_parsed_once_and_bad_ones_are_told(spark):
+    lines = [("s", 0, '{"DetectorName": "AWS", "SourceMetadata": {"Data": {"filepath": ""}}, "path": "p.js", "Verified": false, "verified": true}'),
+             ("s", 1, "scanning repository"), ("s", 2, '{"rule": 5, "File": "f"'), ("s", 3, " "), ("s", 4, None), ("s", 5, "[1]"),
+             ("s", 6, '{"rule": 5, "File": "f", "Verified": "no such"}')]
+    df = spark.createDataFrame(lines, "scan_id string, ord int, value string")
+    out = TL.read_trufflehog(df)
+    assert [(r.ord, r.title, r.file, r.verified) for r in out.orderBy("ord").collect()] == [(0, "AWS", "p.js", True), (6, "5", "f", False)]
+    assert sorted(r.ord for r in TL.bad_records(df, "value").collect()) == [1, 2]
+
+    docs = spark.createDataFrame([("a", 1, '{"results": [{"check_id": "x", "start": {"line": 3}, "extra": {"severity": "ERROR"}}, null, 7]}'),
+                                  ("b", 1, '{"results": {}}'), ("c", 1, "{"), ("d", 1, None), ("e", 1, '{"vulnerabilities": {"m": {"severity": "low", '
+                                   '"fixAvailable": {"name": "n"}}, "k": null}, "x": {"current": "1"}}'), ("e", 2, '{"x": {"latest": "2"}}')],
+                                 "scan_id string, dir_ord int, json string")
+    got = [(r.scan_id, r.ord, r.title, r.severity, r.range.start) for r in TL.read_semgrep(docs).orderBy("ord").collect()]
+    assert got == [("a", 0, "x", "High", 3), ("a", 1, "Semgrep finding", "Low", None), ("a", 2, "Semgrep finding", "Low", None)]
+    assert sorted((r.name, r.severity, r.fix) for r in TL.read_audit(docs).collect()) == [("k", None, None), ("m", "low", '{"name":"n"}')]
+    assert [(r.current, r.latest) for r in TL.read_outdated(docs).filter("name = 'x'").collect()] == [(None, "2")]
+    assert [r.scan_id for r in TL.bad_records(docs).collect()] == ["c"]
+    for read, source in ((TL.read_trufflehog, df), (TL.read_semgrep, docs), (TL.read_audit, docs), (TL.read_outdated, docs)):
+        plan = read(source)._jdf.queryExecution().optimizedPlan().toString()
+        assert "from_json" not in plan and "get_json_object" not in plan

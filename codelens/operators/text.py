@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelens.functions.text import tokenize
+from codelens.operators.ordered import row_index, running_sum
 from codelens.operators.topk import top_k
 
 # FIXED VALUES: redaction patterns, applied in this order (TXT-05)
@@ -259,6 +260,26 @@ def build_diff(suggestions: DataFrame, by: str = "scan_id", ord_col: str = "ord"
                                                       lambda x: x["_b"]), "\n").alias("diff"))
 
 
+def diff_parts(suggestions: DataFrame, by: str = "scan_id", ord_col: str = "ord", part_bytes: int = 8 << 20) -> DataFrame:
+    """TXT-10 in parts ``(by, at, text)``: a scan's diff is its parts in order of ``at``,
+    joined by a line feed, and ``at`` is the byte where a part starts in it.
+
+    Numbers and byte offsets of the blocks are running sums over range partitions,
+    so no task holds a scan: a part holds the blocks that start within its
+    ``part_bytes``.  Equal ``ord`` values are ordered by the suggestion's own columns."""
+    ties = [n for n in ("file", "original", "modified", "patch") if n in suggestions.columns]
+
+    def c(n):
+        return F.col(n) if n in ties else F.lit(None).cast("string")
+    numbered = row_index(suggestions.select(by, ord_col, *ties), [by], [ord_col, *ties], "_row")
+    blocks = numbered.select(by, "_row", diff_block(c("file"), c("original"), c("modified"), c("patch"), F.col("_row") - 1).alias("_b"))
+    size = (F.octet_length("_b") + 1).cast("long")
+    placed = running_sum(blocks, [by], ["_row"], size, "_end").withColumn("_at", F.col("_end") - size)
+    return placed.groupBy(by, F.floor(F.col("_at") / part_bytes).alias("_part")).agg(
+        F.min("_at").cast("long").alias("at"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_row", "_b"))), lambda x: x["_b"]), "\n").alias("text")).drop("_part")
+
+
 def parse_diffs(df: DataFrame, col: str, key: str = "doc_id") -> DataFrame:
     """TXT-09: unified diff text -> ``(key, block, path, original, modified)``
     per file block.

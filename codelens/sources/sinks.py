@@ -231,3 +231,10 @@ def write_blobs(df: DataFrame, root: str) -> int:
                 sizes.append(len(data))
             yield pd.DataFrame({"rel_path": pdf["rel_path"].values, "bytes": sizes})
     return df.select("rel_path", "data").mapInPandas(fn, "rel_path string, bytes long").count()
+
+
+def write_diffs(parts: DataFrame, root: str, by: str = "scan_id") -> int:
+    """Write the parts of unified diffs (``diff_parts``) to ``root/<scan>/<first byte>.diff``
+    from the tasks: read in order of their names and joined by a line feed they are the diff."""
+    name = F.concat(F.url_encode(F.col(by).cast("string")), F.lit("/"), F.lpad(F.col("at").cast("string"), 15, "0"), F.lit(".diff"))
+    return write_blobs(parts.where(F.col(by).isNotNull()).select(name.alias("rel_path"), F.encode("text", "UTF-8").alias("data")), root)

@@ -12,9 +12,11 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from codelens.operators import text as X
 from codelens.operators import validate as VA
 from codelens.sources import archives as A
 from codelens.sources import corpus as C
+from codelens.sources import sinks as K
 from codelens.sources import tools as TL
 
 
@@ -266,3 +268,24 @@ def test_tool_records_are_parsed_once_and_bad_ones_are_told(spark):
     for read, source in ((TL.read_trufflehog, df), (TL.read_semgrep, docs), (TL.read_audit, docs), (TL.read_outdated, docs)):
         plan = read(source)._jdf.queryExecution().optimizedPlan().toString()
         assert "from_json" not in plan and "get_json_object" not in plan
+
+
+def test_diffs_in_parts(spark):
+    """Parts in order are the whole diff, however small they are; offsets are bytes, files are read back in order of their names."""
+    rows = [("a/b", i, f"f{i}.js" if i % 3 else None, f"old {i}" if i % 2 else None, f"n\u00e9w {i}\nx", "+ patch" if i % 7 == 0 else None) for i in range(60)]
+    rows += [("c", 1, "only.js", "x", "y", None)]
+    df = spark.createDataFrame(rows, "scan_id string, ord int, file string, original string, modified string, patch string")
+    want = {r.scan_id: r["diff"] for r in X.build_diff(df).collect()}
+    for part_bytes in (1, 100, 1 << 20):
+        parts = X.diff_parts(df, part_bytes=part_bytes)
+        got = {}
+        for r in sorted(parts.collect(), key=lambda r: (r.scan_id, r["at"])):
+            before = got.setdefault(r.scan_id, [])
+            assert r["at"] == sum(len(t.encode()) + 1 for t in before)
+            before.append(r.text)
+        assert {k: "\n".join(v) for k, v in got.items()} == want
+    assert len(got["a/b"]) == 1
+    root = tempfile.mkdtemp(prefix="diffs-", dir="/tmp")
+    K.write_diffs(X.diff_parts(df, part_bytes=100), root)
+    names = sorted(os.listdir(os.path.join(root, "a%2Fb")))
+    assert len(names) > 5 and "\n".join(open(os.path.join(root, "a%2Fb", n), encoding="utf-8", newline="").read() for n in names) == want["a/b"]

@@ -213,6 +213,21 @@ def q_txt10(spark, sf_dir):
     return d.select("scan_id", F.md5("diff").alias("diff_md5"), F.length("diff").cast("long").alias("n_chars"))
 
 
+TXT10_PARTS_SQL = f"""
+WITH b AS (SELECT scan_id, ord, {BLOCK_SQL} AS block FROM ({CONV_SUGG_SQL})),
+p AS (SELECT *, sum(strlen(block) + 1) OVER (PARTITION BY scan_id ORDER BY ord) - strlen(block) - 1 AS pos FROM b)
+SELECT scan_id, CAST(min(pos) AS BIGINT) AS "at", md5(string_agg(block, chr(10) ORDER BY ord)) AS text_md5
+FROM p GROUP BY scan_id, pos // 1024
+"""
+
+
+@register("TXT-10-parts", TXT10_PARTS_SQL)
+def q_txt10_parts(spark, sf_dir):
+    """The diffs of TXT-10 in parts of about 1 KB, without a task that holds a scan's diff."""
+    parts = X.diff_parts(V.v_conv_suggestions(spark, sf_dir), part_bytes=1024)
+    return parts.select("scan_id", "at", F.md5("text").alias("text_md5"))
+
+
 TXT09_SQL = f"""
 SELECT scan_id, file AS path, md5(coalesce(original, '')) AS original_md5, md5(coalesce(modified, '')) AS modified_md5
 FROM ({CONV_SUGG_SQL})

@@ -31,22 +31,27 @@ def first_containing(keys: DataFrame, names: DataFrame) -> DataFrame:
     """(key, ord): for every key the smallest ``ord`` of a row of ``names`` (ord, texts)
     one of whose texts contains it; keys that none contains are left out.
 
-    Equi-joins on substrings only.  Every text's substrings of one to three characters
-    are counted, with the first row that has each.  A key of up to three characters is
-    one of them, so that row is its answer (for an empty key the first row of all).  A longer key
-    is looked up by its rarest substring of three, and the rows found are compared as a whole.
+    Equi-joins on substrings only.  A key of up to three characters is itself a substring
+    of a text, so the first row that has it is its answer (for an empty key the first row of all).
+    A longer key is looked up by its substring of three that the fewest texts have, and the rows
+    found are compared as a whole.
+
+    Spark's estimates know nothing of exploded rows (a catalogue file of 5 MB has
+    50 million substrings), so whatever grows with ``names`` is hinted to a sort-merge
+    join: none of it is broadcast, which the driver would have to hold.
     """
     texts = names.select("ord", F.explode("texts").alias("text"))
-    found = texts.select("ord", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *[_grams(F.col("text"), n) for n in range(1, GRAM + 1)]))).alias("gram"))
-    stats = found.groupBy("gram").agg(F.count(F.lit(1)).alias("times"), F.min("ord").alias("first"))
-    short = (keys.where(F.length("key") <= GRAM).join(stats, F.col("key") == F.col("gram")).select("key", F.col("first").alias("ord")))
+    upto = texts.select("ord", F.explode(F.concat(F.array(F.lit("")), *[_grams(F.col("text"), n) for n in range(1, GRAM + 1)])).alias("key"))
+    short = keys.where(F.length("key") <= GRAM).join(upto.groupBy("key").agg(F.min("ord").alias("ord")).hint("merge"), "key").select("key", "ord")
+    found = texts.select("ord", F.explode(F.array_distinct(_grams(F.col("text"), GRAM))).alias("gram"))
+    times = found.groupBy("gram").agg(F.count(F.lit(1)).alias("times"))
     parts = keys.where(F.length("key") > GRAM).select("key", F.explode(F.array_distinct(_grams(F.col("key"), GRAM))).alias("gram"))
     # a key with a substring that no text has is contained in none
-    rarest = (parts.join(stats, "gram", "left").groupBy("key")
+    rarest = (parts.join(times.hint("merge"), "gram", "left").groupBy("key")
               .agg(F.min_by("gram", F.struct("times", "gram")).alias("gram"), F.count("times").alias("known"), F.count(F.lit(1)).alias("all"))
               .where(F.col("known") == F.col("all")).select("key", "gram"))
-    rows = found.where(F.length("gram") == GRAM).join(rarest, "gram").select("key", "ord").distinct()
-    whole = rows.join(texts, "ord").where(F.col("text").contains(F.col("key"))).groupBy("key").agg(F.min("ord").alias("ord"))
+    rows = found.hint("merge").join(rarest, "gram").select("key", "ord").distinct()
+    whole = rows.join(texts.hint("merge"), "ord").where(F.col("text").contains(F.col("key"))).groupBy("key").agg(F.min("ord").alias("ord"))
     return short.unionByName(whole)
 
 
@@ -141,8 +146,8 @@ def lookup_web_features(baseline: DataFrame, web_features: DataFrame) -> DataFra
     name, slug = (F.lower(F.coalesce(c, F.lit(""))) for c in ("name", "slug"))
     cat = web_features.select("ord", F.array(name, slug).alias("texts"), F.coalesce("slug", "name").alias("_label"), "support")
     hits = keys.join(first_containing(keys.select("key").distinct(), cat.select("ord", "texts")), "key")
-    # of the rows with that ord, one that contains the key
-    matches = hits.join(cat, "ord").where(F.exists("texts", lambda t: t.contains(F.col("key"))))
+    # of the rows with that ord, one that contains the key; the catalogue is not broadcast
+    matches = hits.join(cat.hint("merge"), "ord").where(F.exists("texts", lambda t: t.contains(F.col("key"))))
     first = matches.groupBy("feature").agg(F.min_by(F.struct("support", "_label"), F.col("_label")).alias("_hit"))
     wsupport = F.create_map(*[x for b in BROWSERS
                               for x in (F.lit(b), F.coalesce(F.col("_hit.support")[b], F.lit("unknown")))])

@@ -49,3 +49,37 @@ def test_lookup_takes_the_first_row(spark):
     assert got["Grid"][1] == got["g"][1] == "Fallback from web-features for 'Subgrid'"
     assert got["fetch-api"][1] == "Fallback from web-features for 'a-fetch'"
     assert got["none"][1] == got["core-js/full/array"][1] == "" and got["fetch"] == ("supported", "kept")
+
+
+def catalogue(spark, rows):
+    """A catalogue of known size, which Spark takes for small until its texts are exploded."""
+    key = F.concat(F.lit("part-"), F.col("id").cast("string"))
+    return spark.range(rows).select(F.col("id").alias("ord"), F.concat(F.lit("Name of "), key).alias("name"), key.alias("slug"),
+                                    F.create_map(F.lit("chrome"), F.lit("partial")).alias("support"))
+
+
+def broadcasts(df):
+    return [x.strip() for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastExchange" in x]
+
+
+def test_the_catalogue_is_not_broadcast(spark):
+    cat = catalogue(spark, 2000)
+    names = cat.select("ord", F.array(F.lower("name"), "slug").alias("texts"))
+    keys = ["art-19", "of part-777", "t-9", "", "9", "part-2000", "zz"]
+    got = B.first_containing(spark.createDataFrame([(k,) for k in keys], "key string"), names)
+    assert broadcasts(got) == []
+    assert {r.key: r.ord for r in got.collect()} == {"art-19": 19, "of part-777": 777, "t-9": 9, "": 0, "9": 9}
+    # also when the keys are known to be few, and after Spark has measured both sides
+    few = spark.range(3).select(F.concat(F.lit("part-"), (F.col("id") + 1500).cast("string")).alias("key"))
+    got = B.first_containing(few, names)
+    assert {r.key: r.ord for r in got.collect()} == {f"part-{i}": i for i in (1500, 1501, 1502)}
+    assert broadcasts(got) == []
+
+
+def test_lookup_does_not_broadcast_the_catalogue(spark):
+    base = spark.createDataFrame([("s", "f", k, "unknown", "") for k in ("PART-15", "none", "t-9")], "scan_id string, file string, feature string, status string, notes string")
+    base = base.withColumn("support", F.create_map(F.lit("chrome"), F.lit("unknown")))
+    got = B.lookup_web_features(base, catalogue(spark, 2000))
+    assert broadcasts(got) == []
+    label = "Fallback from web-features for 'part-{}'".format
+    assert {r.feature: r.notes for r in got.collect()} == {"PART-15": label(15), "none": "", "t-9": label(9)}
